@@ -7,6 +7,7 @@ letters and non-breaking spaces count as in Unicode-aware engines. Absent values
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def literal_map(mapping: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_pattern(patterns: list[str], flags: str) -> str:
     return f"(?{flags})(?:" + "|".join(patterns) + ")"
 
@@ -237,4 +243,4 @@ def label(col: Column, mapping: dict[str, str]) -> Column:
 
 def quote_pattern(text: str) -> str:
     """``text`` as a literal inside a Java regular expression."""
-    return re.sub(r"([^\w\s])", r"\\\1", text, flags=re.ASCII)
+    return re.sub(r"([^\w\s])", r"\\\1", text)
