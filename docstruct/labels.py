@@ -128,6 +128,52 @@ STEP_LABELS = {
     "zh": {"upload": "文件接收", "parse": "文档解析", "analyze": "多 Agent 分析", "artifact": "结果生成"},
 }
 
+# Headings and sentence parts of the rendered reports.
+REPORT = {
+    "zh": {
+        "parsed_title": "# PDF 结构化解析",
+        "parsed_basics": "## 基础信息",
+        "parsed_figures": "## 图表元数据",
+        "parsed_fields": ["标题", "作者", "DOI", "期刊/会议", "年份", "页数", "图表数量"],
+        "figure_fields": ["Caption", "页码", "页截图路径", "正文引用"],
+        "research_title": "# 文献分析报告",
+        "research_basics": ["标题", "作者", "发表平台", "年份"],
+        "research_chapters": [
+            ("1. 基本信息", []),
+            ("2. 摘要式总结", []),
+            ("3. 研究问题", ["3.1 背景", "3.2 论文要解决的问题"]),
+            ("4. 方法", ["4.1 方法概述", "4.2 关键模块", "4.3 创新点"]),
+            ("5. 实验与结果", ["5.1 实验设置", "5.2 主要结果", "5.3 与基线对比", "5.4 作者结论"]),
+            ("6. 图表分析", ["6.1 关键图表", "6.2 图中结论", "6.3 图文一致性"]),
+            ("7. 评价", ["7.1 优点", "7.2 局限性", "7.3 可复现性"]),
+            ("8. 启发与参考价值", ["8.1 适用场景", "8.2 对当前研究的启发"]),
+            ("9. 总结", []),
+        ],
+        "summary_problem": "> 这篇论文主要研究{}。",
+        "summary_method": "> 核心方法是{}。",
+        "summary_results": "> 主要结果表明{}。",
+        "summary_fallback": "> 这篇论文主要研究内容可概括为：{}",
+        "datasets_line": "涉及数据集：{}。",
+        "baseline_line": "- {}：比较对象包括 {}；主要观察为 {}",
+        "consistency_line": "- {}：{}（置信度：{}）",
+        "figure_line": "- {}：{}",
+        "scenario_datasets": "该方法可优先参考于与 {} 类似的数据或任务场景。",
+        "scenario_venue": "可优先用于与 {} 相关的研究问题与实验设计参考。",
+        "evidence_fields": ["图注摘要", "图类型", "指标 / 坐标", "证据质量", "直接证据"],
+        "analysis_fields": ["图注", "实验焦点", "比较对象", "指标 / 坐标", "主要观察", "作者结论", "置信度"],
+        "general_chapters": ["标题", "摘要", "要点", "局限性", "结构化信息"],
+        "paper_title": "# 论文分析报告",
+        "paper_chapters": [
+            "基础信息", "研究问题", "核心方法", "数据集", "实验设置", "主要结果", "创新点", "优点", "局限性", "复现建议",
+        ],
+        "paper_basics": ["标题", "作者", "期刊/会议", "年份"],
+    },
+}
+
 
 def text(key: str, locale: str = DEFAULT_LOCALE) -> str:
     return TEXTS[locale][key]
+
+
+def report(key: str, locale: str = DEFAULT_LOCALE):
+    return REPORT[locale][key]

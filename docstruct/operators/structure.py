@@ -271,6 +271,20 @@ def overlay_sections(base: DataFrame, draft: DataFrame, draft_order: DataFrame)
     )
 
 
+def merge_sections(base: DataFrame, draft: DataFrame) -> DataFrame:
+    """Existing sections with the draft's text where it has one, then the sections only the draft has."""
+    rows = base.select("doc_id", "section_key", "content", F.lit(0).alias("age"), "position").unionByName(
+        draft.select("doc_id", "section_key", "content", F.lit(1).alias("age"), "position")
+    )
+    merged = rows.groupBy("doc_id", "section_key").agg(
+        F.max_by("content", "age").alias("content"), F.min(F.struct("age", "position")).alias("place")
+    )
+    in_order = Window.partitionBy("doc_id").orderBy("place")
+    return merged.select(
+        "doc_id", "section_key", "content", (F.row_number().over(in_order) - 1).alias("position")
+    )
+
+
 def merge_fields(draft: DataFrame, base: DataFrame, fields: list[str]) -> DataFrame:
     """Per document and field: the draft value unless it is empty, else the existing value."""
 
