@@ -49,16 +49,21 @@ def not_blank(col: Column) -> Column:
     return F.nullif(strip(col), F.lit(""))
 
 
+# White space and control characters, except where they are one single space already.
+_UNEVEN_SPACE = r"(?U)[\s\x00-\x1f\x7f&&[^ ]][\s\x00-\x1f\x7f]*| [\s\x00-\x1f\x7f]+"
+
+
 def collapse(col: Column) -> Column:
     """White space and control characters -> single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(col, r"(?U)[\s\x00-\x1f\x7f]+", " "))
+    return F.trim(F.regexp_replace(col, _UNEVEN_SPACE, " "))
 
 
 def clean_text(col: Column) -> Column:
-    text = F.regexp_replace(col, r"(?U)[\s\x00-\x1f\x7f]+", " ")
+    text = F.regexp_replace(col, _UNEVEN_SPACE, " ")
     text = F.replace(F.replace(text, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
     text = F.regexp_replace(text, r" ([,.;:])", "$1")
-    text = F.regexp_replace(text, r"(?U)(?<=\w)- (?=\w)", "")
+    # The literal leads, so that the look-arounds are tried at hyphens only.
+    text = F.regexp_replace(text, r"(?U)- (?<=\w- )(?=\w)", "")
     return F.trim(text)
 
 
@@ -90,34 +95,52 @@ def sentences(col: Column) -> Column:
 # --- line predicates ---------------------------------------------------------------
 
 
-def is_noise(col: Column) -> Column:
-    return F.lower(strip(col)).rlike(any_pattern(K.NOISE_PATTERNS, "U"))
+# ``lowered`` is the lower-cased text where the caller has it as a column already.
+# Cheap substring tests come first: most lines fail them, and the expression after ``&`` is then skipped.
+
+
+def lower(col: Column, lowered: Column | None) -> Column:
+    return F.lower(col) if lowered is None else lowered
+
+
+def is_noise(col: Column, lowered: Column | None = None) -> Column:
+    rules = "|".join(p.removeprefix("^") for p in K.NOISE_PATTERNS)
+    return lower(col, lowered).rlike(rf"(?U)^[\s\x1c-\x1f]*(?:{rules})")
 
 
-def is_citation_line(col: Column) -> Column:
-    return F.lower(col).rlike(any_pattern(K.CITATION_PATTERNS, "U"))
+def is_citation_line(col: Column, lowered: Column | None = None) -> Column:
+    lowered = lower(col, lowered)
+    hinted = contains_any(lowered, ["et al.,", "sci. adv.", "science advances"])
+    return hinted & lowered.rlike(any_pattern(K.CITATION_PATTERNS, "U"))
 
 
-def is_venue_line(col: Column) -> Column:
-    return F.lower(col).rlike(any_pattern(K.VENUE_LINE_PATTERNS, "U"))
+def is_venue_line(col: Column, lowered: Column | None = None) -> Column:
+    lowered = lower(col, lowered)
+    hinted = contains_any(lowered, ["volume", "issue", "nature", "sci. adv."])
+    return hinted & lowered.rlike(any_pattern(K.VENUE_LINE_PATTERNS, "U"))
 
 
 def is_author_line(col: Column) -> Column:
-    unmarked = F.regexp_replace(col, rf"(?U)[{K.AUTHOR_MARKS}\d]+", " ")
-    return F.regexp_count(unmarked, F.lit("(?U)" + K.AUTHOR_NAME_PATTERN)) >= 2
+    """Two runs of names; marks and digits count as white space between the words of a name."""
+    name = K.AUTHOR_NAME_PATTERN.replace(r"\s", rf"[\s{K.AUTHOR_MARKS}\d]")
+    return F.regexp_count(col, F.lit("(?U)" + name)) >= 2
 
 
 def closes_sentence(col: Column) -> Column:
     """True when a sentence ends with the text, so that what follows starts a new one."""
-    return F.coalesce(F.right(F.rtrim(col, F.lit(WHITE_SPACE)), F.lit(1)).isin(".", "!", "?"), F.lit(False))
+    ended = reduce(lambda a, b: a | b, [col.endswith(mark) for mark in ".!?"])
+    trimmed = F.right(F.rtrim(col, F.lit(WHITE_SPACE)), F.lit(1)).isin(".", "!", "?")
+    return F.coalesce(ended | trimmed, F.lit(False))
 
 
 # --- headings, figure ids ------------------------------------------------------------
 
 
-def heading_key(col: Column) -> Column:
+def heading_key(col: Column, lowered: Column | None = None) -> Column:
+    stems = ["abstract", "introduction", "background", "result", "discussion", "method", "experimental", "conclusion"]
     letters = F.lower(F.trim(F.regexp_replace(col, r"[^A-Za-z]+", " ")))
-    return F.element_at(literal_map(K.SECTION_ALIASES), letters)
+    key = F.element_at(literal_map(K.SECTION_ALIASES), letters)
+    return F.when(contains_any(lower(col, lowered), stems), key)
 
 
 def canonical_section_key(col: Column) -> Column:
@@ -136,7 +159,8 @@ def section_title(col: Column) -> Column:
 
 def figure_suffix(col: Column) -> Column:
     found = F.regexp_extract(col, "(?iU)" + K.FIGURE_START_PATTERN, 1)
-    return F.nullif(F.upper(found), F.lit(""))
+    starts = F.lower(F.ltrim(col, F.lit(WHITE_SPACE))).startswith("fig")
+    return F.when(starts, F.nullif(F.upper(found), F.lit("")))
 
 
 def figure_id(col: Column) -> Column:
@@ -168,17 +192,18 @@ def doi_score(doi: Column, text: Column, page: Column) -> Column:
     )
 
 
-def venue(col: Column) -> Column:
+def venue(col: Column, lowered: Column | None = None) -> Column:
+    names = ["sci. adv.", "science advances", "nature", "cell", "arxiv"]
     found = [F.nullif(F.regexp_extract(col, "(?iUd)" + p, 0), F.lit("")) for p in K.VENUE_PATTERNS]
-    return clean_text(F.coalesce(*found))
+    return F.when(contains_any(lower(col, lowered), names), clean_text(F.coalesce(*found)))
 
 
 def year(col: Column) -> Column:
     return F.nullif(F.regexp_extract(col, "(?U)" + K.YEAR_PATTERN, 0), F.lit(""))
 
 
-def is_dated_line(col: Column) -> Column:
-    return is_citation_line(col) | F.lower(col).contains("published")
+def is_dated_line(col: Column, lowered: Column | None = None) -> Column:
+    return is_citation_line(col, lowered) | lower(col, lowered).contains("published")
 
 
 def author_names(author_text: Column) -> Column:

@@ -24,18 +24,22 @@ def text_blocks(blocks: DataFrame) -> DataFrame:
 
 def flag_blocks(blocks: DataFrame) -> DataFrame:
     """Text blocks with each line predicate evaluated once (narrow: no shuffle)."""
-    text = F.col("text")
-    return text_blocks(blocks).withColumns(
+    text, lowered = F.col("text"), F.col("lowered")
+    words = [w for ws in K.FALLBACK_KEYWORDS.values() for w in ws]
+    # The lower-cased text is a column of its own so that it is computed once for all predicates.
+    rows = text_blocks(blocks).withColumn("lowered", F.lower(text))
+    return rows.withColumns(
         {
-            "is_noise": T.is_noise(text),
-            "is_citation": T.is_citation_line(text),
-            "is_venue": T.is_venue_line(text),
+            "is_noise": T.is_noise(text, lowered),
+            "is_citation": T.is_citation_line(text, lowered),
+            "is_venue": T.is_venue_line(text, lowered),
             "is_author": T.is_author_line(text),
-            "heading_key": T.heading_key(text),
+            "heading_key": T.heading_key(text, lowered),
             "figure_id": T.figure_id(text),
             "closes": T.closes_sentence(text),
+            "has_keyword": T.contains_any(lowered, words),
         }
-    )
+    ).drop("lowered")
 
 
 def page_offsets(flagged: DataFrame) -> DataFrame:

@@ -42,6 +42,7 @@ def front_matter(flagged: DataFrame) -> DataFrame:
             "at_top": titleable & (F.col("y0") < K.TITLE_MAX_Y),
             "venue": F.when(~F.col("is_noise"), T.venue(text)),
             "year": T.year(text),
+            "undated": (~T.is_dated_line(text)).cast("int"),
         }
     )
     rows = rows.withColumns(
@@ -92,7 +93,7 @@ def front_matter(flagged: DataFrame) -> DataFrame:
         }
     )
     # Undated lines give a year only when no dated line does.
-    year_rank = F.when(F.col("year").isNotNull(), F.struct((~T.is_dated_line(text)).cast("int"), order))
+    year_rank = F.when(F.col("year").isNotNull(), F.struct("undated", order))
     folded = rows.groupBy("doc_id").agg(
         ordered_texts(F.col("is_title"), T.clean_title(text)).alias("titles"),
         F.array_sort(F.collect_list(F.when(F.col("is_title"), F.struct("order_index", "block_id"))))[
@@ -160,19 +161,26 @@ def heading_sections(annotated: DataFrame) -> DataFrame:
     )
 
 
-def abstract_sections(front: DataFrame, headed: DataFrame) -> DataFrame:
-    """Abstract taken from the lines after the title, for documents without a headed one."""
-    headed_abstracts = headed.filter(F.col("section_key") == "abstract").select("doc_id")
-    return (
-        front.filter(F.col("fallback_abstract").isNotNull())
-        .join(headed_abstracts, "doc_id", "left_anti")
-        .select(
-            "doc_id",
-            F.lit("abstract").alias("section_key"),
-            F.col("fallback_abstract").alias("content"),
+def front_sections(front: DataFrame, headed: DataFrame) -> DataFrame:
+    """Title sections, and abstracts from the lines after the title where no heading gave one."""
+    has_abstract = headed.filter(F.col("section_key") == "abstract").select("doc_id", F.lit(True).alias("headed"))
+
+    def row(key: str, content: str, source: str) -> Column:
+        return F.struct(
+            F.lit(key).alias("section_key"),
+            F.col(content).alias("content"),
             F.lit(0).alias("place"),
-            F.lit("fallback_abstract").alias("source"),
+            F.lit(source).alias("source"),
         )
+
+    rows = F.array(
+        row("title", "title", "title"),
+        F.when(F.col("headed").isNull(), row("abstract", "fallback_abstract", "fallback_abstract")),
+    )
+    return (
+        front.join(has_abstract, "doc_id", "left")
+        .select("doc_id", F.inline(F.array_compact(rows)))
+        .filter(F.col("content").isNotNull())
     )
 
 
@@ -182,26 +190,40 @@ def keyword_sections(annotated: DataFrame, headed: DataFrame) -> DataFrame:
     A sentence may run over several blocks, so blocks are folded per run (``run_id``): inside the page
     first, where pieces that hold no keyword and cannot continue on another page are dropped.
     """
-    words = [w for ws in K.FALLBACK_KEYWORDS.values() for w in ws]
-    pieces = annotated.groupBy(*PAGE, "run_id").agg(
-        F.array_sort(F.collect_list(F.struct("order_index", "text")))["text"].alias("texts"),
-        F.max("at_page_edge").alias("open_ended"),
+    pieces = (
+        annotated.groupBy(*PAGE, "run_id")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("order_index", "text")))["text"].alias("texts"),
+            F.max("at_page_edge").alias("open_ended"),
+            F.max("has_keyword").alias("has_keyword"),
+        )
+        .filter(F.col("open_ended") | F.col("has_keyword"))
+        .withColumn("text", F.array_join("texts", "\n\n"))
     )
-    pieces = pieces.withColumn("text", F.array_join("texts", "\n\n")).filter(
-        F.col("open_ended") | T.contains_any(F.lower("text"), words)
+    runs = (
+        pieces.groupBy("doc_id", "run_id")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("page_number", "text")))["text"].alias("texts"),
+            F.max("has_keyword").alias("has_keyword"),
+        )
+        .filter("has_keyword")
+        .select("doc_id", "run_id", F.array_join("texts", "\n\n").alias("text"))
     )
-    runs = pieces.groupBy("doc_id", "run_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("page_number", "text")))["text"], "\n\n").alias("text")
+    split = F.transform(
+        T.sentences(F.col("text")),
+        lambda s: F.struct(T.strip(s).alias("sentence"), F.lower(s).alias("lowered")),
     )
-    lowered = F.lower("sentence")
     keys = F.array_compact(
-        F.array(*[F.when(T.contains_any(lowered, ws), F.lit(k)) for k, ws in K.FALLBACK_KEYWORDS.items()])
+        F.array(
+            *[
+                F.when(T.contains_any(F.col("s.lowered"), words), F.lit(key))
+                for key, words in K.FALLBACK_KEYWORDS.items()
+            ]
+        )
     )
     hits = (
-        runs.select("doc_id", "run_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
-        .withColumn("sentence", T.strip(F.col("sentence")))
-        .filter(T.contains_any(lowered, words))
-        .withColumn("section_key", F.explode(keys))
+        runs.select("doc_id", "run_id", F.posexplode(split).alias("at", "s"))
+        .select("doc_id", "run_id", "at", F.col("s.sentence").alias("sentence"), F.explode(keys).alias("section_key"))
         .join(headed.select("doc_id", "section_key"), ["doc_id", "section_key"], "left_anti")
     )
     first = Window.partitionBy("doc_id", "section_key").orderBy("run_id", "at")
@@ -217,16 +239,6 @@ def keyword_sections(annotated: DataFrame, headed: DataFrame) -> DataFrame:
     )
 
 
-def title_sections(front: DataFrame) -> DataFrame:
-    return front.filter(F.col("title").isNotNull()).select(
-        "doc_id",
-        F.lit("title").alias("section_key"),
-        F.col("title").alias("content"),
-        F.lit(0).alias("place"),
-        F.lit("title").alias("source"),
-    )
-
-
 def number_sections(sections: DataFrame) -> DataFrame:
     """Long section table with ``position`` counted from 0 in display order (a few rows per document)."""
     rank = F.element_at(

@@ -16,31 +16,40 @@ from docstruct.operators import structure as S
 from docstruct.plans.staging import stage
 
 
+# What a plan writes once because several of its branches read it.
+SECTION_PLAN = ("blocks", "headed")
+FOCUS_PLAN = (*SECTION_PLAN, "sections")
+FIGURE_PLAN = ("blocks", "figures")
+REPORT_PLAN = (*FOCUS_PLAN, "figures", "selected", "structure")
+
+
 class Corpus:
     """Lazy tables over one block table.
 
-    ``staged=True`` writes the annotated blocks once, for plans in which several branches read them:
-    the expressions on the text then run once and each branch reads only the columns it needs.
+    ``staged`` names the tables to be written once. Writing ``blocks`` (the annotated ones) means that
+    the expressions on the text run once and every branch reads only the columns it needs.
     """
 
-    def __init__(self, blocks: DataFrame, snapshots: DataFrame | None = None, staged: bool = False):
+    def __init__(self, blocks: DataFrame, snapshots: DataFrame | None = None, staged: tuple[str, ...] = ()):
         self.blocks = blocks
         self.snapshots = snapshots
         self.staged = staged
 
+    def _staged(self, name: str, df: DataFrame) -> DataFrame:
+        return stage(df, name) if name in self.staged else df
+
     @cached_property
     def flagged(self) -> DataFrame:
         return B.flag_blocks(self.blocks)
 
     @cached_property
     def annotated(self) -> DataFrame:
-        annotated = B.annotate_blocks(self.flagged)
-        return stage(annotated, "blocks") if self.staged else annotated
+        return self._staged("blocks", B.annotate_blocks(self.flagged))
 
     @property
     def lines(self) -> DataFrame:
         """Flagged rows: from the staged table when there is one."""
-        return self.annotated if self.staged else self.flagged
+        return self.annotated if "blocks" in self.staged else self.flagged
 
     @cached_property
     def front(self) -> DataFrame:
@@ -52,34 +61,23 @@ class Corpus:
 
     @cached_property
     def headed(self) -> DataFrame:
-        headed = S.heading_sections(self.annotated)
-        return stage(headed, "headed") if self.staged else headed
+        return self._staged("headed", S.heading_sections(self.annotated))
 
     @cached_property
     def figures(self) -> DataFrame:
         figures = G.extract_figures(self.blocks, self.annotated, self.snapshots)
-        return stage(figures, "figures") if self.staged else figures
-
-    @cached_property
-    def draft_sections(self) -> DataFrame:
-        """Sections without title and figures."""
-        return S.union_sections(
-            self.headed,
-            S.abstract_sections(self.front, self.headed),
-            S.keyword_sections(self.annotated, self.headed),
-        )
+        return self._staged("figures", figures)
 
     @cached_property
     def sections(self) -> DataFrame:
         """All sections of a parsed document, title first and figures last."""
         sections = S.union_sections(
-            S.title_sections(self.front),
+            S.front_sections(self.front, self.headed),
             self.headed,
-            S.abstract_sections(self.front, self.headed),
             S.keyword_sections(self.annotated, self.headed),
             G.figures_sections(self.figures),
         )
-        return stage(sections, "sections") if self.staged else sections
+        return self._staged("sections", sections)
 
     @cached_property
     def structure(self) -> DataFrame:
@@ -88,7 +86,7 @@ class Corpus:
             F.array_sort(F.collect_list(F.struct("position", "section_key")))["section_key"].alias("section_order"),
             F.max(F.when(F.col("section_key") == "abstract", F.col("content"))).alias("abstract"),
         )
-        counted = self.figures.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("figure_count"))
+        counted = self.annotated.groupBy("doc_id").agg((F.max("caption_order") + 1).alias("figure_count"))
         docs = (
             S.document_counts(self.blocks)
             .join(self.front, "doc_id", "left")
@@ -106,11 +104,12 @@ class Corpus:
                 "discarded_noise": F.coalesce("discarded_noise", none),
             }
         )
-        return docs.select(
+        structure = docs.select(
             "doc_id", "title", "authors", "doi", "venue", "year", "abstract", "page_count", "figure_count",
             "section_order", "discarded_noise",
             S.uncertainties(F.col("title"), F.col("section_order"), F.col("figure_count")).alias("uncertainties"),
         )
+        return self._staged("structure", structure)
 
     @cached_property
     def raw_texts(self) -> DataFrame:
@@ -123,8 +122,7 @@ class Corpus:
     @cached_property
     def selected_figures(self) -> DataFrame:
         """Best four figures per document; the ``figures`` section names every one of them."""
-        ranked = G.rank_figures(self.figures, None)
-        return stage(ranked, "selected") if self.staged else ranked
+        return self._staged("selected", G.rank_figures(self.figures, None))
 
     @cached_property
     def artifacts(self) -> DataFrame:

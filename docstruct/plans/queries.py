@@ -15,8 +15,9 @@ from docstruct.operators import figures as G
 from docstruct.operators import jobs as J
 from docstruct.operators import search as Q
 from docstruct.operators import structure as S
-from docstruct.plans.corpus import Corpus, corpus_summary
+from docstruct.plans.corpus import FIGURE_PLAN, FOCUS_PLAN, REPORT_PLAN, SECTION_PLAN, Corpus, corpus_summary
 from docstruct.sources.seed import seeded_blocks
+from docstruct.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,10 +28,10 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, folder: str, staged: bool = False) -> Corpus:
+def corpus(spark: SparkSession, folder: str, staged: tuple[str, ...] = ()) -> Corpus:
     return Corpus(seeded_blocks(table(spark, folder, "documents")), staged=staged)
 
 
@@ -170,7 +171,8 @@ def venue_year(spark, folder):
 @query
 def fallback_abstract(spark, folder):
     c = corpus(spark, folder)
-    return S.abstract_sections(c.front, c.headed).select("doc_id", "content")
+    rows = S.front_sections(c.front, c.headed)
+    return rows.filter(F.col("section_key") == "abstract").select("doc_id", "content")
 
 
 @query
@@ -192,12 +194,12 @@ def noise(spark, folder):
 
 @query
 def document_sections(spark, folder):
-    return corpus(spark, folder, staged=True).sections
+    return corpus(spark, folder, staged=SECTION_PLAN).sections
 
 
 @query
 def document_structure(spark, folder):
-    return corpus(spark, folder, staged=True).structure.select(
+    return corpus(spark, folder, staged=SECTION_PLAN).structure.select(
         "doc_id", "title", joined("authors").alias("authors"), "doi", "venue", "year", "abstract", "page_count",
         "figure_count", joined("section_order").alias("section_order"),
         joined("discarded_noise").alias("discarded_noise"),
@@ -206,19 +208,19 @@ def document_structure(spark, folder):
 
 @query
 def uncertainties(spark, folder):
-    return corpus(spark, folder, staged=True).structure.select(
+    return corpus(spark, folder, staged=SECTION_PLAN).structure.select(
         "doc_id", joined("uncertainties").alias("uncertainties")
     )
 
 
 @query
 def raw_text(spark, folder):
-    return corpus(spark, folder, staged=True).raw_texts
+    return corpus(spark, folder, staged=FOCUS_PLAN).raw_texts
 
 
 @query
 def focus_text(spark, folder):
-    return corpus(spark, folder, staged=True).focus.select(
+    return corpus(spark, folder, staged=FOCUS_PLAN).focus.select(
         "doc_id", "focus_text", joined("selected_sections").alias("selected_sections")
     )
 
@@ -226,7 +228,7 @@ def focus_text(spark, folder):
 @query
 def overlay_sections(spark, folder):
     """Headed sections overlaid by a draft made of keyword sentences, results first."""
-    c = corpus(spark, folder, staged=True)
+    c = corpus(spark, folder, staged=SECTION_PLAN)
     draft = S.keyword_sections(c.annotated, c.headed.limit(0)).withColumnRenamed("place", "position")
     order = draft.filter(F.col("section_key") == "results").select(
         "doc_id", "section_key", F.lit(0).alias("position")
@@ -280,7 +282,7 @@ def figures_section(spark, folder):
 
 @query
 def figure_rank(spark, folder):
-    c = corpus(spark, folder, staged=True)
+    c = corpus(spark, folder, staged=(*FOCUS_PLAN, "figures"))
     return G.rank_figures(c.figures, G.rank_context(c.sections)).select(
         "doc_id", "caption_order", "figure_id", "score", "rank"
     )
@@ -298,7 +300,7 @@ def figure_artifacts(spark, folder):
 
 @query
 def figure_evidence(spark, folder):
-    figures = corpus(spark, folder, staged=True).figures
+    figures = corpus(spark, folder, staged=FIGURE_PLAN).figures
     evidence = E.figure_evidence(figures, E.figure_artifacts(figures))
     lists = ["compared_items", "metrics_or_axes", "direct_evidence", "referenced_text_spans", "uncertainties"]
     return evidence.withColumns({c: joined(c) for c in lists})
@@ -306,7 +308,7 @@ def figure_evidence(spark, folder):
 
 @query
 def figure_analyses(spark, folder):
-    figures = corpus(spark, folder, staged=True).figures
+    figures = corpus(spark, folder, staged=FIGURE_PLAN).figures
     analyses = E.figure_analyses(E.figure_evidence(figures, E.figure_artifacts(figures)))
     return analyses.withColumns(
         {c: joined(c) for c in ["compared_items", "metrics_or_axes", "main_observations"]}
@@ -316,7 +318,7 @@ def figure_analyses(spark, folder):
 @query
 def key_figures(spark, folder):
     """Analyses of the selected figures, then the evidence of all other figures."""
-    c = corpus(spark, folder, staged=True)
+    c = corpus(spark, folder, staged=FIGURE_PLAN)
     evidence = E.figure_evidence(c.figures, E.figure_artifacts(c.figures))
     picked = G.rank_figures(c.figures, None).filter(F.col("rank") == 1)
     analyses = E.figure_analyses(E.figure_evidence(picked, E.figure_artifacts(picked)))
@@ -325,7 +327,7 @@ def key_figures(spark, folder):
 
 @query
 def corpus_rollup(spark, folder):
-    return corpus_summary(corpus(spark, folder, staged=True))
+    return corpus_summary(corpus(spark, folder, staged=(*FOCUS_PLAN, "figures")))
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docstruct.operators import reports as R
 from docstruct.operators import responses as M
-from docstruct.plans.corpus import Corpus, parsed_text_documents, plain_focus
+from docstruct.plans.corpus import REPORT_PLAN, Corpus, parsed_text_documents, plain_focus
 from docstruct.sources import sinks
 
 RESULT_SCHEMA = (
@@ -63,7 +63,7 @@ def run_corpus(
     results = no_results(spark) if results is None else results
     rows = spark.read.parquet(input_path)
     if mode == "research_paper":
-        tables = research_tables(Corpus(rows, staged=True), results)
+        tables = research_tables(Corpus(rows, staged=REPORT_PLAN), results)
         sinks.write_parsed_markdown(tables["parsed_markdown"], f"{output_path}/parsed_markdown")
     else:
         tables = general_tables(rows, results)

@@ -9,7 +9,7 @@ import oracles as O
 from docstruct.operators import evidence as E
 from docstruct.operators import figures as G
 from docstruct.operators import structure as S
-from docstruct.plans.corpus import Corpus
+from docstruct.plans.corpus import REPORT_PLAN, Corpus
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -56,7 +56,7 @@ def both(request, spark):
         " text VARCHAR, y0 DOUBLE, max_size DOUBLE)"
     )
     con.executemany("INSERT INTO blocks VALUES (?, ?, ?, ?, ?, ?, ?, ?)", rows)
-    return Corpus(spark.createDataFrame(rows, SCHEMA), staged=True), con
+    return Corpus(spark.createDataFrame(rows, SCHEMA), staged=REPORT_PLAN), con
 
 
 def compare(df, con, parts, select):
