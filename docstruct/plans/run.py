@@ -5,19 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docstruct import schemas
 from docstruct.operators import reports as R
 from docstruct.operators import responses as M
 from docstruct.plans.corpus import REPORT_PLAN, Corpus, parsed_text_documents, plain_focus
 from docstruct.sources import sinks
 
-RESULT_SCHEMA = (
-    "doc_id bigint, title string, summary string, key_points array<string>, limitations array<string>, "
-    "markdown_report string, structured_data string"
-)
-
-
 def no_results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], RESULT_SCHEMA)
+    return spark.createDataFrame([], schemas.RESULTS)
 
 
 def research_tables(corpus: Corpus, results: DataFrame) -> dict[str, DataFrame]:

@@ -4,16 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ty
 
 from docstruct import constants as K
 from docstruct.functions import text as T
 
-SPANS = ty.StructType.fromDDL(
-    "doc_id bigint, page_number int, raw_index int, line_index int, span_index int, text string, size double, "
-    "bbox array<double>, raw_type string, image_path string"
-)
-
 
 def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Whole text and Markdown files: one row per file, the stripped text doubling as Markdown."""
@@ -43,7 +37,11 @@ def route_documents(files: DataFrame, path: str = "path") -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """File names and lengths; contents are not read."""
+    """File names and lengths; contents are not read.
+
+    Spark's file sources leave out empty files, so those never get in this way. A table of uploads that
+    lists them has them rejected with a reason by ``validate_files``.
+    """
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
@@ -59,7 +57,7 @@ def validate_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def assemble_blocks(spans: DataFrame) -> DataFrame:
-    """Page spans -> ordered blocks.
+    """Page spans (``schemas.SPANS``) -> ordered blocks.
 
     Spans are joined per line and lines per block; a group is one block of one page, so it is small.
     The reading order of a document needs the number of kept blocks on earlier pages, which is carried
