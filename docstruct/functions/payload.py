@@ -23,10 +23,13 @@ def extract_json(col: Column) -> Column:
 
 def parse_object(json: Column) -> Column:
     """The object as a VARIANT; NULL when the text is not exactly one JSON object."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]")))
-    item = F.try_variant_get(wrapped, "$[0]", "variant")
-    more = F.try_variant_get(wrapped, "$[1]", "variant")
-    return F.when(more.isNull() & kind(item).startswith("OBJECT"), item)
+
+    def only_object(wrapped: Column) -> Column:
+        item = F.try_variant_get(wrapped, "$[0]", "variant")
+        more = F.try_variant_get(wrapped, "$[1]", "variant")
+        return F.when(more.isNull() & kind(item).startswith("OBJECT"), item)
+
+    return T.let(F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))), only_object)
 
 
 def kind(v: Column) -> Column:
@@ -80,9 +83,11 @@ def limited_list(v: Column, limit: tuple[int, int]) -> Column:
 
 def object_entries(v: Column, json: Column) -> Column:
     """(name, value) entries of an object in the order of its JSON text."""
-    values = F.try_variant_get(v, "$", "map<string,variant>")
-    return F.transform(
-        F.json_object_keys(json), lambda k: F.struct(k.alias("name"), F.element_at(values, k).alias("value"))
+    return T.let(
+        F.try_variant_get(v, "$", "map<string,variant>"),
+        lambda values: F.transform(
+            F.json_object_keys(json), lambda k: F.struct(k.alias("name"), F.element_at(values, k).alias("value"))
+        ),
     )
 
 

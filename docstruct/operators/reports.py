@@ -334,7 +334,8 @@ def general_report(report_title: str) -> Column:
 
 
 def paper_report() -> Column:
-    paper = normalise_paper(F.col("structured_data"))
+    """Paper layout from the columns ``title`` and ``paper`` (fixed shape)."""
+    paper = F.col("paper")
     meta, notes = paper["metadata"], paper["extracted_notes"]
     values = [
         shown(F.coalesce(F.nullif(meta["title"], F.lit("")), "title")),
@@ -364,8 +365,12 @@ def result_reports(results: DataFrame, report_title: str) -> DataFrame:
     """Results with ``markdown_report`` filled: the paper layout for valid paper payloads, else the general one."""
     data = F.col("structured_data")
     as_paper = looks_like_paper(data) & F.coalesce(is_valid_paper(data), F.lit(False))
-    rendered = F.when(as_paper, paper_report()).otherwise(general_report(report_title))
-    return results.withColumn("markdown_report", F.coalesce(F.nullif("markdown_report", F.lit("")), rendered))
+    rendered = F.when(F.col("paper").isNotNull(), paper_report()).otherwise(general_report(report_title))
+    return (
+        results.withColumn("paper", F.when(as_paper, normalise_paper(data)))
+        .withColumn("markdown_report", F.coalesce(F.nullif("markdown_report", F.lit("")), rendered))
+        .drop("paper")
+    )
 
 
 # --- JSON result ------------------------------------------------------------------------------------
@@ -393,8 +398,7 @@ def merged_results(
     analyses: DataFrame,
 ) -> DataFrame:
     """(doc_id, structured_data): the model payload with metadata filled up and the figure tables added."""
-    paper = P.parse_object(F.coalesce("structured_data", F.lit("{}")))
-    meta = P.field(paper, "metadata")
+    paper, meta = F.col("payload"), F.col("payload_metadata")
 
     def text(name: str) -> Column:
         return F.coalesce(F.nullif(P.as_text(P.field(meta, name)), F.lit("")), F.col(name)).alias(name)
@@ -408,12 +412,15 @@ def merged_results(
         .join(_listed(artifacts, "semantic_artifacts"), "doc_id", "left")
         .join(_listed(evidence, "figure_evidence"), "doc_id", "left")
         .join(_listed(analyses, "figure_analyses"), "doc_id", "left")
+        .withColumn("structured_data", F.coalesce("structured_data", F.lit("{}")))
+        .withColumn("payload", P.parse_object(F.col("structured_data")))
+        .withColumn("payload_metadata", P.field(F.col("payload"), "metadata"))
     )
     head = F.to_json(F.struct(text("title"), authors.alias("authors"), text("venue"), text("year")))
     added = ["metadata", "semantic_artifacts", "figure_evidence", "figure_analyses", "selected_sections", "source_structure"]
     kept = F.transform(
         F.filter(
-            P.object_entries(paper, F.coalesce("structured_data", F.lit("{}"))), lambda e: ~e["name"].isin(*added)
+            P.object_entries(paper, F.col("structured_data")), lambda e: ~e["name"].isin(*added)
         ),
         lambda e: F.concat(F.lit('"'), e["name"], F.lit('":'), F.to_json(e["value"])),
     )

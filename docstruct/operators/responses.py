@@ -298,11 +298,6 @@ def parse_or_keep(responses: DataFrame, key: str, limits: dict, fallback: DataFr
 
 def normalise_paper(json: Column) -> Column:
     """Paper payload in its fixed shape, whatever types the reply used."""
-    body = P.parse_object(json)
-
-    def obj(name: str) -> Column:
-        value = P.field(body, name)
-        return F.when(P.is_object(value), value)
 
     def text(v: Column, name: str) -> Column:
         return P.joined_text(P.field(v, name)).alias(name)
@@ -310,21 +305,26 @@ def normalise_paper(json: Column) -> Column:
     def texts(v: Column, name: str) -> Column:
         return P.stripped_list(P.field(v, name)).alias(name)
 
-    meta, notes = obj("metadata"), obj("extracted_notes")
-    return F.struct(
-        F.struct(text(meta, "title"), texts(meta, "authors"), text(meta, "venue"), text(meta, "year")).alias("metadata"),
-        F.struct(
-            text(notes, "research_problem"),
-            text(notes, "core_method"),
-            texts(notes, "datasets"),
-            text(notes, "experimental_setup"),
-            text(notes, "main_results"),
-        ).alias("extracted_notes"),
-        text(body, "novelty"),
-        texts(body, "strengths"),
-        texts(body, "limitations"),
-        text(body, "reproducibility"),
-    )
+    def shaped(body: Column) -> Column:
+        meta, notes = P.field(body, "metadata"), P.field(body, "extracted_notes")
+        return F.struct(
+            F.struct(text(meta, "title"), texts(meta, "authors"), text(meta, "venue"), text(meta, "year")).alias(
+                "metadata"
+            ),
+            F.struct(
+                text(notes, "research_problem"),
+                text(notes, "core_method"),
+                texts(notes, "datasets"),
+                text(notes, "experimental_setup"),
+                text(notes, "main_results"),
+            ).alias("extracted_notes"),
+            text(body, "novelty"),
+            texts(body, "strengths"),
+            texts(body, "limitations"),
+            text(body, "reproducibility"),
+        )
+
+    return T.let(P.parse_object(json), shaped)
 
 
 def looks_like_paper(json: Column) -> Column:
@@ -333,29 +333,30 @@ def looks_like_paper(json: Column) -> Column:
 
 def is_valid_paper(json: Column) -> Column:
     """Every field that is present has exactly its declared type."""
-    body = P.parse_object(json)
-
-    def typed(v: Column, *kinds: str) -> Column:
-        return F.coalesce(P.kind(v).isin(*kinds), v.isNull())
-
-    def text(v: Column) -> Column:
-        return typed(v, "STRING")
-
-    def texts(v: Column) -> Column:
-        return typed(v, "ARRAY<STRING>", "ARRAY<VOID>")
-
-    def obj(v: Column) -> Column:
-        return F.coalesce(P.kind(v).startswith("OBJECT"), v.isNull())
+    kinds = {
+        "text": ["metadata.title", "metadata.venue", "metadata.year", "extracted_notes.research_problem",
+                 "extracted_notes.core_method", "extracted_notes.experimental_setup",
+                 "extracted_notes.main_results", "novelty", "reproducibility"],
+        "list": ["metadata.authors", "extracted_notes.datasets", "strengths", "limitations"],
+        "object": ["metadata", "extracted_notes"],
+        "objects": ["figure_analyses"],
+    }
+    patterns = {
+        "text": "^STRING$",
+        "list": "^ARRAY<(STRING|VOID)>$",
+        "object": "^OBJECT",
+        "objects": "^ARRAY<(OBJECT|VOID)",
+    }
+
+    def checked(body: Column) -> Column:
+        rules = [
+            F.coalesce(P.kind(P.field(body, path)).rlike(patterns[kind]), F.lit(True))
+            for kind, paths in kinds.items()
+            for path in paths
+        ]
+        return body.isNotNull() & F.array_min(F.array(*rules))
 
-    meta, notes = P.field(body, "metadata"), P.field(body, "extracted_notes")
-    figures = P.field(body, "figure_analyses")
-    checks = [body.isNotNull(), obj(meta), obj(notes)]
-    checks += [text(P.field(meta, n)) for n in ("title", "venue", "year")] + [texts(P.field(meta, "authors"))]
-    checks += [text(P.field(notes, n)) for n in ("research_problem", "core_method", "experimental_setup", "main_results")]
-    checks += [texts(P.field(notes, "datasets")), text(P.field(body, "novelty")), text(P.field(body, "reproducibility"))]
-    checks += [texts(P.field(body, "strengths")), texts(P.field(body, "limitations"))]
-    checks += [F.coalesce(P.kind(figures).rlike("^ARRAY<(OBJECT|VOID)"), figures.isNull())]
-    return F.array_min(F.array(*checks))
+    return T.let(P.parse_object(json), checked)
 
 
 def paper_or_default(json: Column) -> Column:

@@ -17,8 +17,7 @@ from docstruct.sources.files import text_documents
 def read_text_stream(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
     files = (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
-        .option("wholetext", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     return text_documents(files, F.col("value"))
