@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,15 +10,31 @@ from pyspark.sql import functions as F
 
 from docstruct import constants as K
 from docstruct import labels
+from docstruct.functions import payload as P
 from docstruct.functions import text as T
 from docstruct.operators import evidence as E
 from docstruct.operators import figures as G
 from docstruct.operators import jobs as J
+from docstruct.operators import reports as R
+from docstruct.operators import responses as M
 from docstruct.operators import search as Q
 from docstruct.operators import structure as S
-from docstruct.plans.corpus import FIGURE_PLAN, FOCUS_PLAN, REPORT_PLAN, SECTION_PLAN, Corpus, corpus_summary
+from docstruct.operators.blocks import fold_text
+from docstruct.plans.corpus import (
+    FIGURE_PLAN,
+    FOCUS_PLAN,
+    REPORT_PLAN,
+    SECTION_PLAN,
+    Corpus,
+    corpus_summary,
+    parsed_text_documents,
+    plain_focus,
+)
+from docstruct.plans.run import no_results, research_tables
+from docstruct.plans.staging import stage_folder
 from docstruct.sources.seed import seeded_blocks
 from docstruct.sources.tables import read_table
+from docstruct.streaming import jobs as SJ
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -368,8 +385,6 @@ def keyword_messages(spark, folder):
 
 def _full_texts(spark, folder) -> DataFrame:
     """Document texts that carry the seeded headings: all blocks of a document as lines."""
-    from docstruct.operators.blocks import fold_text
-
     return fold_text(corpus(spark, folder).blocks, ["doc_id"], "\n")
 
 
@@ -439,3 +454,123 @@ def stage_durations(spark, folder):
 def status_counts(spark, folder):
     counts = J.status_counts(_jobs(spark, folder), "1 day")
     return counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+# --- replies and reports ----------------------------------------------------------------
+
+
+def _replies(spark, folder) -> DataFrame:
+    """Model replies made from event payloads: fenced, wrapped in text, broken, bare and absent ones."""
+    kind, props = F.col("event_type"), F.col("props")
+    raw = (
+        F.when(kind == "click", F.concat(F.lit("```json\n"), props, F.lit("\n```")))
+        .when(kind == "view", F.concat(F.lit("The answer is "), props, F.lit(" as asked.")))
+        .when(kind == "signup", F.concat(props, F.lit(" or so }")))
+        .when(kind == "error", F.lit("no object here"))
+        .otherwise(props)
+    )
+    return table(spark, folder, "events").select(
+        F.col("event_id").alias("response_id"), F.col("event_id").alias("doc_id"), kind.alias("kind"), raw.alias("raw")
+    )
+
+
+@query
+def reply_objects(spark, folder):
+    read = M.read_objects(_replies(spark, folder))
+    return read.select("doc_id", "kind", "status", "json", P.as_text(P.field(F.col("body"), "k")).alias("k"))
+
+
+@query
+def reply_quality(spark, folder):
+    return M.parse_quality(M.read_objects(_replies(spark, folder)))
+
+
+@query
+def draft_replies(spark, folder):
+    """Drafts written as JSON from the documents themselves, read back and cut to their limits."""
+    docs = table(spark, folder, "documents")
+    raw = F.to_json(F.struct(F.col("text").alias("title"), F.col("text").alias("abstract"), F.col("source").alias("authors")))
+    drafts = M.parse_drafts(docs.select(F.col("doc_id").alias("response_id"), "doc_id", F.lit("draft").alias("kind"), raw.alias("raw")))
+    return drafts.select("doc_id", "status", "title", "abstract", joined("authors").alias("authors"))
+
+
+@query
+def text_documents(spark, folder):
+    docs = parsed_text_documents(table(spark, folder, "documents"))
+    return docs.join(plain_focus(docs), "doc_id").select("doc_id", "title", F.length("raw_text").alias("n"), "focus_text", "parser_kind")
+
+
+@query
+def reader_prompts(spark, folder):
+    docs = parsed_text_documents(table(spark, folder, "documents")).withColumnRenamed("raw_text", "focus_text")
+    return M.reader_prompts(docs, M.GENERAL_TEXT)
+
+
+@query
+def block_lines(spark, folder):
+    return M.block_lines(corpus(spark, folder).blocks)
+
+
+@query
+def general_reports(spark, folder):
+    docs = table(spark, folder, "documents")
+    results = docs.select(
+        "doc_id",
+        F.lit("").alias("title"),
+        F.coalesce(T.infer_title(F.col("text")), F.lit("")).alias("summary"),
+        F.slice(T.lines(F.col("text")), 1, 2).alias("key_points"),
+        F.array().cast("array<string>").alias("limitations"),
+        F.lit("").alias("markdown_report"),
+        F.to_json(F.struct("source", F.struct("lang", "n_chars").alias("metadata"))).alias("structured_data"),
+    )
+    completed = M.complete_results(results, docs.select("doc_id", F.col("source").alias("title")))
+    return R.result_reports(completed, M.GENERAL_TEXT.report_title).select("doc_id", "markdown_report")
+
+
+@query
+def parsed_markdown(spark, folder):
+    c = corpus(spark, folder, staged=(*FOCUS_PLAN, "figures"))
+    return R.parsed_markdown(c.structure, c.sections, c.figures)
+
+
+@query
+def research_reports(spark, folder):
+    """Reports from the structure alone (no model results)."""
+    return research_tables(corpus(spark, folder, staged=REPORT_PLAN), no_results(spark))["markdown_reports"]
+
+
+@query
+def json_reports(spark, folder):
+    return research_tables(corpus(spark, folder, staged=REPORT_PLAN), no_results(spark))["json_reports"]
+
+
+# --- logs and streams -------------------------------------------------------------------
+
+
+@query
+def stamped_logs(spark, folder):
+    logs = J.stamp_logs(J.event_logs(table(spark, folder, "events")))
+    return logs.select("job_id", "event_id", "line", T.log_file_stamp(F.col("ts"), "UTC").alias("file_name"))
+
+
+def _job_stream(spark, folder) -> DataFrame:
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    # A pattern, because the file source takes a plain path for a folder.
+    return J.event_jobs(spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*"))
+
+
+@query
+def job_tracking_stream(spark, folder):
+    """Transitions and accepted submissions computed by a stream with state per job."""
+    out = stage_folder(spark) + f"/docstruct/tracking-{uuid.uuid4().hex}"
+    SJ.write_stream(SJ.track_jobs(_job_stream(spark, folder)), f"{out}/rows", f"{out}/check").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query
+def job_store_stream(spark, folder):
+    """Job store kept by a stream, read back as the latest row per job."""
+    out = stage_folder(spark) + f"/docstruct/store-{uuid.uuid4().hex}"
+    SJ.upsert_jobs_stream(_job_stream(spark, folder), f"{out}/rows", f"{out}/check").awaitTermination()
+    stored = J.latest_jobs(spark.read.parquet(f"{out}/rows").drop("batch"))
+    return stored.select("job_id", "event_id", "status", "error_message")

@@ -610,3 +610,163 @@ ORACLES: dict[str, str] = {
         SELECT status, count(*) AS stays, CAST(sum(spent) AS BIGINT) AS total_micros, CAST(max(spent) AS BIGINT) AS longest_micros FROM seq WHERE spent IS NOT NULL GROUP BY status""",
     "status_counts": JOB + " SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, status, count(*) AS n FROM jobs_raw GROUP BY 1, 2",
 }
+
+
+def plain(x: str) -> str:
+    """Text without heading marks and bullets, or NULL."""
+    x = strip(x)
+    x = f"regexp_replace({x}, '(?m)^[{SPACE}]*#{{1,6}}[{SPACE}]*', '', 'g')"
+    x = f"regexp_replace({x}, '(?m)^[{SPACE}]*[-*][{SPACE}]*', '', 'g')"
+    return f"nullif({strip(f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')")}, '')"
+
+
+MISSING = q(labels.text("missing"))
+NL = "chr(10)"
+
+
+def shown(x: str) -> str:
+    return f"coalesce(nullif(CAST({x} AS VARCHAR), ''), {MISSING})"
+
+
+REPLIES = """WITH replies AS (
+ SELECT event_id AS doc_id, event_type AS kind, props, CASE event_type WHEN 'click' THEN '```json' || chr(10) || props || chr(10) || '```'
+   WHEN 'view' THEN 'The answer is ' || props || ' as asked.' WHEN 'signup' THEN props || ' or so }'
+   WHEN 'error' THEN 'no object here' ELSE props END AS raw FROM events
+), found AS (
+ SELECT doc_id, kind, coalesce(nullif(regexp_extract(raw, '(?s)```(?:json)?\\s*(\\{.*\\})\\s*```', 1), ''),
+   nullif(regexp_extract(raw, '(?s)\\{.*\\}'), '')) AS json FROM replies
+), read AS (
+ SELECT doc_id, kind, CASE WHEN json IS NOT NULL AND json_valid(json) THEN 'parsed' ELSE 'fallback' END AS status, json,
+        CASE WHEN json_valid(json) THEN json_extract_string(json, '$.k') END AS k FROM found
+)"""
+
+
+def _parsed_lines() -> str:
+    names = labels.report("parsed_fields")
+    values = [
+        shown("t.title"), shown("replace(a.authors, ' | ', ', ')"), shown("x.doi"), shown("v.venue"), shown("y.year"),
+        shown("d.page_count"), "CAST(coalesce(c.n, 0) AS VARCHAR)",
+    ]
+    return f" || {NL} || ".join(f"{q(f'- **{n}：** ')} || {v}" for n, v in zip(names, values, strict=True))
+
+
+def _parsed_figure() -> str:
+    a, b, c, d = labels.report("figure_fields")
+    refs = f"CASE WHEN len(spans) > 0 THEN array_to_string(list_transform(spans, lambda s: '- ' || s), {NL}) ELSE '- ' || {MISSING} END"
+    parts = [
+        "'### ' || figure_id", f"{q(f'- **{a}：** ')} || {shown('caption')}", f"{q(f'- **{b}：** ')} || page_number",
+        q(f"- **{c}：** " + labels.text("not_provided")), q(f"- **{d}：**"), refs,
+    ]
+    return f"{NL} || " + f" || {NL} || ".join(parts)
+
+
+DOC_JOINS = """docs d LEFT JOIN titles t USING (doc_id) LEFT JOIN authors a USING (doc_id) LEFT JOIN dois x USING (doc_id)
+        LEFT JOIN venues v USING (doc_id) LEFT JOIN years y USING (doc_id)"""
+
+
+def _fill(template: str, *values: str) -> str:
+    parts = template.split("{}")
+    out = [q(parts[0])]
+    for value, rest in zip(values, parts[1:], strict=True):
+        out += [value, q(rest)]
+    return " || ".join(out)
+
+
+def _research_sql() -> str:
+    missing = labels.text("missing")
+    basics = labels.report("research_basics")
+    values = [
+        f"coalesce({plain('t.title')}, {MISSING})", shown("replace(a.authors, ' | ', ', ')"),
+        f"coalesce({plain('v.venue')}, {MISSING})", f"coalesce({plain('y.year')}, {MISSING})",
+    ]
+    head = f" || {NL} || ".join(f"{q(f'- {n}：')} || {v}" for n, v in zip(basics, values, strict=True))
+    quote = q("\n".join(labels.report(k).replace("{}", missing) for k in ("summary_problem", "summary_method", "summary_results")))
+    scenario = f"coalesce({_fill(labels.report('scenario_venue'), plain('v.venue'))}, {MISSING})"
+    bodies = [
+        head, quote, f"coalesce({plain('substring(o.abstract, 1, 220)')}, {plain('substring(o.introduction, 1, 220)')}, {MISSING})",
+        MISSING, MISSING, MISSING, MISSING, MISSING, MISSING, shown("g.baselines"), MISSING, shown("g.key_figures"),
+        shown("g.conclusions"), shown("g.checks"), MISSING, MISSING, MISSING, scenario, MISSING, MISSING,
+    ]
+    pieces, at = [q(labels.report("research_title"))], iter(bodies)
+    for chapter, parts in labels.report("research_chapters"):
+        if not parts:
+            pieces.append(f"{q(f'## {chapter}')} || {NL} || {next(at)}")
+        for i, part in enumerate(parts):
+            lead = f"## {chapter}\n### {part}\n" if i == 0 else f"### {part}\n"
+            pieces.append(f"{q(lead)} || {next(at)}")
+    text = f" || {NL} || {NL} || ".join(pieces) + f" || {NL}"
+    name = f"coalesce({plain('figure_id')}, {MISSING})"
+    observed = plain("main_observations[1]")
+    compared = f"array_to_string(list_filter(list_transform(compared_items, lambda x: {plain('x')}), lambda x: x IS NOT NULL), ', ')"
+    lines = {
+        "key_figures": _fill(labels.report("figure_line"), name, f"coalesce({plain('figure_title_or_caption')}, {MISSING})"),
+        "baselines": f"CASE WHEN {compared} <> '' AND {observed} IS NOT NULL THEN {_fill(labels.report('baseline_line'), name, compared, observed)} END",
+        "conclusions": _fill(labels.report("figure_line"), name, f"coalesce({plain('claimed_conclusion')}, {MISSING})"),
+        "checks": _fill(labels.report("consistency_line"), name, f"coalesce({plain('consistency_check')}, {MISSING})", f"coalesce({plain('confidence')}, {MISSING})"),
+    }
+    folds = ", ".join(f"string_agg({line}, {NL} ORDER BY caption_order) AS {key}" for key, line in lines.items())
+    return with_ctes(SEEDED, FLAGGED, TITLE, DOI, SECTIONS, FIGURES, ALL_SECTIONS, ARTIFACTS) + f""",
+        docs AS (SELECT DISTINCT doc_id FROM blocks),
+        figure_texts AS (SELECT doc_id, {folds} FROM analyses GROUP BY doc_id),
+        openings AS (SELECT doc_id, max(content) FILTER (WHERE section_key = 'abstract') AS abstract,
+          max(content) FILTER (WHERE section_key = 'introduction') AS introduction FROM all_sections GROUP BY doc_id)
+        SELECT d.doc_id, {text} AS markdown_report FROM {DOC_JOINS} LEFT JOIN figure_texts g USING (doc_id) LEFT JOIN openings o USING (doc_id)"""
+
+
+def _general_sql() -> str:
+    heads = labels.report("general_chapters")
+    names = labels.FIELD_LABELS["zh"]
+    first = rf"nullif(substring({strip(rf"regexp_extract(text, '[^{SPACE}][^\n\r]*')")}, 1, 200), '')"
+    bodies = [
+        shown("source"), shown(first), f"array_to_string(list_transform(string_split(text, {NL})[1:2], lambda x: '- ' || x), {NL})",
+        f"'- ' || {MISSING}",
+        f"{q('### Source')} || {NL} || source || {NL} || {NL} || {q('### ' + names['metadata'])} || {NL} || {q('- **Lang：** ')} || lang || {NL} || {q('- **N Chars：** ')} || n_chars",
+    ]
+    chapters = [f"{q('## ' + h)} || {NL} || {b}" for h, b in zip(heads, bodies, strict=True)]
+    return f"SELECT doc_id, '# 通用文本分析报告' || {NL} || {NL} || " + f" || {NL} || {NL} || ".join(chapters) + f" || {NL} AS markdown_report FROM documents"
+
+
+def _reader_sql() -> str:
+    from docstruct.operators.responses import GENERAL_TEXT as profile
+
+    first = rf"nullif(substring({strip(rf"regexp_extract(text, '[^{SPACE}][^\n\r]*')")}, 1, 200), '')"
+    headings = "\n".join(f"{i}. {h}" for i, h in enumerate(profile.headings, 1))
+    rules = "\n".join(f"- {r}" for r in profile.reader_rules)
+    parts = [
+        f"'Take notes on the text titled: ' || coalesce({first}, {q(labels.text('untitled_document'))})", strip("text"),
+        q(f"Use these headings:\n{headings}"), q(f"Rules:\n{rules}"),
+    ]
+    return "SELECT doc_id, 'reader' AS kind, " + f" || {NL} || {NL} || ".join(parts) + " AS prompt FROM documents"
+
+
+FIRST_LINE = rf"nullif(substring({strip(rf"regexp_extract(text, '[^{SPACE}][^\n\r]*')")}, 1, 200), '')"
+
+ORACLES |= {
+    "reply_objects": REPLIES + " SELECT doc_id, kind, status, json, k FROM read",
+    "reply_quality": REPLIES + " SELECT kind, status, count(*) AS n FROM read GROUP BY kind, status",
+    "draft_replies": f"""WITH cut AS (SELECT *, length({collapse("'{\"title\":' || CAST(to_json(text) AS VARCHAR) || ',\"abstract\":' || CAST(to_json(text) AS VARCHAR) || ',\"authors\":' || CAST(to_json(source) AS VARCHAR) || '}'")}) <= {K.REPLY_CHARS_DRAFT} AS fits FROM documents)
+        SELECT doc_id, CASE WHEN fits THEN 'parsed' ELSE 'fallback' END AS status, CASE WHEN fits THEN {sanitize('text', 300)} ELSE '' END AS title,
+        CASE WHEN fits THEN {sanitize('text', 5000)} ELSE '' END AS abstract, CASE WHEN fits THEN source ELSE '' END AS authors FROM cut""",
+    "text_documents": f"""SELECT doc_id, {FIRST_LINE} AS title, CAST(length({strip('text')}) AS INT) AS n,
+        substring({strip('text')}, 1, {K.FOCUS_CHARS}) AS focus_text, 'plain_text' AS parser_kind FROM documents""",
+    "reader_prompts": _reader_sql(),
+    "block_lines": BLOCKS + f""" SELECT doc_id, string_agg('- ' || block_id || ' | page=' || page_number || ' | type=text | text=' || {sanitize('text', 240)}, chr(10) ORDER BY order_index) AS block_lines
+        FROM blocks GROUP BY doc_id""",
+    "general_reports": _general_sql(),
+    "parsed_markdown": FULL + f""", docs AS (SELECT doc_id, max(page_number) AS page_count FROM blocks GROUP BY doc_id),
+        counted AS (SELECT doc_id, count(*) AS n, string_agg({_parsed_figure()}, {NL} ORDER BY caption_order) AS body FROM figures GROUP BY doc_id),
+        listed AS (SELECT doc_id, string_agg({NL} || '## ' || {lookup('section_key', labels.SECTION_LABELS['zh'])} || {NL} || content, {NL} ORDER BY position) AS body
+          FROM all_sections WHERE section_key NOT IN ('title', 'figures') GROUP BY doc_id)
+        SELECT d.doc_id, {strip(f"concat_ws({NL}, {q(labels.report('parsed_title'))}, '', {q(labels.report('parsed_basics'))}, {_parsed_lines()}, CASE WHEN c.n > 0 THEN {NL} || {q(labels.report('parsed_figures'))} END, c.body, l.body)")} || {NL} AS markdown
+        FROM {DOC_JOINS} LEFT JOIN counted c USING (doc_id) LEFT JOIN listed l USING (doc_id)""",
+    "research_reports": _research_sql(),
+    "stamped_logs": JOB + """ SELECT job_id, event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') || ' ' || status || ' ' || props AS line,
+        'analysis_' || strftime(ts, '%Y%m%d_%H%M%S') AS file_name FROM jobs_raw""",
+    "job_tracking_stream": JOB + f""", seq AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS from_status FROM jobs_raw),
+        marks AS (SELECT event_id, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS last FROM jobs_raw WHERE status IN ('pending', 'completed', 'failed'))
+        SELECT job_id, s.event_id, from_status, status AS to_status, CASE WHEN status = 'pending' THEN m.last IS DISTINCT FROM 'pending' END AS accepted,
+         CASE WHEN from_status IS NULL THEN status = 'pending'
+              ELSE (from_status, status) IN ({", ".join(f"({q(a)}, {q(b)})" for a, b in K.JOB_TRANSITIONS)}) END AS allowed
+        FROM seq s LEFT JOIN marks m ON s.event_id = m.event_id""",
+    "job_store_stream": JOB + " SELECT job_id, event_id, status, error_message FROM latest",
+}
