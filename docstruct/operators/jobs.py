@@ -50,7 +50,7 @@ def latest_jobs(job_events: DataFrame) -> DataFrame:
     ).select("job_id", *[F.col(f"last.{c}").alias(c) for c in fields])
 
 
-def with_neighbours(job_events: DataFrame, bucket: str = "day") -> DataFrame:
+def with_neighbours(job_events: DataFrame, bucket: str = "hour") -> DataFrame:
     """Adds the previous event's status and the next event's time within the job.
 
     Rows are ordered inside (job, time bucket); only the first and last event of each bucket cross the
@@ -88,9 +88,8 @@ def is_allowed(previous: Column, status: Column) -> Column:
     return F.when(previous.isNull(), status == "pending").otherwise(F.array_contains(known, step))
 
 
-def job_transitions(job_events: DataFrame) -> DataFrame:
-    """Every event with the status it came from and whether the state machine allows the step."""
-    return with_neighbours(job_events).select(
+def transition_rows(neighbours: DataFrame) -> DataFrame:
+    return neighbours.select(
         "job_id",
         "event_id",
         "ts",
@@ -101,14 +100,17 @@ def job_transitions(job_events: DataFrame) -> DataFrame:
     )
 
 
-def accepted_submissions(job_events: DataFrame) -> DataFrame:
-    """Submissions with a flag: False while the same job is still in flight.
+def job_transitions(job_events: DataFrame) -> DataFrame:
+    """Every event with the status it came from and whether the state machine allows the step."""
+    return transition_rows(with_neighbours(job_events))
 
-    Of submissions and terminal events only, a submission counts when the event before it is terminal
-    or absent.
-    """
-    marks = job_events.filter(F.col("status").isin("pending", *K.TERMINAL_STATUSES))
-    return with_neighbours(marks).filter(F.col("status") == "pending").select(
+
+def submission_marks(job_events: DataFrame) -> DataFrame:
+    return job_events.filter(F.col("status").isin("pending", *K.TERMINAL_STATUSES))
+
+
+def submission_rows(neighbours: DataFrame) -> DataFrame:
+    return neighbours.filter(F.col("status") == "pending").select(
         "job_id",
         "event_id",
         "ts",
@@ -116,6 +118,15 @@ def accepted_submissions(job_events: DataFrame) -> DataFrame:
     )
 
 
+def accepted_submissions(job_events: DataFrame) -> DataFrame:
+    """Submissions with a flag: False while the same job is still in flight.
+
+    Of submissions and terminal events only, a submission counts when the event before it is terminal
+    or absent.
+    """
+    return submission_rows(with_neighbours(submission_marks(job_events)))
+
+
 def clean_log_lines(logs: DataFrame) -> DataFrame:
     lines = logs.withColumn("line", F.rtrim(F.col("line"), F.lit(T.WHITE_SPACE)))
     return lines.filter(F.col("line") != "")

@@ -561,10 +561,12 @@ def _job_stream(spark, folder) -> DataFrame:
 
 @query
 def job_tracking_stream(spark, folder):
-    """Transitions and accepted submissions computed by a stream with state per job."""
+    """Transitions and accepted submissions computed by a stream."""
     out = stage_folder(spark) + f"/docstruct/tracking-{uuid.uuid4().hex}"
-    SJ.write_stream(SJ.track_jobs(_job_stream(spark, folder)), f"{out}/rows", f"{out}/check").awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    SJ.track_job_batches(_job_stream(spark, folder), f"{out}/rows", f"{out}/check").awaitTermination()
+    submissions = spark.read.parquet(f"{out}/rows/submissions").select("job_id", "event_id", "accepted")
+    steps = spark.read.parquet(f"{out}/rows/transitions").drop("batch", "ts", "error_message")
+    return steps.join(submissions, ["job_id", "event_id"], "left")
 
 
 @query

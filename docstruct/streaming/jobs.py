@@ -1,7 +1,10 @@
 """Job state over a stream of job events.
 
 Aggregates (latest state, counts per window) are ordinary streaming aggregations. Following each job
-from event to event needs keyed state: one small value per job in the RocksDB store.
+from event to event comes in two forms. ``track_jobs`` keeps one small value per job in the RocksDB
+store and costs only what a micro-batch holds, but all rows of a job in a micro-batch go through one
+task. ``track_job_batches`` orders rows per time bucket like the batch operators, so no job is too
+large, and rewrites a table of the last events per job with every micro-batch.
 """
 
 from __future__ import annotations
@@ -108,3 +111,34 @@ def upsert_jobs_stream(job_events: DataFrame, path: str, checkpoint: str) -> Str
         .trigger(availableNow=True)
         .start()
     )
+
+
+def track_job_batches(job_events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Tables ``transitions`` and ``submissions`` under ``path``, one folder per micro-batch.
+
+    ``state`` holds the last event and the last submission or end of each job; its rows stand before
+    those of the next micro-batch. A repeated micro-batch reads the same state and replaces its output.
+    """
+    columns = ["job_id", "event_id", "ts", "status", "error_message"]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*columns, F.lit(False).alias("carried"))
+        if batch_id > 0:
+            before = batch.sparkSession.read.parquet(f"{path}/state/batch={batch_id - 1}")
+            rows = rows.unionByName(before.select(*columns, F.lit(True).alias("carried")))
+        marks = J.submission_marks(rows)
+        new = ~F.col("carried")
+        tables = {
+            "transitions": J.transition_rows(J.with_neighbours(rows).filter(new)),
+            "submissions": J.submission_rows(J.with_neighbours(marks).filter(new)),
+            "state": J.latest_jobs(rows).unionByName(J.latest_jobs(marks)).select(columns).distinct(),
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+
+    return (
+        job_events.writeStream.foreachBatch(run)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

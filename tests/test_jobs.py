@@ -142,6 +142,17 @@ def test_stream_equals_batch(spark, tmp_path, events):
     assert sorted(accepted.collect()) == sorted(J.accepted_submissions(df).select("event_id", "accepted").collect())
 
 
+def test_batched_stream_equals_batch(spark, tmp_path, events):
+    _, df = events
+    path = f"{tmp_path}/events"
+    write_batches(df, path)
+    stream = SJ.read_job_events(spark, path, df.schema, files_per_batch=1)
+    SJ.track_job_batches(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(300)
+    for name, batch in (("transitions", J.job_transitions(df)), ("submissions", J.accepted_submissions(df))):
+        out = spark.read.parquet(f"{tmp_path}/out/{name}").select(batch.columns)
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, batch.collect()))
+
+
 def test_job_store_stream(spark, tmp_path, events):
     _, df = events
     path = f"{tmp_path}/events"
