@@ -61,10 +61,14 @@ def mention_candidates(annotated: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_references(annotated: DataFrame, unreferenced: DataFrame) -> DataFrame:
-    """For captions that nothing mentions: long blocks right before and after the caption start."""
+def neighbour_references(annotated: DataFrame, captions: DataFrame) -> DataFrame:
+    """Long blocks right before and after each caption start, for captions that nothing mentions.
+
+    Four positions per caption are looked up, whether they turn out to be needed or not: that is less
+    work than finding out first. Only blocks near some caption or at a page edge take part.
+    """
     offsets = F.array(*[F.lit(o) for o in K.NEIGHBOUR_OFFSETS])
-    wanted = unreferenced.select(*FIGURE, "start_pos", F.posexplode(offsets).alias("rank", "offset")).select(
+    wanted = captions.select(*FIGURE, "start_pos", F.posexplode(offsets).alias("rank", "offset")).select(
         *FIGURE, "rank", (F.col("start_pos") + F.col("offset")).alias("text_pos")
     )
     near = annotated.filter(
@@ -86,7 +90,7 @@ def link_references(annotated: DataFrame, captions: DataFrame) -> DataFrame:
     others = F.filter("mentions", lambda m: m["run"] != F.col("caption_order"))
     linked = linked.withColumn("refs", F.slice(others, 1, K.FIGURE_REFERENCES)).drop("suffix", "mentions")
     has_refs = F.coalesce(F.size("refs") > 0, F.lit(False))
-    near = neighbour_references(annotated, linked.filter(~has_refs))
+    near = neighbour_references(annotated, captions)
     empty = F.array().cast("array<string>")
 
     def chosen(field: str) -> Column:
