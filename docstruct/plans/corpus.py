@@ -115,6 +115,28 @@ class Corpus:
     def raw_texts(self) -> DataFrame:
         return S.raw_text(self.sections, self.lines)
 
+    @cached_property
+    def parsed_documents(self) -> DataFrame:
+        """One nested row per document. Its blocks stay in the block table: they have no bound per row."""
+        folded = self.sections.groupBy("doc_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("section_key", "content"))).alias("sections")
+        )
+        fields = [c for c in self.figures.columns if c != "doc_id"]
+        nested = self.figures.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("figures"))
+        metadata = F.struct(
+            F.lit("pdf").alias("parser_kind"), "page_count", "title", "authors", "doi", "venue", "year", "figure_count"
+        )
+        empty = F.array().cast(nested.schema["figures"].dataType)
+        return (
+            self.structure.join(self.raw_texts, "doc_id", "left")
+            .join(folded, "doc_id", "left")
+            .join(nested, "doc_id", "left")
+            .select(
+                "doc_id", "title", "raw_text", "sections", "section_order",
+                F.coalesce("figures", empty).alias("figures"), metadata.alias("metadata"),
+            )
+        )
+
     @cached_property
     def focus(self) -> DataFrame:
         return S.focus_text(self.sections, self.raw_texts)

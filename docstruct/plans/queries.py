@@ -235,6 +235,19 @@ def raw_text(spark, folder):
     return corpus(spark, folder, staged=FOCUS_PLAN).raw_texts
 
 
+@query
+def parsed_documents(spark, folder):
+    docs = corpus(spark, folder, staged=(*FOCUS_PLAN, "figures")).parsed_documents
+    sizes = F.transform(
+        "section_order",
+        lambda k: F.concat(k, F.lit("="), F.length(F.element_at(F.col("sections"), k))),
+    )
+    return docs.select(
+        "doc_id", "title", "raw_text", joined(sizes).alias("sections"), joined("figures.figure_id").alias("figures"),
+        F.col("metadata.page_count").alias("page_count"), F.col("metadata.doi").alias("doi"),
+    )
+
+
 @query
 def focus_text(spark, folder):
     return corpus(spark, folder, staged=FOCUS_PLAN).focus.select(

@@ -760,6 +760,15 @@ ORACLES |= {
         SELECT d.doc_id, {strip(f"concat_ws({NL}, {q(labels.report('parsed_title'))}, '', {q(labels.report('parsed_basics'))}, {_parsed_lines()}, CASE WHEN c.n > 0 THEN {NL} || {q(labels.report('parsed_figures'))} END, c.body, l.body)")} || {NL} AS markdown
         FROM {DOC_JOINS} LEFT JOIN counted c USING (doc_id) LEFT JOIN listed l USING (doc_id)""",
     "research_reports": _research_sql(),
+    "parsed_documents": FULL + f""", docs AS (SELECT doc_id, max(page_number) AS page_count FROM blocks GROUP BY doc_id),
+        parts AS (SELECT doc_id, {strip("string_agg(content, chr(10) || chr(10) ORDER BY position)")} AS raw_text
+         FROM all_sections WHERE section_key NOT IN ('title', 'figures') GROUP BY doc_id),
+        listed AS (SELECT doc_id, string_agg(section_key || '=' || length(content), ' | ' ORDER BY position) AS sections FROM all_sections GROUP BY doc_id),
+        drawn AS (SELECT doc_id, string_agg(figure_id, ' | ' ORDER BY caption_order) AS figures FROM figures GROUP BY doc_id)
+        SELECT d.doc_id, nullif(t.title, '') AS title, coalesce(p.raw_text, {strip('w.raw_text')}) AS raw_text, coalesce(l.sections, '') AS sections,
+         coalesce(g.figures, '') AS figures, d.page_count, x.doi
+        FROM docs d LEFT JOIN titles t USING (doc_id) LEFT JOIN whole w USING (doc_id) LEFT JOIN parts p USING (doc_id)
+        LEFT JOIN listed l USING (doc_id) LEFT JOIN drawn g USING (doc_id) LEFT JOIN dois x USING (doc_id)""",
     "stamped_logs": JOB + """ SELECT job_id, event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') || ' ' || status || ' ' || props AS line,
         'analysis_' || strftime(ts, '%Y%m%d_%H%M%S') AS file_name FROM jobs_raw""",
     "job_tracking_stream": JOB + f""", seq AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS from_status FROM jobs_raw),
