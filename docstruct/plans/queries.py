@@ -554,7 +554,56 @@ def research_reports(spark, folder):
 
 @query
 def json_reports(spark, folder):
-    return research_tables(corpus(spark, folder, staged=REPORT_PLAN), no_results(spark))["json_reports"]
+    """Merged results as JSON, read back field by field."""
+    merged = research_tables(corpus(spark, folder, staged=REPORT_PLAN), no_results(spark))["json_reports"]
+    data = F.col("structured_data")
+
+    def listed(path: str) -> Column:
+        return joined(F.coalesce(F.from_json(F.get_json_object(data, path), "array<string>"), F.array().cast("array<string>")))
+
+    types = F.from_json(F.get_json_object(data, "$.semantic_artifacts"), "array<struct<figure_type:string>>")
+    return merged.select(
+        "doc_id",
+        F.get_json_object(data, "$.metadata.title").alias("title"),
+        listed("$.metadata.authors").alias("authors"),
+        joined(F.coalesce(types["figure_type"], F.array().cast("array<string>"))).alias("figure_types"),
+        F.coalesce(F.json_array_length(F.get_json_object(data, "$.figure_evidence")), F.lit(0)).alias("n_evidence"),
+        F.coalesce(F.json_array_length(F.get_json_object(data, "$.figure_analyses")), F.lit(0)).alias("n_analyses"),
+        listed("$.selected_sections").alias("selected_sections"),
+        listed("$.source_structure.section_order").alias("section_order"),
+        F.get_json_object(data, "$.source_structure.figure_count").cast("int").alias("figure_count"),
+    )
+
+
+@query
+def paper_payloads(spark, folder):
+    """Loosely typed payloads (a list as title, a string as list, wrong and missing parts) in fixed shape."""
+    docs = table(spark, folder, "documents")
+    two_lines = F.slice(T.lines(F.col("text")), 1, 2)
+    payload = F.to_json(
+        F.struct(
+            F.struct(two_lines.alias("title"), F.col("source").alias("authors"), F.col("n_chars").alias("year")).alias("metadata"),
+            F.lit("wrong").alias("extracted_notes"),
+            F.concat(F.lit("  "), F.col("lang"), F.lit(" ")).alias("novelty"),
+            F.col("lang").alias("strengths"),
+            F.array(F.lit(" "), F.col("source"), F.lit("")).alias("limitations"),
+            two_lines.alias("reproducibility"),
+        )
+    )
+    read = docs.select("doc_id", payload.alias("payload")).withColumn("p", M.normalise_paper(F.col("payload")))
+    return read.select(
+        "doc_id",
+        M.looks_like_paper(F.col("payload")).alias("looks_like_paper"),
+        M.is_valid_paper(F.col("payload")).alias("is_valid"),
+        F.col("p.metadata.title").alias("title"),
+        joined("p.metadata.authors").alias("authors"),
+        F.col("p.metadata.year").alias("year"),
+        F.col("p.extracted_notes.core_method").alias("core_method"),
+        F.col("p.novelty").alias("novelty"),
+        joined("p.strengths").alias("strengths"),
+        joined("p.limitations").alias("limitations"),
+        F.col("p.reproducibility").alias("reproducibility"),
+    )
 
 
 # --- logs and streams -------------------------------------------------------------------

@@ -760,6 +760,26 @@ ORACLES |= {
         SELECT d.doc_id, {strip(f"concat_ws({NL}, {q(labels.report('parsed_title'))}, '', {q(labels.report('parsed_basics'))}, {_parsed_lines()}, CASE WHEN c.n > 0 THEN {NL} || {q(labels.report('parsed_figures'))} END, c.body, l.body)")} || {NL} AS markdown
         FROM {DOC_JOINS} LEFT JOIN counted c USING (doc_id) LEFT JOIN listed l USING (doc_id)""",
     "research_reports": _research_sql(),
+    "json_reports": with_ctes(SEEDED, FLAGGED, TITLE, DOI, SECTIONS, FIGURES, ALL_SECTIONS) + f""",
+        docs AS (SELECT DISTINCT doc_id FROM blocks),
+        typed AS (SELECT doc_id, caption_order, lower({FIGURE_TEXT}) AS low,
+          row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN len(spans) > 0 THEN 2 ELSE 0 END
+            + CASE WHEN regexp_matches(caption, {q('(?i)' + K.RESULT_CAPTION_PATTERN)}) THEN 1 ELSE 0 END DESC, caption_order) AS rank FROM figures),
+        drawn AS (SELECT doc_id, string_agg(CASE {" ".join(f"WHEN {contains_any('low', ws)} THEN {q(n)}" for n, ws in K.FIGURE_TYPE_RULES)} ELSE 'unknown' END,
+          ' | ' ORDER BY caption_order) AS figure_types, CAST(count(*) AS INT) AS n FROM typed WHERE rank <= {K.FIGURES_SELECTED} GROUP BY doc_id),
+        counted AS (SELECT doc_id, CAST(count(*) AS INT) AS n FROM figures GROUP BY doc_id),
+        prio AS (SELECT *, CASE section_key {" ".join(f"WHEN {q(k)} THEN {i}" for i, k in enumerate(K.FOCUS_PRIORITY))} END AS p FROM all_sections),
+        chosen AS (SELECT * FROM prio a WHERE p IS NOT NULL OR NOT EXISTS (SELECT 1 FROM prio b WHERE b.doc_id = a.doc_id AND b.p IS NOT NULL)),
+        selected AS (SELECT doc_id, string_agg(section_key, ' | ' ORDER BY coalesce(p, 0), position) AS keys FROM chosen GROUP BY doc_id),
+        listed AS (SELECT doc_id, string_agg(section_key, ' | ' ORDER BY position) AS keys FROM all_sections GROUP BY doc_id)
+        SELECT d.doc_id, nullif(t.title, '') AS title, coalesce(a.authors, '') AS authors, coalesce(g.figure_types, '') AS figure_types,
+         coalesce(g.n, 0) AS n_evidence, coalesce(g.n, 0) AS n_analyses, coalesce(s.keys, '') AS selected_sections,
+         coalesce(l.keys, '') AS section_order, coalesce(c.n, 0) AS figure_count
+        FROM {DOC_JOINS} LEFT JOIN drawn g USING (doc_id) LEFT JOIN counted c USING (doc_id)
+        LEFT JOIN selected s USING (doc_id) LEFT JOIN listed l USING (doc_id)""",
+    "paper_payloads": f"""WITH two AS (SELECT *, array_to_string(list_filter(list_transform(string_split(text, chr(10))[1:2], lambda x: {strip('x')}), lambda x: x <> ''), ' ') AS both_lines FROM documents)
+        SELECT doc_id, TRUE AS looks_like_paper, FALSE AS is_valid, both_lines AS title, source AS authors, CAST(n_chars AS VARCHAR) AS year, '' AS core_method,
+         lang AS novelty, lang AS strengths, source AS limitations, both_lines AS reproducibility FROM two""",
     "parsed_documents": FULL + f""", docs AS (SELECT doc_id, max(page_number) AS page_count FROM blocks GROUP BY doc_id),
         parts AS (SELECT doc_id, {strip("string_agg(content, chr(10) || chr(10) ORDER BY position)")} AS raw_text
          FROM all_sections WHERE section_key NOT IN ('title', 'figures') GROUP BY doc_id),
