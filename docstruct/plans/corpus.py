@@ -17,6 +17,7 @@ from docstruct.plans.staging import stage
 
 
 # What a plan writes once because several of its branches read it.
+BLOCK_PLAN = ("blocks",)
 SECTION_PLAN = ("blocks", "headed")
 FOCUS_PLAN = (*SECTION_PLAN, "sections")
 FIGURE_PLAN = ("blocks", "figures")

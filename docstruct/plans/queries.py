@@ -21,6 +21,7 @@ from docstruct.operators import search as Q
 from docstruct.operators import structure as S
 from docstruct.operators.blocks import fold_text
 from docstruct.plans.corpus import (
+    BLOCK_PLAN,
     FIGURE_PLAN,
     FOCUS_PLAN,
     REPORT_PLAN,
@@ -31,7 +32,7 @@ from docstruct.plans.corpus import (
     plain_focus,
 )
 from docstruct.plans.run import no_results, research_tables
-from docstruct.plans.staging import stage_folder
+from docstruct.plans.staging import app_folder, stage_folder
 from docstruct.sources.seed import seeded_blocks
 from docstruct.sources.tables import read_table
 from docstruct.streaming import jobs as SJ
@@ -199,7 +200,7 @@ def sections(spark, folder):
 
 @query
 def keyword_fallback(spark, folder):
-    c = corpus(spark, folder)
+    c = corpus(spark, folder, staged=BLOCK_PLAN)
     return S.keyword_sections(c.annotated, c.headed).select("doc_id", "section_key", "content")
 
 
@@ -298,7 +299,7 @@ def caption_blocks(spark, folder):
 
 @query
 def figure_references(spark, folder):
-    figures = corpus(spark, folder).figures
+    figures = corpus(spark, folder, staged=BLOCK_PLAN).figures
     return figures.select(
         "doc_id", "caption_order", "figure_id", joined("reference_block_ids").alias("reference_block_ids"),
         joined("referenced_text_spans").alias("referenced_text_spans"),
@@ -307,7 +308,7 @@ def figure_references(spark, folder):
 
 @query
 def figures_section(spark, folder):
-    return G.figures_sections(corpus(spark, folder).figures).select("doc_id", "content")
+    return G.figures_sections(corpus(spark, folder, staged=BLOCK_PLAN).figures).select("doc_id", "content")
 
 
 @query
@@ -320,7 +321,7 @@ def figure_rank(spark, folder):
 
 @query
 def figure_artifacts(spark, folder):
-    return E.figure_artifacts(corpus(spark, folder).figures).select(
+    return E.figure_artifacts(corpus(spark, folder, staged=BLOCK_PLAN).figures).select(
         "doc_id", "caption_order", "figure_id", "page_number", "figure_type", "extraction_source",
         joined("visible_text").alias("visible_text"), joined("axes").alias("axes"),
         joined("panels.panel_id").alias("panels"), joined("direct_evidence").alias("direct_evidence"),
@@ -546,16 +547,21 @@ def parsed_markdown(spark, folder):
     return R.parsed_markdown(c.structure, c.sections, c.figures)
 
 
+def _research_tables(spark, folder) -> dict[str, DataFrame]:
+    c = corpus(spark, folder, staged=REPORT_PLAN)
+    return research_tables(c, no_results(c.structure))
+
+
 @query
 def research_reports(spark, folder):
     """Reports from the structure alone (no model results)."""
-    return research_tables(corpus(spark, folder, staged=REPORT_PLAN), no_results(spark))["markdown_reports"]
+    return _research_tables(spark, folder)["markdown_reports"]
 
 
 @query
 def json_reports(spark, folder):
     """Merged results as JSON, read back field by field."""
-    merged = research_tables(corpus(spark, folder, staged=REPORT_PLAN), no_results(spark))["json_reports"]
+    merged = _research_tables(spark, folder)["json_reports"]
     data = F.col("structured_data")
 
     def listed(path: str) -> Column:
@@ -621,10 +627,17 @@ def _job_stream(spark, folder) -> DataFrame:
     return J.event_jobs(spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*"))
 
 
+def _stream_folder(spark, name: str) -> str:
+    folder = stage_folder(spark)
+    if folder is None:
+        raise ValueError("a stream needs spark.checkpoint.dir for its state and output")
+    return app_folder(spark, folder) + f"/{name}-{uuid.uuid4().hex}"
+
+
 @query
 def job_tracking_stream(spark, folder):
     """Transitions and accepted submissions computed by a stream."""
-    out = stage_folder(spark) + f"/docstruct/tracking-{uuid.uuid4().hex}"
+    out = _stream_folder(spark, "tracking")
     SJ.track_job_batches(_job_stream(spark, folder), f"{out}/rows", f"{out}/check").awaitTermination()
     submissions = spark.read.parquet(f"{out}/rows/submissions").select("job_id", "event_id", "accepted")
     steps = spark.read.parquet(f"{out}/rows/transitions").drop("batch", "ts", "error_message")
@@ -634,7 +647,7 @@ def job_tracking_stream(spark, folder):
 @query
 def job_store_stream(spark, folder):
     """Job store kept by a stream, read back as the latest row per job."""
-    out = stage_folder(spark) + f"/docstruct/store-{uuid.uuid4().hex}"
+    out = _stream_folder(spark, "store")
     SJ.upsert_jobs_stream(_job_stream(spark, folder), f"{out}/rows", f"{out}/check").awaitTermination()
     stored = J.latest_jobs(spark.read.parquet(f"{out}/rows").drop("batch"))
     return stored.select("job_id", "event_id", "status", "error_message")

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstruct import schemas
 from docstruct.operators import reports as R
 from docstruct.operators import responses as M
 from docstruct.plans.corpus import REPORT_PLAN, Corpus, parsed_text_documents, plain_focus
 from docstruct.sources import sinks
 
-def no_results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schemas.RESULTS)
+def no_results(docs: DataFrame) -> DataFrame:
+    """An empty result table (``schemas.RESULTS``) whose ids have the type of those of ``docs``."""
+    none = F.array().cast("array<string>")
+    texts = ["title", "summary", "markdown_report", "structured_data"]
+    return docs.limit(0).select(
+        "doc_id", *[F.lit("").alias(t) for t in texts], none.alias("key_points"), none.alias("limitations")
+    )
 
 
 def research_tables(corpus: Corpus, results: DataFrame) -> dict[str, DataFrame]:
@@ -55,8 +59,8 @@ def run_corpus(
     """
     if mode not in ("research_paper", "general_text"):
         raise ValueError(f"unknown mode: {mode}")
-    results = no_results(spark) if results is None else results
     rows = spark.read.parquet(input_path)
+    results = no_results(rows) if results is None else results
     if mode == "research_paper":
         tables = research_tables(Corpus(rows, staged=REPORT_PLAN), results)
         sinks.write_parsed_markdown(tables["parsed_markdown"], f"{output_path}/parsed_markdown")

@@ -26,11 +26,16 @@ def stage_folder(spark: SparkSession) -> str | None:
     return _local_folders.get(app)
 
 
+def app_folder(spark: SparkSession, folder: str) -> str:
+    """Everything an application stages lies in one folder, which can go when the application has ended."""
+    return f"{folder}/docstruct/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet and reads it back, so later branches read only their columns."""
     folder = stage_folder(df.sparkSession)
     if folder is None:
         return df
-    path = f"{folder}/docstruct/{name}-{uuid.uuid4().hex}"
+    path = app_folder(df.sparkSession, folder) + f"/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,9 +16,10 @@ def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_documents(files: DataFrame, value: Column) -> DataFrame:
+    """The path is the id: unlike a hash of it, it cannot coincide with another one."""
     text = T.strip(value)
     return files.select(
-        F.xxhash64("path").alias("doc_id"),
+        F.col("path").alias("doc_id"),
         "path",
         T.infer_title(text).alias("title"),
         text.alias("raw_text"),
