@@ -5,8 +5,6 @@ Input is the flagged block table (``flag_blocks``) or the annotated one (``annot
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +13,6 @@ from docstruct import labels
 from docstruct.functions import text as T
 from docstruct.operators.blocks import PAGE, fold_text
 
-SOURCE_RANK = {"title": 0, "fallback_abstract": 1, "heading": 2, "fallback_keyword": 3, "figures": 4}
-
-
 def ordered_texts(flag: Column, text: Column) -> Column:
     """Aggregate: texts of the (few) flagged rows in reading order."""
     return F.array_sort(F.collect_list(F.when(flag, F.struct("order_index", text.alias("text")))))["text"]
@@ -127,51 +122,63 @@ def best_doi(flagged: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.max_by("col", rank).alias("doi"), F.max("score").alias("score"))
 
 
-def heading_sections(annotated: DataFrame) -> DataFrame:
-    """Sections found by their headings: the last non-empty text of a key, placed where it first occurs."""
-    body = ~(
+def section_body() -> Column:
+    return ~(
         F.col("is_heading")
         | F.col("caption_order").isNotNull()
         | F.col("is_noise")
         | F.col("is_citation")
         | F.col("is_author")
     )
-    rows = annotated.filter((F.col("section_seq") > 0) & (body | F.col("is_heading")))
-    pages = rows.groupBy(*PAGE, "section_seq").agg(
-        F.max(F.when(F.col("is_heading"), F.col("heading_key"))).alias("section_key"),
-        F.array_sort(F.collect_list(F.when(body, F.struct("order_index", "text"))))["text"].alias("texts"),
-    )
-    pages = pages.withColumn("text", F.when(F.size("texts") > 0, F.array_join("texts", " ")))
-    sections = pages.groupBy("doc_id", "section_seq").agg(
-        F.max("section_key").alias("section_key"),
-        F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("page_number", "text"))))[
-            "text"
-        ].alias("texts"),
-    )
-    content = F.nullif(T.clean_text(F.array_join("texts", " ")), F.lit(""))
-    return (
-        sections.withColumn("content", content)
-        .filter(F.col("content").isNotNull())
-        .groupBy("doc_id", "section_key")
+
+
+def heading_places(annotated: DataFrame) -> DataFrame:
+    """Which section wins per key, without its text: (doc_id, section_key, section_seq, rank).
+
+    Of a repeated key the last section with text counts, at the place where the key first has text.
+    """
+    filled = section_body() & F.col("text").rlike(r"(?U)[^\s\x00-\x1f\x7f]")
+    found = (
+        annotated.filter(F.col("section_seq") > 0)
+        .groupBy("doc_id", "section_seq")
         .agg(
-            F.max_by("content", "section_seq").alias("content"),
-            F.min("section_seq").cast("int").alias("place"),
+            F.max(F.when(F.col("is_heading"), F.col("heading_key"))).alias("section_key"),
+            F.max(filled).alias("filled"),
         )
-        .withColumn("source", F.lit("heading"))
+        .filter("filled")
     )
+    winners = found.groupBy("doc_id", "section_key").agg(
+        F.max("section_seq").alias("section_seq"), F.min("section_seq").alias("place")
+    )
+    in_order = Window.partitionBy("doc_id").orderBy("place")
+    return winners.select(
+        "doc_id", "section_key", "section_seq", (F.row_number().over(in_order) - 1).alias("rank")
+    )
+
 
+def heading_sections(annotated: DataFrame, places: DataFrame) -> DataFrame:
+    """Texts of the sections that ``places`` names, with its other columns.
 
-def front_sections(front: DataFrame, headed: DataFrame) -> DataFrame:
+    The text moves once, from its pages to its section; whatever must be known about a document as a
+    whole has been worked out on ``places`` before.
+    """
+    rows = annotated.filter((F.col("section_seq") > 0) & section_body())
+    texts = fold_text(rows, ["doc_id", "section_seq"], " ")
+    return texts.join(places, ["doc_id", "section_seq"]).select(
+        "doc_id",
+        "section_key",
+        T.clean_text(F.col("text")).alias("content"),
+        *[c for c in places.columns if c not in ("doc_id", "section_key", "section_seq")],
+    )
+
+
+def front_sections(front: DataFrame, places: DataFrame) -> DataFrame:
     """Title sections, and abstracts from the lines after the title where no heading gave one."""
-    has_abstract = headed.filter(F.col("section_key") == "abstract").select("doc_id", F.lit(True).alias("headed"))
+    has_abstract = places.filter(F.col("section_key") == "abstract").select("doc_id", F.lit(True).alias("headed"))
 
     def row(key: str, content: str, source: str) -> Column:
-        return F.struct(
-            F.lit(key).alias("section_key"),
-            F.col(content).alias("content"),
-            F.lit(0).alias("place"),
-            F.lit(source).alias("source"),
-        )
+        fields = F.struct(F.lit(key).alias("section_key"), F.col(content).alias("content"), F.lit(source).alias("source"))
+        return F.when(F.col(content).isNotNull(), fields)
 
     rows = F.array(
         row("title", "title", "title"),
@@ -179,12 +186,12 @@ def front_sections(front: DataFrame, headed: DataFrame) -> DataFrame:
     )
     return (
         front.join(has_abstract, "doc_id", "left")
-        .select("doc_id", F.inline(F.array_compact(rows)))
-        .filter(F.col("content").isNotNull())
+        .select("doc_id", F.posexplode(F.array_compact(rows)).alias("position", "s"))
+        .select("doc_id", "s.section_key", "s.content", "position", "s.source")
     )
 
 
-def keyword_sections(annotated: DataFrame, headed: DataFrame) -> DataFrame:
+def keyword_sections(annotated: DataFrame, places: DataFrame) -> DataFrame:
     """First four sentences with a keyword, for keys that no heading gave.
 
     A sentence may run over several blocks, so blocks are folded per run (``run_id``): inside the page
@@ -224,7 +231,7 @@ def keyword_sections(annotated: DataFrame, headed: DataFrame) -> DataFrame:
     hits = (
         runs.select("doc_id", "run_id", F.posexplode(split).alias("at", "s"))
         .select("doc_id", "run_id", "at", F.col("s.sentence").alias("sentence"), F.explode(keys).alias("section_key"))
-        .join(headed.select("doc_id", "section_key"), ["doc_id", "section_key"], "left_anti")
+        .join(places.select("doc_id", "section_key"), ["doc_id", "section_key"], "left_anti")
     )
     first = Window.partitionBy("doc_id", "section_key").orderBy("run_id", "at")
     chosen = hits.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= K.KEYWORD_SENTENCES)
@@ -239,23 +246,37 @@ def keyword_sections(annotated: DataFrame, headed: DataFrame) -> DataFrame:
     )
 
 
-def number_sections(sections: DataFrame) -> DataFrame:
-    """Long section table with ``position`` counted from 0 in display order (a few rows per document)."""
-    rank = F.element_at(
-        F.create_map(*[F.lit(x) for pair in SOURCE_RANK.items() for x in pair]), F.col("source")
+def all_sections(
+    annotated: DataFrame, front: DataFrame, places: DataFrame, keyword: DataFrame, figures: DataFrame
+) -> DataFrame:
+    """Long section table with ``position`` in display order: title, fallback abstract, headed, keyword, figures.
+
+    Positions are counted on tables without section texts, so the texts of the headed sections are not
+    moved again for them.
+    """
+    first = front_sections(front, places)
+    front_counts = first.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_front"))
+    heading_counts = places.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_headed"))
+    n_front, n_headed = F.coalesce("n_front", F.lit(0)), F.coalesce("n_headed", F.lit(0))
+
+    placed = places.join(front_counts, "doc_id", "left").select(
+        "doc_id", "section_key", "section_seq", (n_front + F.col("rank")).alias("position"), F.lit("heading").alias("source")
     )
+    rank = F.when(F.col("source") == "figures", 1).otherwise(0)
     in_order = Window.partitionBy("doc_id").orderBy(rank, "place")
-    return sections.select(
-        "doc_id",
-        "section_key",
-        "content",
-        (F.row_number().over(in_order) - 1).alias("position"),
-        "source",
+    last = (
+        keyword.unionByName(figures)
+        .join(front_counts, "doc_id", "left")
+        .join(heading_counts, "doc_id", "left")
+        .select(
+            "doc_id",
+            "section_key",
+            "content",
+            (n_front + n_headed + F.row_number().over(in_order) - 1).alias("position"),
+            "source",
+        )
     )
-
-
-def union_sections(*parts: DataFrame) -> DataFrame:
-    return number_sections(reduce(DataFrame.unionByName, parts))
+    return first.unionByName(heading_sections(annotated, placed)).unionByName(last)
 
 
 def overlay_sections(base: DataFrame, draft: DataFrame, draft_order: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from docstruct.plans.staging import stage
 
 # What a plan writes once because several of its branches read it.
 BLOCK_PLAN = ("blocks",)
-SECTION_PLAN = ("blocks", "headed")
+SECTION_PLAN = ("blocks", "places", "front")
 FOCUS_PLAN = (*SECTION_PLAN, "sections")
 FIGURE_PLAN = ("blocks", "figures")
 REPORT_PLAN = (*FOCUS_PLAN, "figures", "selected", "structure")
@@ -54,15 +54,20 @@ class Corpus:
 
     @cached_property
     def front(self) -> DataFrame:
-        return S.front_matter(self.lines)
+        return self._staged("front", S.front_matter(self.lines))
 
     @cached_property
     def doi(self) -> DataFrame:
         return S.best_doi(self.lines).select("doc_id", "doi")
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """The headed sections without their texts."""
+        return self._staged("places", S.heading_places(self.annotated))
+
     @cached_property
     def headed(self) -> DataFrame:
-        return self._staged("headed", S.heading_sections(self.annotated))
+        return S.heading_sections(self.annotated, self.places.withColumnRenamed("rank", "position"))
 
     @cached_property
     def figures(self) -> DataFrame:
@@ -72,10 +77,11 @@ class Corpus:
     @cached_property
     def sections(self) -> DataFrame:
         """All sections of a parsed document, title first and figures last."""
-        sections = S.union_sections(
-            S.front_sections(self.front, self.headed),
-            self.headed,
-            S.keyword_sections(self.annotated, self.headed),
+        sections = S.all_sections(
+            self.annotated,
+            self.front,
+            self.places,
+            S.keyword_sections(self.annotated, self.places),
             G.figures_sections(self.figures),
         )
         return self._staged("sections", sections)

@@ -189,19 +189,19 @@ def venue_year(spark, folder):
 @query
 def fallback_abstract(spark, folder):
     c = corpus(spark, folder)
-    rows = S.front_sections(c.front, c.headed)
+    rows = S.front_sections(c.front, c.places)
     return rows.filter(F.col("section_key") == "abstract").select("doc_id", "content")
 
 
 @query
 def sections(spark, folder):
-    return S.number_sections(corpus(spark, folder).headed).drop("source")
+    return corpus(spark, folder, staged=BLOCK_PLAN).headed
 
 
 @query
 def keyword_fallback(spark, folder):
     c = corpus(spark, folder, staged=BLOCK_PLAN)
-    return S.keyword_sections(c.annotated, c.headed).select("doc_id", "section_key", "content")
+    return S.keyword_sections(c.annotated, c.places).select("doc_id", "section_key", "content")
 
 
 @query
@@ -260,11 +260,11 @@ def focus_text(spark, folder):
 def overlay_sections(spark, folder):
     """Headed sections overlaid by a draft made of keyword sentences, results first."""
     c = corpus(spark, folder, staged=SECTION_PLAN)
-    draft = S.keyword_sections(c.annotated, c.headed.limit(0)).withColumnRenamed("place", "position")
+    draft = S.keyword_sections(c.annotated, c.places.limit(0)).withColumnRenamed("place", "position")
     order = draft.filter(F.col("section_key") == "results").select(
         "doc_id", "section_key", F.lit(0).alias("position")
     )
-    return S.overlay_sections(S.number_sections(c.headed), draft, order)
+    return S.overlay_sections(c.headed, draft, order)
 
 
 @query
@@ -365,7 +365,7 @@ def corpus_rollup(spark, folder):
 def quality_rollup(spark, folder):
     """Sections per document, by quality label."""
     marks = table(spark, folder, "labels")
-    per_doc = corpus(spark, folder).headed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"))
+    per_doc = corpus(spark, folder).places.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"))
     return (
         marks.join(per_doc, "doc_id", "left")
         .groupBy("quality", "toxic")

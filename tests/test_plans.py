@@ -41,7 +41,7 @@ def test_positions_use_one_distribution_by_page(corpus, capsys):
         lambda c: G.mention_candidates(c.annotated),
         lambda c: G.rank_figures(c.figures, None),
         lambda c: S.discarded_noise(c.flagged),
-        lambda c: S.keyword_sections(c.annotated, c.headed),
+        lambda c: S.keyword_sections(c.annotated, c.places),
     ],
 )
 def test_top_n_is_cut_before_the_shuffle(corpus, capsys, build):

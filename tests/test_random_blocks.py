@@ -99,8 +99,9 @@ def test_doi(both):
 def test_sections(both):
     corpus, con = both
     parts = [O.FLAGGED, O.TITLE, O.SECTIONS]
-    compare(corpus.headed, con, parts, "SELECT doc_id, section_key, content, place FROM headed")
-    keyword = S.keyword_sections(corpus.annotated, corpus.headed)
+    headed = "SELECT doc_id, section_key, content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INT) AS position FROM headed"
+    compare(corpus.headed, con, parts, headed)
+    keyword = S.keyword_sections(corpus.annotated, corpus.places)
     compare(keyword, con, parts, "SELECT doc_id, section_key, content FROM keyword_sections")
 
 
