@@ -159,17 +159,21 @@ def heading_places(annotated: DataFrame) -> DataFrame:
 def heading_sections(annotated: DataFrame, places: DataFrame) -> DataFrame:
     """Texts of the sections that ``places`` names, with its other columns.
 
-    The text moves once, from its pages to its section; whatever must be known about a document as a
+    The text moves once, from its pages to its section, and only for sections that are asked for:
+    pieces folded inside their page meet ``places`` first. Whatever must be known about a document as a
     whole has been worked out on ``places`` before.
     """
     rows = annotated.filter((F.col("section_seq") > 0) & section_body())
-    texts = fold_text(rows, ["doc_id", "section_seq"], " ")
-    return texts.join(places, ["doc_id", "section_seq"]).select(
-        "doc_id",
-        "section_key",
-        T.clean_text(F.col("text")).alias("content"),
-        *[c for c in places.columns if c not in ("doc_id", "section_key", "section_seq")],
+    pieces = rows.groupBy(*PAGE, "section_seq").agg(
+        F.array_sort(F.collect_list(F.struct("order_index", "text")))["text"].alias("texts")
+    )
+    wanted = pieces.withColumn("text", F.array_join("texts", " ")).join(places, ["doc_id", "section_seq"])
+    extra = [c for c in places.columns if c not in ("doc_id", "section_key", "section_seq")]
+    folded = wanted.groupBy("doc_id", "section_seq", "section_key", *extra).agg(
+        F.array_sort(F.collect_list(F.struct("page_number", "text")))["text"].alias("texts")
     )
+    content = T.clean_text(F.array_join("texts", " "))
+    return folded.select("doc_id", "section_key", content.alias("content"), *extra)
 
 
 def front_sections(front: DataFrame, places: DataFrame) -> DataFrame:

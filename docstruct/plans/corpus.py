@@ -86,12 +86,20 @@ class Corpus:
         )
         return self._staged("sections", sections)
 
+    @cached_property
+    def abstracts(self) -> DataFrame:
+        """(doc_id, abstract): headed ones, else those from the front matter; no other section is folded."""
+        is_abstract = F.col("section_key") == "abstract"
+        front = S.front_sections(self.front, self.places).filter(is_abstract)
+        headed = S.heading_sections(self.annotated, self.places.filter(is_abstract))
+        rows = front.select("doc_id", "content").unionByName(headed.select("doc_id", "content"))
+        return rows.withColumnRenamed("content", "abstract")
+
     @cached_property
     def structure(self) -> DataFrame:
         """One row per document: metadata, section order, counts, noise and uncertainties."""
         listed = self.sections.groupBy("doc_id").agg(
-            F.array_sort(F.collect_list(F.struct("position", "section_key")))["section_key"].alias("section_order"),
-            F.max(F.when(F.col("section_key") == "abstract", F.col("content"))).alias("abstract"),
+            F.array_sort(F.collect_list(F.struct("position", "section_key")))["section_key"].alias("section_order")
         )
         counted = self.annotated.groupBy("doc_id").agg((F.max("caption_order") + 1).alias("figure_count"))
         docs = (
@@ -99,6 +107,7 @@ class Corpus:
             .join(self.front, "doc_id", "left")
             .join(self.doi, "doc_id", "left")
             .join(listed, "doc_id", "left")
+            .join(self.abstracts, "doc_id", "left")
             .join(counted, "doc_id", "left")
             .join(S.discarded_noise(self.lines), "doc_id", "left")
         )
