@@ -108,7 +108,9 @@ def test_sanitize(value):
 
 
 def test_strip_markdown(value):
-    assert value(T.strip_markdown, "## A\n- b\n\n\n\n* c ") == "A\nb\n\nc"
+    assert value(T.strip_markdown, "## A\n- b\n\n\n\nc ") == "A\nb\n\nc"
+    # Blank lines before a bullet go with it.
+    assert value(T.strip_markdown, "b\n\n\n* c") == "b\nc"
     assert value(T.strip_markdown, " # ") is None
     assert value(T.clean_list, ["- a", "#", None, "b"], "array<string>") == ["a", "b"]
 
