@@ -141,7 +141,10 @@ def log_tail(logs: DataFrame, n: int = K.LOG_TAIL_LINES) -> DataFrame:
 
 
 def stamp_logs(logs: DataFrame) -> DataFrame:
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssxxx")
+    """Puts the ISO time stamp before each line; stamps without a zone are taken as UTC."""
+    zoned = logs.schema["ts"].dataType.typeName() == "timestamp"
+    offset = F.date_format("ts", "xxx") if zoned else F.lit("+00:00")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), offset)
     return logs.withColumn("line", F.concat(stamp, F.lit(" "), F.col("line")))
 
 
