@@ -25,11 +25,17 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def url_node(url: Column) -> Column:
-    """What stands for a url among links: host, path and query without scheme and fragment; NULL without ``://``."""
-    path = F.when(url_path(url) == "", "/").otherwise(url_path(url))
-    node = F.concat(url_host(url), path, F.regexp_extract(url, _PARTS, 3))
-    return F.when(url_host(url) != "", node)
+def with_parts(df: DataFrame, url: str, to: str) -> DataFrame:
+    """Adds columns ``<to>host, <to>path, <to>node``.
+
+    The node stands for the url among links: host, path and query without scheme and fragment; NULL without ``://``.
+    """
+    df = df.withColumns(
+        {f"{to}host": url_host(F.col(url)), f"{to}path": url_path(F.col(url)), f"{to}query": F.regexp_extract(url, _PARTS, 3)}
+    )
+    path = F.coalesce(F.nullif(F.col(f"{to}path"), F.lit("")), F.lit("/"))
+    node = F.when(F.col(f"{to}host") != "", F.concat(f"{to}host", path, f"{to}query"))
+    return df.withColumn(f"{to}node", node).drop(f"{to}query")
 
 
 def ordered(rules=RULES) -> list[tuple[str, str, str]]:
@@ -64,24 +70,25 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0)),
         lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b"),
     )
-    found = pages.select(page.alias("url"), F.explode(tags).alias("tag"))
+    # Written where it is few rows; filters on what follows would otherwise repeat the expressions below many times.
+    found = cut(pages.select(page.alias("url"), F.explode(tags).alias("tag")))
     target = F.when(
         tag.rlike("(?i)^<link"), F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     ).otherwise(F.regexp_extract(tag, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    found = found.select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("to")).where(F.col("to") != "")
-    to, page = F.col("to"), F.col("url")
-    base = F.concat(F.lit("http://"), url_host(page))
+    found = found.select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("to"))
+    found = with_parts(found, "url", "a_")
+    to, base, path = F.col("to"), F.concat(F.lit("http://"), F.col("a_host")), F.col("a_path")
     whole = (
-        F.when(to.contains("://"), to)
+        F.when(to == "", None)
+        .when(to.contains("://"), to)
         .when(to.startswith("//"), F.concat(F.lit("http:"), to))
         .when(to.startswith("/"), F.concat(base, to))
-        .when(to.startswith("?"), F.concat(base, url_path(page), to))
-        .when(to.startswith("#"), page)
-        .otherwise(F.concat(base, F.coalesce(F.nullif(F.regexp_extract(url_path(page), r"^.*/", 0), F.lit("")), F.lit("/")), to))
-    )
-    return found.select(url_node(page).alias("a"), url_node(whole).alias("b")).where(
-        F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))
+        .when(to.startswith("?"), F.concat(base, path, to))
+        .when(to.startswith("#"), F.col("url"))
+        .otherwise(F.concat(base, F.coalesce(F.nullif(F.regexp_extract(path, r"^.*/", 0), F.lit("")), F.lit("/")), to))
     )
+    pairs = with_parts(found.select("a_node", whole.alias("whole")), "whole", "b_")
+    return cut(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).where("a <> b")
 
 
 def judge_urls(
@@ -99,13 +106,9 @@ def judge_urls(
     if html is not None:
         pairs.append(page_links(pages, url, html))
     if links is not None:
-        pairs.append(links.select(url_node(F.col("a")).alias("a"), url_node(F.col("b")).alias("b")).dropna())
-    judged = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).select(
-        "page_id",
-        url_host(F.col("url")).alias("host"),
-        url_path(F.col("url")).alias("path"),
-        url_node(F.col("url")).alias("node"),
-    )
+        told = with_parts(with_parts(links.select("a", "b"), "a", "a_"), "b", "b_")
+        pairs.append(told.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).dropna())
+    judged = with_parts(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), "url", "").drop("url")
     judged = judged.withColumn("number", rule_number(F.col("host"), F.col("path"), rules))
     number = F.col("number")
     plain = judged.select(
@@ -113,8 +116,7 @@ def judge_urls(
     )
     if not pairs:
         return plain.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
-    edges = cut(pairs[0].unionByName(pairs[1]) if len(pairs) > 1 else pairs[0])
-    member = components(edges)
+    member = components(pairs[0].unionByName(pairs[1]) if len(pairs) > 1 else pairs[0])
     host = F.regexp_extract("node", r"^[^/?]*", 0)
     path = F.regexp_extract("node", r"^[^/?]*([^?]*)", 1)
     blocked = member.where(rule_verdict(rule_number(host, path, rules), rules) == "block").select("component").distinct()
