@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docstruct.llm.chat import chat_digests, format_chats, text_parts
 from docstruct.llm.common import table
 from docstruct.llm.decontam import contamination
+from docstruct.llm.langid import language_table
+from docstruct.llm.quality import quality_rules, train
 from docstruct.llm.urls import judge_urls
 
 
@@ -26,12 +28,23 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat_digests(format_chats(turns.select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts"))))
 
 
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_table(table(spark, folder, "documents"))
+
+
+def quality_rule_table(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_rules(docs, train(docs, table(spark, folder, "labels")))
+
+
 def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"))
 
 
 QUERIES = {
+    "op3_language_id": language_id,
     "op5_benchmark_decontamination": benchmark_decontamination,
+    "op6_quality_rules": quality_rule_table,
     "op7_chat_formatting": chat_formatting,
     "op10_url_filters": url_filters,
 }
