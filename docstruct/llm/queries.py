@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from docstruct.llm.chat import chat_digests, format_chats, text_parts
 from docstruct.llm.common import table
 from docstruct.llm.decontam import contamination
+from docstruct.llm.kneser_ney import classify
 from docstruct.llm.langid import language_table
+from docstruct.llm.linededup import dedup_lines
+from docstruct.llm.packing import pack_documents
 from docstruct.llm.quality import quality_rules, train
 from docstruct.llm.urls import judge_urls
 
 
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("row_key")
+
+
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", "n_chunks", "n_removed")
+
+
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row_key")
 
@@ -42,9 +58,12 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": quality_classifier,
     "op3_language_id": language_id,
+    "op4_best_fit_packing": best_fit_packing,
     "op5_benchmark_decontamination": benchmark_decontamination,
     "op6_quality_rules": quality_rule_table,
     "op7_chat_formatting": chat_formatting,
+    "op8_line_dedup": line_dedup,
     "op10_url_filters": url_filters,
 }
