@@ -13,6 +13,7 @@ from docstruct.llm.langid import language_table
 from docstruct.llm.linededup import dedup_lines
 from docstruct.llm.packing import pack_documents
 from docstruct.llm.quality import quality_rules, train
+from docstruct.llm.simhash import near_groups
 from docstruct.llm.urls import judge_urls
 
 
@@ -29,6 +30,10 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_chunks", "n_removed")
 
 
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "documents"))
+
+
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row_key")
 
@@ -65,5 +70,6 @@ QUERIES = {
     "op6_quality_rules": quality_rule_table,
     "op7_chat_formatting": chat_formatting,
     "op8_line_dedup": line_dedup,
+    "op9_simhash_near_dedup": simhash_near_dedup,
     "op10_url_filters": url_filters,
 }
