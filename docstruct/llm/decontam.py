@@ -123,6 +123,15 @@ def find_windows(docs: DataFrame, windows: DataFrame, doc_id: str, text: str, wi
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that no item's window occurs in, with all their columns; the verdict is on whole texts."""
+    found = contamination(docs, items, doc_id, text, **options).where("contaminated")
+    bad = found.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).distinct()
+    keyed = docs.withColumn("_key", row_key(doc_id, text))
+    same = F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    return keyed.join(bad, same, "left_anti").select(*docs.columns)
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
