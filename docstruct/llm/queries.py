@@ -12,11 +12,16 @@ from docstruct.llm.kneser_ney import classify
 from docstruct.llm.langid import language_table
 from docstruct.llm.linededup import dedup_lines
 from docstruct.llm.packing import pack_documents
+from docstruct.llm.pages import extract_pages
 from docstruct.llm.quality import quality_rules, train
 from docstruct.llm.simhash import near_groups
 from docstruct.llm.urls import judge_urls
 
 
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages"))
+
+
 def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classify(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("row_key")
 
@@ -63,6 +68,7 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": html_extraction,
     "op2_quality_classifier": quality_classifier,
     "op3_language_id": language_id,
     "op4_best_fit_packing": best_fit_packing,
