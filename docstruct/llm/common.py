@@ -48,6 +48,13 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row`` (a struct of all columns), ``d`` and ``k``: so that no column of ``docs`` clashes with an operator's own."""
+    return docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[doc_id].alias("d"), row_key(doc_id, text).alias("k")
+    )
+
+
 BITS = 23  # 2 ** 23 bits: one megabyte, whatever the number of keys
 
 
@@ -132,5 +139,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def same_row(d: str = "d2", k: str = "k2") -> Column:
+    """Join condition of a ``packed`` table and ``(d2, k2)``; NULL ids are equal."""
+    return F.col("d").eqNullSafe(F.col(d)) & (F.col("k") == F.col(k))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x | y, conditions, F.lit(False))

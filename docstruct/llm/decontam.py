@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import any_of, ascii_lower, bit_filter, cut, in_filter, row_key
+from docstruct.llm.common import any_of, ascii_lower, bit_filter, cut, in_filter, packed, row_key, same_row
 
 WINDOW = 10
 #: Words of a shingle, the token of the join; windows of fewer words are their own token.
@@ -126,10 +126,8 @@ def find_windows(docs: DataFrame, windows: DataFrame, doc_id: str, text: str, wi
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that no item's window occurs in, with all their columns; the verdict is on whole texts."""
     found = contamination(docs, items, doc_id, text, **options).where("contaminated")
-    bad = found.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).distinct()
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    same = F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
-    return keyed.join(bad, same, "left_anti").select(*docs.columns)
+    bad = found.select(F.col("doc_id").alias("d2"), F.col("row_key").alias("k2")).distinct()
+    return packed(docs, doc_id, text).join(bad, same_row(), "left_anti").select("row.*")
 
 
 def contamination(

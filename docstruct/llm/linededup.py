@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import cut, row_key
+from docstruct.llm.common import cut, packed, row_key, same_row
 
 #: Lines of the rolling hash; a chunk may end where it is 0 modulo RATE; lines and words that a chunk has at least.
 WINDOW, RATE, MIN_LINES, MIN_WORDS = 2, 2, 2, 8
@@ -104,11 +104,11 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the repeated multi-line chunks of its texts; adds ``n_chunks`` and ``n_removed``.
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` without the repeated multi-line chunks of its texts; ``counts`` adds ``n_chunks`` and ``n_removed``.
 
     Of each repeated chunk the first place stays: the least id (a NULL one comes last), there the first time.
-    Rows and other columns stay as they are; repeated rows are one row here and keep the same text. NULL
+    Rows and other columns stay as they are (but columns with the counts' names give way); repeated rows are one row here and keep the same text. NULL
     and empty texts, and chunks of fewer than ``MIN_LINES`` lines or ``MIN_WORDS`` words, stay.
     """
     repeated = cut(repeated_chunks(docs, doc_id, text))
@@ -120,9 +120,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .agg(F.collect_list(F.when(~mine, F.col("h"))).alias("_drop"), F.collect_list(F.when(mine, F.col("h"))).alias("_first"))
     )
     flags = cut(flags)
-    names = docs.columns
-    keyed = docs.withColumn("_key", row_key(doc_id, text))
-    joined = keyed.join(flags, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    joined = packed(docs, doc_id, text).join(flags, same_row("_d", "_k"), "left")
     strip = F.pandas_udf(_strip, "text string, n_chunks bigint, n_removed bigint")
-    done = joined.withColumn("_new", strip(F.col(text), F.col("_drop"), F.col("_first")))
-    return done.select(*[F.col("_new.text").alias(n) if n == text else F.col(n) for n in names], "_new.n_chunks", "_new.n_removed")
+    done = joined.withColumn("new", strip(F.col("row")[text], F.col("_drop"), F.col("_first")))
+    kept = [c for c in docs.columns if not counts or c not in ("n_chunks", "n_removed")]
+    columns = [F.col("new.text").alias(c) if c == text else F.col("row")[c].alias(c) for c in kept]
+    return done.select(*columns, *(["new.n_chunks", "new.n_removed"] if counts else []))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import components, cut, row_key
+from docstruct.llm.common import components, cut, packed, row_key
 
 SEED = 42
 #: ``op9``: words of a shingle, bits that may differ, segments of the ring.
@@ -213,8 +213,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """
     groups = near_copies(docs, doc_id, text, **options)
     stays = groups.where("doc_id IS NULL OR component_id IS NULL OR doc_id = component_id")
-    none = -(1 << 63)
-    stays = stays.select(F.coalesce("doc_id", F.lit(none)).alias("_d"), F.col("row_key").alias("_k"), F.col("doc_id").isNull().alias("_n"))
-    stays = stays.groupBy("_d", F.when(F.col("_n"), F.col("_k")).alias("_own")).agg(F.min("_k").alias("_k")).select("_d", "_k")
-    keyed = docs.withColumns({"_d": F.coalesce(F.col(doc_id), F.lit(none)), "_k": row_key(doc_id, text)})
-    return keyed.join(stays, ["_d", "_k"], "left_semi").dropDuplicates(["_d", "_k"]).select(*docs.columns)
+    none = F.lit(-(1 << 63))
+    # The id and text that stay; for NULL ids each text.
+    stays = stays.select(F.coalesce("doc_id", none).alias("d"), F.col("row_key").alias("k"), F.col("doc_id").isNull().alias("n"))
+    stays = stays.groupBy("d", F.when(F.col("n"), F.col("k")).alias("own")).agg(F.min("k").alias("k")).select("d", "k")
+    keyed = packed(docs, doc_id, text).withColumn("d", F.coalesce("d", none))
+    return keyed.join(stays, ["d", "k"], "left_semi").dropDuplicates(["d", "k"]).select("row.*")
