@@ -6,14 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan alone would leave most of them idle.
-
-    A small table is often a single row group and so a single task. A table with at least as many
-    scan partitions as cores, as any large one has, is left as it is and pays no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The table as its files are split; ``spark.sql.files.*`` of the session decide on the partitions."""
+    return spark.read.parquet(path)

@@ -11,7 +11,7 @@ from docstruct.operators import structure as S
 from docstruct.plans.corpus import Corpus
 from docstruct.plans.queries import QUERIES
 from docstruct.sources.seed import seeded_blocks
-from docstruct.sources.tables import spread
+from docstruct.sources.tables import read_table
 
 
 @pytest.fixture(scope="module")
@@ -64,10 +64,8 @@ def test_page_one_filter_reaches_the_scan(corpus, capsys):
     assert re.search(r"PushedFilters: \[.*EqualTo\(page_number,1\)", plan(corpus.front, capsys))
 
 
-def test_large_scans_are_not_spread(spark, folder):
-    many = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism)
-    assert spread(many) is many
-    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_reading_adds_no_shuffle(spark, folder, capsys):
+    assert "Exchange" not in plan(read_table(spark, f"{folder}/documents.parquet"), capsys)
 
 
 # Queries with eager parts (writes, streams) are left to the value checks.
