@@ -389,6 +389,38 @@ def source_structure(parser_kind: str = "pdf") -> Column:
     )
 
 
+def json_text(col: Column) -> Column:
+    """A string as a JSON string, quotes and controls escaped; NULL for NULL."""
+    whole = F.to_json(F.array(col))
+    return F.when(col.isNotNull(), F.substr(whole, F.lit(2), F.length(whole) - 2))
+
+
+def json_member(name: Column, value: Column) -> Column:
+    return F.concat(json_text(name), F.lit(":"), value)
+
+
+def filled_metadata(meta: Column) -> Column:
+    """JSON of the payload's metadata: all its entries, those that are empty or missing filled from the document."""
+    fills = {
+        "authors": F.when(F.size("authors") > 0, F.to_json("authors")),
+        **{n: json_text(F.nullif(F.col(n), F.lit(""))) for n in ("title", "venue", "year")},
+    }
+    known = F.create_map(*[part for n, v in fills.items() for part in (F.lit(n), v)])
+    empty = ['""', "null", "false", "0", "0.0", "[]", "{}"]
+
+    def kept(entry: Column) -> Column:
+        value = F.coalesce(F.to_json(entry["value"]), F.lit("null"))
+        fill = F.element_at(known, entry["name"])
+        return json_member(entry["name"], F.when(value.isin(*empty), F.coalesce(fill, value)).otherwise(value))
+
+    entries = F.when(P.is_object(meta), P.object_entries(meta, F.to_json(meta)))
+    entries = F.coalesce(entries, F.array().cast("array<struct<name:string,value:variant>>"))
+    names = F.transform(entries, lambda e: e["name"])
+    new = [F.when(~F.array_contains(names, n), json_member(F.lit(n), v)) for n, v in fills.items()]
+    members = F.concat(F.transform(entries, kept), F.array_compact(F.array(*new)))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
 def merged_results(
     structure: DataFrame,
     focus: DataFrame,
@@ -399,13 +431,6 @@ def merged_results(
 ) -> DataFrame:
     """(doc_id, structured_data): the model payload with metadata filled up and the figure tables added."""
     paper, meta = F.col("payload"), F.col("payload_metadata")
-
-    def text(name: str) -> Column:
-        return F.coalesce(F.nullif(P.as_text(P.field(meta, name)), F.lit("")), F.col(name)).alias(name)
-
-    authors = F.when(F.size(P.texts(P.field(meta, "authors"))) > 0, P.texts(P.field(meta, "authors"))).otherwise(
-        F.col("authors")
-    )
     joined = (
         structure.join(results.select("doc_id", "structured_data"), "doc_id", "left")
         .join(focus.select("doc_id", "selected_sections"), "doc_id", "left")
@@ -416,20 +441,19 @@ def merged_results(
         .withColumn("payload", P.parse_object(F.col("structured_data")))
         .withColumn("payload_metadata", P.field(F.col("payload"), "metadata"))
     )
-    head = F.to_json(F.struct(text("title"), authors.alias("authors"), text("venue"), text("year")))
     added = ["metadata", "semantic_artifacts", "figure_evidence", "figure_analyses", "selected_sections", "source_structure"]
     kept = F.transform(
         F.filter(
             P.object_entries(paper, F.col("structured_data")), lambda e: ~e["name"].isin(*added)
         ),
-        lambda e: F.concat(F.lit('"'), e["name"], F.lit('":'), F.to_json(e["value"])),
+        lambda e: json_member(e["name"], F.to_json(e["value"])),
     )
 
     def member(name: str, json: Column) -> Column:
         return F.concat(F.lit(f'"{name}":'), F.coalesce(json, F.lit("[]")))
 
     tail = [
-        member("metadata", head),
+        member("metadata", filled_metadata(meta)),
         member("semantic_artifacts", F.col("semantic_artifacts")),
         member("figure_evidence", F.col("figure_evidence")),
         member("figure_analyses", F.col("figure_analyses")),

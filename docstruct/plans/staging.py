@@ -1,19 +1,23 @@
 """Where intermediate tables are written when several branches read the same rows.
 
-The folder is the one the session names in ``spark.checkpoint.dir`` (shared storage on a cluster). It
-is created here only for a local session that names none. On a cluster without the setting nothing is
-written: the branches then recompute their input, which is slower but gives the same result.
+The folder is the one the session names in ``spark.checkpoint.dir`` (shared storage on a cluster). Only a session
+that runs in one process (``local`` or ``local[n]``) and names none gets a temporary folder of its own. On a
+cluster without the setting nothing is written: the branches then recompute their input, with the same result.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
+_own_folders: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def stage_folder(spark: SparkSession) -> str | None:
@@ -21,9 +25,9 @@ def stage_folder(spark: SparkSession) -> str | None:
     if folder:
         return folder
     app = spark.sparkContext.applicationId
-    if app not in _local_folders and spark.sparkContext.master.startswith("local"):
-        _local_folders[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _local_folders.get(app)
+    if app not in _own_folders and re.match(r"local(\[|$)", spark.sparkContext.master):
+        _own_folders[app] = tempfile.mkdtemp(prefix="spark-")
+    return _own_folders.get(app)
 
 
 def app_folder(spark: SparkSession, folder: str) -> str:
@@ -31,11 +35,33 @@ def app_folder(spark: SparkSession, folder: str) -> str:
     return f"{folder}/docstruct/{spark.sparkContext.applicationId}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end; its results must be stored by then."""
+    folder = stage_folder(spark)
+    if folder is None:
+        yield
+        return
+    path = f"{app_folder(spark, folder)}/scope-{uuid.uuid4().hex}"
+    _scopes.append(path)
+    try:
+        yield
+    finally:
+        _scopes.remove(path)
+        delete(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet and reads it back, so later branches read only their columns."""
     folder = stage_folder(df.sparkSession)
     if folder is None:
         return df
-    path = app_folder(df.sparkSession, folder) + f"/{name}-{uuid.uuid4().hex}"
+    above = _scopes[-1] if _scopes else app_folder(df.sparkSession, folder)
+    path = f"{above}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

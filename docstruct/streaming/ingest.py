@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from docstruct.plans import staging
 from docstruct.plans.corpus import REPORT_PLAN, Corpus
 from docstruct.sources.files import text_documents
 
@@ -40,9 +41,10 @@ def ingest_blocks(blocks: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        corpus = Corpus(batch, staged=REPORT_PLAN)
-        for name in ("structure", "sections", "figures"):
-            getattr(corpus, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        with staging.scope(batch.sparkSession):
+            corpus = Corpus(batch, staged=REPORT_PLAN)
+            for name in ("structure", "sections", "figures"):
+                getattr(corpus, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
     return (
         blocks.writeStream.foreachBatch(run)

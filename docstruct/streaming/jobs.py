@@ -74,8 +74,11 @@ class JobTracker(StatefulProcessor):
 
 
 def track_jobs(job_events: DataFrame) -> DataFrame:
-    """Transitions and accepted submissions of a stream: the twin of the batch operators in ``jobs``."""
-    job_events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Transitions and accepted submissions of a stream: the twin of the batch operators in ``jobs``.
+
+    The session needs the RocksDB state store (``ROCKSDB``) as ``spark.sql.streaming.stateStore.providerClass``.
+    All events of a job in one micro-batch meet in one task: ``track_job_batches`` is the one for busy jobs.
+    """
     tracked = (
         job_events.select("job_id", "event_id", "ts", "status")
         .groupBy("job_id")
@@ -122,7 +125,7 @@ def track_job_batches(job_events: DataFrame, path: str, checkpoint: str) -> Stre
     columns = ["job_id", "event_id", "ts", "status", "error_message"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*columns, F.lit(False).alias("carried"))
+        rows = read = batch.select(*columns, F.lit(False).alias("carried")).persist()
         if batch_id > 0:
             before = batch.sparkSession.read.parquet(f"{path}/state/batch={batch_id - 1}")
             rows = rows.unionByName(before.select(*columns, F.lit(True).alias("carried")))
@@ -135,6 +138,7 @@ def track_job_batches(job_events: DataFrame, path: str, checkpoint: str) -> Stre
         }
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        read.unpersist()
 
     return (
         job_events.writeStream.foreachBatch(run)

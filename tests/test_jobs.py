@@ -131,6 +131,7 @@ def test_stream_equals_batch(spark, tmp_path, events):
     path = f"{tmp_path}/events"
     write_batches(df, path)
     stream = SJ.read_job_events(spark, path, df.schema, files_per_batch=1)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SJ.ROCKSDB)
     query = SJ.write_stream(SJ.track_jobs(stream), f"{tmp_path}/out", f"{tmp_path}/check")
     query.awaitTermination(180)
     assert query.exception() is None

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from docstruct import schemas
 from docstruct.operators import reports as R
 from docstruct.operators import responses as M
@@ -89,6 +91,26 @@ def test_run_corpus(spark, folder, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/gen/markdown_reports").count() == 1
 
 
+def test_filled_metadata_keeps_what_is_there(spark):
+    rows = [
+        (0, '{"title":"X","keywords":["a"],"doi":"10.1","a\\"b":1}', "T", ["A"], "V", None),
+        (1, '{"title":"","authors":[],"year":0}', "T", ["A"], None, "2020"),
+        (2, '"text"', "T", [], None, None),
+        (3, None, "", [], "", ""),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, meta string, title string, authors array<string>, venue string, year string")
+    made = table.select("doc_id", R.filled_metadata(F.try_parse_json("meta")).alias("j")).collect()
+    got = {r.doc_id: json.loads(r.j) for r in made}
+    assert got[0] == {"title": "X", "keywords": ["a"], "doi": "10.1", 'a"b': 1, "authors": ["A"], "venue": "V"}
+    assert got[1] == {"title": "T", "authors": ["A"], "year": "2020"}
+    assert got[2] == {"title": "T"} and got[3] == {}
+
+
+def test_general_mode_asks_for_results(spark, tmp_path):
+    with pytest.raises(ValueError, match="results"):
+        run.run_corpus(spark, str(tmp_path), str(tmp_path), mode="general_text")
+
+
 def test_ingest_streams(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for low in (0, 3):
