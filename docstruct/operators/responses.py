@@ -171,8 +171,18 @@ def parse_quality(read: DataFrame) -> DataFrame:
     return read.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def parse_drafts(responses: DataFrame) -> DataFrame:
-    """Document drafts: sanitised fields, empty where the reply gives nothing."""
+def last_replies(responses: DataFrame) -> DataFrame:
+    """One reply per document: that with the highest ``response_id``."""
+    row = F.struct(*[F.col(c) for c in responses.columns])
+    return responses.groupBy(F.col("doc_id").alias("_doc")).agg(F.max_by(row, "response_id").alias("r")).select("r.*")
+
+
+def parse_drafts(responses: DataFrame, limit: int | None = None) -> DataFrame:
+    """Document drafts: sanitised fields, empty where the reply gives nothing.
+
+    Replies are read whole; ``constants.REPLY_CHARS_DRAFT`` as ``limit`` restores the cut of 120,000 characters,
+    under which longer drafts are unreadable.
+    """
     lim = K.DRAFT_LIMITS
     body = F.col("body")
 
@@ -201,7 +211,7 @@ def parse_drafts(responses: DataFrame) -> DataFrame:
         ),
     )
     objects = F.filter(P.items(P.field(body, "figures")), P.is_object)
-    return read_objects(responses, K.REPLY_CHARS_DRAFT).select(
+    return read_objects(responses, limit).select(
         "doc_id",
         "status",
         *[text(n) for n in ("title", "doi", "venue", "year", "abstract")],
@@ -249,6 +259,17 @@ def apply_drafts(
     return merged, titles.unionByName(overlaid), figures
 
 
+def _panel(v: Column) -> Column:
+    """A panel of a reply in the shape of ``evidence.caption_panels``; its texts are kept as they came."""
+    scalars = ["panel_id", "panel_label", "panel_type", "summary"]
+    lists = ["visible_text", "axes", "legend_items"]
+    return F.struct(
+        *[F.coalesce(P.as_text(P.field(v, n)), F.lit("")).alias(n) for n in scalars],
+        *[P.texts(P.field(v, n)).alias(n) for n in lists],
+        F.coalesce(P.as_text(P.field(v, "confidence")), F.lit("")).alias("confidence"),
+    )
+
+
 def parse_rows(responses: DataFrame, key: str, limits: dict, limit: int | None = None) -> DataFrame:
     """Objects of the list under ``key``, one row each, every field sanitised to its limit."""
     read = read_objects(responses, limit)
@@ -262,7 +283,7 @@ def parse_rows(responses: DataFrame, key: str, limits: dict, limit: int | None =
         if isinstance(bound, tuple):
             columns.append(P.limited_list(value, bound).alias(name))
         elif name == "panels":
-            columns.append(F.slice(F.transform(P.items(value), P.as_text), 1, bound).alias(name))
+            columns.append(F.slice(F.transform(F.filter(P.items(value), P.is_object), _panel), 1, bound).alias(name))
         else:
             columns.append(P.limited_text(value, bound).alias(name))
     page = T.coerce_int(P.as_text(P.field(F.col("item"), "page_number"))).alias("page_number")
@@ -275,25 +296,32 @@ def _with_default(df: DataFrame, name: str) -> DataFrame:
 
 
 def parse_analyses(responses: DataFrame, evidence: DataFrame, limit: int | None = None) -> DataFrame:
-    """Figure analyses from replies; documents whose reply is unreadable get the rule-based ones.
+    """Figure analyses from the last reply of each document; one set for every document with evidence or a reply.
 
-    ``limit`` cuts the reply before it is read; ``constants.REPLY_CHARS_FIGURES`` gives the cut of 320
-    characters under which longer replies are always unreadable. The default reads whole replies.
+    Documents whose reply is unreadable, and those without a reply, get the rule-based analyses. ``limit`` cuts
+    the reply before it is read; ``constants.REPLY_CHARS_FIGURES`` gives the cut of 320 characters under which
+    longer replies are always unreadable. The default reads whole replies.
     """
+    responses = last_replies(responses)
     parsed = _with_default(parse_rows(responses, "analyses", K.ANALYSIS_LIMITS, limit), "confidence")
-    failed = read_objects(responses, limit).filter(F.col("status") == "fallback").select("doc_id").distinct()
-    fallback = figure_analyses(
-        evidence.join(failed, "doc_id", "left_semi"), reason=labels.text("reason_unparsable")
-    )
-    return parsed.select(*fallback.columns).unionByName(fallback)
+    status = read_objects(responses, limit).select("doc_id", "status")
+    failed = evidence.join(status.filter(F.col("status") == "fallback"), "doc_id", "left_semi")
+    unanswered = evidence.join(status, "doc_id", "left_anti")
+    rules = figure_analyses(failed, reason=labels.text("reason_unparsable")).unionByName(figure_analyses(unanswered))
+    return parsed.select(*rules.columns).unionByName(rules)
 
 
 def parse_or_keep(responses: DataFrame, key: str, limits: dict, fallback: DataFrame, default: str) -> DataFrame:
-    """Artifacts or evidence from replies; a document without any readable entry keeps ``fallback``."""
-    parsed = _with_default(parse_rows(responses, key, limits), default)
+    """Artifacts or evidence from the last replies; a document without any readable entry keeps ``fallback``.
+
+    Columns that the limits do not name are NULL in rows from replies.
+    """
+    parsed = _with_default(parse_rows(last_replies(responses), key, limits), default)
     kept = fallback.join(parsed.select("doc_id").distinct(), "doc_id", "left_anti")
-    common = [c for c in fallback.columns if c in parsed.columns and c != "panels"]
-    return parsed.select(*common).unionByName(kept.select(*common))
+    columns = [
+        F.col(f.name) if f.name in parsed.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fallback.schema
+    ]
+    return parsed.select(*columns).unionByName(kept)
 
 
 def normalise_paper(json: Column) -> Column:
@@ -348,8 +376,23 @@ def is_valid_paper(json: Column) -> Column:
         "objects": "^ARRAY<(OBJECT|VOID)",
     }
 
-    def checked(body: Column) -> Column:
+    inner = {
+        "text": [n for n, bound in K.ANALYSIS_LIMITS.items() if not isinstance(bound, tuple)],
+        "list": [n for n, bound in K.ANALYSIS_LIMITS.items() if isinstance(bound, tuple)],
+    }
+
+    def sound(figure: Column) -> Column:
+        """The members of a figure analysis that are present have their types too."""
         rules = [
+            F.coalesce(P.kind(P.field(figure, name)).rlike(patterns[kind]), F.lit(True))
+            for kind, names in inner.items()
+            for name in names
+        ]
+        return P.is_object(figure) & F.array_min(F.array(*rules))
+
+    def checked(body: Column) -> Column:
+        figures = P.items(P.field(body, "figure_analyses"))
+        rules = [F.coalesce(F.forall(figures, sound), F.lit(True))] + [
             F.coalesce(P.kind(P.field(body, path)).rlike(patterns[kind]), F.lit(True))
             for kind, paths in kinds.items()
             for path in paths

@@ -744,9 +744,8 @@ FIRST_LINE = rf"nullif(substring({strip(rf"regexp_extract(text, '[^{SPACE}][^\n\
 ORACLES |= {
     "reply_objects": REPLIES + " SELECT doc_id, kind, status, json, k FROM read",
     "reply_quality": REPLIES + " SELECT kind, status, count(*) AS n FROM read GROUP BY kind, status",
-    "draft_replies": f"""WITH cut AS (SELECT *, length({collapse("'{\"title\":' || CAST(to_json(text) AS VARCHAR) || ',\"abstract\":' || CAST(to_json(text) AS VARCHAR) || ',\"authors\":' || CAST(to_json(source) AS VARCHAR) || '}'")}) <= {K.REPLY_CHARS_DRAFT} AS fits FROM documents)
-        SELECT doc_id, CASE WHEN fits THEN 'parsed' ELSE 'fallback' END AS status, CASE WHEN fits THEN {sanitize('text', 300)} ELSE '' END AS title,
-        CASE WHEN fits THEN {sanitize('text', 5000)} ELSE '' END AS abstract, CASE WHEN fits THEN source ELSE '' END AS authors FROM cut""",
+    "draft_replies": f"""SELECT doc_id, 'parsed' AS status, {sanitize('text', 300)} AS title, {sanitize('text', 5000)} AS abstract,
+        source AS authors FROM documents""",
     "text_documents": f"""SELECT doc_id, {FIRST_LINE} AS title, CAST(length({strip('text')}) AS INT) AS n,
         substring({strip('text')}, 1, {K.FOCUS_CHARS}) AS focus_text, 'plain_text' AS parser_kind FROM documents""",
     "reader_prompts": _reader_sql(),

@@ -116,6 +116,26 @@ def test_parse_or_keep(spark):
     assert len(rows[0].direct_evidence) == 6 and rows[0].figure_id == "F" and rows[1].figure_id == "Figure 1"
 
 
+def test_every_document_keeps_one_set_of_analyses(spark):
+    rows = [(1, 0, "figures", reply()), (2, 0, "figures", "bad"), (3, 1, "figures", "bad"), (4, 1, "figures", reply())]
+    got = M.parse_analyses(spark.createDataFrame(rows, schemas.RESPONSES), evidence(spark, 3)).collect()
+    assert sorted((r.doc_id, r.main_observations == ["one two"]) for r in got) == [(0, False), (1, True), (2, False)]
+
+
+def test_panels_of_replies_are_kept(spark):
+    figures = spark.createDataFrame([(k, 0, "cap (a)", 1, "Figure 1") for k in range(2)], "doc_id long, caption_order int, caption string, page_number int, figure_id string")
+    fallback = figures.select("doc_id", "caption_order", "page_number", "figure_id", E.caption_panels(F.col("caption"), F.col("figure_id")).alias("panels"), F.lit("x").alias("confidence"))
+    raw = json.dumps({"artifacts": [{"figure_id": "F", "panels": [{"panel_id": "p", "axes": ["x"]}, 3]}]})
+    rows = {r.doc_id: r for r in M.parse_or_keep(responses(spark, raw), "artifacts", K.ARTIFACT_LIMITS, fallback, "confidence").collect()}
+    assert [(p.panel_id, p.axes, p.summary) for p in rows[0].panels] == [("p", ["x"], "")] and rows[1].panels[0].panel_label == "a"
+
+
+def test_long_drafts_are_read_whole(spark):
+    raw = json.dumps({"title": "T", "abstract": "x" * 130000})
+    assert M.parse_drafts(responses(spark, raw)).first().title == "T"
+    assert M.parse_drafts(responses(spark, raw), K.REPLY_CHARS_DRAFT).first().title == ""
+
+
 PAPER = {
     "metadata": {"title": ["A", " B "], "authors": "Solo", "year": 2024},
     "extracted_notes": "wrong",
