@@ -154,7 +154,9 @@ def tool_heading(col: Column) -> Column:
 
 
 def section_title(col: Column) -> Column:
-    return F.initcap(F.replace(col, F.lit("_"), F.lit(" ")))
+    """Title case: every letter after something else is upper case, all others lower."""
+    runs = F.regexp_extract_all(F.lower(F.replace(col, F.lit("_"), F.lit(" "))), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substr(r, F.lit(2)))), "")
 
 
 def figure_suffix(col: Column) -> Column:

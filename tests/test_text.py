@@ -133,6 +133,8 @@ def test_small_helpers(value):
     assert value(T.coerce_int, "1.5x") is None
     assert value(T.unique, ["a", "", "b", "a"], "array<string>") == ["a", "b"]
     assert value(T.section_title, "experimental_setup") == "Experimental Setup"
+    for key in ("f1-score", "3d_view", "it's_OK", "état-final"):
+        assert value(T.section_title, key) == key.replace("_", " ").title()
     assert value(lambda c: T.stored_suffix(c, F.lit("pdf")), "x/NAME.PDF") == ".pdf"
     assert value(lambda c: T.stored_suffix(c, F.lit("pdf")), "name") == ".pdf"
     assert value(lambda c: T.stored_suffix(c, F.lit("plain_text")), ".hidden") == ".txt"
