@@ -9,21 +9,16 @@ from docstruct import constants as K
 from docstruct.functions import text as T
 
 
-def keyword_hits(
-    text: Column, keyword: str, max_hits: int = K.SEARCH_HITS, window: int = K.SEARCH_WINDOW
-) -> Column:
-    """Array of (hit_no, position, snippet); position counts characters from 0.
-
-    ``split`` stops after ``max_hits`` cuts, so a long text is only read as far as needed. The search
-    is case-insensitive and uses the stripped keyword; the snippet width uses the keyword as given.
-    """
+def _hits(plain: Column, low: Column, keyword: str, max_hits: int, window: int) -> Column:
+    """Hits in a text with normalised newlines, given beside its lower-cased form."""
     key = keyword.lower().strip()
 
-    def hits(text: Column, parts: Column) -> Column:
+    def hits(parts: Column, lengths: Column) -> Column:
         def hit(i: Column) -> Column:
-            at = F.length(F.array_join(F.slice(parts, F.lit(1), i), key))
+            before = F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda n, x: n + x)
+            at = before + (i - 1) * len(key)
             left = F.greatest(at - window, F.lit(0))
-            snippet = F.substring(text, left + 1, at + len(keyword) + window - left)
+            snippet = F.substring(plain, left + 1, at + len(keyword) + window - left)
             return F.struct(
                 i.alias("hit_no"),
                 at.alias("position"),
@@ -34,11 +29,22 @@ def keyword_hits(
         return F.transform(found, hit)
 
     return T.let(
-        T.normalise_newlines(text),
-        lambda t: T.let(F.split(F.lower(t), T.quote_pattern(key), max_hits + 1), lambda p: hits(t, p)),
+        F.split(low, T.quote_pattern(key), max_hits + 1),
+        lambda parts: T.let(F.transform(parts, F.length), lambda lengths: hits(parts, lengths)),
     )
 
 
+def keyword_hits(
+    text: Column, keyword: str, max_hits: int = K.SEARCH_HITS, window: int = K.SEARCH_WINDOW
+) -> Column:
+    """Array of (hit_no, position, snippet); position counts characters from 0.
+
+    ``split`` stops after ``max_hits`` cuts, so a long text is only read as far as needed. The search
+    is case-insensitive and uses the stripped keyword; the snippet width uses the keyword as given.
+    """
+    return T.let(T.normalise_newlines(text), lambda t: T.let(F.lower(t), lambda low: _hits(t, low, keyword, max_hits, window)))
+
+
 def keyword_search(
     docs: DataFrame,
     keyword: str,
@@ -64,9 +70,9 @@ def multi_keyword_search(
     """Searches all keywords in one pass over the texts: (key, keyword, hit_no, position, snippet)."""
     usable = [k for k in dict.fromkeys(keywords) if k.strip()]
 
-    def tagged(keyword: str) -> Column:
+    def tagged(plain: Column, low: Column, keyword: str) -> Column:
         return F.transform(
-            keyword_hits(F.col(text), keyword, max_hits, window),
+            _hits(plain, low, keyword, max_hits, window),
             lambda h: F.struct(
                 F.lit(keyword).alias("keyword"),
                 h["hit_no"].alias("hit_no"),
@@ -75,8 +81,13 @@ def multi_keyword_search(
             ),
         )
 
+    # Each text is normalised and lower-cased once for all keywords.
+    found = T.let(
+        T.normalise_newlines(F.col(text)),
+        lambda t: T.let(F.lower(t), lambda low: F.flatten(F.array(*[tagged(t, low, k) for k in usable]))),
+    )
     matching = docs.filter(T.contains_any(F.lower(text), [k.lower().strip() for k in usable]))
-    return matching.select(key, F.inline(F.flatten(F.array(*[tagged(k) for k in usable]))))
+    return matching.select(key, F.inline(found))
 
 
 def keyword_messages(
@@ -96,8 +107,14 @@ def keyword_messages(
     )
 
 
-def section_text(text: Column, name: str) -> Column:
-    """Struct (status, content) for one section name; status is found, prefix or not_found."""
+def _cut(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def section_text(
+    text: Column, name: str, limit: int | None = K.SECTION_CHARS, prefix_limit: int | None = K.ABSTRACT_PREFIX_CHARS
+) -> Column:
+    """Struct (status, content) for one section name; status is found, prefix or not_found. No limit means whole."""
     known = {h for hs in K.TOOL_HEADINGS.values() for h in hs}
     target = name.strip().lower()
     accepted = [h for h in K.TOOL_HEADINGS.get(target, [target]) if h in known]
@@ -111,7 +128,7 @@ def section_text(text: Column, name: str) -> Column:
         later = F.filter(heads, lambda h: h["at"] > start)
         end = F.coalesce(F.get(later, F.lit(0))["at"], F.size(rows))
         chunk = T.strip(F.array_join(F.slice(rows, start + 1, end - start), "\n"))
-        return F.struct(F.lit("found").alias("status"), F.substring(chunk, 1, K.SECTION_CHARS).alias("content"))
+        return F.struct(F.lit("found").alias("status"), _cut(chunk, limit).alias("content"))
 
     def heading_lines(rows: Column) -> Column:
         named = F.transform(rows, lambda line, i: F.struct(i.alias("at"), T.tool_heading(line).alias("name")))
@@ -120,7 +137,7 @@ def section_text(text: Column, name: str) -> Column:
     if target == "abstract":
         other = F.struct(
             F.lit("prefix").alias("status"),
-            T.strip(F.substring(T.normalise_newlines(text), 1, K.ABSTRACT_PREFIX_CHARS)).alias("content"),
+            T.strip(_cut(T.normalise_newlines(text), prefix_limit)).alias("content"),
         )
     else:
         other = F.struct(F.lit("not_found").alias("status"), F.lit(None).cast("string").alias("content"))
@@ -128,5 +145,13 @@ def section_text(text: Column, name: str) -> Column:
     return F.coalesce(hit, other)
 
 
-def extract_section(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(key, section_text(F.col(text), name).alias("s")).select(key, "s.status", "s.content")
+def extract_section(
+    docs: DataFrame,
+    name: str,
+    key: str = "doc_id",
+    text: str = "text",
+    limit: int | None = K.SECTION_CHARS,
+    prefix_limit: int | None = K.ABSTRACT_PREFIX_CHARS,
+) -> DataFrame:
+    found = section_text(F.col(text), name, limit, prefix_limit)
+    return docs.select(key, found.alias("s")).select(key, "s.status", "s.content")

@@ -69,3 +69,5 @@ def test_section_is_cut_at_4000(spark):
     docs = spark.createDataFrame([(0, "Results\n" + "x" * 9000), (1, "y" * 9000)], DOCS)
     assert len(Q.extract_section(docs, "results").filter("doc_id = 0").first().content) == 4000
     assert len(Q.extract_section(docs, "abstract").filter("doc_id = 1").first().content) == 2500
+    whole = Q.extract_section(docs, "results", limit=None).filter("doc_id = 0").first().content
+    assert len(whole) == 9008 and len(Q.extract_section(docs, "abstract", prefix_limit=None).filter("doc_id = 1").first().content) == 9000
