@@ -292,11 +292,39 @@ def research_reports(
 # --- general and paper reports ---------------------------------------------------------------------
 
 
+EMPTY_JSON = ['""', "null", "false", "0", "0.0", "[]", "{}"]
+
+
+def _quoted(text: Column) -> Column:
+    """A string in quotes: single ones, unless it has such and no double ones; backslashes and line feeds escaped."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    single = F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(single)
+
+
+def _listed_entry(v: Column) -> Column:
+    return F.when(P.kind(v) == "STRING", _quoted(P.as_text(v))).otherwise(_plain_entry(v))
+
+
+def _plain_entry(v: Column) -> Column:
+    """Scalars as the report's rules name them; what is nested deeper stays JSON."""
+    return (
+        F.when(v.isNull() | (P.kind(v) == "VOID"), "None")
+        .when(P.kind(v) == "BOOLEAN", F.initcap(P.as_text(v)))
+        .when(P.is_list(v) | P.is_object(v), F.to_json(v))
+        .otherwise(P.as_text(v))
+    )
+
+
+def shown_entry(v: Column) -> Column:
+    """An entry as text: lists in brackets with their strings quoted."""
+    inside = F.array_join(F.transform(P.items(v), _listed_entry), ", ")
+    return F.when(P.is_list(v), F.concat(F.lit("["), inside, F.lit("]"))).otherwise(_plain_entry(v))
+
+
 def rendered_value(v: Column) -> Column:
-    """A value as text, list entries quoted as in a Python list."""
-    quoted = F.concat(F.lit("['"), F.array_join(P.texts(v), "', '"), F.lit("']"))
-    empty = F.size(P.items(v)) == 0
-    return F.when(P.is_list(v), F.when(~empty, quoted)).otherwise(F.nullif(P.as_text(v), F.lit("")))
+    """A value as text; NULL for what counts as empty: also zero, false and empty lists and objects."""
+    return F.when(v.isNotNull() & ~F.to_json(v).isin(*EMPTY_JSON), shown_entry(v))
 
 
 def structured_blocks(json: Column) -> Column:
@@ -305,7 +333,7 @@ def structured_blocks(json: Column) -> Column:
 
     def block(entry: Column) -> Column:
         value = entry["value"]
-        listed = bullets(P.texts(value), MISSING)
+        listed = bullets(F.transform(P.items(value), shown_entry), MISSING)
         nested = F.transform(
             P.object_entries(value, F.to_json(value)),
             lambda c: F.concat(
@@ -313,7 +341,7 @@ def structured_blocks(json: Column) -> Column:
             ),
         )
         members = F.when(F.size(nested) > 0, F.array_join(nested, "\n")).otherwise(f"- {MISSING}")
-        body = F.when(P.is_list(value), listed).when(P.is_object(value), members).otherwise(shown(P.as_text(value)))
+        body = F.when(P.is_list(value), listed).when(P.is_object(value), members).otherwise(shown(rendered_value(value)))
         return F.concat(F.lit("### "), T.label(entry["name"], names), F.lit("\n"), body)
 
     blocks = F.transform(P.object_entries(P.parse_object(json), json), block)
@@ -406,12 +434,10 @@ def filled_metadata(meta: Column) -> Column:
         **{n: json_text(F.nullif(F.col(n), F.lit(""))) for n in ("title", "venue", "year")},
     }
     known = F.create_map(*[part for n, v in fills.items() for part in (F.lit(n), v)])
-    empty = ['""', "null", "false", "0", "0.0", "[]", "{}"]
-
     def kept(entry: Column) -> Column:
         value = F.coalesce(F.to_json(entry["value"]), F.lit("null"))
         fill = F.element_at(known, entry["name"])
-        return json_member(entry["name"], F.when(value.isin(*empty), F.coalesce(fill, value)).otherwise(value))
+        return json_member(entry["name"], F.when(value.isin(*EMPTY_JSON), F.coalesce(fill, value)).otherwise(value))
 
     entries = F.when(P.is_object(meta), P.object_entries(meta, F.to_json(meta)))
     entries = F.coalesce(entries, F.array().cast("array<struct<name:string,value:variant>>"))

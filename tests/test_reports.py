@@ -106,6 +106,16 @@ def test_filled_metadata_keeps_what_is_there(spark):
     assert got[2] == {"title": "T"} and got[3] == {}
 
 
+def test_values_are_shown_by_their_kind(spark):
+    payload = {"n": 0, "m": 1.5, "f": False, "t": True, "l": [1, "it's", 'a"b', True, None], "o": {"x": [1, 2], "y": 0, "z": "s", "e": []}, "s": "text"}
+    row = spark.createDataFrame([(json.dumps(payload),)], "j string").select(R.structured_blocks(F.col("j")).alias("t")).first().t
+    blocks = dict(b.split("\n", 1) for b in row.split("### ")[1:])
+    gap = R.MISSING
+    expected = {"N": gap, "M": "1.5", "F": gap, "T": "True", "S": "text", "L": "- 1\n- it's\n- a\"b\n- True\n- None", "O": f"- **E：** {gap}\n- **X：** [1, 2]\n- **Y：** {gap}\n- **Z：** s"}
+    # Members of nested objects are shown by name: VARIANT keeps them so.
+    assert {k: v.strip() for k, v in blocks.items()} == expected
+
+
 def test_general_mode_asks_for_results(spark, tmp_path):
     with pytest.raises(ValueError, match="results"):
         run.run_corpus(spark, str(tmp_path), str(tmp_path), mode="general_text")
