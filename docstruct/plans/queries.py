@@ -71,7 +71,7 @@ def clean_markup(spark, folder):
     return table(spark, folder, "pages").select(
         "page_id",
         T.clean_title(html).alias("without_links"),
-        T.sanitize_text(html, 500).alias("sanitized"),
+        T.sanitize_text(html).alias("sanitized"),
     )
 
 
@@ -80,7 +80,7 @@ def sanitize_turns(spark, folder):
     return table(spark, folder, "conversations").select(
         "conv_id",
         "turn",
-        T.sanitize_text(F.col("text"), 320).alias("sanitized"),
+        T.sanitize_text(F.col("text")).alias("sanitized"),
         joined(T.sanitize_list(T.lines(F.col("text")), 4, 120)).alias("first_lines"),
     )
 
@@ -532,7 +532,7 @@ def general_reports(spark, folder):
         "doc_id",
         F.lit("").alias("title"),
         F.coalesce(T.infer_title(F.col("text")), F.lit("")).alias("summary"),
-        F.slice(T.lines(F.col("text")), 1, 2).alias("key_points"),
+        T.lines(F.col("text")).alias("key_points"),
         F.array().cast("array<string>").alias("limitations"),
         F.lit("").alias("markdown_report"),
         F.to_json(F.struct("source", F.struct("lang", "n_chars").alias("metadata"))).alias("structured_data"),
@@ -585,15 +585,15 @@ def json_reports(spark, folder):
 def paper_payloads(spark, folder):
     """Loosely typed payloads (a list as title, a string as list, wrong and missing parts) in fixed shape."""
     docs = table(spark, folder, "documents")
-    two_lines = F.slice(T.lines(F.col("text")), 1, 2)
+    lines = T.lines(F.col("text"))
     payload = F.to_json(
         F.struct(
-            F.struct(two_lines.alias("title"), F.col("source").alias("authors"), F.col("n_chars").alias("year")).alias("metadata"),
+            F.struct(lines.alias("title"), F.col("source").alias("authors"), F.col("n_chars").alias("year")).alias("metadata"),
             F.lit("wrong").alias("extracted_notes"),
             F.concat(F.lit("  "), F.col("lang"), F.lit(" ")).alias("novelty"),
             F.col("lang").alias("strengths"),
             F.array(F.lit(" "), F.col("source"), F.lit("")).alias("limitations"),
-            two_lines.alias("reproducibility"),
+            lines.alias("reproducibility"),
         )
     )
     read = docs.select("doc_id", payload.alias("payload")).withColumn("p", M.normalise_paper(F.col("payload")))

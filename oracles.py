@@ -472,8 +472,8 @@ def _step_rows() -> str:
 
 ORACLES: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
-    "clean_markup": f"SELECT page_id, {clean_title('html')} AS without_links, {sanitize('html', 500)} AS sanitized FROM pages",
-    "sanitize_turns": f"""SELECT conv_id, turn, {sanitize('text', 320)} AS sanitized,
+    "clean_markup": f"SELECT page_id, {clean_title('html')} AS without_links, {sanitize('html')} AS sanitized FROM pages",
+    "sanitize_turns": f"""SELECT conv_id, turn, {sanitize('text')} AS sanitized,
         array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {sanitize('x', 120)}), lambda x: x <> '')[1:4], ' | ') AS first_lines
         FROM conversations""",
     "strip_markdown": rf"""SELECT doc_id, {strip(rf"regexp_replace(regexp_replace(regexp_replace({strip("'# ' || text")}, '(?m)^[{SPACE}]*#{{1,6}}[{SPACE}]*', '', 'g'), '(?m)^[{SPACE}]*[-*][{SPACE}]*', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")} AS plain
@@ -718,7 +718,7 @@ def _general_sql() -> str:
     names = labels.FIELD_LABELS["zh"]
     first = rf"nullif(substring({strip(rf"regexp_extract(text, '[^{SPACE}][^\n\r]*')")}, 1, 200), '')"
     bodies = [
-        shown("source"), shown(first), f"array_to_string(list_transform(string_split(text, {NL})[1:2], lambda x: '- ' || x), {NL})",
+        shown("source"), shown(first), f"array_to_string(list_transform(string_split(text, {NL}), lambda x: '- ' || x), {NL})",
         f"'- ' || {MISSING}",
         f"{q('### Source')} || {NL} || source || {NL} || {NL} || {q('### ' + names['metadata'])} || {NL} || {q('- **Lang：** ')} || lang || {NL} || {q('- **N Chars：** ')} || n_chars",
     ]
@@ -776,9 +776,9 @@ ORACLES |= {
          coalesce(l.keys, '') AS section_order, coalesce(c.n, 0) AS figure_count
         FROM {DOC_JOINS} LEFT JOIN drawn g USING (doc_id) LEFT JOIN counted c USING (doc_id)
         LEFT JOIN selected s USING (doc_id) LEFT JOIN listed l USING (doc_id)""",
-    "paper_payloads": f"""WITH two AS (SELECT *, array_to_string(list_filter(list_transform(string_split(text, chr(10))[1:2], lambda x: {strip('x')}), lambda x: x <> ''), ' ') AS both_lines FROM documents)
-        SELECT doc_id, TRUE AS looks_like_paper, FALSE AS is_valid, both_lines AS title, source AS authors, CAST(n_chars AS VARCHAR) AS year, '' AS core_method,
-         lang AS novelty, lang AS strengths, source AS limitations, both_lines AS reproducibility FROM two""",
+    "paper_payloads": f"""WITH joined AS (SELECT *, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> ''), ' ') AS all_lines FROM documents)
+        SELECT doc_id, TRUE AS looks_like_paper, FALSE AS is_valid, all_lines AS title, source AS authors, CAST(n_chars AS VARCHAR) AS year, '' AS core_method,
+         lang AS novelty, lang AS strengths, source AS limitations, all_lines AS reproducibility FROM joined""",
     "parsed_documents": FULL + f""", docs AS (SELECT doc_id, max(page_number) AS page_count FROM blocks GROUP BY doc_id),
         parts AS (SELECT doc_id, {strip("string_agg(content, chr(10) || chr(10) ORDER BY position)")} AS raw_text
          FROM all_sections WHERE section_key NOT IN ('title', 'figures') GROUP BY doc_id),
