@@ -581,6 +581,22 @@ def json_reports(spark, folder):
     )
 
 
+@query
+def merged_metadata(spark, folder):
+    """Payload metadata with lists, quoted names and empty values, filled up from the document."""
+    docs = table(spark, folder, "documents").withColumn("even", F.col("doc_id") % 2 == 0)
+    full = F.struct(
+        F.col("text").alias("title"), F.array("source", "lang").alias("keywords"), F.col("n_chars").alias('say "n"'), F.lit("10.1").alias("doi")
+    )
+    empty = F.struct(F.lit("").alias("title"), F.array().cast("array<string>").alias("authors"), F.lit(0).alias("year"))
+    meta = F.when(F.col("even"), F.to_json(full)).otherwise(F.to_json(empty))
+    rows = docs.select(
+        "doc_id", F.parse_json(meta).alias("meta"), F.col("text").alias("title"), F.array("source").alias("authors"),
+        F.col("lang").alias("venue"), F.col("n_chars").cast("string").alias("year"),
+    )
+    return rows.select("doc_id", R.filled_metadata(F.col("meta")).alias("metadata"))
+
+
 @query
 def paper_payloads(spark, folder):
     """Loosely typed payloads (a list as title, a string as list, wrong and missing parts) in fixed shape."""
