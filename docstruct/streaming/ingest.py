@@ -1,7 +1,8 @@
 """Continuous ingest: new files go through the same structure plan as a batch.
 
-Every rule looks at whole documents, so a document must arrive complete in one micro-batch; a file
-holds whole documents, which is what the file source delivers.
+Every rule looks at whole documents, so a document must arrive complete in one micro-batch. Text files hold one
+document each. Block files may not: rows of a document that an earlier micro-batch has already turned into
+tables are rejected and listed, never made a second document.
 """
 
 from __future__ import annotations
@@ -35,13 +36,22 @@ def ingest_texts(spark: SparkSession, path: str, out: str, checkpoint: str) -> S
 
 
 def ingest_blocks(blocks: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Stream of blocks -> tables ``structure``, ``sections`` and ``figures``, one folder per micro-batch.
+    """Stream of blocks -> tables ``structure``, ``sections``, ``figures`` and ``rejected``, one folder per micro-batch.
 
-    Writing a folder by batch number makes a repeated micro-batch replace its own output.
+    Writing a folder by batch number makes a repeated micro-batch replace its own output. ``rejected`` has
+    ``(doc_id, reason)`` of the documents that came again after their micro-batch; their new rows are left out.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        with staging.scope(batch.sparkSession):
+        spark = batch.sparkSession
+        with staging.scope(spark):
+            if batch_id > 0:
+                seen = spark.read.parquet(f"{out}/structure").filter(F.col("batch") < batch_id).select("doc_id")
+                again = batch.select("doc_id").distinct().join(seen, "doc_id", "left_semi")
+                again.withColumn("reason", F.lit("document_seen_before")).write.mode("overwrite").parquet(
+                    f"{out}/rejected/batch={batch_id}"
+                )
+                batch = batch.join(seen, "doc_id", "left_anti")
             corpus = Corpus(batch, staged=REPORT_PLAN)
             for name in ("structure", "sections", "figures"):
                 getattr(corpus, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")

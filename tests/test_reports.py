@@ -121,6 +121,16 @@ def test_general_mode_asks_for_results(spark, tmp_path):
         run.run_corpus(spark, str(tmp_path), str(tmp_path), mode="general_text")
 
 
+def test_a_document_in_two_files_is_rejected_the_second_time(spark, folder, tmp_path):
+    blocks = seeded_blocks(spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 2"))
+    for part in (blocks.filter("doc_id = 0"), blocks.filter("doc_id = 1 OR page_number = 1")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    ingest_blocks(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(300)
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out/structure").collect()) == [0, 1]
+    assert [(r.doc_id, r.reason) for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect()] == [(0, "document_seen_before")]
+
+
 def test_ingest_streams(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for low in (0, 3):
