@@ -1,5 +1,8 @@
+import re
+
 import pytest
 
+from docstruct import constants as K
 from docstruct.functions import text as T
 from pyspark.sql import functions as F
 
@@ -145,3 +148,14 @@ def test_small_helpers(value):
 
 def test_sentences_keep_accents(value):
     assert value(T.sentences, "Un é. Deux!\xa0Trois? fin") == ["Un é.", "Deux!", "Trois?", "fin"]
+
+
+def test_every_constant_passes_its_own_hint(spark):
+    """The cheap look for a hint word before the patterns must not shut out any constant."""
+    aliases = spark.createDataFrame(list(K.SECTION_ALIASES.items()), "alias string, key string")
+    assert aliases.filter(~F.coalesce(T.heading_key(F.col("alias")) == F.col("key"), F.lit(False))).count() == 0
+    for rule, patterns in ((T.is_citation_line, K.CITATION_PATTERNS), (T.is_venue_line, K.VENUE_LINE_PATTERNS)):
+        plain = [(re.sub(r"\\b", "", p).replace("\\", ""),) for p in patterns]
+        # A mark at the end of a word needs a letter after it to be a word's end.
+        lines = spark.createDataFrame([(f"x {p}" + ("x" if p[-1] in ".," else ""),) for (p,) in plain], "line string")
+        assert lines.filter(~rule(F.col("line"))).count() == 0
