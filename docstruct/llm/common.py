@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -14,12 +15,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; one of its own only for a session in one process that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not named:
-        named = _OWN.setdefault(spark.sparkContext.applicationId, "")
-        if not named:
-            named = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{named.rstrip('/')}/docstruct-{spark.sparkContext.applicationId}"
 
 
@@ -144,5 +145,22 @@ def same_row(d: str = "d2", k: str = "k2") -> Column:
     return F.col("d").eqNullSafe(F.col(d)) & (F.col("k") == F.col(k))
 
 
+def without(docs: DataFrame, bad: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id and text key are not in ``bad`` (``d2, k2``), with all their columns.
+
+    An anti-join that moves few texts: rows whose bit is not set in the fixed-size filter of ``bad`` are surely
+    kept and stay where they are; only the others are shuffled for the exact join.
+    """
+    bits = bit_filter(bad.select(F.xxhash64("d2", "k2").alias("h")), "h")
+    rows = packed(docs, doc_id, text).withColumn("maybe", in_filter(bits, F.xxhash64("d", "k")))
+    checked = rows.where("maybe").join(bad, same_row(), "left_anti")
+    return rows.where("NOT maybe").select("row").union(checked.select("row")).select("row.*")
+
+
+def small(df: DataFrame, most: int = 4096) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, counted here; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x | y, conditions, F.lit(False))
