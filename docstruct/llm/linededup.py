@@ -3,89 +3,97 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import cut, packed, row_key, same_row
+from docstruct.llm.common import bit_filter, cut, in_filter, packed, row_key, same_row
 
 #: Lines of the rolling hash; a chunk may end where it is 0 modulo RATE; lines and words that a chunk has at least.
 WINDOW, RATE, MIN_LINES, MIN_WORDS = 2, 2, 2, 8
-#: A line ends with a line feed, or inside a paragraph after a sentence.
-_LINE = re.compile(r"[^\n.!?]*(?:[.!?](?![\s.!?])[^\n.!?]*)*(?:[.!?]+[^\S\n]*\n?|\n|$)")
+#: What ends a line: a line feed, or inside a paragraph the end of a sentence.
+_END = re.compile(r"[.!?]*\n|[.!?]+[^\S\n]+")
 _MASK, _BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
 def lines_of(text: str) -> list[str]:
     """The lines of a text with what ends them; joined they are the text."""
-    found = [x for x in _LINE.findall(text) if x]
-    return found if sum(map(len, found)) == len(text) else text.splitlines(keepends=True)
+    out, start = [], 0
+    for m in _END.finditer(text):
+        out.append(text[start : m.end()])
+        start = m.end()
+    if start < len(text):
+        out.append(text[start:])
+    return out
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """Cuts a text where the rolling hash over the last lines' hashes says so; joined they are the text.
+def chunks_of(text: str | None) -> list[tuple[str, str | None]]:
+    """Cuts a text where the rolling hash over the last lines' hashes says so; joined the chunks are the text.
 
-    An end depends on the lines before it only, so chunks fall into step again after other text.
+    An end depends on the lines before it only, so chunks fall into step again after other text. Beside each
+    chunk stands what is compared of it, without the white space around it: None for chunks of fewer than
+    ``MIN_LINES`` lines with text or ``MIN_WORDS`` words, which always stay.
     """
-    if not text:
-        return []
-    out: list[str] = []
+    out: list[tuple[str, str | None]] = []
     part: list[str] = []
+    filled = 0
     before = [0] * WINDOW
-    for line in lines_of(text):
+
+    def close() -> None:
+        chunk = "".join(part)
+        body = chunk.strip()
+        out.append((chunk, body if filled >= MIN_LINES and len(body.split(None, MIN_WORDS)) >= MIN_WORDS else None))
+
+    digest = xxhash.xxh64_intdigest
+    for line in lines_of(text or ""):
         part.append(line)
-        before = before[1:] + [xxhash.xxh64_intdigest(line.strip())]
+        bare = line.strip()
+        filled += bare != ""
+        before.pop(0)
+        before.append(digest(bare))
         rolling = 0
         for h in before:
             rolling = (rolling * _BASE + h) & _MASK
         if len(part) >= MIN_LINES and (rolling >> 33) % RATE == 0:
-            out.append("".join(part))
-            part = []
+            close()
+            part, filled = [], 0
     if part:
-        out.append("".join(part))
+        close()
     return out
 
 
-def body_of(chunk: str) -> str | None:
-    """What is compared of a chunk, without the white space around it; NULL for too short ones, which always stay."""
-    body = chunk.strip()
-    if len(body.split()) < MIN_WORDS or len(lines_of(body)) < MIN_LINES:
-        return None
-    return body
-
-
 def _hash(body: str) -> int:
     return xxhash.xxh64_intdigest(body) - (1 << 63)
 
 
 def _bodies(texts: pd.Series) -> pd.Series:
-    made = ([b for b in map(body_of, chunks_of(t)) if b is not None] for t in texts)
-    return pd.Series([[{"h": _hash(b), "body": b} for b in bodies] for bodies in made])
+    return pd.Series([[{"h": _hash(b), "body": b} for _, b in chunks_of(t) if b is not None] for t in texts])
 
 
 def _hashes(texts: pd.Series) -> pd.Series:
-    return pd.Series([sorted({_hash(b) for b in map(body_of, chunks_of(t)) if b is not None}) for t in texts])
+    return pd.Series([sorted({_hash(b) for _, b in chunks_of(t) if b is not None}) for t in texts])
 
 
 def _strip(texts: pd.Series, drops: pd.Series, firsts: pd.Series) -> pd.DataFrame:
     """Removes the chunks of ``drops`` everywhere and those of ``firsts`` after the first time."""
     rows = []
     for text, drop, first in zip(texts, drops, firsts):
-        chunks = chunks_of(text)
         gone, again = set(drop if drop is not None else ()), set(first if first is not None else ())
-        left, seen = [], set()
-        for chunk in chunks:
-            body = body_of(chunk) if gone or again else None
+        if not gone and not again:
+            rows.append((text, 0))
+            continue
+        left, seen, n = [], set(), 0
+        for chunk, body in chunks_of(text):
             h = None if body is None else _hash(body)
             if h is not None and (h in gone or (h in again and h in seen)):
+                n += 1
                 continue
             seen.add(h)
             left.append(chunk)
-        rows.append((None if text is None else "".join(left), len(chunks), len(chunks) - len(left)))
-    return pd.DataFrame(rows, columns=["text", "n_chunks", "n_removed"])
+        rows.append(("".join(left), n))
+    return pd.DataFrame(rows, columns=["text", "n_removed"])
 
 
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,10 +113,10 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
-    """``docs`` without the repeated multi-line chunks of its texts; ``counts`` adds ``n_chunks`` and ``n_removed``.
+    """``docs`` without the repeated multi-line chunks of its texts; ``counts`` adds ``n_removed``.
 
     Of each repeated chunk the first place stays: the least id (a NULL one comes last), there the first time.
-    Rows and other columns stay as they are (but columns with the counts' names give way); repeated rows are one row here and keep the same text. NULL
+    Rows and other columns stay as they are (but a column with the count's name gives way); repeated rows are one row here and keep the same text. NULL
     and empty texts, and chunks of fewer than ``MIN_LINES`` lines or ``MIN_WORDS`` words, stay.
     """
     repeated = cut(repeated_chunks(docs, doc_id, text))
@@ -117,12 +125,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
     flags = (
         owners.join(repeated, "h")
         .groupBy("_d", "_k")
-        .agg(F.collect_list(F.when(~mine, F.col("h"))).alias("_drop"), F.collect_list(F.when(mine, F.col("h"))).alias("_first"))
+        .agg(
+            F.collect_list(F.when(~mine, F.col("h"))).alias("_drop"),
+            F.collect_list(F.when(mine, F.col("h"))).alias("_first"),
+        )
     )
     flags = cut(flags)
-    joined = packed(docs, doc_id, text).join(flags, same_row("_d", "_k"), "left")
-    strip = F.pandas_udf(_strip, "text string, n_chunks bigint, n_removed bigint")
-    done = joined.withColumn("new", strip(F.col("row")[text], F.col("_drop"), F.col("_first")))
-    kept = [c for c in docs.columns if not counts or c not in ("n_chunks", "n_removed")]
+    # Texts that surely have no repeated chunk stay where they are.
+    bits = bit_filter(flags.select(F.xxhash64("_d", "_k").alias("h")), "h")
+    rows = packed(docs, doc_id, text).withColumn("maybe", in_filter(bits, F.xxhash64("d", "k")))
+    clean = rows.where("NOT maybe").select("row", F.struct(F.col("row")[text].alias("text"), F.lit(0).cast("long").alias("n_removed")).alias("new"))
+    strip = F.pandas_udf(_strip, "text string, n_removed bigint")
+    rest = rows.where("maybe").join(flags, same_row("_d", "_k"), "left")
+    done = clean.union(rest.select("row", strip(F.col("row")[text], F.col("_drop"), F.col("_first"))))
+    kept = [c for c in docs.columns if not counts or c != "n_removed"]
     columns = [F.col("new.text").alias(c) if c == text else F.col("row")[c].alias(c) for c in kept]
-    return done.select(*columns, *(["new.n_chunks", "new.n_removed"] if counts else []))
+    return done.select(*columns, *(["new.n_removed"] if counts else []))

@@ -59,7 +59,7 @@ def roots(links, nodes):
 
 def test_lines_and_chunks_are_the_text(texts):
     for text in texts:
-        assert "".join(L.lines_of(text or "")) == (text or "") == "".join(L.chunks_of(text))
+        assert "".join(L.lines_of(text or "")) == (text or "") == "".join(c for c, _ in L.chunks_of(text))
 
 
 def test_chunks_fall_into_step_again(texts):
@@ -71,11 +71,10 @@ def test_chunks_fall_into_step_again(texts):
 def test_line_dedup_against_brute_force(docs, texts):
     got = {r.doc_id: r.text for r in L.dedup_lines(docs).collect()}
     seen, expected = set(), {}
-    often = Counter(b for t in texts for b in map(L.body_of, L.chunks_of(t)) if b)
+    often = Counter(b for t in texts for _, b in L.chunks_of(t) if b)
     for k, text in enumerate(texts):
         left = []
-        for chunk in L.chunks_of(text):
-            body = L.body_of(chunk)
+        for chunk, body in L.chunks_of(text):
             if body and often[body] > 1 and body in seen:
                 continue
             seen.add(body)
