@@ -105,7 +105,8 @@ def fingerprint_links(prints: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     points = F.concat(F.array("fp"), F.transform(flips, lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
     met = survivors.select("fp", F.explode(points).alias("point"))
     hub = met.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("point", "b")
-    pairs = met.join(hub, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    # Both sides are many times what Spark expects after the explode: never a broadcast.
+    pairs = met.join(hub.hint("merge"), "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.where(on_ring(F.col("a"), F.col("b"), distance, segments)).where(hamming(F.col("a"), F.col("b")) <= distance)
 
 
