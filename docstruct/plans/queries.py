@@ -582,7 +582,7 @@ def json_reports(spark, folder):
 
 
 @query
-def merged_metadata(spark, folder):
+def payload_metadata(spark, folder):
     """Payload metadata with lists, quoted names and empty values, filled up from the document."""
     docs = table(spark, folder, "documents").withColumn("even", F.col("doc_id") % 2 == 0)
     full = F.struct(

@@ -776,7 +776,7 @@ ORACLES |= {
          coalesce(l.keys, '') AS section_order, coalesce(c.n, 0) AS figure_count
         FROM {DOC_JOINS} LEFT JOIN drawn g USING (doc_id) LEFT JOIN counted c USING (doc_id)
         LEFT JOIN selected s USING (doc_id) LEFT JOIN listed l USING (doc_id)""",
-    "merged_metadata": """WITH d AS (SELECT doc_id, CAST(to_json(text) AS VARCHAR) AS t, text, CAST(to_json(source) AS VARCHAR) AS s,
+    "payload_metadata": """WITH d AS (SELECT doc_id, CAST(to_json(text) AS VARCHAR) AS t, text, CAST(to_json(source) AS VARCHAR) AS s,
           CAST(to_json(lang) AS VARCHAR) AS l, CAST(n_chars AS VARCHAR) AS n FROM documents)
         SELECT doc_id, CASE WHEN doc_id % 2 = 0
           THEN '{"doi":"10.1","keywords":[' || s || ',' || l || '],"say \\"n\\"":' || n || ',"title":' || t || ',"authors":[' || s || '],"venue":' || l || ',"year":"' || n || '"}'
