@@ -153,7 +153,8 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP
         # Even a perfect repacking saves no bin if the gaps do not add up to one.
         if used[0] and used[0] <= -(-used[1] // capacity):
             last = True
-        rows = packed.join(bins.select("part", "bin", "again"), ["part", "bin"])
+        # As Parquet these tables are much smaller than in memory: they are not to be broadcast for that.
+        rows = packed.join(bins.select("part", "bin", "again").hint("merge"), ["part", "bin"])
         keep = rows if last else rows.where("NOT again")
         done.append(keep.select("u", F.lit(k).alias("round"), "part", "bin", "offset"))
         if last:
@@ -175,4 +176,4 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     pieces = cut(pieces_of(docs, doc_id, text, vocabulary, capacity).withColumn("u", F.monotonically_increasing_id()))
     placed = place_pieces(pieces.select("u", "length"), capacity)
-    return pieces.join(placed, "u").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pieces.join(placed.hint("merge"), "u").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
