@@ -1,20 +1,22 @@
-"""Line dedup: multi-line chunks with content-defined ends, removed where another document already has them."""
+"""Line dedup: lines and runs of lines, removed where another document already has them; also chunks with content-defined ends."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import bit_filter, cut, in_filter, packed, row_key, same_row
+from docstruct.llm.common import bit_filter, cut, in_filter, packed, row_key, same_row, small
 
 #: Lines of the rolling hash; a chunk may end where it is 0 modulo RATE; lines and words that a chunk has at least.
 WINDOW, RATE, MIN_LINES, MIN_WORDS = 2, 2, 2, 8
-#: What ends a line: a line feed, or inside a paragraph the end of a sentence.
-_END = re.compile(r"[.!?]*\n|[.!?]+[^\S\n]+")
+#: What ends a line: a line feed, or inside a paragraph the end of a sentence. It starts with a set of characters, which is what makes it fast.
+_END = re.compile(r"[.!?\n](?:(?<=\n)|[.!?]*(?:\n|[^\S\n]+))")
 _MASK, _BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
@@ -112,6 +114,20 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
+def _without_repeats(docs: DataFrame, flags: DataFrame, strip_texts, doc_id: str, text: str, counts: bool) -> DataFrame:
+    """``docs`` with what ``strip_texts`` leaves of the texts that ``flags`` names."""
+    # Texts that surely have no repeated chunk stay where they are.
+    bits = bit_filter(flags.select(F.xxhash64("_d", "_k").alias("h")), "h")
+    rows = packed(docs, doc_id, text).withColumn("maybe", in_filter(bits, F.xxhash64("d", "k")))
+    clean = rows.where("NOT maybe").select("row", F.struct(F.col("row")[text].alias("text"), F.lit(0).cast("long").alias("n_removed")).alias("new"))
+    strip = F.pandas_udf(strip_texts, "text string, n_removed bigint")
+    rest = rows.where("maybe").join(flags, same_row("_d", "_k"), "left")
+    done = clean.union(rest.select("row", strip(F.col("row")[text], F.col("_drop"), F.col("_first"))))
+    kept = [c for c in docs.columns if not counts or c != "n_removed"]
+    columns = [F.col("new.text").alias(c) if c == text else F.col("row")[c].alias(c) for c in kept]
+    return done.select(*columns, *(["new.n_removed"] if counts else []))
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
     """``docs`` without the repeated multi-line chunks of its texts; ``counts`` adds ``n_removed``.
 
@@ -130,14 +146,113 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
             F.collect_list(F.when(mine, F.col("h"))).alias("_first"),
         )
     )
-    flags = cut(flags)
-    # Texts that surely have no repeated chunk stay where they are.
-    bits = bit_filter(flags.select(F.xxhash64("_d", "_k").alias("h")), "h")
-    rows = packed(docs, doc_id, text).withColumn("maybe", in_filter(bits, F.xxhash64("d", "k")))
-    clean = rows.where("NOT maybe").select("row", F.struct(F.col("row")[text].alias("text"), F.lit(0).cast("long").alias("n_removed")).alias("new"))
-    strip = F.pandas_udf(_strip, "text string, n_removed bigint")
-    rest = rows.where("maybe").join(flags, same_row("_d", "_k"), "left")
-    done = clean.union(rest.select("row", strip(F.col("row")[text], F.col("_drop"), F.col("_first"))))
-    kept = [c for c in docs.columns if not counts or c != "n_removed"]
-    columns = [F.col("new.text").alias(c) if c == text else F.col("row")[c].alias(c) for c in kept]
-    return done.select(*columns, *(["new.n_removed"] if counts else []))
+    return _without_repeats(docs, cut(flags), _strip, doc_id, text, counts)
+
+
+def units_of(text: str | None) -> tuple[list[str], list[tuple[int, int, str]]]:
+    """The lines of a text, and its units: ``(start, stop, body)`` of the shortest runs of lines with ``MIN_WORDS`` words.
+
+    Joined the lines are the text; blank ones belong to the line before (at the start of the text to the one after).
+    A line of ``MIN_WORDS`` words is a unit by itself, a shorter one starts a run and ends one. So of any
+    passage with that many words each line is in a unit within the passage, whatever stands around it.
+    """
+    lines: list[str] = []
+    bare: list[str] = []
+    head = ""
+    for line in lines_of(text or ""):
+        body = line.strip()
+        if body:
+            lines.append(head + line)
+            bare.append(body)
+            head = ""
+        elif lines:
+            lines[-1] += line
+        else:
+            head += line
+    if head:
+        return [head], []
+    sizes = [len(b.split(None, MIN_WORDS)) for b in bare]
+    spans: dict[tuple[int, int], None] = {}
+    for k, size in enumerate(sizes):
+        if size >= MIN_WORDS:
+            spans[k, k + 1] = None
+            continue
+        stop, n = k + 1, size
+        while n < MIN_WORDS and stop < len(sizes):
+            n += sizes[stop]
+            stop += 1
+        if n >= MIN_WORDS:
+            spans[k, stop] = None
+        start, n = k, size
+        while n < MIN_WORDS and start > 0:
+            start -= 1
+            n += sizes[start]
+        if n >= MIN_WORDS:
+            spans[start, k + 1] = None
+    return lines, [(a, b, bare[a] if b == a + 1 else "\n".join(bare[a:b])) for a, b in sorted(spans)]
+
+
+def _unit_hashes(texts: pd.Series) -> pd.Series:
+    made = ([_hash(body) for _, _, body in units_of(t)[1]] for t in texts)
+    return pd.Series([np.array(hashes, np.int64) for hashes in made])
+
+
+def _unit_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``h, body`` of each unit, flat and for few texts at a time, so that little is held."""
+    for batch in batches:
+        for a in range(0, len(batch), 128):
+            found = {body for t in batch["text"].iloc[a : a + 128] for _, _, body in units_of(t)[1]}
+            if found:
+                yield pd.DataFrame({"h": np.fromiter(map(_hash, found), np.int64, len(found)), "body": pd.Series(list(found), dtype=object)})
+
+
+def _strip_units(texts: pd.Series, drops: pd.Series, firsts: pd.Series) -> pd.DataFrame:
+    """Removes the lines in units of ``drops`` everywhere, those of ``firsts`` after the first time."""
+    rows = []
+    for text, drop, first in zip(texts, drops, firsts):
+        # Plain numbers: comparing with NumPy's own is many times slower.
+        gone, again = (set(x.tolist()) if x is not None else set() for x in (drop, first))
+        if not gone and not again:
+            rows.append((text, 0))
+            continue
+        lines, units = units_of(text)
+        out: set[int] = set()
+        ends: dict[int, int] = {}
+        for start, stop, body in units:
+            h = _hash(body)
+            # What overlaps the first place of the same run is part of it.
+            if h in gone or (h in again and ends.setdefault(h, stop) <= start):
+                out.update(range(start, stop))
+        rows.append(("".join(line for k, line in enumerate(lines) if k not in out), len(out)))
+    return pd.DataFrame(rows, columns=["text", "n_removed"])
+
+
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` without the lines that stand in a repeated unit (``units_of``); ``counts`` adds ``n_removed``, the lines.
+
+    Of each unit the first place stays: the least id (a NULL one comes last), there the first time. So every line
+    keeps its first place, and a repeated passage of ``MIN_WORDS`` words goes whole, be it one line or many.
+    Units meet by hash; the bytes of those that meet are compared, and a hash that different texts share
+    removes none of them. Rows and other columns stay as they are (but a column with the count's name gives
+    way); repeated rows are one row here and keep the same text. NULL and empty texts stay.
+    """
+    last = F.lit((1 << 63) - 1)
+    hashed = docs.select(F.col(doc_id).alias("_d"), row_key(doc_id, text).alias("_k"), F.pandas_udf(_unit_hashes, "array<bigint>")(F.col(text)).alias("hs"))
+    hashed = cut(hashed.where(F.size("hs") > 0))
+    each = hashed.select(F.coalesce("_d", last).alias("id"), F.explode("hs").alias("h"))
+    repeated = cut(each.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1").select("h", "first_id"))
+    known = bit_filter(repeated, "h")
+    bodies = docs.select(F.col(text).alias("text")).mapInPandas(_unit_bodies, "h bigint, body string")
+    bodies = bodies.where(in_filter(known, F.col("h"))).groupBy("h", "body").agg(F.lit(1).alias("one"))
+    clash = small(cut(bodies.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")))
+    owners = hashed.select("_d", "_k", F.explode(F.array_distinct("hs")).alias("h")).where(in_filter(known, F.col("h")))
+    mine = F.coalesce(F.col("_d"), last) == F.col("first_id")
+    flags = (
+        owners.join(repeated.join(clash, "h", "left_anti").hint("merge"), "h")
+        .groupBy("_d", "_k")
+        .agg(
+            F.collect_set(F.when(~mine, F.col("h"))).alias("_drop"),
+            F.collect_set(F.when(mine, F.col("h"))).alias("_first"),
+        )
+    )
+    return _without_repeats(docs, cut(flags), _strip_units, doc_id, text, counts)

@@ -10,7 +10,7 @@ from docstruct.llm.common import table
 from docstruct.llm.decontam import contamination
 from docstruct.llm.kneser_ney import classify
 from docstruct.llm.langid import language_table
-from docstruct.llm.linededup import dedup_lines
+from docstruct.llm.linededup import dedup_passages
 from docstruct.llm.packing import pack_documents
 from docstruct.llm.pages import extract_pages
 from docstruct.llm.quality import quality_rules, train
@@ -32,7 +32,7 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", "n_removed")
+    return dedup_passages(docs).select("doc_id", "text", "n_removed")
 
 
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

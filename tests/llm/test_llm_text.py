@@ -84,6 +84,44 @@ def test_line_dedup_against_brute_force(docs, texts):
     assert sum(len(t or "") for t in got.values()) < sum(len(t or "") for t in texts)
 
 
+def test_planted_passages_go_whole(spark):
+    rng = random.Random(11)
+    rows, plain, passages = [], {}, {}
+    for n in range(1, 7):
+        for sep in (" ", "\n"):
+            long = [sentence(rng, 60 // n + 1) for _ in range(n)]
+            short = [sentence(rng, 3) for _ in range(20)] if n == 6 else []
+            for passage in filter(None, (long, short)):
+                for copy in range(3):
+                    k = len(rows)
+                    before, after = ([sentence(rng, rng.randint(2, 12)) for _ in range(rng.randint(0, 5))] for _ in range(2))
+                    rows.append((k, sep.join(before + passage + after)))
+                    plain[k], passages[k] = before + after, (passage, copy)
+    got = {r.doc_id: r for r in L.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for k, (passage, copy) in passages.items():
+        left = [x.strip() for x in L.lines_of(got[k].text)]
+        if copy:
+            assert left == plain[k] and got[k].n_removed == len(passage)
+        else:
+            assert got[k].text == rows[k][1] and got[k].n_removed == 0
+
+
+def test_passages_against_brute_force(docs, texts):
+    got = {r.doc_id: r.text for r in L.dedup_passages(docs).collect()}
+    first, expected = {}, {}
+    for k, text in enumerate(texts):
+        lines, units = L.units_of(text)
+        assert "".join(lines) == (text or "")
+        gone = set()
+        for a, b, body in units:
+            assert len(body.split()) >= 8 and (b == a + 1 or len(body.split("\n")) == b - a)
+            at = first.setdefault(body, (k, b))
+            if at[0] < k or at[1] <= a:
+                gone |= set(range(a, b))
+        expected[k] = None if text is None else "".join(x for j, x in enumerate(lines) if j not in gone)
+    assert got == expected
+
+
 def test_fingerprints_and_components_against_brute_force(docs, texts):
     def brute(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
