@@ -13,9 +13,8 @@ from docstruct.llm.common import components, cut, packed, row_key
 SEED = 42
 #: ``op9``: words of a shingle, bits that may differ, segments of the ring.
 WORDS, DISTANCE, SEGMENTS = 3, 2, 16
-#: Near copies: words of a shingle, Jaccard similarity, sampled sketches, bits that may differ before the exact check,
-#: and members up to which a group's pairs are all looked at.
-NEAR_WORDS, SIMILARITY, SKETCHES, NEAR_DISTANCE, SMALL = 5, 0.8, 12, 20, 8
+#: Near copies: words of a shingle, Jaccard similarity, sampled sketches, and members up to which a group's pairs are all looked at.
+NEAR_WORDS, SIMILARITY, SKETCHES, SMALL = 5, 0.8, 12, 8
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -139,8 +138,8 @@ def _sketch(texts: pd.Series, words: int, sketches: int) -> pd.DataFrame:
         mixed = kinds[None, :] * factors[:, None]
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        rows.append((fingerprint(kinds), same, kinds[mixed.argmin(1)].view(np.int64).tolist()))
-    return pd.DataFrame(rows, columns=["fp", "same", "sketch"])
+        rows.append((len(kinds), same, kinds[mixed.argmin(1)].view(np.int64).tolist()))
+    return pd.DataFrame(rows, columns=["kinds", "same", "sketch"])
 
 
 def jaccard(a: str, b: str, words: int = NEAR_WORDS) -> float:
@@ -152,10 +151,10 @@ def jaccard(a: str, b: str, words: int = NEAR_WORDS) -> float:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, row_key, component_id`` of every different (id, text): groups of texts with a similarity of 0.8 or more.
 
-    A similarity of 0.8 leaves two 64-bit fingerprints some ten bits apart, too far for keys on the ring. So
-    candidates are texts of which one of twelve min-wise samples of the shingles has the same fingerprint; the
-    pigeonring condition and the full Hamming check of the whole texts' fingerprints, with ``NEAR_DISTANCE`` bits,
-    prune them, and the shingle sets of the whole texts decide. Texts with the same words are one node. Groups
+    A similarity of 0.8 leaves two 64-bit fingerprints some ten bits apart, at times over twenty: too far for keys on
+    the ring, and no bound that would lose no pair. So candidates are texts that share one of twelve min-wise
+    samples of the shingles, less those of which one has under 0.8 times the other's shingles, which cannot be
+    similar; the shingle sets of the whole texts decide. Texts with the same words are one node. Groups
     of at most ``SMALL`` look at all their pairs; larger ones, and their parts that agree in the next sample
     too, are compared with the member that shares most samples with others, which is what the copies
     of one text have in common. Wordless texts are one group.
@@ -163,15 +162,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     def sketch(texts: pd.Series) -> pd.DataFrame:
         return _sketch(texts, words, SKETCHES)
 
-    sketched = F.pandas_udf(sketch, "fp bigint, same string, sketch array<bigint>")(F.col(text))
+    sketched = F.pandas_udf(sketch, "kinds bigint, same string, sketch array<bigint>")(F.col(text))
     made = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), sketched.alias("s"))
     made = cut(made.select("doc_id", "row_key", "s.*"))
-    classes = cut(made.groupBy("same", "fp", "sketch").agg(F.min("doc_id").alias("id"), F.min_by("row_key", "doc_id").alias("key")).where("id IS NOT NULL"))
+    classes = cut(made.groupBy("same", "kinds", "sketch").agg(F.min("doc_id").alias("id"), F.min_by("row_key", "doc_id").alias("key")).where("id IS NOT NULL"))
     turned = F.concat("sketch", F.slice("sketch", 1, 1))
     both = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda j: F.struct(j.alias("j"), F.get(turned, j).alias("s"), F.get(turned, j + 1).alias("t")))
-    keys = classes.where(F.size("sketch") > 0).select("id", "fp", F.inline(both))
-    one = keys.select("id", "fp", "j", F.xxhash64("s").alias("g"))
-    two = keys.select("id", "fp", (F.col("j") + SKETCHES).alias("j"), F.xxhash64("s", "t").alias("g"))
+    keys = classes.where(F.size("sketch") > 0).select("id", "kinds", F.inline(both))
+    one = keys.select("id", "kinds", "j", F.xxhash64("s").alias("g"))
+    two = keys.select("id", "kinds", (F.col("j") + SKETCHES).alias("j"), F.xxhash64("s", "t").alias("g"))
     keys = one.union(two)
     sizes = keys.groupBy("j", "g").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(keys.join(sizes, ["j", "g"]))
@@ -179,14 +178,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     famous = shared.where(F.col("n") > SMALL).join(fame, "id")
     pivot = famous.groupBy("j", "g").agg(F.max("fame").alias("fame")).join(famous, ["j", "g", "fame"]).groupBy("j", "g").agg(F.min("id").alias("id"))
     pivot = pivot.select("j", "g", F.col("id").alias("b"))
-    fps = classes.select(F.col("id").alias("b"), F.col("fp").alias("fq"))
+    counts = classes.select(F.col("id").alias("b"), F.col("kinds").alias("others"))
     large = shared.where(F.col("n") > SMALL).join(pivot, ["j", "g"]).where("id <> b").select("id", "b").distinct()
-    large = large.join(classes.select("id", "fp"), "id").join(fps, "b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"), "fp", "fq")
-    little = shared.where(F.col("n") <= SMALL).select("j", "g", "id", "fp")
-    other = little.select("j", "g", F.col("id").alias("b"), F.col("fp").alias("fq"))
-    little = little.join(other, ["j", "g"]).where("b < id").select(F.col("id").alias("a"), "b", "fp", "fq")
+    large = large.join(classes.select("id", "kinds"), "id").join(counts, "b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"), "kinds", "others")
+    little = shared.where(F.col("n") <= SMALL).select("j", "g", "id", "kinds")
+    other = little.select("j", "g", F.col("id").alias("b"), F.col("kinds").alias("others"))
+    little = little.join(other, ["j", "g"]).where("b < id").select(F.col("id").alias("a"), "b", "kinds", "others")
     pairs = little.union(large).distinct()
-    pairs = pairs.where(on_ring(F.col("fp"), F.col("fq"), NEAR_DISTANCE)).where(hamming(F.col("fp"), F.col("fq")) <= NEAR_DISTANCE)
+    # No two sets are more similar than their sizes.
+    pairs = pairs.where(F.least("kinds", "others") / F.greatest("kinds", "others") >= similarity)
     pairs = cut(pairs.select("a", "b").distinct())
 
     # The texts of the candidates only, then the exact check on whole texts.

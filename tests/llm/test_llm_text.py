@@ -172,6 +172,20 @@ def test_near_copies_against_brute_force(docs, texts):
     assert S.keep_one(docs).count() == len(set(got.values()))
 
 
+def test_near_copies_with_far_fingerprints_are_found(spark):
+    """Pairs at 0.8 or more whose fingerprints differ in over 20 bits, which a Hamming bound would lose."""
+    rng, rows, n = random.Random(12), [], 0
+    while n < 12:
+        words = [f"q{rng.randrange(10**9)}" for _ in range(9)]
+        a, b = " ".join(words[:8]), " ".join(words)
+        x, y = (S.fingerprint(S.shingle_hashes(t, 5)) for t in (a, b))
+        if S.jaccard(a, b) >= 0.8 and ((x ^ y) & ((1 << 64) - 1)).bit_count() > 20:
+            rows += [(2 * n, a), (2 * n + 1, b)]
+            n += 1
+    got = {r.doc_id: r.component_id for r in S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(2 * n)}
+
+
 def test_contamination_against_brute_force(spark, docs, texts):
     def words(text):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
