@@ -81,4 +81,24 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host <> '' AND hos
     IN (SELECT n FROM reach) THEN 'block' END, 'allow') AS verdict FROM own
 """
 
-ORACLES = {"op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7, "op10_url_filters": OP10}
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS g FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u,
+         CAST('0x' || g[1:8] AS BIGINT) AS h1, CAST('0x' || g[9:16] AS BIGINT) AS h2, CAST('0x' || g[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS i, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS j,
+         t = '' OR regexp_matches(t, '<[PSM]>') AS plain FROM u),
+p AS (
+  SELECT *, array_to_string(u[1:i], '') AS p, array_to_string(u[i + 1:j], '') AS m, array_to_string(u[j + 1:], '') AS s,
+         CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN NOT plain THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN NOT plain THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op11_fill_in_middle": OP11, "op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7, "op10_url_filters": OP10}

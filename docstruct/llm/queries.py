@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docstruct.llm.chat import chat_digests, format_chats, text_parts
 from docstruct.llm.common import table
 from docstruct.llm.decontam import contamination
+from docstruct.llm.infill import infill_digests
 from docstruct.llm.kneser_ney import classify
 from docstruct.llm.langid import language_table
 from docstruct.llm.linededup import dedup_passages
@@ -67,6 +68,10 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"))
 
 
+def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill_digests(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
     "op2_quality_classifier": quality_classifier,
@@ -78,4 +83,5 @@ QUERIES = {
     "op8_line_dedup": line_dedup,
     "op9_simhash_near_dedup": simhash_near_dedup,
     "op10_url_filters": url_filters,
+    "op11_fill_in_middle": fill_in_middle,
 }
