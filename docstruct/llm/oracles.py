@@ -101,4 +101,60 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN NOT plain THEN CAST(lengt
 FROM p
 """
 
-ORACLES = {"op11_fill_in_middle": OP11, "op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7, "op10_url_filters": OP10}
+OP13 = r"""
+WITH RECURSIVE field AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                     lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: CAST(0 AS BIGINT))),
+                                           lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END)) AS crc
+  FROM documents),
+said AS (
+  SELECT doc_id, source,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS start,
+         text, coalesce(xor(crc, CAST(4294967295 AS BIGINT)) % 2 = 0, false) AS tampered
+  FROM field),
+leaf AS (
+  SELECT doc_id, source, sha256(start || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN tampered THEN sha256(start || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))
+              ELSE sha256(start || coalesce(strlen(text) || ':' || text, '-')) END AS shown
+  FROM said),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, shown) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS size FROM leaf),
+tree(source, level, pos, size, digest) AS (
+  SELECT source, 0, pos, size, leaf FROM placed
+  UNION ALL
+  SELECT source, any_value(level) + 1, pos // 3, any_value((size + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos))
+  FROM tree WHERE size > 1 GROUP BY source, pos // 3),
+subroot AS (SELECT source, level AS levels, digest AS subroot FROM tree WHERE size = 1),
+grp AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM subroot),
+top(level, pos, size, digest) AS (
+  SELECT 0, pos, size, subroot FROM grp
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 3, any_value((size + 2) // 3), sha256(string_agg(digest, '' ORDER BY pos))
+  FROM top WHERE size > 1 GROUP BY pos // 3),
+node AS (
+  SELECT g.pos AS g, t.level, t.pos, t.digest FROM tree t JOIN grp g ON t.source IS NOT DISTINCT FROM g.source WHERE t.size > 1
+  UNION ALL SELECT -1, level, pos, digest FROM top WHERE size > 1),
+way AS (
+  SELECT row_number() OVER () AS row, p.doc_id, p.leaf, p.shown, p.pos, g.pos AS g, g.levels, g.subroot
+  FROM placed p JOIN grp g ON p.source IS NOT DISTINCT FROM g.source),
+height AS (SELECT max(level) AS h, max(digest) FILTER (WHERE size = 1) AS root FROM top),
+walk(row, step, tree, level, place, shown, proof) AS (
+  SELECT row, 0, CASE WHEN levels = 0 THEN -1 ELSE g END, 0, CASE WHEN levels = 0 THEN g ELSE pos END, shown, '' FROM way
+  UNION ALL
+  SELECT w.row, any_value(w.step) + 1,
+         CASE WHEN any_value(w.tree) >= 0 AND any_value(w.level) + 1 = any_value(y.levels) THEN -1 ELSE any_value(w.tree) END,
+         CASE WHEN any_value(w.tree) >= 0 AND any_value(w.level) + 1 = any_value(y.levels) THEN 0 ELSE any_value(w.level) + 1 END,
+         CASE WHEN any_value(w.tree) >= 0 AND any_value(w.level) + 1 = any_value(y.levels) THEN any_value(y.g) ELSE any_value(w.place) // 3 END,
+         sha256(string_agg(CASE WHEN n.pos = w.place THEN w.shown ELSE n.digest END, '' ORDER BY n.pos)),
+         any_value(w.proof) || coalesce(string_agg(CASE WHEN n.pos <> w.place THEN n.digest END, '' ORDER BY n.pos), '')
+  FROM walk w JOIN way y ON w.row = y.row JOIN node n ON n.g = w.tree AND n.level = w.level AND n.pos // 3 = w.place // 3
+  GROUP BY w.row)
+SELECT y.doc_id, y.leaf, y.subroot, root, sha256(w.proof) AS proof_sha256, w.shown AS folded_root, w.shown = root AS verified
+FROM way y JOIN walk w ON w.row = y.row, height WHERE w.tree = -1 AND w.level = h
+"""
+
+ORACLES = {"op13_merkle_manifest": OP13, "op11_fill_in_middle": OP11, "op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7, "op10_url_filters": OP10}

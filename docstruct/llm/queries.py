@@ -12,6 +12,7 @@ from docstruct.llm.infill import infill_digests
 from docstruct.llm.kneser_ney import classify
 from docstruct.llm.langid import language_table
 from docstruct.llm.linededup import dedup_passages
+from docstruct.llm.merkle import verify_documents
 from docstruct.llm.packing import pack_documents
 from docstruct.llm.pages import extract_pages
 from docstruct.llm.quality import quality_rules, train
@@ -72,6 +73,10 @@ def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return infill_digests(table(spark, folder, "documents"))
 
 
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return verify_documents(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
     "op2_quality_classifier": quality_classifier,
@@ -84,4 +89,5 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash_near_dedup,
     "op10_url_filters": url_filters,
     "op11_fill_in_middle": fill_in_middle,
+    "op13_merkle_manifest": merkle_manifest,
 }
