@@ -15,6 +15,7 @@ from docstruct.llm.linededup import dedup_passages
 from docstruct.llm.merkle import verify_documents
 from docstruct.llm.packing import pack_documents
 from docstruct.llm.pages import extract_pages
+from docstruct.llm.personal import personal_table
 from docstruct.llm.quality import quality_rules, train
 from docstruct.llm.simhash import near_groups
 from docstruct.llm.urls import judge_urls
@@ -77,6 +78,10 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return verify_documents(table(spark, folder, "documents"))
 
 
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_table(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
     "op2_quality_classifier": quality_classifier,
@@ -89,5 +94,6 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash_near_dedup,
     "op10_url_filters": url_filters,
     "op11_fill_in_middle": fill_in_middle,
+    "op12_personal_data": personal_data,
     "op13_merkle_manifest": merkle_manifest,
 }
