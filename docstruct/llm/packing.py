@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,17 +23,20 @@ SEPARATOR = 0
 
 @lru_cache(maxsize=4)
 def _encoder(vocabulary: str):
-    """The vocabulary's ranks, read in each Python worker; special strings in a text are ordinary text."""
+    """The vocabulary's ranks and added tokens, read in each Python worker."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("docstruct", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(vocabulary.rsplit(".", 1)[0] + ".json"), encoding="utf-8") as f:
+        added = {token["content"]: token["id"] for token in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("docstruct", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def tokenize(text: str | None, vocabulary: str) -> np.ndarray:
-    ids = _encoder(vocabulary).encode_to_numpy(text or "", disallowed_special=())
+    """Ids of a text and the separator. An added token that stands in the text is that token, as in ``tokenizers``."""
+    ids = _encoder(vocabulary).encode_to_numpy(text or "", allowed_special="all")
     return np.append(ids, np.uint32(SEPARATOR)).astype("<u4")
 
 

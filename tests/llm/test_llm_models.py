@@ -35,8 +35,7 @@ def test_tokens_are_those_of_the_tokenizer(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    texts = [r.text for r in docs.limit(150).collect()] + ["", "a <|endoftext|> b", "  x\n\n\ty  ", "ÀÉ中文\U0001f600", " ", "'s don't I'LL 12345 \u00a0 z"]
+    texts = [r.text or "" for r in docs.collect()] + ["", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y<|endoftext", "  x\n\n\ty  ", "ÀÉ中文\U0001f600", " ", "'s don't I'LL 12345 \u00a0 z"]
     for text, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert B.tokenize(text, "byte_bpe_50k.tiktoken").tolist() == e.ids + [0]
 
