@@ -410,9 +410,10 @@ def _listed(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(rows["j"], ","), F.lit("]")).alias(name))
 
 
-def source_structure(parser_kind: str = "pdf") -> Column:
+def source_structure(parser_kind: str | Column = "pdf") -> Column:
+    kind = F.lit(parser_kind) if isinstance(parser_kind, str) else parser_kind
     return F.struct(
-        F.lit(parser_kind).alias("parser_kind"), "page_count", F.coalesce("doi", F.lit("")).alias("doi"),
+        kind.alias("parser_kind"), "page_count", F.coalesce("doi", F.lit("")).alias("doi"),
         "section_order", "figure_count",
     )
 
@@ -455,7 +456,11 @@ def merged_results(
     evidence: DataFrame,
     analyses: DataFrame,
 ) -> DataFrame:
-    """(doc_id, structured_data): the model payload with metadata filled up and the figure tables added."""
+    """(doc_id, structured_data): the model payload with metadata filled up and the figure tables added.
+
+    ``structure`` may name the ``parser_kind`` of each document; without it all are block documents.
+    """
+    kind = F.col("parser_kind") if "parser_kind" in structure.columns else "pdf"
     paper, meta = F.col("payload"), F.col("payload_metadata")
     joined = (
         structure.join(results.select("doc_id", "structured_data"), "doc_id", "left")
@@ -484,7 +489,7 @@ def merged_results(
         member("figure_evidence", F.col("figure_evidence")),
         member("figure_analyses", F.col("figure_analyses")),
         member("selected_sections", F.to_json("selected_sections")),
-        member("source_structure", F.to_json(source_structure())),
+        member("source_structure", F.to_json(source_structure(kind), {"ignoreNullFields": "false"})),
     ]
     body = F.array_join(F.concat(F.coalesce(kept, F.array().cast("array<string>")), F.array(*tail)), ",")
     return joined.select("doc_id", F.concat(F.lit("{"), body, F.lit("}")).alias("structured_data"))

@@ -244,12 +244,18 @@ def draft_figures(drafts: DataFrame, figures: DataFrame) -> DataFrame:
 def apply_drafts(
     structure: DataFrame, sections: DataFrame, figures: DataFrame, drafts: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Drafts over the rule results, field by field: (metadata, sections, figures)."""
+    """Drafts over the rule results, field by field: (metadata, sections, figures).
+
+    A draft may place the ``figures`` section; its text always lists the figures where there are any.
+    """
     fields = ["title", "authors", "doi", "venue", "year", "abstract", "discarded_noise", "uncertainties"]
     merged = S.merge_fields(drafts, structure, fields)
     figures = draft_figures(drafts, figures)
     written = sections.filter(~F.col("section_key").isin("title", "figures"))
     replaced = S.merge_sections(written, draft_sections(drafts))
+    is_figures = F.col("section_key") == "figures"
+    undrawn = replaced.filter(is_figures).join(figures.select("doc_id").distinct(), "doc_id", "left_anti")
+    replaced = replaced.filter(~is_figures).unionByName(undrawn)
     order = drafts.select("doc_id", F.posexplode("section_order").alias("position", "section_key"))
     drawn = figures_sections(figures).withColumnRenamed("place", "position")
     overlaid = S.overlay_sections(drawn, replaced, order)

@@ -31,6 +31,7 @@ from docstruct.plans.corpus import (
     parsed_text_documents,
     plain_focus,
 )
+from docstruct.plans.mixed import PARSED_PLAN, MixedCorpus, mixed_tables
 from docstruct.plans.run import no_results, research_tables
 from docstruct.plans.staging import app_folder, stage_folder
 from docstruct.sources.seed import seeded_blocks
@@ -628,6 +629,150 @@ def paper_payloads(spark, folder):
     )
 
 
+def _fenced(json: Column) -> Column:
+    return F.concat(F.lit("Here it is:\n```json\n"), json, F.lit("\n```"))
+
+
+def _model_replies(spark, folder) -> DataFrame:
+    """Replies of all kinds, made from the documents: by the last digit of the id good, unreadable, absent and repeated ones.
+
+    0, 1 and 6: good; 2: broken off; 3 and 8: none; 4: good, then an empty one; 5: unreadable, then good; 7: no object; 9: a bare
+    object with other types than asked for. The digit is that of the id plus 1 for evidence, plus 2 for analyses.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    doc = F.col("doc_id").cast("string")
+    start = F.coalesce(F.nullif(T.sanitize_text(F.col("text"), 90), F.lit("")), F.lit("none"))
+
+    def words(prefix: str) -> Column:
+        return F.concat(F.lit(prefix), doc)
+
+    figure = F.struct(
+        F.lit("Figure 9").alias("figure_id"), F.concat(F.lit("Accuracy of "), "source").alias("caption"), F.lit("3").alias("page_number"),
+        F.array(words("see "), F.lit(" ")).alias("referenced_text_spans"),
+    )
+    drafts = {
+        "good": F.struct(
+            words("Draft ").alias("title"), F.array("source", F.lit("B. Author")).alias("authors"), F.lit(1999).alias("year"),
+            F.struct(start.alias("Methods "), words("notes of ").alias("notes"), F.lit("not kept").alias("figures")).alias("sections"),
+            F.array(F.lit("notes"), F.lit("Results"), F.lit("figures")).alias("section_order"),
+        ),
+        "drawn": F.struct(F.array(figure, figure).alias("figures"), F.struct(start.alias("abstract"), words("end of ").alias("closing")).alias("sections")),
+        "loose": F.struct(F.lit(7).alias("title"), F.col("source").alias("authors"), F.lit("2001").alias("year"), F.lit("x").alias("sections")),
+    }
+    analysis = F.struct(
+        F.lit("Figure 1").alias("figure_id"), start.alias("figure_title_or_caption"), F.array("source", "lang").alias("compared_items"),
+        F.array(words("seen in ")).alias("main_observations"), words("concluded ").alias("claimed_conclusion"), F.lit("").alias("confidence"),
+    )
+    artifact = F.struct(
+        F.lit("Figure 1").alias("figure_id"), F.lit("bar_chart").alias("figure_type"), F.array("lang").alias("axes"),
+        F.array(words("bars of ")).alias("direct_evidence"), F.lit("high").alias("confidence"),
+    )
+    listed = {"artifacts": ("artifacts", artifact), "evidence": ("evidences", artifact), "analyses": ("analyses", analysis)}
+    rows = []
+    for kind in ("draft", *listed):
+        digit = (F.col("doc_id") + {"evidence": 1, "analyses": 2}.get(kind, 0)) % 10
+        if kind == "draft":
+            good = F.when(digit == 1, F.to_json(drafts["drawn"])).otherwise(F.to_json(drafts["good"]))
+            loose = F.to_json(drafts["loose"])
+        else:
+            key, item = listed[kind]
+            good, loose = F.to_json(F.struct(F.array(item).alias(key))), F.to_json(F.struct(F.lit("x").alias(key)))
+        first = (
+            F.when(digit.isin(0, 1, 4, 6), _fenced(good))
+            .when(digit == 2, F.substring(_fenced(good), 1, 60))
+            .when(digit.isin(5, 7), F.lit("nothing to say"))
+            .when(digit == 9, loose)
+        )
+        second = F.when(digit == 4, F.lit("{}")).when(digit == 5, _fenced(good))
+        for n, raw in enumerate((first, second)):
+            rows.append(docs.select((F.col("doc_id") * 2 + n).alias("response_id"), "doc_id", F.lit(kind).alias("kind"), raw.alias("raw")))
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return every.filter(F.col("raw").isNotNull())
+
+
+def _model_results(spark, folder) -> DataFrame:
+    """Results of the text roles for two documents in five: a whole paper payload, or a summary alone."""
+    docs = table(spark, folder, "documents")
+    doc = F.col("doc_id").cast("string")
+    notes = F.struct(
+        F.concat(F.lit("problem "), doc).alias("research_problem"), F.concat(F.lit("method "), doc).alias("core_method"),
+        F.array("source", F.lit("set B")).alias("datasets"), F.concat(F.lit("setup "), doc).alias("experimental_setup"),
+        F.concat(F.lit("results "), doc).alias("main_results"),
+    )
+    paper = F.struct(
+        F.struct(F.array(F.lit("C. Writer")).alias("authors"), F.lit("Venue of results").alias("venue")).alias("metadata"), notes.alias("extracted_notes"),
+        F.concat(F.lit("novel "), doc).alias("novelty"), F.array(F.lit("strong"), F.lit(" ")).alias("strengths"),
+        F.array(F.lit("weak")).alias("limitations"), F.lit("code is there").alias("reproducibility"),
+    )
+    full = F.col("doc_id") % 5 == 0
+    return docs.filter(full | (F.col("doc_id") % 5 == 3)).select(
+        "doc_id", F.lit("").alias("title"), F.concat(F.lit("summary "), doc).alias("summary"),
+        F.when(full, F.array(F.concat(F.lit("point "), doc), F.lit("second"))).otherwise(F.array().cast("array<string>")).alias("key_points"),
+        F.array().cast("array<string>").alias("limitations"), F.lit("").alias("markdown_report"),
+        F.when(full, F.to_json(paper)).otherwise("{}").alias("structured_data"),
+    )
+
+
+def mixed_corpus(spark, folder) -> MixedCorpus:
+    """Every third document is a plain text, the others are seeded blocks; both have replies."""
+    docs = table(spark, folder, "documents")
+    is_text = F.col("doc_id") % 3 == 2
+    parsed = Corpus(seeded_blocks(docs.filter(~is_text)), staged=PARSED_PLAN)
+    return MixedCorpus(parsed, docs.filter(is_text).select("doc_id", "text"), _model_replies(spark, folder))
+
+
+@query
+def applied_drafts(spark, folder):
+    """Documents after their drafts, whole: metadata, section texts in order, figures, raw text."""
+    c = mixed_corpus(spark, folder)
+    texts = F.array_sort(F.collect_list(F.struct("position", F.concat_ws("=", "section_key", "content").alias("t"))))["t"]
+    drawn = F.array_sort(F.collect_list(F.struct("caption_order", F.concat_ws("=", "figure_id", "caption", "page_number", joined("referenced_text_spans")).alias("t"))))["t"]
+    sections = c.sections.groupBy("doc_id").agg(joined(texts, "\n").alias("sections"))
+    figures = c.figures.groupBy("doc_id").agg(joined(drawn, "\n").alias("figures"))
+    return (
+        c.structure.join(sections, "doc_id", "left").join(figures, "doc_id", "left").join(c.raw_texts, "doc_id", "left")
+        .select(
+            "doc_id", "parser_kind", "title", joined("authors").alias("authors"), "doi", "venue", "year", joined("section_order").alias("section_order"),
+            "figure_count", F.coalesce("sections", F.lit("")).alias("sections"), F.coalesce("figures", F.lit("")).alias("figures"), "raw_text",
+        )
+    )
+
+
+@query
+def artifact_replies(spark, folder):
+    """Artifacts and the evidence made of them, from replies where a readable one exists, else by rule."""
+    c = mixed_corpus(spark, folder)
+    evidence = c.evidence.select(
+        "doc_id", "caption_order", "figure_id", "figure_type", joined("metrics_or_axes").alias("axes"), joined("direct_evidence").alias("direct_evidence"),
+        F.col("evidence_quality").alias("confidence"), F.lit("evidence").alias("kind"),
+    )
+    artifacts = c.artifacts.select(
+        "doc_id", "caption_order", "figure_id", "figure_type", joined("axes").alias("axes"), joined("direct_evidence").alias("direct_evidence"),
+        "confidence", F.lit("artifact").alias("kind"),
+    )
+    return artifacts.unionByName(evidence)
+
+
+@query
+def analysis_replies(spark, folder):
+    c = mixed_corpus(spark, folder)
+    lists = ("compared_items", "metrics_or_axes", "main_observations")
+    return c.analyses.select(
+        "doc_id", "caption_order", "figure_id", "figure_title_or_caption", "experiment_focus", *[joined(x).alias(x) for x in lists],
+        "claimed_conclusion", "consistency_check", "confidence",
+    )
+
+
+@query
+def mixed_reports(spark, folder):
+    """Reports of block documents and plain texts with drafts, figure replies and results, and the focus texts behind them."""
+    tables = mixed_tables(mixed_corpus(spark, folder), _model_results(spark, folder))
+    focus = tables["focus"].select("doc_id", "focus_text", joined("selected_sections").alias("selected_sections"))
+    return tables["markdown_reports"].join(focus, "doc_id", "left")
+
+
 # --- logs and streams -------------------------------------------------------------------
 
 

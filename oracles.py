@@ -803,3 +803,191 @@ ORACLES |= {
         FROM seq s LEFT JOIN marks m ON s.event_id = m.event_id""",
     "job_store_stream": JOB + " SELECT job_id, event_id, status, error_message FROM latest",
 }
+
+
+# --- mixed corpora: drafts, replies and results over blocks and plain texts ---------------------------------
+
+START_90 = f"coalesce(nullif({sanitize('text', 90)}, ''), 'none')"
+#: The outcome of the replies of a document, by the last digit of its id (plus 1 for evidence, plus 2 for analyses).
+OUTCOME = "CASE WHEN {} IN (0, 1, 5, 6) THEN 'good' WHEN {} IN (4, 9) THEN 'empty' WHEN {} IN (2, 7) THEN 'unreadable' ELSE 'none' END"
+
+
+def _outcome(digit: str) -> str:
+    return OUTCOME.replace("{}", f"({digit}) % 10")
+
+
+MIXED = f"""
+d AS MATERIALIZED (
+ SELECT doc_id, source, lang, text, {START_90} AS start_text, doc_id % 3 = 2 AS is_text, doc_id % 10 AS digit,
+  {_outcome('doc_id')} AS artifact_reply, {_outcome('doc_id + 1')} AS evidence_reply, {_outcome('doc_id + 2')} AS analysis_reply
+ FROM documents
+), block_docs AS (SELECT DISTINCT d.* FROM d JOIN blocks USING (doc_id) WHERE NOT is_text),
+mixed_docs AS MATERIALIZED (
+ SELECT b.doc_id, 'pdf' AS parser_kind,
+  CASE WHEN digit IN (0, 5, 6) THEN 'Draft ' || b.doc_id WHEN digit = 9 THEN '7' ELSE nullif(t.title, '') END AS title,
+  CASE WHEN digit IN (0, 5, 6) THEN source || ' | B. Author' WHEN digit = 9 THEN source ELSE coalesce(a.authors, '') END AS authors,
+  x.doi, nullif(v.venue, '') AS venue, CASE WHEN digit IN (0, 5, 6) THEN '1999' WHEN digit = 9 THEN '2001' ELSE y.year END AS year
+ FROM block_docs b LEFT JOIN titles t USING (doc_id) LEFT JOIN authors a USING (doc_id) LEFT JOIN dois x USING (doc_id)
+  LEFT JOIN venues v USING (doc_id) LEFT JOIN years y USING (doc_id)
+ UNION ALL SELECT doc_id, 'plain_text', {FIRST_LINE}, '', NULL, NULL, NULL FROM d WHERE is_text
+), mixed_figures AS MATERIALIZED (
+ SELECT f.doc_id, f.caption_order, f.figure_id, f.caption, f.page_number, f.spans
+ FROM figures f JOIN block_docs b USING (doc_id) WHERE b.digit <> 1
+ UNION ALL SELECT doc_id, CAST(n AS INT), 'Figure 9', 'Accuracy of ' || source, 3, ['see ' || doc_id] FROM block_docs, range(2) r(n) WHERE digit = 1
+), drawn AS (
+ SELECT doc_id, string_agg('### ' || figure_id || chr(10) || caption || chr(10) || chr(10) || {q(labels.text('body_references'))}
+   || chr(10) || CASE WHEN len(spans) > 0 THEN array_to_string(list_transform(spans, lambda s: '- ' || s), chr(10))
+                 ELSE {q('- ' + labels.text('missing'))} END, chr(10) || chr(10) ORDER BY caption_order) AS content
+ FROM mixed_figures GROUP BY doc_id
+), drafted AS (
+ SELECT doc_id, 'method' AS section_key, start_text AS content, 0 AS at, NULL AS named FROM block_docs WHERE digit IN (0, 5, 6)
+ UNION ALL SELECT doc_id, 'notes', 'notes of ' || doc_id, 1, 0 FROM block_docs WHERE digit IN (0, 5, 6)
+ UNION ALL SELECT doc_id, 'figures', 'not kept', 2, 2 FROM block_docs WHERE digit IN (0, 5, 6) AND doc_id NOT IN (SELECT doc_id FROM drawn)
+ UNION ALL SELECT doc_id, 'abstract', start_text, 0, NULL FROM block_docs WHERE digit = 1
+ UNION ALL SELECT doc_id, 'closing', 'end of ' || doc_id, 1, NULL FROM block_docs WHERE digit = 1
+), overlaid AS (
+ SELECT coalesce(s.doc_id, r.doc_id) AS doc_id, coalesce(s.section_key, r.section_key) AS section_key, coalesce(r.content, s.content) AS content,
+  CASE WHEN s.doc_id IS NULL THEN 1 ELSE 0 END AS fresh, coalesce(s.position, r.at) AS place
+ FROM (SELECT s.* FROM all_sections s JOIN block_docs USING (doc_id) WHERE section_key NOT IN ('title', 'figures')) s
+ FULL JOIN drafted r ON s.doc_id = r.doc_id AND s.section_key = r.section_key
+ UNION ALL SELECT doc_id, 'figures', content, 2, 0 FROM drawn
+), mixed_sections AS MATERIALIZED (
+ SELECT doc_id, section_key, content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY titled, named NULLS LAST, fresh, place) - 1 AS INT) AS position FROM (
+  SELECT doc_id, 'title' AS section_key, title AS content, 0 AS titled, NULL AS named, 0 AS fresh, 0 AS place FROM mixed_docs WHERE parser_kind = 'pdf' AND title IS NOT NULL
+  UNION ALL SELECT o.doc_id, section_key, content, 1, CASE WHEN b.digit IN (0, 5, 6) THEN CASE section_key WHEN 'notes' THEN 0 WHEN 'results' THEN 1 WHEN 'figures' THEN 2 END END, fresh, place
+   FROM overlaid o JOIN block_docs b USING (doc_id))
+), mixed_raw AS (
+ SELECT doc_id, coalesce(p.raw, {strip('w.raw_text')}) AS raw_text FROM block_docs b JOIN whole w USING (doc_id) LEFT JOIN (
+  SELECT doc_id, {strip("string_agg(content, chr(10) || chr(10) ORDER BY position)")} AS raw FROM mixed_sections
+  WHERE section_key NOT IN ('title', 'figures') GROUP BY doc_id) p USING (doc_id)
+ UNION ALL SELECT doc_id, {strip('text')} FROM d WHERE is_text
+), chosen_figures AS MATERIALIZED (
+ SELECT * FROM mixed_figures QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN len(spans) > 0 THEN 2 ELSE 0 END
+   + CASE WHEN regexp_matches(caption, {q('(?i)' + K.RESULT_CAPTION_PATTERN)}) THEN 1 ELSE 0 END DESC, caption_order) <= {K.FIGURES_SELECTED}
+), drawn_docs AS (SELECT DISTINCT d.* FROM d JOIN chosen_figures USING (doc_id))"""
+
+_RULES, _REST = ARTIFACTS.replace("FROM figures", "FROM chosen_figures").split("), last_artifact AS")
+_COMPARED = _REST[_REST.index("compared AS") : _REST.index("), evidence AS")]
+_ANALYSED = _REST[_REST.index("SELECT doc_id, caption_order, figure_id,\n  coalesce(nullif") : _REST.index(" FROM evidence\n")]
+_EMPTY = "[]::VARCHAR[]"
+
+MIXED_FIGURES = f"""{_RULES}), mixed_artifacts AS MATERIALIZED (
+ SELECT doc_id, caption_order, {sanitize('figure_id', 40)} AS figure_id, figure_type, axes, list_transform(evidence, lambda x: {sanitize('x', 200)}) AS evidence,
+  list_transform(uncertain, lambda x: {sanitize('x', 160)}) AS uncertain, {q(labels.text('low'))} AS confidence, 'noop' AS origin
+ FROM artifacts WHERE doc_id NOT IN (SELECT doc_id FROM drawn_docs WHERE artifact_reply = 'good')
+ UNION ALL SELECT doc_id, 0, 'Figure 1', 'bar_chart', [lang], ['bars of ' || doc_id], {_EMPTY}, 'high', '' FROM drawn_docs WHERE artifact_reply = 'good'
+), last_artifact AS (
+ SELECT doc_id, figure_id, arg_max(struct_pack(t := figure_type, a := axes, e := evidence, u := uncertain, c := confidence, o := origin), caption_order) AS s
+ FROM mixed_artifacts GROUP BY ALL
+), {_COMPARED}), mixed_evidence AS MATERIALIZED (
+ SELECT f.doc_id, f.caption_order, {sanitize('f.figure_id', 40)} AS figure_id, {sanitize('f.caption', 120)} AS figure_title_or_caption, f.page_number,
+  coalesce(s.t, 'unknown') AS figure_type,
+  CASE WHEN len(c.parts) > 1 THEN [{sanitize('c.parts[1]', 60)}, {sanitize('c.parts[-1]', 60)}] ELSE {_EMPTY} END AS compared_items,
+  coalesce(s.a, {_EMPTY}) AS metrics_or_axes,
+  list_filter(list_transform(list_concat([{q(labels.text('caption_summary'))} || {sanitize('f.caption', 120)}], coalesce(s.e, {_EMPTY})),
+     lambda x: {sanitize('x', 200)}), lambda x: x <> '')[1:6] AS direct_evidence,
+  list_filter(list_transform(f.spans, lambda x: {sanitize('x', 220)}), lambda x: x <> '')[1:4] AS referenced_text_spans,
+  coalesce(s.c, {q(labels.text('low'))}) AS evidence_quality
+ FROM chosen_figures f LEFT JOIN last_artifact a USING (doc_id, figure_id) JOIN compared c USING (doc_id, caption_order)
+ WHERE f.doc_id NOT IN (SELECT doc_id FROM drawn_docs WHERE evidence_reply = 'good')
+ UNION ALL SELECT doc_id, 0, 'Figure 1', '', NULL, 'bar_chart', {_EMPTY}, {_EMPTY}, ['bars of ' || doc_id], {_EMPTY}, {q(labels.text('insufficient'))}
+ FROM drawn_docs WHERE evidence_reply = 'good'
+), mixed_analyses AS MATERIALIZED (
+ SELECT * EXCLUDE (reply, supported) REPLACE (CASE WHEN supported THEN {q(labels.text('consistency_supported'))} ELSE {q(labels.text('consistency_unsupported'))} END
+   || CASE WHEN reply = 'unreadable' THEN {q(labels.text('reason_unparsable'))} ELSE {q(labels.text('reason_no_model'))} END AS consistency_check)
+ FROM (
+  {_ANALYSED}, len(referenced_text_spans) > 0 AS supported, (SELECT analysis_reply FROM d WHERE d.doc_id = mixed_evidence.doc_id) AS reply FROM mixed_evidence)
+ WHERE reply IN ('unreadable', 'none')
+ UNION ALL SELECT doc_id, 0, 'Figure 1', {sanitize('start_text', 120)}, '', [source, lang], {_EMPTY}, ['seen in ' || doc_id], 'concluded ' || doc_id, '',
+  {q(labels.text('insufficient'))} FROM drawn_docs WHERE analysis_reply = 'good' AND doc_id IN (SELECT doc_id FROM mixed_evidence)
+)"""
+MIXED_ALL = with_ctes(SEEDED, FLAGGED, TITLE, DOI, SECTIONS, FIGURES, ALL_SECTIONS, MIXED)
+MIXED_FULL = MIXED_ALL + "," + MIXED_FIGURES
+
+
+def _mixed_report() -> str:
+    """The report of ``_research_sql`` with results: ``full`` payloads, summaries alone, or none."""
+
+    def either(full: str, otherwise: str = MISSING) -> str:
+        return f"CASE WHEN r.full THEN {full} ELSE {otherwise} END"
+
+    def said(word: str) -> str:
+        return either(f"'{word} ' || d.doc_id")
+
+    basics = [
+        f"coalesce({plain('d.title')}, {MISSING})", either("'C. Writer'", shown("replace(d.authors, ' | ', ', ')")),
+        either("'Venue of results'", f"coalesce({plain('d.venue')}, {MISSING})"), f"coalesce({plain('d.year')}, {MISSING})",
+    ]
+    head = f" || {NL} || ".join(f"{q(f'- {n}：')} || {v}" for n, v in zip(labels.report("research_basics"), basics, strict=True))
+    problem = f"CASE WHEN NOT r.full THEN {_fill(labels.report('summary_fallback'), 'r.summary')} ELSE {_fill(labels.report('summary_problem'), said('problem'))} END"
+    quote = f" || {NL} || ".join([problem, _fill(labels.report("summary_method"), said("method")), _fill(labels.report("summary_results"), said("results"))])
+    sets = "r.source || ', set B'"
+    bodies = [
+        head, quote,
+        either("'point ' || d.doc_id", f"coalesce({plain('substring(o.abstract, 1, 220)')}, {plain('substring(o.introduction, 1, 220)')}, {MISSING})"),
+        said("problem"), said("method"), either(f"'- point ' || d.doc_id || {NL} || '- second'"), said("novel"),
+        either(f"'setup ' || d.doc_id || {NL} || {NL} || {_fill(labels.report('datasets_line'), sets)}"), said("results"), shown("g.baselines"),
+        either("'results ' || d.doc_id", f"coalesce(r.summary, {MISSING})"), shown("g.key_figures"), shown("g.conclusions"), shown("g.checks"),
+        either("'- strong'"), either("'- weak'"), either("'code is there'"),
+        either(_fill(labels.report("scenario_datasets"), sets), f"coalesce({_fill(labels.report('scenario_venue'), plain('d.venue'))}, {MISSING})"),
+        said("novel"), f"coalesce(r.summary, {MISSING})",
+    ]
+    pieces, at = [q(labels.report("research_title"))], iter(bodies)
+    for chapter, parts in labels.report("research_chapters"):
+        if not parts:
+            pieces.append(f"{q(f'## {chapter}')} || {NL} || {next(at)}")
+        for i, part in enumerate(parts):
+            pieces.append(f"{q(f'## {chapter}\n### {part}\n' if i == 0 else f'### {part}\n')} || {next(at)}")
+    return f" || {NL} || {NL} || ".join(pieces) + f" || {NL}"
+
+
+def _mixed_sql() -> str:
+    name = f"coalesce({plain('figure_id')}, {MISSING})"
+    observed = plain("main_observations[1]")
+    compared = f"array_to_string(list_filter(list_transform(compared_items, lambda x: {plain('x')}), lambda x: x IS NOT NULL), ', ')"
+    lines = {
+        "baselines": f"CASE WHEN {compared} <> '' AND {observed} IS NOT NULL THEN {_fill(labels.report('baseline_line'), name, compared, observed)} END",
+        "conclusions": f"CASE WHEN claimed_conclusion <> '' THEN {_fill(labels.report('figure_line'), name, f'coalesce({plain("claimed_conclusion")}, {MISSING})')} END",
+        "checks": _fill(labels.report("consistency_line"), name, f"coalesce({plain('consistency_check')}, {MISSING})", f"coalesce({plain('confidence')}, {MISSING})"),
+    }
+    folds = ", ".join(f"string_agg({line}, {NL} ORDER BY caption_order) AS {key}" for key, line in lines.items())
+    key_line = _fill(labels.report("figure_line"), name, f"coalesce({plain('figure_title_or_caption')}, {MISSING})")
+    return MIXED_FULL + f""",
+        key_rows AS (SELECT doc_id, caption_order, figure_id, figure_title_or_caption, 0 AS origin FROM mixed_analyses
+          UNION ALL SELECT doc_id, caption_order, figure_id, figure_title_or_caption, 1 FROM mixed_evidence e
+          WHERE NOT EXISTS (SELECT 1 FROM mixed_analyses a WHERE a.doc_id = e.doc_id AND a.figure_id = e.figure_id)),
+        figure_texts AS (SELECT * FROM (SELECT doc_id, string_agg({key_line}, {NL} ORDER BY origin, caption_order) AS key_figures FROM key_rows GROUP BY doc_id)
+          LEFT JOIN (SELECT doc_id, {folds} FROM mixed_analyses GROUP BY doc_id) USING (doc_id)),
+        openings AS (SELECT doc_id, max(content) FILTER (WHERE section_key = 'abstract') AS abstract,
+          max(content) FILTER (WHERE section_key = 'introduction') AS introduction FROM mixed_sections GROUP BY doc_id),
+        replied AS (SELECT doc_id, source, 'summary ' || doc_id AS summary, doc_id % 5 = 0 AS full FROM documents WHERE doc_id % 5 IN (0, 3)),
+        prio AS (SELECT *, CASE section_key {" ".join(f"WHEN {q(k)} THEN {i}" for i, k in enumerate(K.FOCUS_PRIORITY))} END AS p FROM mixed_sections),
+        chunked AS (SELECT *, '## ' || {title_case(K.FOCUS_PRIORITY + ['discussion', 'title', 'notes', 'closing'], 'section_key')} || chr(10) || {strip('content')} AS chunk FROM prio),
+        focused AS (SELECT * FROM chunked a WHERE p IS NOT NULL OR NOT EXISTS (SELECT 1 FROM chunked b WHERE b.doc_id = a.doc_id AND b.p IS NOT NULL)),
+        summed AS (SELECT *, row_number() OVER w AS rn, sum(length(chunk)) OVER w AS used FROM focused
+         WINDOW w AS (PARTITION BY doc_id ORDER BY coalesce(p, 0), position)),
+        folded AS (SELECT doc_id, string_agg(section_key, ' | ' ORDER BY rn) AS selected_sections,
+         {strip(f"string_agg(chunk, chr(10) || chr(10) ORDER BY rn) FILTER (WHERE rn = 1 OR used <= {K.FOCUS_CHARS})")} AS focus_text FROM summed GROUP BY doc_id)
+        SELECT d.doc_id, {_mixed_report()} AS markdown_report, coalesce(f.focus_text, substring(w.raw_text, 1, {K.FOCUS_CHARS}), '') AS focus_text,
+         coalesce(f.selected_sections, '') AS selected_sections
+        FROM mixed_docs d LEFT JOIN replied r USING (doc_id) LEFT JOIN openings o USING (doc_id) LEFT JOIN figure_texts g USING (doc_id)
+         LEFT JOIN folded f USING (doc_id) LEFT JOIN mixed_raw w USING (doc_id)"""
+
+
+ORACLES |= {
+    "applied_drafts": MIXED_ALL + f""",
+        texts AS (SELECT doc_id, string_agg(section_key, ' | ' ORDER BY position) AS section_order,
+          string_agg(section_key || '=' || content, chr(10) ORDER BY position) AS sections FROM mixed_sections GROUP BY doc_id),
+        pictures AS (SELECT doc_id, CAST(count(*) AS INT) AS n, string_agg(concat_ws('=', figure_id, caption, page_number, {joined('spans')}), chr(10) ORDER BY caption_order) AS figures
+          FROM mixed_figures GROUP BY doc_id)
+        SELECT doc_id, parser_kind, title, authors, doi, venue, year, coalesce(section_order, '') AS section_order, coalesce(n, 0) AS figure_count,
+         coalesce(sections, '') AS sections, coalesce(figures, '') AS figures, raw_text
+        FROM mixed_docs LEFT JOIN texts USING (doc_id) LEFT JOIN pictures USING (doc_id) LEFT JOIN mixed_raw USING (doc_id)""",
+    "artifact_replies": MIXED_FULL + f"""
+        SELECT doc_id, caption_order, figure_id, figure_type, {joined('axes')} AS axes, {joined('evidence')} AS direct_evidence, confidence, 'artifact' AS kind FROM mixed_artifacts
+        UNION ALL SELECT doc_id, caption_order, figure_id, figure_type, {joined('metrics_or_axes')}, {joined('direct_evidence')}, evidence_quality, 'evidence' FROM mixed_evidence""",
+    "analysis_replies": MIXED_FULL + f"""
+        SELECT doc_id, caption_order, figure_id, figure_title_or_caption, experiment_focus, {joined('compared_items')} AS compared_items,
+         {joined('metrics_or_axes')} AS metrics_or_axes, {joined('main_observations')} AS main_observations, claimed_conclusion, consistency_check, confidence FROM mixed_analyses""",
+    "mixed_reports": _mixed_sql(),
+}
