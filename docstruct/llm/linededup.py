@@ -192,67 +192,111 @@ def units_of(text: str | None) -> tuple[list[str], list[tuple[int, int, str]]]:
     return lines, [(a, b, bare[a] if b == a + 1 else "\n".join(bare[a:b])) for a, b in sorted(spans)]
 
 
-def _unit_hashes(texts: pd.Series) -> pd.Series:
-    made = ([_hash(body) for _, _, body in units_of(t)[1]] for t in texts)
-    return pd.Series([np.array(hashes, np.int64) for hashes in made])
+def _unit_hash(body: str, bits: int) -> int:
+    return _hash(body) >> (64 - bits)
 
 
-def _unit_bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``h, body`` of each unit, flat and for few texts at a time, so that little is held."""
-    for batch in batches:
-        for a in range(0, len(batch), 128):
-            found = {body for t in batch["text"].iloc[a : a + 128] for _, _, body in units_of(t)[1]}
-            if found:
-                yield pd.DataFrame({"h": np.fromiter(map(_hash, found), np.int64, len(found)), "body": pd.Series(list(found), dtype=object)})
+def _unit_hashes(bits: int):
+    def run(texts: pd.Series) -> pd.Series:
+        made = ([_unit_hash(body, bits) for _, _, body in units_of(t)[1]] for t in texts)
+        return pd.Series([np.array(hashes, np.int64) for hashes in made])
 
+    return F.pandas_udf(run, "array<bigint>")
 
-def _strip_units(texts: pd.Series, drops: pd.Series, firsts: pd.Series) -> pd.DataFrame:
-    """Removes the lines in units of ``drops`` everywhere, those of ``firsts`` after the first time."""
-    rows = []
-    for text, drop, first in zip(texts, drops, firsts):
-        # Plain numbers: comparing with NumPy's own is many times slower.
-        gone, again = (set(x.tolist()) if x is not None else set() for x in (drop, first))
-        if not gone and not again:
-            rows.append((text, 0))
-            continue
-        lines, units = units_of(text)
-        out: set[int] = set()
-        ends: dict[int, int] = {}
-        for start, stop, body in units:
-            h = _hash(body)
-            # What overlaps the first place of the same run is part of it.
-            if h in gone or (h in again and ends.setdefault(h, stop) <= start):
-                out.update(range(start, stop))
-        rows.append(("".join(line for k, line in enumerate(lines) if k not in out), len(out)))
-    return pd.DataFrame(rows, columns=["text", "n_removed"])
 
+def _strip_units(bits: int):
+    """Removes the lines in units of ``drops`` everywhere, those of ``firsts`` after the first time.
+
+    The units met by hash are given back with their bytes and the number of their places, so that these can be compared.
+    ``bodies``, if any, names units by their bytes, each with whether its first place stays.
+    """
 
-def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+    def run(texts: pd.Series, drops: pd.Series, firsts: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, drop, first, named in zip(texts, drops, firsts, bodies):
+            # Plain numbers: comparing with NumPy's own is many times slower.
+            gone, again = (set(x.tolist()) if x is not None else set() for x in (drop, first))
+            stays = {x["body"]: x["first"] for x in named} if named is not None else {}
+            if not gone and not again and not stays:
+                rows.append((text, 0, []))
+                continue
+            lines, units = units_of(text)
+            out: set[int] = set()
+            ends: dict[str, int] = {}
+            met: dict[str, list[int]] = {}
+            for start, stop, body in units:
+                h = _unit_hash(body, bits)
+                if h in gone or h in again:
+                    met.setdefault(body, [h, 0])[1] += 1
+                elif body not in stays:
+                    continue
+                # What overlaps the first place of the same run is part of it.
+                if h in gone or stays.get(body) is False or ends.setdefault(body, stop) <= start:
+                    out.update(range(start, stop))
+            found = [{"h": h, "body": body, "n": n} for body, (h, n) in met.items()]
+            rows.append(("".join(line for k, line in enumerate(lines) if k not in out), len(out), found))
+        return pd.DataFrame(rows, columns=["text", "n_removed", "met"])
+
+    return F.pandas_udf(run, "text string, n_removed bigint, met array<struct<h:bigint,body:string,n:bigint>>")
+
+
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True, bits: int = 64) -> DataFrame:
     """``docs`` without the lines that stand in a repeated unit (``units_of``); ``counts`` adds ``n_removed``, the lines.
 
     Of each unit the first place stays: the least id (a NULL one comes last), there the first time. So every line
     keeps its first place, and a repeated passage of ``MIN_WORDS`` words goes whole, be it one line or many.
-    Units meet by hash; the bytes of those that meet are compared, and a hash that different texts share
-    removes none of them. Rows and other columns stay as they are (but a column with the count's name gives
+    Units meet by hash (of ``bits`` bits). Only texts with a hash that repeats are read again; their units are removed and
+    their bytes compared in one go. Where different bytes share a hash, which is next to never, the texts concerned are
+    done again by bytes. Rows and other columns stay as they are (but a column with the count's name gives
     way); repeated rows are one row here and keep the same text. NULL and empty texts stay.
     """
     last = F.lit((1 << 63) - 1)
-    hashed = docs.select(F.col(doc_id).alias("_d"), row_key(doc_id, text).alias("_k"), F.pandas_udf(_unit_hashes, "array<bigint>")(F.col(text)).alias("hs"))
+    hashed = docs.select(F.col(doc_id).alias("_d"), row_key(doc_id, text).alias("_k"), _unit_hashes(bits)(F.col(text)).alias("hs"))
     hashed = cut(hashed.where(F.size("hs") > 0))
     each = hashed.select(F.coalesce("_d", last).alias("id"), F.explode("hs").alias("h"))
     repeated = cut(each.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1").select("h", "first_id"))
-    known = bit_filter(repeated, "h")
-    bodies = docs.select(F.col(text).alias("text")).mapInPandas(_unit_bodies, "h bigint, body string")
-    bodies = bodies.where(in_filter(known, F.col("h"))).groupBy("h", "body").agg(F.lit(1).alias("one"))
-    clash = small(cut(bodies.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")))
-    owners = hashed.select("_d", "_k", F.explode(F.array_distinct("hs")).alias("h")).where(in_filter(known, F.col("h")))
+    owners = hashed.select("_d", "_k", F.explode(F.array_distinct("hs")).alias("h")).where(in_filter(bit_filter(repeated, "h"), F.col("h")))
     mine = F.coalesce(F.col("_d"), last) == F.col("first_id")
-    flags = (
-        owners.join(repeated.join(clash, "h", "left_anti").hint("merge"), "h")
+    flags = cut(
+        owners.join(repeated.hint("merge"), "h")
         .groupBy("_d", "_k")
         .agg(
             F.collect_set(F.when(~mine, F.col("h"))).alias("_drop"),
             F.collect_set(F.when(mine, F.col("h"))).alias("_first"),
         )
     )
-    return _without_repeats(docs, cut(flags), _strip_units, doc_id, text, counts)
+    # Texts that surely have no repeated unit stay where they are.
+    maybe = in_filter(bit_filter(flags.select(F.xxhash64("_d", "_k").alias("h")), "h"), F.xxhash64("d", "k"))
+    rows = packed(docs, doc_id, text).withColumn("maybe", maybe)
+    clean = rows.where("NOT maybe").select("row", F.struct(F.col("row")[text].alias("text"), F.lit(0).cast("long").alias("n_removed")).alias("new"))
+    flagged = rows.where("maybe").join(flags, same_row("_d", "_k"), "left").withColumn("words", F.col("row")[text])
+    bare = F.col("row").withField(text, F.lit(None).cast("string")).alias("row")
+    strip = _strip_units(bits)
+    none = F.lit(None).cast("array<struct<body:string,first:boolean>>")
+    done = cut(flagged.select(bare, "d", "k", strip("words", "_drop", "_first", none).alias("new")))
+
+    met = done.select(F.coalesce("d", last).alias("id"), F.explode("new.met").alias("m")).select("id", "m.*")
+    same = met.groupBy("h", "body").agg(F.sum("n").alias("n"), F.min("id").alias("first_id"))
+    clash = small(cut(same.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")))
+    stripped = done.select("row", F.struct("new.text", "new.n_removed").alias("new"))
+    if clash.limit(1).count():
+        mixed = done.select("d", "k", F.explode("new.met").alias("m")).select("d", "k", "m.h", "m.body")
+        by_bytes = same.join(clash, "h").where("n > 1").select("h", "body", F.col("first_id"))
+        touched = cut(mixed.join(clash, "h").select("d", "k").distinct()).withColumnsRenamed({"d": "d3", "k": "k3"})
+        named = mixed.join(by_bytes, ["h", "body"]).groupBy(F.col("d").alias("d2"), F.col("k").alias("k2")).agg(
+            F.collect_list(F.struct("body", (F.coalesce("d", last) == F.col("first_id")).alias("first"))).alias("named")
+        )
+        gone = flags.select("_d", "_k", *[F.explode_outer(F.concat("_drop", "_first")).alias("h"), F.col("_drop")]).join(clash, "h", "left_anti")
+        sound = gone.groupBy("_d", "_k").agg(
+            F.collect_set(F.when(F.array_contains("_drop", F.col("h")), F.col("h"))).alias("_drop"),
+            F.collect_set(F.when(~F.array_contains("_drop", F.col("h")), F.col("h"))).alias("_first"),
+        )
+        again = (
+            packed(docs, doc_id, text).join(touched, same_row("d3", "k3"), "left_semi")
+            .join(sound, same_row("_d", "_k"), "left").join(named, same_row(), "left").withColumn("words", F.col("row")[text])
+        )
+        redone = again.select(bare, strip("words", "_drop", "_first", "named").alias("new")).select("row", F.struct("new.text", "new.n_removed").alias("new"))
+        stripped = done.join(touched, same_row("d3", "k3"), "left_anti").select("row", F.struct("new.text", "new.n_removed").alias("new")).union(redone)
+    kept = [c for c in docs.columns if not counts or c != "n_removed"]
+    columns = [F.col("new.text").alias(c) if c == text else F.col("row")[c].alias(c) for c in kept]
+    return clean.union(stripped).select(*columns, *(["new.n_removed"] if counts else []))
