@@ -176,8 +176,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     shared = cut(keys.join(sizes, ["j", "g"]))
     fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
     famous = shared.where(F.col("n") > SMALL).join(fame, "id")
-    pivot = famous.groupBy("j", "g").agg(F.max("fame").alias("fame")).join(famous, ["j", "g", "fame"]).groupBy("j", "g").agg(F.min("id").alias("id"))
-    pivot = pivot.select("j", "g", F.col("id").alias("b"))
+    pivot = famous.groupBy("j", "g").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("b"))
     counts = classes.select(F.col("id").alias("b"), F.col("kinds").alias("others"))
     large = shared.where(F.col("n") > SMALL).join(pivot, ["j", "g"]).where("id <> b").select("id", "b").distinct()
     large = large.join(classes.select("id", "kinds"), "id").join(counts, "b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"), "kinds", "others")
