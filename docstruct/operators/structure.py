@@ -366,10 +366,12 @@ def discarded_noise(flagged: DataFrame) -> DataFrame:
     )
 
 
-def document_counts(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("doc_id").agg(
-        F.max("page_number").alias("page_count"), F.count(F.lit(1)).alias("block_count")
-    )
+def document_counts(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Pages and blocks of each document. ``pages`` (doc_id, page_number) names pages that may have no block."""
+    rows = blocks.select("doc_id", "page_number", F.lit(1).alias("n"))
+    if pages is not None:
+        rows = rows.unionByName(pages.select("doc_id", "page_number", F.lit(0).alias("n")))
+    return rows.groupBy("doc_id").agg(F.max("page_number").alias("page_count"), F.sum("n").alias("block_count"))
 
 
 def uncertainties(title: Column, section_keys: Column, figure_count: Column) -> Column:

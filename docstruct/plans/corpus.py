@@ -27,6 +27,7 @@ REPORT_PLAN = (*FOCUS_PLAN, "figures", "selected", "structure")
 class Corpus:
     """Lazy tables over one block table.
 
+    ``snapshots`` (``schemas.SNAPSHOTS``) has the rendered pages, those without a block included.
     ``staged`` names the tables to be written once. Writing ``blocks`` (the annotated ones) means that
     the expressions on the text run once and every branch reads only the columns it needs.
     """
@@ -103,7 +104,7 @@ class Corpus:
         )
         counted = self.annotated.groupBy("doc_id").agg((F.max("caption_order") + 1).alias("figure_count"))
         docs = (
-            S.document_counts(self.blocks)
+            S.document_counts(self.blocks, self.snapshots)
             .join(self.front, "doc_id", "left")
             .join(self.doi, "doc_id", "left")
             .join(listed, "doc_id", "left")

@@ -34,7 +34,8 @@ from docstruct.plans.corpus import (
 from docstruct.plans.mixed import PARSED_PLAN, MixedCorpus, mixed_tables
 from docstruct.plans.run import no_results, research_tables
 from docstruct.plans.staging import app_folder, stage_folder
-from docstruct.sources.seed import seeded_blocks
+from docstruct.sources.files import assemble_blocks
+from docstruct.sources.seed import seeded_blocks, seeded_snapshots, seeded_spans
 from docstruct.sources.tables import read_table
 from docstruct.streaming import jobs as SJ
 
@@ -157,6 +158,39 @@ def block_positions(spark, folder):
     )
 
 
+@query
+def assembled_blocks(spark, folder):
+    """Blocks put together from page spans, lines and image boxes."""
+    blocks = assemble_blocks(seeded_spans(table(spark, folder, "documents")))
+    return blocks.drop("bbox")
+
+
+def _image_corpus(spark, folder) -> Corpus:
+    docs = table(spark, folder, "documents")
+    return Corpus(assemble_blocks(seeded_spans(docs)), seeded_snapshots(docs), staged=FIGURE_PLAN)
+
+
+@query
+def page_counts(spark, folder):
+    """Pages of each document, empty last ones included, and its blocks."""
+    c = _image_corpus(spark, folder)
+    return S.document_counts(c.blocks, c.snapshots)
+
+
+@query
+def image_artifacts(spark, folder):
+    """Every figure of a corpus with images and rendered pages: links, artifact and evidence."""
+    c = _image_corpus(spark, folder)
+    artifacts = E.limit_artifacts(E.figure_artifacts(c.figures))
+    evidence = E.figure_evidence(c.figures, artifacts).select("doc_id", "caption_order", "evidence_quality", joined("direct_evidence").alias("evidence"))
+    return artifacts.select(
+        "doc_id", "caption_order", "figure_id", "page_number", "figure_type", "extraction_source", "page_snapshot_path",
+        joined("image_block_paths").alias("image_block_paths"), "crop_path", joined("visible_text").alias("visible_text"), joined("axes").alias("axes"),
+        joined(F.transform("panels", lambda p: p["panel_label"])).alias("panels"), joined("direct_evidence").alias("direct_evidence"),
+        joined("uncertainties").alias("uncertainties"), "confidence",
+    ).join(evidence, ["doc_id", "caption_order"])
+
+
 # --- structure ------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ templating, ordering and paging need no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values: (position, modulus, remainder, text). {d} = doc_id, {y} = two-digit year.
@@ -67,3 +67,61 @@ def seeded_blocks(documents: DataFrame) -> DataFrame:
         (slot * 60 + gap).cast("double").alias("y0"),
         F.when(F.col("b.pos") == 1, 18.0).otherwise(10.0).alias("max_size"),
     )
+
+
+def _spans(kind: str, **fields) -> Column:
+    """One row of ``schemas.SPANS`` without its document and page; what is not given is NULL."""
+    types = {"raw_index": "int", "line_index": "int", "span_index": "int", "text": "string", "size": "double", "bbox": "array<double>", "image_path": "string"}
+    values = {**{n: F.lit(None) for n in types}, "raw_type": F.lit(kind), **fields}
+    return F.struct(*[values[n].cast(types.get(n, "string")).alias(n) for n in (*types, "raw_type")])
+
+
+def seeded_spans(documents: DataFrame) -> DataFrame:
+    """Page spans (``schemas.SPANS``) whose blocks are those of ``seeded_blocks``, broken into lines and spans, and images.
+
+    A text is halved into two lines, the first line into two spans of different size; some blocks have a blank line, some
+    pages a block of blanks. Every second page has an image, every fifth document two, every page one that is too small.
+    """
+    blocks = seeded_blocks(documents)
+    doc, page, slot = F.col("doc_id"), F.col("page_number"), (F.col("order_index") % BLOCKS_PER_PAGE).cast("int")
+    text, size = F.col("text"), F.col("max_size")
+    half, quarter = F.floor(F.length(text) / 2).cast("int"), F.floor(F.length(text) / 4).cast("int")
+    box = F.array(F.lit(0.0), F.col("y0"), F.lit(400.0), F.col("y0") + 12)
+
+    def span(line: int, at: int, part: Column, height: Column) -> Column:
+        return _spans("text", raw_index=slot, line_index=F.lit(line), span_index=F.lit(at), text=part, size=height, bbox=box)
+
+    parts = F.array(
+        span(0, 0, F.substring(text, F.lit(1), quarter), size - 2),
+        span(0, 1, F.substring(text, quarter + 1, half - quarter), size),
+        span(2, 0, F.substring(text, half + 1, F.length(text)), size - 1),
+        F.when((doc + slot) % 4 == 0, span(1, 0, F.lit(" \u00a0\t"), F.lit(30.0))),
+    )
+    texts = blocks.select("doc_id", "page_number", F.explode(F.array_compact(parts)).alias("s"))
+
+    def image(index: int, width: float, name: str) -> Column:
+        path = F.concat(F.lit("img/"), doc.cast("string"), F.lit("_"), page.cast("string"), F.lit(f"_{name}.png"))
+        corner = F.array(F.lit(0.0), F.lit(700.0), F.lit(width), F.lit(760.0))
+        return _spans("image", raw_index=F.lit(index), bbox=corner, image_path=path)
+
+    blank = _spans("text", raw_index=F.lit(15), line_index=F.lit(0), span_index=F.lit(0), text=F.lit(" \u00a0"), size=F.lit(9.0), bbox=F.array(*[F.lit(0.0)] * 4))
+    extras = F.array(
+        image(12, 39.0, "small"),
+        F.when((doc + page) % 2 == 0, image(13, 80.0, "a")),
+        F.when(doc % 5 == 0, image(14, 40.0, "b")),
+        F.when(page == 2, blank),
+    )
+    # Pages are named by their first block.
+    first = blocks.filter(slot == 0)
+    rows = texts.unionByName(first.select("doc_id", "page_number", F.explode(F.array_compact(extras)).alias("s")))
+    return rows.select("doc_id", "page_number", "s.*")
+
+
+def seeded_snapshots(documents: DataFrame) -> DataFrame:
+    """Rendered pages (``schemas.SNAPSHOTS``): the even ones of each document, and an empty last one of every seventh."""
+    doc, page = F.col("doc_id"), F.col("page_number")
+    first = seeded_blocks(documents).filter(F.col("order_index") % BLOCKS_PER_PAGE == 0)
+    ends = first.filter(doc % 7 == 0).groupBy("doc_id").agg((F.max("page_number") + 1).alias("page_number"))
+    pages = first.filter(page % 2 == 0).select("doc_id", "page_number").unionByName(ends).distinct()
+    path = F.concat(F.lit("pages/"), doc.cast("string"), F.lit("_"), page.cast("string"), F.lit(".png"))
+    return pages.select("doc_id", "page_number", path.alias("page_snapshot_path"))

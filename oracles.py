@@ -991,3 +991,61 @@ ORACLES |= {
          {joined('metrics_or_axes')} AS metrics_or_axes, {joined('main_observations')} AS main_observations, claimed_conclusion, consistency_check, confidence FROM mixed_analyses""",
     "mixed_reports": _mixed_sql(),
 }
+
+
+# --- spans and images -----------------------------------------------------------------------------------------
+
+_HALF, _QUARTER = "(length(text) // 2)", "(length(text) // 4)"
+ASSEMBLED = SEEDED.replace("), blocks AS (\nSELECT", "), seeded AS (\nSELECT") + f""",
+kept_texts AS (
+ SELECT doc_id, page_number, order_index % 12 AS raw_index, {clean(f"substring(text, 1, {_HALF})")} AS one, {clean(f"substring(text, {_HALF} + 1)")} AS two, y0, max_size
+ FROM seeded
+), page_list AS (SELECT DISTINCT doc_id, page_number FROM seeded),
+kept AS (
+ SELECT doc_id, page_number, raw_index, 'text' AS block_type, concat_ws(' ', nullif(one, ''), nullif(two, '')) AS text, y0,
+  CASE WHEN one <> '' THEN max_size ELSE max_size - 1 END AS max_size, NULL AS image_path FROM kept_texts WHERE one <> '' OR two <> ''
+ UNION ALL SELECT doc_id, page_number, 13, 'image', '', 700, 0, 'img/' || doc_id || '_' || page_number || '_a.png' FROM page_list WHERE (doc_id + page_number) % 2 = 0
+ UNION ALL SELECT doc_id, page_number, 14, 'image', '', 700, 0, 'img/' || doc_id || '_' || page_number || '_b.png' FROM page_list WHERE doc_id % 5 = 0
+), blocks AS MATERIALIZED (
+ SELECT doc_id, 'p' || page_number || '_b' || raw_index AS block_id, page_number,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, raw_index) - 1 AS INT) AS order_index, block_type, text,
+  CAST(y0 AS DOUBLE) AS y0, CAST(max_size AS DOUBLE) AS max_size, image_path FROM kept
+)"""
+_IMAGE_RULES = ARTIFACTS.split("), last_artifact AS")[0].replace("FROM figures", "FROM pictured")
+
+IMAGED = f"""
+page_pictures AS (
+ SELECT doc_id, page_number, list(image_path ORDER BY order_index)[1:{K.FIGURE_IMAGES}] AS paths FROM blocks WHERE block_type = 'image' GROUP BY ALL
+), pictured AS MATERIALIZED (
+ SELECT f.*, coalesce(p.paths, []::VARCHAR[]) AS paths,
+  CASE WHEN f.page_number % 2 = 0 THEN 'pages/' || f.doc_id || '_' || f.page_number || '.png' END AS snapshot
+ FROM figures f LEFT JOIN page_pictures p USING (doc_id, page_number)
+),{_IMAGE_RULES}), noted AS MATERIALIZED (
+ SELECT *, list_filter(list_concat([CASE WHEN caption <> '' THEN {q(labels.text('evidence_caption'))} || substring(caption, 1, 120) END],
+   list_transform(spans[1:2], lambda s: {q(labels.text('evidence_reference'))} || substring(s, 1, 120)),
+   [CASE WHEN len(paths) > 0 THEN {q(labels.text('evidence_image'))} WHEN snapshot IS NOT NULL THEN {q(labels.text('evidence_snapshot'))} END]),
+   lambda x: x IS NOT NULL)[1:5] AS direct,
+  list_filter([CASE WHEN len(paths) = 0 THEN {q(labels.text('uncertain_image'))} END, CASE WHEN len(spans) = 0 THEN {q(labels.text('uncertain_reference'))} END],
+   lambda x: x IS NOT NULL) AS doubts,
+  CASE WHEN len(paths) = 0 THEN {q(labels.text('low'))} ELSE {q(labels.text('mid'))} END AS sure FROM artifacts
+), last_noted AS (
+ SELECT doc_id, figure_id, arg_max(direct, caption_order) AS direct, arg_max(sure, caption_order) AS sure FROM noted GROUP BY ALL
+)"""
+
+
+def _cut_list(x: str, n: int, size: int) -> str:
+    return f"list_filter(list_transform({x}, lambda x: {sanitize('x', size)}), lambda x: x <> '')[1:{n}]"
+
+
+ORACLES |= {
+    "assembled_blocks": with_ctes(ASSEMBLED) + " SELECT * FROM blocks",
+    "page_counts": with_ctes(ASSEMBLED) + """ SELECT doc_id, CAST(max(page_number) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS INT) AS page_count,
+        count(*) AS block_count FROM blocks GROUP BY doc_id""",
+    "image_artifacts": with_ctes(ASSEMBLED, FLAGGED, FIGURES, IMAGED) + f"""
+        SELECT n.doc_id, n.caption_order, n.figure_id, page_number, figure_type, 'noop' AS extraction_source, snapshot AS page_snapshot_path,
+         {joined('paths')} AS image_block_paths, paths[1] AS crop_path, {joined(_cut_list('visible', 6, 160))} AS visible_text, {joined('axes')} AS axes,
+         {joined('panel_labels')} AS panels, {joined(_cut_list('n.direct', 6, 200))} AS direct_evidence, {joined('doubts')} AS uncertainties, n.sure AS confidence,
+         l.sure AS evidence_quality,
+         {joined(_cut_list(f"list_concat([{q(labels.text('caption_summary'))} || {sanitize('caption', 120)}], {_cut_list('l.direct', 6, 200)})", 6, 200))} AS evidence
+        FROM noted n JOIN last_noted l USING (doc_id, figure_id)""",
+}
