@@ -195,11 +195,12 @@ def front_sections(front: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def keyword_sections(annotated: DataFrame, places: DataFrame) -> DataFrame:
-    """First four sentences with a keyword, for keys that no heading gave.
+def keyword_hits(annotated: DataFrame, places: DataFrame) -> DataFrame:
+    """Sentences with a keyword, for keys that no heading gave: (doc_id, section_key, run_id, at, sentence).
 
     A sentence may run over several blocks, so blocks are folded per run (``run_id``): inside the page
-    first, where pieces that hold no keyword and cannot continue on another page are dropped.
+    first, where pieces that hold no keyword and cannot continue on another page are dropped. What headings gave is
+    joined before the runs are split, and only sentences that count leave the row.
     """
     pieces = (
         annotated.groupBy(*PAGE, "run_id")
@@ -220,40 +221,53 @@ def keyword_sections(annotated: DataFrame, places: DataFrame) -> DataFrame:
         .filter("has_keyword")
         .select("doc_id", "run_id", F.array_join("texts", "\n\n").alias("text"))
     )
+    keyed = places.filter(F.col("section_key").isin(*K.FALLBACK_KEYWORDS))
+    given = keyed.groupBy("doc_id").agg(F.collect_set("section_key").alias("given"))
+
+    def keys(lowered: Column) -> Column:
+        rules = [
+            F.when(T.contains_any(lowered, words) & ~F.coalesce(F.array_contains("given", key), F.lit(False)), F.lit(key))
+            for key, words in K.FALLBACK_KEYWORDS.items()
+        ]
+        return F.array_compact(F.array(*rules))
+
     split = F.transform(
         T.sentences(F.col("text")),
-        lambda s: F.struct(T.strip(s).alias("sentence"), F.lower(s).alias("lowered")),
-    )
-    keys = F.array_compact(
-        F.array(
-            *[
-                F.when(T.contains_any(F.col("s.lowered"), words), F.lit(key))
-                for key, words in K.FALLBACK_KEYWORDS.items()
-            ]
-        )
+        lambda s, at: F.struct(at.alias("at"), T.strip(s).alias("sentence"), keys(F.lower(s)).alias("keys")),
     )
-    hits = (
-        runs.select("doc_id", "run_id", F.posexplode(split).alias("at", "s"))
-        .select("doc_id", "run_id", "at", F.col("s.sentence").alias("sentence"), F.explode(keys).alias("section_key"))
-        .join(places.select("doc_id", "section_key"), ["doc_id", "section_key"], "left_anti")
+    return (
+        runs.join(given, "doc_id", "left")
+        .filter(F.col("given").isNull() | (F.size("given") < len(K.FALLBACK_KEYWORDS)))
+        .select("doc_id", "run_id", F.inline(F.filter(split, lambda s: F.size(s["keys"]) > 0)))
+        .select("doc_id", "run_id", "at", "sentence", F.explode("keys").alias("section_key"))
     )
+
+
+def _keyword_place() -> Column:
+    numbers = [F.lit(x) for i, k in enumerate(K.FALLBACK_KEYWORDS) for x in (k, i)]
+    return F.element_at(F.create_map(*numbers), F.col("section_key"))
+
+
+def keyword_keys(hits: DataFrame) -> DataFrame:
+    """Which keys the sentences give: (doc_id, section_key, place, source)."""
+    found = hits.select("doc_id", "section_key").distinct()
+    return found.select("doc_id", "section_key", _keyword_place().alias("place"), F.lit("fallback_keyword").alias("source"))
+
+
+def keyword_sections(annotated: DataFrame, places: DataFrame) -> DataFrame:
+    """First four sentences with a keyword, for keys that no heading gave."""
+    hits = keyword_hits(annotated, places)
     first = Window.partitionBy("doc_id", "section_key").orderBy("run_id", "at")
     chosen = hits.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= K.KEYWORD_SENTENCES)
-    place = F.element_at(
-        F.create_map(*[F.lit(x) for i, k in enumerate(K.FALLBACK_KEYWORDS) for x in (k, i)]),
-        F.col("section_key"),
-    )
     return (
         chosen.groupBy("doc_id", "section_key")
         .agg(F.array_join(F.array_sort(F.collect_list(F.struct("nth", "sentence")))["sentence"], " ").alias("content"))
-        .select("doc_id", "section_key", "content", place.alias("place"), F.lit("fallback_keyword").alias("source"))
+        .select("doc_id", "section_key", "content", _keyword_place().alias("place"), F.lit("fallback_keyword").alias("source"))
     )
 
 
-def all_sections(
-    annotated: DataFrame, front: DataFrame, places: DataFrame, keyword: DataFrame, figures: DataFrame
-) -> DataFrame:
-    """Long section table with ``position`` in display order: title, fallback abstract, headed, keyword, figures.
+def section_parts(front: DataFrame, places: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Front rows, headed places and ``last`` rows (keyword and figures sections), each with its ``position``.
 
     Positions are counted on tables without section texts, so the texts of the headed sections are not
     moved again for them.
@@ -268,18 +282,30 @@ def all_sections(
     )
     rank = F.when(F.col("source") == "figures", 1).otherwise(0)
     in_order = Window.partitionBy("doc_id").orderBy(rank, "place")
+    rest = [c for c in last.columns if c not in ("doc_id", "place", "source")]
     last = (
-        keyword.unionByName(figures)
-        .join(front_counts, "doc_id", "left")
+        last.join(front_counts, "doc_id", "left")
         .join(heading_counts, "doc_id", "left")
-        .select(
-            "doc_id",
-            "section_key",
-            "content",
-            (n_front + n_headed + F.row_number().over(in_order) - 1).alias("position"),
-            "source",
-        )
+        .select("doc_id", *rest, (n_front + n_headed + F.row_number().over(in_order) - 1).alias("position"), "source")
     )
+    return first, placed, last
+
+
+def section_outline(annotated: DataFrame, front: DataFrame, places: DataFrame) -> DataFrame:
+    """Keys, places and sources of all sections of ``all_sections``; no section text is folded or moved."""
+    drawn = annotated.filter(F.col("caption_order").isNotNull()).select("doc_id").distinct()
+    drawn = drawn.select("doc_id", F.lit("figures").alias("section_key"), F.lit(0).alias("place"), F.lit("figures").alias("source"))
+    keys = keyword_keys(keyword_hits(annotated, places))
+    columns = ["doc_id", "section_key", "position", "source"]
+    first, placed, last = section_parts(front, places, keys.unionByName(drawn))
+    return first.select(*columns).unionByName(placed.select(*columns)).unionByName(last.select(*columns))
+
+
+def all_sections(
+    annotated: DataFrame, front: DataFrame, places: DataFrame, keyword: DataFrame, figures: DataFrame
+) -> DataFrame:
+    """Long section table with ``position`` in display order: title, fallback abstract, headed, keyword, figures."""
+    first, placed, last = section_parts(front, places, keyword.unionByName(figures))
     return first.unionByName(heading_sections(annotated, placed)).unionByName(last)
 
 

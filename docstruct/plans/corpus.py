@@ -87,6 +87,37 @@ class Corpus:
         )
         return self._staged("sections", sections)
 
+    @cached_property
+    def outline(self) -> DataFrame:
+        """Keys, positions and sources of the sections, made without their texts."""
+        if "sections" in self.staged:
+            return self.sections.select("doc_id", "section_key", "position", "source")
+        return self._staged("outline", S.section_outline(self.annotated, self.front, self.places))
+
+    @cached_property
+    def section_orders(self) -> DataFrame:
+        return self.outline.groupBy("doc_id").agg(
+            F.array_sort(F.collect_list(F.struct("position", "section_key")))["section_key"].alias("section_order")
+        )
+
+    @cached_property
+    def figure_counts(self) -> DataFrame:
+        return self.annotated.groupBy("doc_id").agg((F.max("caption_order") + 1).alias("figure_count"))
+
+    @cached_property
+    def uncertainties(self) -> DataFrame:
+        """(doc_id, uncertainties) of all documents, from titles, outline and figure counts alone."""
+        found = (
+            S.document_counts(self.blocks, self.snapshots).select("doc_id")
+            .join(self.front.select("doc_id", "title"), "doc_id", "left")
+            .join(self.section_orders, "doc_id", "left")
+            .join(self.figure_counts, "doc_id", "left")
+        )
+        order = F.coalesce("section_order", F.array().cast("array<string>"))
+        return found.select(
+            "doc_id", S.uncertainties(F.col("title"), order, F.coalesce("figure_count", F.lit(0))).alias("uncertainties")
+        )
+
     @cached_property
     def abstracts(self) -> DataFrame:
         """(doc_id, abstract): headed ones, else those from the front matter; no other section is folded."""
@@ -99,17 +130,13 @@ class Corpus:
     @cached_property
     def structure(self) -> DataFrame:
         """One row per document: metadata, section order, counts, noise and uncertainties."""
-        listed = self.sections.groupBy("doc_id").agg(
-            F.array_sort(F.collect_list(F.struct("position", "section_key")))["section_key"].alias("section_order")
-        )
-        counted = self.annotated.groupBy("doc_id").agg((F.max("caption_order") + 1).alias("figure_count"))
         docs = (
             S.document_counts(self.blocks, self.snapshots)
             .join(self.front, "doc_id", "left")
             .join(self.doi, "doc_id", "left")
-            .join(listed, "doc_id", "left")
+            .join(self.section_orders, "doc_id", "left")
             .join(self.abstracts, "doc_id", "left")
-            .join(counted, "doc_id", "left")
+            .join(self.figure_counts, "doc_id", "left")
             .join(S.discarded_noise(self.lines), "doc_id", "left")
         )
         none = F.array().cast("array<string>")
@@ -180,8 +207,8 @@ def corpus_summary(corpus: Corpus) -> DataFrame:
     """Corpus roll-up: documents per uncertainty, documents per section key, figures per type."""
     kinds = E.figure_artifacts(corpus.figures)
     parts = [
-        corpus.structure.select(F.lit("uncertainty").alias("facet"), F.explode("uncertainties").alias("value")),
-        corpus.sections.select(F.lit("section").alias("facet"), F.col("section_key").alias("value")),
+        corpus.uncertainties.select(F.lit("uncertainty").alias("facet"), F.explode("uncertainties").alias("value")),
+        corpus.outline.select(F.lit("section").alias("facet"), F.col("section_key").alias("value")),
         kinds.select(F.lit("figure_type").alias("facet"), F.col("figure_type").alias("value")),
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -261,7 +261,7 @@ def document_structure(spark, folder):
 
 @query
 def uncertainties(spark, folder):
-    return corpus(spark, folder, staged=SECTION_PLAN).structure.select(
+    return corpus(spark, folder, staged=SECTION_PLAN).uncertainties.select(
         "doc_id", joined("uncertainties").alias("uncertainties")
     )
 
@@ -393,7 +393,7 @@ def key_figures(spark, folder):
 
 @query
 def corpus_rollup(spark, folder):
-    return corpus_summary(corpus(spark, folder, staged=(*FOCUS_PLAN, "figures")))
+    return corpus_summary(corpus(spark, folder, staged=(*SECTION_PLAN, "outline")))
 
 
 @query
