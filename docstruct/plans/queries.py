@@ -33,10 +33,11 @@ from docstruct.plans.corpus import (
 )
 from docstruct.plans.mixed import PARSED_PLAN, MixedCorpus, mixed_tables
 from docstruct.plans.run import no_results, research_tables
-from docstruct.plans.staging import app_folder, stage_folder
+from docstruct.plans.staging import app_folder, stage, stage_folder
 from docstruct.sources.files import assemble_blocks
 from docstruct.sources.seed import seeded_blocks, seeded_snapshots, seeded_spans
 from docstruct.sources.tables import read_table
+from docstruct.streaming import ingest as SI
 from docstruct.streaming import jobs as SJ
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -846,3 +847,23 @@ def job_store_stream(spark, folder):
     SJ.upsert_jobs_stream(_job_stream(spark, folder), f"{out}/rows", f"{out}/check").awaitTermination()
     stored = J.latest_jobs(spark.read.parquet(f"{out}/rows").drop("batch"))
     return stored.select("job_id", "event_id", "status", "error_message")
+
+
+@query
+def ingested_structure(spark, folder):
+    """Structure kept by a stream over three arrivals; every tenth document comes in two of them."""
+    blocks = seeded_blocks(table(spark, folder, "documents"))
+    totals = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("block_total"))
+    split = (F.col("doc_id") % 10 == 1) & (F.col("order_index") * 2 >= F.col("block_total"))
+    arrival = F.when(split, 2).otherwise(F.when(F.col("doc_id") % 10 == 1, 0).otherwise(F.col("doc_id") % 3))
+    out = _stream_folder(spark, "ingest")
+    arriving = stage(blocks.join(totals, "doc_id").withColumn("arrival", arrival), "arriving")
+    stream = None
+    for n in range(3):
+        arriving.filter(F.col("arrival") == n).drop("arrival").write.mode("append").parquet(f"{out}/blocks")
+        stream = spark.readStream.schema(arriving.drop("arrival").schema).parquet(f"{out}/blocks")
+        SI.ingest_blocks(stream, f"{out}/tables", f"{out}/check").awaitTermination()
+    return spark.read.parquet(f"{out}/tables/structure").select(
+        "doc_id", "title", joined("authors").alias("authors"), "doi", "venue", "year", "abstract", "page_count",
+        "figure_count", joined("section_order").alias("section_order"), joined("discarded_noise").alias("discarded_noise"),
+    )

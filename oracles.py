@@ -1049,3 +1049,5 @@ ORACLES |= {
          {joined(_cut_list(f"list_concat([{q(labels.text('caption_summary'))} || {sanitize('caption', 120)}], {_cut_list('l.direct', 6, 200)})", 6, 200))} AS evidence
         FROM noted n JOIN last_noted l USING (doc_id, figure_id)""",
 }
+
+ORACLES["ingested_structure"] = ORACLES["document_structure"]

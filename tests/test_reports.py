@@ -131,6 +131,28 @@ def test_a_document_in_two_files_is_rejected_the_second_time(spark, folder, tmp_
     assert [(r.doc_id, r.reason) for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect()] == [(0, "document_seen_before")]
 
 
+def test_parts_wait_for_their_document(spark, folder, tmp_path):
+    """Document 0 comes in three parts (one block twice), 1 never completes, 2 is whole; late rows of either are rejected."""
+    blocks = seeded_blocks(spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 3"))
+    totals = blocks.groupBy("doc_id").agg(F.count("*").alias("block_total"))
+    blocks = blocks.join(totals, "doc_id")
+    first = "(doc_id = 0 AND order_index < 4) OR (doc_id = 1 AND order_index < 2) OR doc_id = 2"
+    parts = [first, "doc_id = 0 AND order_index BETWEEN 3 AND 7", "doc_id = 0 AND order_index > 7", "doc_id = 1 AND order_index = 3", "doc_id IN (0, 1)"]
+    seen = []
+    for part in parts:
+        blocks.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(blocks.schema).parquet(f"{tmp_path}/in")
+        ingest_blocks(stream, f"{tmp_path}/out", f"{tmp_path}/check", patience=2).awaitTermination(300)
+        seen.append(sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out/structure").collect()))
+    assert seen == [[2], [2], [0, 2], [0, 2], [0, 2]]
+    rejected = {(r.doc_id, r.reason, r.batch) for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect()}
+    assert rejected == {(1, "incomplete", 3), (0, "document_seen_before", 4), (1, "document_seen_before", 4)}
+    whole = Corpus(seeded_blocks(spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id IN (0, 2)"))).sections
+    streamed = spark.read.parquet(f"{tmp_path}/out/sections").drop("batch")
+    assert sorted(map(repr, streamed.select(whole.columns).collect())) == sorted(map(repr, whole.collect()))
+    assert sorted(p.name for p in (tmp_path / "out" / "waiting").iterdir() if p.is_dir()) == ["batch=3", "batch=4"]
+
+
 def test_ingest_streams(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for low in (0, 3):
