@@ -212,13 +212,13 @@ def _strip_units(bits: int):
     """
 
     def run(texts: pd.Series, drops: pd.Series, firsts: pd.Series, bodies: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, none = [], np.zeros(0, np.int64)
         for text, drop, first, named in zip(texts, drops, firsts, bodies):
             # Plain numbers: comparing with NumPy's own is many times slower.
             gone, again = (set(x.tolist()) if x is not None else set() for x in (drop, first))
             stays = {x["body"]: x["first"] for x in named} if named is not None else {}
             if not gone and not again and not stays:
-                rows.append((text, 0, []))
+                rows.append((text, 0, none, [], none))
                 continue
             lines, units = units_of(text)
             out: set[int] = set()
@@ -233,11 +233,12 @@ def _strip_units(bits: int):
                 # What overlaps the first place of the same run is part of it.
                 if h in gone or stays.get(body) is False or ends.setdefault(body, stop) <= start:
                     out.update(range(start, stop))
-            found = [{"h": h, "body": body, "n": n} for body, (h, n) in met.items()]
-            rows.append(("".join(line for k, line in enumerate(lines) if k not in out), len(out), found))
-        return pd.DataFrame(rows, columns=["text", "n_removed", "met"])
+            numbers = np.array(list(met.values()), np.int64).reshape(-1, 2)
+            left = "".join(line for k, line in enumerate(lines) if k not in out)
+            rows.append((left, len(out), numbers[:, 0], list(met), numbers[:, 1]))
+        return pd.DataFrame(rows, columns=["text", "n_removed", "h", "body", "n"])
 
-    return F.pandas_udf(run, "text string, n_removed bigint, met array<struct<h:bigint,body:string,n:bigint>>")
+    return F.pandas_udf(run, "text string, n_removed bigint, h array<bigint>, body array<string>, n array<bigint>")
 
 
 def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True, bits: int = 64) -> DataFrame:
@@ -275,12 +276,12 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     none = F.lit(None).cast("array<struct<body:string,first:boolean>>")
     done = cut(flagged.select(bare, "d", "k", strip("words", "_drop", "_first", none).alias("new")))
 
-    met = done.select(F.coalesce("d", last).alias("id"), F.explode("new.met").alias("m")).select("id", "m.*")
+    met = done.select(F.coalesce("d", last).alias("id"), F.inline(F.arrays_zip("new.h", "new.body", "new.n")))
     same = met.groupBy("h", "body").agg(F.sum("n").alias("n"), F.min("id").alias("first_id"))
     clash = small(cut(same.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h")))
     stripped = done.select("row", F.struct("new.text", "new.n_removed").alias("new"))
     if clash.limit(1).count():
-        mixed = done.select("d", "k", F.explode("new.met").alias("m")).select("d", "k", "m.h", "m.body")
+        mixed = done.select("d", "k", F.inline(F.arrays_zip("new.h", "new.body")))
         by_bytes = same.join(clash, "h").where("n > 1").select("h", "body", F.col("first_id"))
         touched = cut(mixed.join(clash, "h").select("d", "k").distinct()).withColumnsRenamed({"d": "d3", "k": "k3"})
         named = mixed.join(by_bytes, ["h", "body"]).groupBy(F.col("d").alias("d2"), F.col("k").alias("k2")).agg(

@@ -22,21 +22,29 @@ SEPARATOR = 0
 
 
 @lru_cache(maxsize=4)
-def _encoder(vocabulary: str):
-    """The vocabulary's ranks and added tokens, read in each Python worker."""
+def added_tokens(vocabulary: str) -> tuple[tuple[str, int], ...]:
+    """The few added tokens of a vocabulary, from the definition beside its ranks; read on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(vocabulary.rsplit(".", 1)[0] + ".json"), encoding="utf-8") as f:
+        return tuple((token["content"], token["id"]) for token in json.load(f)["added_tokens"])
+
+
+@lru_cache(maxsize=4)
+def _encoder(vocabulary: str, added: tuple[tuple[str, int], ...]):
+    """The vocabulary's ranks, read in each Python worker, with its added tokens."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(vocabulary), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    with open(public_tokenizers.path(vocabulary.rsplit(".", 1)[0] + ".json"), encoding="utf-8") as f:
-        added = {token["content"]: token["id"] for token in json.load(f)["added_tokens"]}
-    return tiktoken.Encoding("docstruct", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return tiktoken.Encoding("docstruct", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(added))
 
 
-def tokenize(text: str | None, vocabulary: str) -> np.ndarray:
+def tokenize(text: str | None, vocabulary: str, added: tuple[tuple[str, int], ...] | None = None) -> np.ndarray:
     """Ids of a text and the separator. An added token that stands in the text is that token, as in ``tokenizers``."""
-    ids = _encoder(vocabulary).encode_to_numpy(text or "", allowed_special="all")
+    added = added_tokens(vocabulary) if added is None else added
+    ids = _encoder(vocabulary, added).encode_to_numpy(text or "", allowed_special="all")
     return np.append(ids, np.uint32(SEPARATOR)).astype("<u4")
 
 
@@ -48,12 +56,13 @@ def cut_pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def pieces_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document; NULL texts are empty: one token, the separator."""
+    added = added_tokens(vocabulary)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, words in zip(batch["doc_id"], batch["text"]):
-                ids = tokenize(words, vocabulary)
+                ids = tokenize(words, vocabulary, added)
                 for k, (start, length) in enumerate(cut_pieces(len(ids), capacity)):
                     rows.append((doc, k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
