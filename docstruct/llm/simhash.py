@@ -13,7 +13,7 @@ from docstruct.llm.common import components, cut, packed, row_key
 SEED = 42
 #: ``op9``: words of a shingle, bits that may differ, segments of the ring.
 WORDS, DISTANCE, SEGMENTS = 3, 2, 16
-#: Near copies: words of a shingle, Jaccard similarity, sampled sketches, and members up to which a group's pairs are all looked at.
+#: Near copies: words of a shingle, Jaccard similarity, sampled sketches, and members up to which a group needs no pivot.
 NEAR_WORDS, SIMILARITY, SKETCHES, SMALL = 5, 0.8, 12, 8
 
 
@@ -148,16 +148,78 @@ def jaccard(a: str, b: str, words: int = NEAR_WORDS) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+def _groups(rows: DataFrame, sketches: int) -> DataFrame:
+    """``id, mask, g``: the group of the samples that ``mask`` names, for rows with ``id, mask, sketch``."""
+    named = F.filter(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda j: F.call_function("shiftright", F.col("mask"), j).bitwiseAND(F.lit(1)) == 1)
+    return rows.select("id", "mask", F.xxhash64("mask", F.transform(named, lambda j: F.get("sketch", j))).alias("g"))
+
+
+def _finer(rest: DataFrame, classes: DataFrame, sketches: int) -> DataFrame:
+    """The groups of ``rest`` split by every sample that they do not name yet; each set of samples is one group."""
+    further = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda j: F.call_function("shiftleft", F.lit(1), j).bitwiseOR(F.col("mask"))), lambda m: m != F.col("mask")
+    )
+    masks = rest.select("id", F.explode(further).alias("mask")).distinct()
+    return _groups(masks.join(classes.select("id", "sketch"), "id"), sketches)
+
+
+def near_links(classes: DataFrame, texts: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
+    """``(a, b)``, b < a: links that join the similar texts of ``classes`` (``id, kinds, sketch``); ``texts`` has ``id, text``.
+
+    Texts meet in groups that share a sample. Groups of at most ``SMALL`` members look at all their pairs. In larger
+    ones all members are compared with one pivot, the first in a random order of the ids (one order for each sample, so
+    that a pair that one group parts is together in another), and those that are similar to it are linked and leave; the others go on, the next pivot among them, until no member is left
+    without a pivot. Where a pivot is similar to less than half of its group, the rest is no family of copies but shares
+    a passage or falls into several families: it is split by every further sample, so that only texts that share two,
+    three and more samples still meet. Thus groups at least halve or name one more of the twelve samples in each
+    round. A pair is checked once, whatever the groups and rounds it meets in.
+    """
+    one = classes.where(F.size("sketch") > 0).select("id", "sketch", F.explode(F.array(*[F.lit(1 << j) for j in range(sketches)])).alias("mask"))
+    live, full = _groups(one, sketches), (1 << sketches) - 1
+    counts = classes.select("id", "kinds")
+
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y, words) >= similarity for x, y in zip(a, b)], dtype=bool)
+
+    def side(name: str, table: DataFrame, column: str, alias: str) -> DataFrame:
+        return table.select(F.col("id").alias(name), F.col(column).alias(alias))
+
+    checked = None
+    while True:
+        order = F.struct(F.xxhash64("id", F.col("mask").bitwiseAND(-F.col("mask"))), "id")
+        sizes = live.groupBy("g").agg(F.count("*").alias("n"), F.min_by("id", order).alias("pivot")).where("n > 1")
+        shared = cut(live.join(sizes.hint("merge"), "g"))
+        little = shared.where(F.col("n") <= SMALL).select("g", "id")
+        little = little.join(little.select("g", F.col("id").alias("b")), "g").where("b < id").select(F.col("id").alias("a"), "b")
+        large = shared.where((F.col("n") > SMALL) & (F.col("id") != F.col("pivot")))
+        met = large.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
+        pairs = little.union(met).distinct()
+        if checked is not None:
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        # No two sets are more similar than their sizes.
+        pairs = pairs.join(side("a", counts, "kinds", "x"), "a").join(side("b", counts, "kinds", "y"), "b")
+        pairs = cut(pairs.where(F.least("x", "y") / F.greatest("x", "y") >= similarity).select("a", "b"))
+        both = pairs.join(side("a", texts, "text", "ta"), "a").join(side("b", texts, "text", "tb"), "b")
+        done = cut(both.select("a", "b", F.pandas_udf(similar, "boolean")("ta", "tb").alias("near")))
+        checked = done if checked is None else checked.union(done)
+        near = checked.where("near").select("a", "b")
+        a, b = F.greatest("id", "pivot"), F.least("id", "pivot")
+        left = large.withColumns({"a": a, "b": b}).join(near, ["a", "b"], "left_anti").select("id", "mask", "g", "n")
+        left = cut(left.join(left.groupBy("g").agg(F.count("*").alias("rest")).where("rest > 1"), "g"))
+        if not left.limit(1).count():
+            return near
+        mixed = (F.col("rest") * 2 > F.col("n")) & (F.col("mask") != full)
+        live = left.where(~mixed).select("id", "mask", "g").union(_finer(left.where(mixed), classes, sketches)).distinct()
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, row_key, component_id`` of every different (id, text): groups of texts with a similarity of 0.8 or more.
 
     A similarity of 0.8 leaves two 64-bit fingerprints some ten bits apart, at times over twenty: too far for keys on
     the ring, and no bound that would lose no pair. So candidates are texts that share one of twelve min-wise
     samples of the shingles, less those of which one has under 0.8 times the other's shingles, which cannot be
-    similar; the shingle sets of the whole texts decide. Texts with the same words are one node. Groups
-    of at most ``SMALL`` look at all their pairs; larger ones, and their parts that agree in the next sample
-    too, are compared with the member that shares most samples with others, which is what the copies
-    of one text have in common. Wordless texts are one group.
+    similar; the shingle sets of the whole texts decide (``near_links``). Texts with the same words are one
+    node. Wordless texts are one group. Rows with a NULL id are no copies.
     """
     def sketch(texts: pd.Series) -> pd.DataFrame:
         return _sketch(texts, words, SKETCHES)
@@ -166,41 +228,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     made = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), sketched.alias("s"))
     made = cut(made.select("doc_id", "row_key", "s.*"))
     classes = cut(made.groupBy("same", "kinds", "sketch").agg(F.min("doc_id").alias("id"), F.min_by("row_key", "doc_id").alias("key")).where("id IS NOT NULL"))
-    turned = F.concat("sketch", F.slice("sketch", 1, 1))
-    both = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda j: F.struct(j.alias("j"), F.get(turned, j).alias("s"), F.get(turned, j + 1).alias("t")))
-    keys = classes.where(F.size("sketch") > 0).select("id", "kinds", F.inline(both))
-    one = keys.select("id", "kinds", "j", F.xxhash64("s").alias("g"))
-    two = keys.select("id", "kinds", (F.col("j") + SKETCHES).alias("j"), F.xxhash64("s", "t").alias("g"))
-    keys = one.union(two)
-    sizes = keys.groupBy("j", "g").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keys.join(sizes, ["j", "g"]))
-    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
-    famous = shared.where(F.col("n") > SMALL).join(fame, "id")
-    pivot = famous.groupBy("j", "g").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("b"))
-    counts = classes.select(F.col("id").alias("b"), F.col("kinds").alias("others"))
-    large = shared.where(F.col("n") > SMALL).join(pivot, ["j", "g"]).where("id <> b").select("id", "b").distinct()
-    large = large.join(classes.select("id", "kinds"), "id").join(counts, "b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"), "kinds", "others")
-    little = shared.where(F.col("n") <= SMALL).select("j", "g", "id", "kinds")
-    other = little.select("j", "g", F.col("id").alias("b"), F.col("kinds").alias("others"))
-    little = little.join(other, ["j", "g"]).where("b < id").select(F.col("id").alias("a"), "b", "kinds", "others")
-    pairs = little.union(large).distinct()
-    # No two sets are more similar than their sizes.
-    pairs = pairs.where(F.least("kinds", "others") / F.greatest("kinds", "others") >= similarity)
-    pairs = cut(pairs.select("a", "b").distinct())
-
-    # The texts of the candidates only, then the exact check on whole texts.
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = wanted.join(classes.select("id", "key"), "id")
-    texts = docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text")).join(wanted, ["id", "key"], "left_semi")
-    texts = cut(texts.select("id", "text"))
 
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, words) >= similarity for x, y in zip(a, b)], dtype=bool)
-
-    checked = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
-    )
-    links = checked.where(F.pandas_udf(similar, "boolean")("ta", "tb")).select("a", "b")
+    # Only texts that share a sample with another one are written for the exact check.
+    each = classes.select("id", "key", "kinds", F.inline(F.transform("sketch", lambda s, j: F.struct(j.alias("j"), s.alias("s")))))
+    twice = each.groupBy("j", "s").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = cut(each.join(twice.hint("merge"), ["j", "s"]).groupBy("id").agg(F.first("key").alias("key")))
+    texts = docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text")).join(wanted, ["id", "key"], "left_semi")
+    # Rows that are repeated are one text.
+    texts = cut(texts.dropDuplicates(["id"]).select("id", "text"))
+    links = near_links(classes.join(wanted.select("id"), "id", "left_semi"), texts, words, similarity)
     member = components(links).withColumnRenamed("node", "id")
     known = classes.join(member, "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
     return made.join(known, "same", "left").select("doc_id", "row_key", "component_id")
