@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,17 +38,47 @@ _ASIDE_NAME = re.compile(
     re.I,
 )
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)", re.S)
+_NAME = re.compile(r"[\s/]*(=?[^\s/>=]*)\s*(=?)\s*")
+_VALUE = re.compile(r"[^\s>]*")
+#: Elements that no form on a page holds: a form around one of them is wrapped around the page.
+_WRAPPED = frozenset("article main nav header footer h1".split())
 
 
-def _put_aside(name: str, attributes: str, inside: bool) -> bool:
+def read_attributes(html: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """The attributes of a tag from behind its name on, the place behind the tag, and whether it closes itself.
+
+    Quotes open a value only behind an equals sign; elsewhere they are letters like any other. A tag or value that
+    is never closed ends with the page. Every character is read once.
+    """
+    found: dict[str, str] = {}
+    while True:
+        m = _NAME.match(html, at)
+        at = m.end()
+        value = ""
+        if m[2]:
+            if html[at : at + 1] in ("'", '"'):
+                end = html.find(html[at], at + 1)
+                if end < 0:
+                    return found, len(html), False
+                value, at = html[at + 1 : end], end + 1
+            else:
+                m2 = _VALUE.match(html, at)
+                value, at = m2[0], m2.end()
+        if m[1]:
+            found.setdefault(m[1].lower(), value)
+        if at >= len(html):
+            return found, at, False
+        if html[at] == ">":
+            return found, at + 1, html[at - 1] == "/" and not value
+
+
+def _put_aside(name: str, found: dict[str, str], inside: bool) -> bool:
     """Whether an element holds no main text. A header is a page's unless it is inside the content."""
     if name in ASIDE or (name == "header" and not inside):
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not found or name in ("html", "body", "article", "main"):
         return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
         return True
     return bool(_ASIDE_ROLE.search(found.get("role", "")) or _ASIDE_NAME.search(f"{found.get('class', '')} {found.get('id', '')}"))
@@ -58,12 +89,16 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
 
     A line is the text of a block: references decoded, white space one space, trimmed, empty ones left out.
     ``aside`` marks menus, adverts, comments, forms and the like, ``inside`` the text of an article or main
-    element. Scripts, styles, comments and markup are no text. Unclosed elements end with what holds them.
+    element. Scripts, styles, comments and markup are no text. Unclosed elements end with what holds them, an unclosed
+    tag with the page. A form is put aside unless it is wrapped around the page (``_WRAPPED``). Time is linear in the page.
     """
-    out: list[tuple[str, bool, bool]] = []
+    # A state is (aside, inside, number of the form); lines of forms are put aside once all of the page is read.
+    out: list[tuple[str, bool, bool, int]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    state = (False, False)
+    stack: list[tuple[str, tuple[bool, bool, int]]] = []
+    opened: Counter[str] = Counter()
+    state = (False, False, 0)
+    forms, wrappers = 0, set()
 
     def flush() -> None:
         if buffer:
@@ -85,17 +120,20 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
         if not m[2]:
             continue
         name = m[2].lower()
+        found, at, closed = read_attributes(html, at)
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCKS or stack[k][1:] != state:
-                        flush()
-                    state = stack[k][1:]
-                    del stack[k:]
-                    break
-            else:
-                if name in BLOCKS:
+            # Whatever is passed over on the way down is closed too, so that all closing tags take linear time together.
+            if opened[name]:
+                while stack:
+                    last, before = stack.pop()
+                    opened[last] -= 1
+                    if last == name:
+                        break
+                if name in BLOCKS or before != state:
                     flush()
+                state = before
+            elif name in BLOCKS:
+                flush()
             continue
         if name in BLOCKS:
             flush()
@@ -107,21 +145,24 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
             continue
         # A paragraph or item ends the one before it that was left open.
         if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-            state = stack.pop()[1:]
-        aside, inside = state
-        if m[3].endswith("/") and name not in BLOCKS:
+            opened[name] -= 1
+            state = stack.pop()[1]
+        aside, inside, form = state
+        if closed and name not in BLOCKS:
             continue
-        own = aside or _put_aside(name, m[3], inside)
-        if own != aside:
-            flush()
-        stack.append((name, *state))
-        state = (own, inside or name in CONTENT)
-        if state[1] != inside:
-            lost, state = state, (aside, inside)
+        if form and name in _WRAPPED:
+            wrappers.add(form)
+        new = (aside or (name != "form" and _put_aside(name, found, inside)), inside or name in CONTENT, form)
+        if name == "form" and not form:
+            forms += 1
+            new = (aside or _put_aside("div", found, inside), inside, forms)
+        if new != state:
             flush()
-            state = lost
+        stack.append((name, state))
+        opened[name] += 1
+        state = new
     flush()
-    return out
+    return [(text, aside or (form > 0 and form not in wrappers), inside) for text, aside, inside, form in out]
 
 
 ASIDE_LINE, OPEN_LINE, OWN_LINE = 0, 1, 2
