@@ -1,4 +1,4 @@
-"""HTML extraction: visible lines of pages, less what the page with the nearest url has too."""
+"""HTML extraction: visible lines of pages, less what the pages with the nearest urls have too."""
 
 from __future__ import annotations
 
@@ -10,13 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstruct.llm.common import cut, in_order
 
-#: Share of a page's candidate characters above which its partner is a copy of it, not a sibling with the same template.
-COPY_SHARE = 0.5
+#: Pages before and after a page, in the order of urls, that bear witness to what its nearest page shares with it.
+REACH = 2
 # Elements that end a block, that have no text, and that hold no main text; words of class and id.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -165,18 +165,32 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
     return [(text, aside or (form > 0 and form not in wrappers), inside) for text, aside, inside, form in out]
 
 
-ASIDE_LINE, OPEN_LINE, OWN_LINE = 0, 1, 2
+ASIDE_LINE, OPEN_LINE, OWN_LINE, OUTER_LINE = 0, 1, 2, 3
 
 
 def marked_lines(html: str | None) -> list[tuple[str, int]]:
-    """All lines of a page with their kind: put aside, open to the comparison, or the page's own article.
+    """All lines of a page with their kind: put aside, open to the comparison, of its article, or outside of its article.
 
-    A page with an article or main element has its main text there and nowhere else. Without one, all that is not
-    put aside is open: only the comparison with its neighbour tells the template from the text.
+    Without an article or main element, all that is not put aside is open: only the comparison with its neighbours tells
+    the template from the text.
     """
     lines = page_lines(html)
     own = any(inside and not aside for _, aside, inside in lines)
-    return [(text, ASIDE_LINE if aside or own > inside else OWN_LINE if own else OPEN_LINE) for text, aside, inside in lines]
+    beyond = OUTER_LINE if own else OPEN_LINE
+    return [(text, ASIDE_LINE if aside else OWN_LINE if inside else beyond) for text, aside, inside in lines]
+
+
+def main_text(html: str | None, gone: set[int] | None) -> str:
+    """The lines of a page that are its text; ``gone`` are the places of those that its neighbours share, None if it has none.
+
+    An article's own lines stand: those that another page has are quoted or copied text, not template. Lines outside of
+    all articles are text too if, less what is shared, they hold more characters than the articles: then
+    these are teasers beside the story.
+    """
+    lines = marked_lines(html)
+    size = {kind: sum(len(t) for k, (t, is_a) in enumerate(lines) if is_a == kind and k not in (gone or ())) for kind in (OWN_LINE, OUTER_LINE)}
+    kinds = {OPEN_LINE, OWN_LINE} | ({OUTER_LINE} if gone is not None and size[OUTER_LINE] > size[OWN_LINE] else set())
+    return "\n".join(t for k, (t, kind) in enumerate(lines) if kind in kinds and (kind == OWN_LINE or k not in (gone or ())))
 
 
 def _hash(text: str) -> int:
@@ -229,54 +243,47 @@ def common_lines(a: list[int], b: list[int], cells: int = 4_000_000) -> list[int
     return [*range(start), *[left[k] for k in middle], *range(len(a) - stop, len(a))]
 
 
-def shared_lines(mine: list[int], kinds: list[int], sizes: list[int], other: list[int]) -> list[int]:
-    """Places of the lines to delete since the partner has them too.
-
-    An article's own lines stand: those that another page has are quoted or copied text, not template. Open lines
-    stand if most of their characters are shared, for then the pages are copies of each other.
-    """
-    places = [k for k in common_lines(list(mine), list(other)) if kinds[k] != OWN_LINE]
-    total = sum(n for n, kind in zip(sizes, kinds) if kind == OPEN_LINE)
-    copied = sum(sizes[k] for k in places if kinds[k] == OPEN_LINE) > COPY_SHARE * total
-    return [k for k in places if not copied or kinds[k] == ASIDE_LINE]
-
-
-def neighbours(pages: DataFrame) -> DataFrame:
-    """``(key, partner)``: for each page the one of its host whose url path is nearest; no row without one.
+def neighbourhood(pages: DataFrame, reach: int = REACH) -> DataFrame:
+    """``(key, partner, nearest)``: up to ``reach`` pages of the same host before and after each page in url order.
 
     Pages are put in the order of host and path over the whole table, in ranges, so that a host of any size is
-    spread. Of the pages before and after, that with the longer common start of the path is the partner, the one
-    before at a tie.
+    spread. ``nearest`` is true for one of them: of the pages just before and after, that with the longer common start
+    of the path, the one before at a tie. Pages alone on their host have no row.
     """
     placed = cut(in_order(pages, "host", "path", "key"))
     rows = placed.select("at", "host", "path", "key")
 
-    def beside(step: int, to: str) -> DataFrame:
-        return placed.select((F.col("at") + step).alias("at"), F.col("host").alias(f"{to}h"), F.col("path").alias(f"{to}p"), F.col("key").alias(f"{to}k"))
-
-    def common(other: str):
-        """Length of the common start, found by halving over the characters' equality."""
+    def common(other: str) -> Column:
+        """Length of the common start: one less than the first place where the characters differ."""
         n = F.least(F.char_length("path"), F.char_length(other))
         same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substr("path", k, F.lit(1)) != F.substr(other, k, F.lit(1)))
         return F.coalesce(F.get(same, F.lit(0)) - 1, n)
 
-    joined = rows.join(beside(1, "b"), "at", "left").join(beside(-1, "a"), "at", "left")
-    before = F.when(F.col("bh") == F.col("host"), common("bp")).otherwise(-1)
-    after = F.when(F.col("ah") == F.col("host"), common("ap")).otherwise(-1)
-    found = joined.select("key", "bk", "ak", before.alias("before"), after.alias("after"))
-    partner = F.when(F.col("after") > F.col("before"), F.col("ak")).when(F.col("before") >= 0, F.col("bk"))
-    return found.select("key", partner.alias("partner")).where("partner IS NOT NULL")
+    steps = F.array(*[F.lit(k) for k in range(-reach, reach + 1) if k])
+    beside = placed.select(F.explode(steps).alias("step"), "at", F.col("host").alias("h"), F.col("path").alias("p"), F.col("key").alias("partner"))
+    beside = beside.withColumn("at", F.col("at") - F.col("step"))
+    near = F.when(F.abs("step") == 1, common("p"))
+    met = rows.join(beside, "at").where("host = h").select("key", "partner", "step", near.alias("near"))
+    best = F.max(F.struct("near", (-F.col("step")).alias("back"))).over(Window.partitionBy("key"))
+    return met.withColumn("best", best).select("key", "partner", (-F.col("step") == F.col("best.back")).alias("nearest"))
+
+
+def neighbours(pages: DataFrame) -> DataFrame:
+    """``(key, partner)``: for each page the one of its host whose url path is nearest; no row without one."""
+    return neighbourhood(pages, 1).where("nearest").select("key", "partner")
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars, n_shared`` of every row: the main text, a block per line.
 
-    Pages are paired by nearest url within their host and all their lines aligned by longest common subsequence;
-    shared lines are deleted, but for an article's own and for copied pages (``shared_lines``); then the lines
-    that the markup puts aside go. ``n_shared`` counts the deleted lines. NULL and empty pages have an empty
-    text; pages with a NULL url, or alone on their host, have no partner and are read by their markup only.
+    Pages are paired by nearest url within their host and all their lines aligned by longest common subsequence.
+    What the nearest page shares is deleted if at least half of the other pages around (``REACH``) share it too, so
+    that a copy beside the page is no evidence; pages of a host with the same lines count as one. Then the lines
+    that the markup puts aside go (``main_text``). ``n_shared`` counts the shared lines. NULL and empty pages have an
+    empty text; pages with a NULL url, or alone on their host, have no partner and are read by their markup only.
     Repeated rows are compared as one page. Only hashes of lines move, except for one join of the pages with
-    the places of the lines to delete.
+    the places of the shared lines. Two different pages alone on a host lose what they share outside of articles;
+    so does the inner one of more than three near copies side by side.
     """
     key = F.xxhash64(F.coalesce(F.col(url), F.lit("")), F.col(url).isNull(), F.coalesce(F.col(html), F.lit("")), F.col(html).isNull())
 
@@ -289,31 +296,39 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                     "url": batch["url"],
                     "lines": [[_hash(t) for t, _ in m] for m in made],
                     "kinds": [[k for _, k in m] for m in made],
-                    "sizes": [[len(t) for t, _ in m] for m in made],
                 }
             )
 
-    kept = "lines array<bigint>, kinds array<int>, sizes array<int>"
+    kept = "lines array<bigint>, kinds array<int>"
     rows = pages.select(key.alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     light = cut(rows.mapInPandas(slim, f"key bigint, url string, {kept}").dropDuplicates(["key"]))
     parts = r"(?s)^.*?://([^/?#]*)([^#]*)"
     urls = light.where("url IS NOT NULL").select("key", F.lower(F.regexp_extract("url", parts, 1)).alias("host"), F.regexp_extract("url", parts, 2).alias("path"))
-    pairs = neighbours(urls.where("host <> ''"))
-    lines = light.select("key", "lines", "kinds", "sizes").where(F.size("lines") > 0)
+    urls = urls.join(light.select("key", F.xxhash64("lines", "kinds").alias("same")), "key").where("host <> ''")
+    first = cut(urls.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("f")).select("host", "same", "f.path", "f.key"))
+    pairs = neighbourhood(first.select("host", "path", "key"))
+    lines = light.select("key", "lines")
 
-    def align(mine: pd.Series, kinds: pd.Series, sizes: pd.Series, other: pd.Series) -> pd.Series:
-        return pd.Series([shared_lines(*map(list, row)) for row in zip(mine, kinds, sizes, other)])
+    def align(mine: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([common_lines(a.tolist(), b.tolist()) for a, b in zip(mine, other)])
 
     both = pairs.join(lines, "key").join(lines.select(F.col("key").alias("partner"), F.col("lines").alias("other")), "partner")
-    shared = both.select("key", F.pandas_udf(align, "array<int>")("lines", "kinds", "sizes", "other").alias("gone"))
-    shared = cut(shared.where(F.size("gone") > 0))
+    found = both.select("key", "nearest", F.pandas_udf(align, "array<int>")("lines", "other").alias("places"))
+    # At most 2 * REACH lists a page.
+    found = found.groupBy("key").agg(F.max(F.when(F.col("nearest"), F.col("places"))).alias("mine"), F.collect_list(F.when(~F.col("nearest"), F.col("places"))).alias("others"))
+
+    def witnessed(place: Column) -> Column:
+        return 2 * F.size(F.filter("others", lambda o: F.array_contains(o, place))) >= F.size("others")
+
+    found = found.select(F.col("key").alias("of"), F.filter("mine", witnessed).alias("gone"))
+    named = urls.select("key", "host", "same").join(first.select("host", "same", F.col("key").alias("of")), ["host", "same"])
+    shared = cut(named.join(found, "of").select("key", "gone"))
 
     def read(htmls: pd.Series, gone: pd.Series) -> pd.DataFrame:
         out = []
         for h, g in zip(htmls, gone):
-            drop = set(g if g is not None else ())
-            text = "\n".join(t for k, (t, kind) in enumerate(marked_lines(h)) if kind != ASIDE_LINE and k not in drop)
-            out.append((text, len(text), len(drop)))
+            text = main_text(h, None if g is None else set(g.tolist()))
+            out.append((text, len(text), 0 if g is None else len(g)))
         return pd.DataFrame(out, columns=["text", "n_chars", "n_shared"])
 
     done = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), key.alias("key")).join(shared, "key", "left")
