@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import cut, in_order
+from docstruct.llm.common import bit_filter, cut, in_filter, in_order
 
 #: Pages before and after a page, in the order of urls, that bear witness to what its nearest page shares with it.
 REACH = 2
@@ -279,10 +279,10 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     Pages are paired by nearest url within their host and all their lines aligned by longest common subsequence.
     What the nearest page shares is deleted if at least half of the other pages around (``REACH``) share it too, so
     that a copy beside the page is no evidence; pages of a host with the same lines count as one. Then the lines
-    that the markup puts aside go (``main_text``). ``n_shared`` counts the shared lines. NULL and empty pages have an
+    that the markup puts aside go (``main_text``). ``n_shared`` counts the shared lines outside of articles. NULL and empty pages have an
     empty text; pages with a NULL url, or alone on their host, have no partner and are read by their markup only.
-    Repeated rows are compared as one page. Only hashes of lines move, except for one join of the pages with
-    the places of the shared lines. Two different pages alone on a host lose what they share outside of articles;
+    Repeated rows are compared as one page. Only hashes of lines move, and the pages whose
+    text the comparison may change, to be joined with the places of the shared lines. Two different pages alone on a host lose what they share outside of articles;
     so does the inner one of more than three near copies side by side.
     """
     key = F.xxhash64(F.coalesce(F.col(url), F.lit("")), F.col(url).isNull(), F.coalesce(F.col(html), F.lit("")), F.col(html).isNull())
@@ -303,8 +303,8 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = pages.select(key.alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     light = cut(rows.mapInPandas(slim, f"key bigint, url string, {kept}").dropDuplicates(["key"]))
     parts = r"(?s)^.*?://([^/?#]*)([^#]*)"
-    urls = light.where("url IS NOT NULL").select("key", F.lower(F.regexp_extract("url", parts, 1)).alias("host"), F.regexp_extract("url", parts, 2).alias("path"))
-    urls = urls.join(light.select("key", F.xxhash64("lines", "kinds").alias("same")), "key").where("host <> ''")
+    host, path = (F.regexp_extract("url", parts, k) for k in (1, 2))
+    urls = light.where("url IS NOT NULL").select("key", F.lower(host).alias("host"), path.alias("path"), "kinds", F.xxhash64("lines", "kinds").alias("same")).where("host <> ''")
     first = cut(urls.groupBy("host", "same").agg(F.min(F.struct("path", "key")).alias("f")).select("host", "same", "f.path", "f.key"))
     pairs = neighbourhood(first.select("host", "path", "key"))
     lines = light.select("key", "lines")
@@ -321,8 +321,11 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         return 2 * F.size(F.filter("others", lambda o: F.array_contains(o, place))) >= F.size("others")
 
     found = found.select(F.col("key").alias("of"), F.filter("mine", witnessed).alias("gone"))
-    named = urls.select("key", "host", "same").join(first.select("host", "same", F.col("key").alias("of")), ["host", "same"])
-    shared = cut(named.join(found, "of").select("key", "gone"))
+    named = urls.select("key", "host", "same", "kinds").join(first.select("host", "same", F.col("key").alias("of")), ["host", "same"])
+    # Only what can change a text: places that are open, and pages with lines outside of their articles.
+    gone = F.filter("gone", lambda k: F.get("kinds", k).isin(OPEN_LINE, OUTER_LINE))
+    shared = named.join(found, "of").select("key", gone.alias("gone"), F.array_contains("kinds", OUTER_LINE).alias("outer"))
+    shared = cut(shared.where((F.size("gone") > 0) | F.col("outer")).select("key", "gone"))
 
     def read(htmls: pd.Series, gone: pd.Series) -> pd.DataFrame:
         out = []
@@ -331,6 +334,10 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             out.append((text, len(text), 0 if g is None else len(g)))
         return pd.DataFrame(out, columns=["text", "n_chars", "n_shared"])
 
-    done = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), key.alias("key")).join(shared, "key", "left")
+    # Pages that the comparison surely leaves alone stay where they are.
+    maybe = in_filter(bit_filter(shared, "key"), F.col("key"))
+    every = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), key.alias("key")).withColumn("maybe", maybe)
+    alone = every.where("NOT maybe").select("page_id", "url", "html", F.lit(None).cast("array<int>").alias("gone"))
+    done = alone.union(every.where("maybe").join(shared, "key", "left").select("page_id", "url", "html", "gone"))
     made = done.select("page_id", "url", F.pandas_udf(read, "text string, n_chars bigint, n_shared bigint")("html", "gone").alias("r"))
     return made.select("page_id", "url", "r.*")
