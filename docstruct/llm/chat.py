@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The template and the control strings that are escaped inside texts.
@@ -69,7 +69,8 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     cover each assistant turn's body, escapes included. ``attachments`` are ``(kind, ref, start, tokens)`` in order,
     ``expanded_tokens`` their sum. Turns are ordered by turn, then role, then text, NULL first, so ties have one
     order; repeated rows stay. A NULL conv_id is a conversation of its own, NULL roles are empty, NULL or
-    empty parts give an empty body. A conversation is one string, as in any chat format.
+    empty parts give an empty body. A conversation is one string, as in any chat format; its turns are numbered by a
+    window and put together once, so its time grows in proportion to its turns (times a sort of them).
     """
     body = F.array_join(F.transform(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")), part_text), "")
     kept = F.filter(
@@ -84,21 +85,12 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
             kept.alias("parts"),
         ).alias("t"),
     )
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    piece = F.transform(
-        "ts",
-        lambda t: F.struct(
-            F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"),
-            t["body"].alias("body"),
-            (t["role"] == "assistant").alias("learn"),
-            t["parts"].alias("parts"),
-        ),
-    )
-    zero = F.struct(
-        F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"),
-        F.array().cast("array<struct<kind:string,ref:string,start:bigint,tokens:bigint>>").alias("files"),
+    head = F.concat(F.lit(START), escape_role(F.col("t.role")), F.lit("\n"))
+    pieces = rows.select("conv_id", "t", head.alias("head"), F.col("t.body").alias("body")).withColumn(
+        "length", F.char_length("head").cast("long") + F.char_length("body") + len(END)
     )
+    before = Window.partitionBy("conv_id").orderBy(F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("start", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long")))
 
     def attach(seen: Column, part: Column) -> Column:
         text = part_text(part)
@@ -108,27 +100,25 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
             F.when(part["kind"] == "text", seen["files"]).otherwise(F.array_append(seen["files"], file)).alias("files"),
         )
 
-    def visit(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["head"])
-        span = F.struct(start.cast("long").alias("start"), F.char_length(p["body"]).cast("long").alias("length"))
-        parts_seen = F.aggregate(p["parts"], F.struct(start.alias("at"), acc["files"].alias("files")), attach)
-        return F.struct(
-            (start + F.char_length(p["body"]) + len(END)).alias("at"),
-            F.when(p["learn"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-            parts_seen["files"].alias("files"),
-        )
-
-    walked = chats.select("conv_id", piece.alias("ps")).select(
-        "conv_id",
-        F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("ps", zero, visit).alias("w"),
+    opens = F.col("start") + F.char_length("head")
+    no_files = F.array().cast("array<struct<kind:string,ref:string,start:bigint,tokens:bigint>>")
+    files = F.aggregate("t.parts", F.struct(opens.alias("at"), no_files.alias("files")), attach)["files"]
+    span = F.struct(opens.alias("start"), F.char_length("body").cast("long").alias("length"))
+    piece = F.struct(
+        F.col("start"),
+        F.concat("head", "body", F.lit(END)).alias("text"),
+        F.when(F.col("t.role") == "assistant", span).alias("span"),
+        F.when(F.exists("t.parts", lambda p: p["kind"] != "text"), files).otherwise(no_files).alias("files"),
     )
-    return walked.select(
+    # No piece is empty, so their starts order them.
+    chats = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("ps"))
+    attachments = F.flatten(F.transform("ps", lambda p: p["files"]))
+    return chats.select(
         "conv_id",
-        "formatted",
-        F.col("w.spans").alias("loss_spans"),
-        F.col("w.files").alias("attachments"),
-        F.aggregate("w.files", F.lit(0).cast("long"), lambda n, f: n + f["tokens"]).alias("expanded_tokens"),
+        F.array_join(F.transform("ps", lambda p: p["text"]), "").alias("formatted"),
+        F.filter(F.transform("ps", lambda p: p["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
+        attachments.alias("attachments"),
+        F.aggregate(attachments, F.lit(0).cast("long"), lambda n, f: n + f["tokens"]).alias("expanded_tokens"),
     )
 
 
@@ -147,10 +137,18 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped span by span."""
-    return F.array_join(
-        F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), ""
-    )
+    """All text under the loss mask, unescaped span by span.
+
+    Spans are cut from the text in UTF-32, four bytes a code point, where a place is found without reading what is
+    before it. The array of one row makes Spark encode the text once and not in each span.
+    """
+    one = F.array(F.struct(F.encode(formatted, "UTF-32").alias("wide"), spans.alias("spans")))
+
+    def cut(x: Column) -> Column:
+        wide, start, length = x["wide"], lambda s: (s["start"] * 4 + 1).cast("int"), lambda s: (s["length"] * 4).cast("int")
+        return F.transform(x["spans"], lambda s: unescape(F.decode(F.substr(wide, start(s), length(s)), "UTF-32")))
+
+    return F.array_join(F.flatten(F.transform(one, cut)), "")
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Length of the vectors and letters of an n-gram; documents that are compared at once.
 DIMENSIONS, ORDER, BLOCK, SEED = 1024, 3, 128, 20240
+#: N-grams that are counted at once, and distinct ones whose vectors are held at once; sums over slices are those of the whole.
+PLACES, GRAMS = 1 << 19, 4096
 #: Language values the model may have; more would be a sign that the column holds no languages.
 MOST_LANGUAGES = 4096
 UNKNOWN = "und"
@@ -49,36 +51,49 @@ def letters_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         parts.append(codes)
         rows.append(np.full(len(codes), k, np.int32))
     codes, row = np.concatenate(parts), np.concatenate(rows)
-    kinds, inverse = np.unique(codes, return_inverse=True)
-    letter = np.array([_is_letter(int(c)) for c in kinds])[inverse]
+    known = np.zeros(0x110000, bool)
+    known[codes] = True
+    kinds = np.flatnonzero(known)
+    known[kinds] = [_is_letter(int(c)) for c in kinds]
+    letter = known[codes]
     keep = letter | np.concatenate([[True], letter[:-1] | (row[1:] != row[:-1])])
     codes = np.where(letter, codes, _SPACE)
     return codes[keep], row[keep]
 
 
-def count_grams(texts: list[str | None], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of the texts (code points) and a matrix of their counts, a row per text."""
+def gram_counts(texts: list[str | None], order: int = ORDER, places: int = PLACES, most: int = GRAMS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct n-grams of the texts (code points) and a matrix of their counts, a row per text, in slices.
+
+    A slice has at most ``most`` distinct n-grams of ``places`` places in the texts, so that memory beside the texts
+    does not grow with the alphabet; an n-gram may be in several slices.
+    """
     codes, row = letters_of(texts)
-    alphabet, small = np.unique(codes, return_inverse=True)
-    size, n = len(alphabet), len(codes) - order + 1
-    if n <= 0:
-        return np.zeros((0, order), np.uint32), np.zeros((len(texts), 0), np.float32)
-    key, within, bare = np.zeros(n, np.int64), row[:n] == row[order - 1 :], np.ones(n, bool)
-    for k in range(order):
-        key = key * size + small[k : k + n]
-        bare &= codes[k : k + n] == _SPACE
-    within &= ~bare
-    key, row = key[within], row[:n][within]
-    if size**order <= 1 << 22:
-        seen = np.flatnonzero(np.bincount(key, minlength=1) > 0)
-        number = np.zeros(size**order, np.int64)
-        number[seen] = np.arange(len(seen))
-        number = number[key]
-    else:
-        seen, number = np.unique(key, return_inverse=True)
-    grams = np.stack([alphabet[seen // size ** (order - 1 - k) % size] for k in range(order)], 1) if len(seen) else np.zeros((0, order), np.uint32)
-    counts = np.bincount(row.astype(np.int64) * max(1, len(seen)) + number, minlength=len(texts) * len(seen))
-    return grams, counts.reshape(len(texts), -1).astype(np.float32)
+    for at in range(0, max(0, len(codes) - order + 1), places):
+        c, r = codes[at : at + places + order - 1], row[at : at + places + order - 1]
+        alphabet, small = np.unique(c, return_inverse=True)
+        size, n = len(alphabet), len(c) - order + 1
+        key, bare = np.zeros(n, np.int64), np.ones(n, bool)
+        for k in range(order):
+            key = key * size + small[k : k + n]
+            bare &= c[k : k + n] == _SPACE
+        within = (r[:n] == r[order - 1 :]) & ~bare
+        key, r = key[within], r[:n][within]
+        if size**order <= 1 << 22:
+            seen = np.flatnonzero(np.bincount(key, minlength=1) > 0)
+            number = np.zeros(size**order, np.int64)
+            number[seen] = np.arange(len(seen))
+            number = number[key]
+        else:
+            seen, number = np.unique(key, return_inverse=True)
+        if len(seen) > most:
+            by_number = np.argsort(number, kind="stable")
+            number, r = number[by_number], r[by_number]
+        for low in range(0, len(seen), most):
+            part = seen[low : low + most]
+            grams = np.stack([alphabet[part // size ** (order - 1 - k) % size] for k in range(order)], 1)
+            mine = slice(*np.searchsorted(number, [low, low + most])) if len(seen) > most else slice(None)
+            counts = np.bincount(r[mine].astype(np.int64) * len(part) + number[mine] - low, minlength=len(texts) * len(part))
+            yield grams, counts.reshape(len(texts), -1).astype(np.float32)
 
 
 def _blocks(texts: pd.Series, size: int = BLOCK, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -106,12 +121,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
         for batch in batches:
             for name, group in batch.groupby("lang"):
                 for a, b in _blocks(group["text"]):
-                    grams, counts = count_grams(group["text"].iloc[a:b].tolist())
-                    for gram, n in zip(map(tuple, grams.tolist()), counts.sum(0).astype(np.int64).tolist()):
-                        total[name, gram] = total.get((name, gram), 0) + n
-                if len(total) > 400_000:
-                    yield _counted(total)
-                    total = {}
+                    for grams, counts in gram_counts(group["text"].iloc[a:b].tolist()):
+                        for gram, n in zip(map(tuple, grams.tolist()), counts.sum(0, dtype=np.float64).astype(np.int64).tolist()):
+                            total[name, gram] = total.get((name, gram), 0) + n
+                        if len(total) > 400_000:
+                            yield _counted(total)
+                            total = {}
         if total:
             yield _counted(total)
 
@@ -153,13 +168,14 @@ def predictor(prototypes: dict[str, np.ndarray]):
         for a, b in _blocks(texts):
             if matrix is None:
                 continue
-            grams, counts = count_grams(texts.iloc[a:b].tolist())
-            if not len(grams):
+            vectors, some = np.zeros((b - a, dims)), np.zeros(b - a, bool)
+            for grams, counts in gram_counts(texts.iloc[a:b].tolist()):
+                vectors += counts @ gram_vectors(grams, dims).astype(np.float32)
+                some |= counts.any(1)
+            if not some.any():
                 continue
-            vectors = counts @ gram_vectors(grams, dims).astype(np.float32)
             length = np.linalg.norm(vectors, axis=1)
             cosine = vectors @ matrix.T / np.maximum(length, 1e-9)[:, None]
-            some = counts.sum(1) > 0
             langs[a:b][some] = np.array(names, object)[cosine.argmax(1)][some]
             scores[a:b][some] = np.clip(cosine.max(1), 0, 1)[some]
         return pd.DataFrame({"lang": langs, "score": scores})
@@ -178,7 +194,12 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
 
 
 def language_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row, learned from the rows that are not held out."""
+    """``doc_id, held_out, lang_pred, score`` of every row, learned from the rows that are not held out.
+
+    At a tie of cosines the first language by name is taken. Repeated rows stay, and teach as often as they stand there.
+    Texts of any length and script are counted in slices of fixed size. NULL, empty and letterless texts are ``und`` with
+    score 0, and so are all where nothing could be learned. More than ``MOST_LANGUAGES`` values of ``lang`` raise.
+    """
     known = docs.where((F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4) != 2)
     made = train(known, text, lang)
     found = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), identify(docs, made, text).alias("p"))

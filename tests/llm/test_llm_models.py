@@ -123,9 +123,59 @@ def test_gram_vectors_are_turned_products():
     a, b, c = (H.letter_vector(ord(x)) for x in "abc")
     vector = H.gram_vectors(np.array([[97, 98, 99]]))[0]
     assert (vector == np.roll(a, 2) * np.roll(b, 1) * c).all()
-    grams, counts = H.count_grams(["abab", "Ab! ab"])
-    found = {"".join(map(chr, g)): counts[:, k].tolist() for k, g in enumerate(grams)}
-    assert found == {" ab": [1, 2], "aba": [1, 0], "bab": [1, 0], "ab ": [1, 2], "b a": [0, 1]}
+    for places, most in ((H.PLACES, H.GRAMS), (3, 2), (1, 1)):
+        found = defaultdict(lambda: np.zeros(2, int))
+        for grams, counts in H.gram_counts(["abab", "Ab! ab"], places=places, most=most):
+            assert len(grams) <= most
+            for k, g in enumerate(grams):
+                found["".join(map(chr, g))] += counts[:, k].astype(int)
+        assert {k: n.tolist() for k, n in found.items()} == {" ab": [1, 2], "aba": [1, 0], "bab": [1, 0], "ab ": [1, 2], "b a": [0, 1]}
+
+
+def test_languages_against_brute_force(spark):
+    """Letters of three scripts, counted gram by gram."""
+    rng = random.Random(15)
+    alphabets = {"aa": "abcdefgh \n", "bb": "абвгдежз, ", "cc": "".join(map(chr, range(0x4E00, 0x4E40))) + "。", "dd": "efghijkl 7"}
+    rows = [(k, "".join(rng.choices(alphabets[name], k=rng.randrange(400))), name) for k, name in enumerate(sorted(alphabets) * 12)]
+    rows += [(100, "AB ab", "aa"), (101, rows[0][1], "aa"), (102, "ǅ", None), (103, "Ab\u0301", None)]
+
+    def grams(text):
+        kept = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+        return Counter(kept[k : k + 3] for k in range(len(kept) - 2) if kept[k : k + 3].strip())
+
+    def bundle(counts):
+        total = np.zeros(H.DIMENSIONS)
+        for g, n in counts.items():
+            x, y, z = (H.letter_vector(ord(c)).astype(int) for c in g)
+            total += n * np.roll(x, 2) * np.roll(y, 1) * z
+        return total
+
+    taught = defaultdict(Counter)
+    for k, text, name in rows:
+        if name and zlib.crc32(str(k).encode()) % 4 != 2:
+            taught[name] += grams(text)
+    prototypes = {name: bundle(c) for name, c in taught.items()}
+    got = {r.doc_id: r for r in H.language_table(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    for k, text, _ in rows:
+        v = bundle(grams(text))
+        cosines = {n: float(v @ p / max(np.linalg.norm(v) * np.linalg.norm(p), 1e-9)) for n, p in prototypes.items()}
+        if not any(c.isalpha() for c in text):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0)
+            continue
+        assert abs(cosines[got[k].lang_pred] - max(cosines.values())) < 1e-6
+        assert abs(got[k].score - min(1, max(0, max(cosines.values())))) < 1e-5
+
+
+def test_long_texts_of_many_letters_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(16)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 300_000)))
+    tracemalloc.start()
+    total = sum(H.gram_vectors(grams).astype(np.float32).T @ counts[0] for grams, counts in H.gram_counts([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(total) == H.DIMENSIONS and peak < 150e6
 
 
 # Kneser-Ney
@@ -240,6 +290,29 @@ def test_chats_read_back_what_went_in(spark):
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_long_conversations_take_linear_time(spark):
+    """100,000 turns: what is copied turn by turn would take hours."""
+    n = 100_000
+    who = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), who.alias("role"), F.concat(F.lit("é </s> "), "id").alias("text"))
+    r = C.chat_digests(C.format_chats(turns.repartition(4).withColumn("parts", C.text_parts(F.col("text"))))).first()
+    loss = "".join(f"é </s> {k}" for k in range(1, n, 2))
+    every = "".join(f"{'assistant' if k % 2 else 'user'}\né </s> {k}\n" for k in range(n))
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert r.turns_sha256 == hashlib.sha256(every.encode()).hexdigest()
+
+
+def test_attachments_of_later_turns_keep_their_places(spark):
+    image, words = ("image", None, "a.png", 784), ("text", "\U0001f600 here", None, None)
+    rows = [(1, 2, "user", [image, words, image]), (1, 1, "assistant", [words, image]), (1, 0, "user", None), (2, 0, None, [])]
+    table = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{C.PART}>")
+    got = {r.conv_id: r for r in C.format_chats(table).collect()}
+    assert [a.start for a in got[1].attachments] == [m.start() for m in re.finditer(r"<\|image\|>", got[1].formatted)] and len(got[1].attachments) == 3
+    assert [got[1].formatted[s.start : s.start + s.length] for s in got[1].loss_spans] == ["\U0001f600 here<|image|>"]
+    assert got[2].attachments == got[2].loss_spans == [] and got[2].expanded_tokens == 0 and got[1].expanded_tokens == 3
+    assert C.format_chats(table.where("false")).count() == 0
+
+
 def test_typed_parts_become_placeholders(spark):
     parts = [("text", "See <|image|> ", None, None), ("image", None, "a.png", 1568), ("text", "and", None, None), ("audio", None, "b.wav", 1000), ("document", None, "c.pdf", 3), ("video", None, "d", 1)]
     table = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", [("text", "ok", None, None)])], f"conv_id long, turn long, role string, parts array<{C.PART}>")
