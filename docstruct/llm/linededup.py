@@ -149,57 +149,96 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
     return _without_repeats(docs, cut(flags), _strip, doc_id, text, counts)
 
 
-def units_of(text: str | None) -> tuple[list[str], list[tuple[int, int, str]]]:
-    """The lines of a text, and its units: ``(start, stop, body)`` of the shortest runs of lines with ``MIN_WORDS`` words.
-
-    Joined the lines are the text; blank ones belong to the line before (at the start of the text to the one after).
-    A line of ``MIN_WORDS`` words is a unit by itself, a shorter one starts a run and ends one. So of any
-    passage with that many words each line is in a unit within the passage, whatever stands around it.
-    """
-    lines: list[str] = []
-    bare: list[str] = []
+def _blocks(texts: pd.Series, most: int = 1 << 19) -> Iterator[list[str | None]]:
+    """The texts in blocks of about ``most`` characters; a longer text stands alone."""
+    block: list[str | None] = []
+    chars = 0
+    for text in texts:
+        n = len(text) if text else 0
+        if block and chars + n > most:
+            yield block
+            block, chars = [], 0
+        block.append(text)
+        chars += n + 1
+    if block:
+        yield block
+
+
+def _text_lines(text: str | None) -> tuple[list[str], list[str]]:
+    """The lines of a text, blank ones as part of the line before (at the start of the text of the one after), and what each says."""
+    lines = lines_of(text or "")
+    bare = [line.strip() for line in lines]
+    if all(bare):
+        return lines, bare
+    joined: list[str] = []
     head = ""
-    for line in lines_of(text or ""):
-        body = line.strip()
+    for line, body in zip(lines, bare):
         if body:
-            lines.append(head + line)
-            bare.append(body)
+            joined.append(head + line)
             head = ""
-        elif lines:
-            lines[-1] += line
+        elif joined:
+            joined[-1] += line
         else:
             head += line
-    if head:
-        return [head], []
-    sizes = [len(b.split(None, MIN_WORDS)) for b in bare]
-    spans: dict[tuple[int, int], None] = {}
-    for k, size in enumerate(sizes):
-        if size >= MIN_WORDS:
-            spans[k, k + 1] = None
-            continue
-        stop, n = k + 1, size
-        while n < MIN_WORDS and stop < len(sizes):
-            n += sizes[stop]
-            stop += 1
-        if n >= MIN_WORDS:
-            spans[k, stop] = None
-        start, n = k, size
-        while n < MIN_WORDS and start > 0:
-            start -= 1
-            n += sizes[start]
-        if n >= MIN_WORDS:
-            spans[start, k + 1] = None
-    return lines, [(a, b, bare[a] if b == a + 1 else "\n".join(bare[a:b])) for a, b in sorted(spans)]
+    return (joined or [head]), [body for body in bare if body]
+
 
+class Units:
+    """The units of some texts: the shortest runs of lines with ``MIN_WORDS`` words, by start and end.
 
-def _unit_hash(body: str, bits: int) -> int:
-    return _hash(body) >> (64 - bits)
+    A line of ``MIN_WORDS`` words is a unit by itself, a shorter one starts a run and ends one. So of any
+    passage with that many words each line is in a unit within the passage, whatever stands around it.
+    A unit's hash is rolled over the hashes of its lines; ``bits`` are left of it.
+    """
+
+    def __init__(self, texts: list[str | None], bits: int = 64):
+        self.lines: list[list[str]] = []
+        self.bare: list[str] = []
+        first = [0]
+        for text in texts:
+            lines, bare = _text_lines(text)
+            self.lines.append(lines)
+            self.bare += bare
+            first.append(len(self.bare))
+        self.first = np.array(first)
+        n = len(self.bare)
+        # Words before each line; a line counts MIN_WORDS + 1 at most.
+        words = np.zeros(n + 1, np.int64)
+        np.cumsum(np.fromiter((len(b.split(None, MIN_WORDS)) for b in self.bare), np.int64, n), out=words[1:])
+        text_of = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        k = np.arange(n)
+        stop = np.searchsorted(words, words[:-1] + MIN_WORDS)
+        start = np.searchsorted(words, words[1:] - MIN_WORDS, "right") - 1
+        ahead, back = stop <= self.first[text_of + 1], start >= self.first[text_of]
+        pairs = np.unique(np.concatenate([k[ahead] << 32 | stop[ahead], start[back] << 32 | k[back] + 1]))
+        self.start, self.stop = pairs >> 32, pairs & 0xFFFFFFFF
+        self.of_text = np.searchsorted(self.start, self.first)
+        line_hash = np.fromiter(map(xxhash.xxh64_intdigest, self.bare), np.uint64, n)
+        rolled = line_hash[self.start]
+        for j in range(1, MIN_WORDS + 1):
+            longer = np.flatnonzero(self.start + j < self.stop)
+            rolled[longer] = rolled[longer] * np.uint64(_BASE) + line_hash[self.start[longer] + j]
+        self.hashes = rolled.view(np.int64) >> (64 - bits)
+
+    def body(self, unit: int) -> str:
+        """What is compared of a unit: its lines without the white space around them."""
+        a, b = self.start[unit], self.stop[unit]
+        return self.bare[a] if b == a + 1 else "\n".join(self.bare[a:b])
+
+
+def units_of(text: str | None) -> tuple[list[str], list[tuple[int, int, str]]]:
+    """The lines of one text, joined they are the text, and its units: ``(start, stop, body)``."""
+    units = Units([text])
+    return units.lines[0], [(int(a), int(b), units.body(k)) for k, (a, b) in enumerate(zip(units.start, units.stop))]
 
 
 def _unit_hashes(bits: int):
     def run(texts: pd.Series) -> pd.Series:
-        made = ([_unit_hash(body, bits) for _, _, body in units_of(t)[1]] for t in texts)
-        return pd.Series([np.array(hashes, np.int64) for hashes in made])
+        made: list[np.ndarray] = []
+        for block in _blocks(texts):
+            units = Units(block, bits)
+            made += np.split(units.hashes, units.of_text[1:-1])
+        return pd.Series(made, dtype=object)
 
     return F.pandas_udf(run, "array<bigint>")
 
@@ -212,30 +251,34 @@ def _strip_units(bits: int):
     """
 
     def run(texts: pd.Series, drops: pd.Series, firsts: pd.Series, bodies: pd.Series) -> pd.DataFrame:
-        rows, none = [], np.zeros(0, np.int64)
-        for text, drop, first, named in zip(texts, drops, firsts, bodies):
-            # Plain numbers: comparing with NumPy's own is many times slower.
-            gone, again = (set(x.tolist()) if x is not None else set() for x in (drop, first))
-            stays = {x["body"]: x["first"] for x in named} if named is not None else {}
-            if not gone and not again and not stays:
-                rows.append((text, 0, none, [], none))
-                continue
-            lines, units = units_of(text)
-            out: set[int] = set()
-            ends: dict[str, int] = {}
-            met: dict[str, list[int]] = {}
-            for start, stop, body in units:
-                h = _unit_hash(body, bits)
-                if h in gone or h in again:
-                    met.setdefault(body, [h, 0])[1] += 1
-                elif body not in stays:
-                    continue
-                # What overlaps the first place of the same run is part of it.
-                if h in gone or stays.get(body) is False or ends.setdefault(body, stop) <= start:
-                    out.update(range(start, stop))
-            numbers = np.array(list(met.values()), np.int64).reshape(-1, 2)
-            left = "".join(line for k, line in enumerate(lines) if k not in out)
-            rows.append((left, len(out), numbers[:, 0], list(met), numbers[:, 1]))
+        rows, at = [], 0
+        for block in _blocks(texts):
+            units = Units(block, bits)
+            hashes, starts, stops = (x.tolist() for x in (units.hashes, units.start, units.stop))
+            for k, text in enumerate(block):
+                drop, first, named = drops[at], firsts[at], bodies[at]
+                at += 1
+                # Plain numbers: comparing with NumPy's own is many times slower.
+                gone, again = (set(x.tolist()) if x is not None else set() for x in (drop, first))
+                stays = {x["body"]: x["first"] for x in named} if named is not None else {}
+                out: set[int] = set()
+                ends: dict[str, int] = {}
+                met: dict[str, list[int]] = {}
+                for unit in range(units.of_text[k], units.of_text[k + 1]) if gone or again or stays else ():
+                    h = hashes[unit]
+                    if h in gone or h in again:
+                        body = units.body(unit)
+                        met.setdefault(body, [h, 0])[1] += 1
+                    elif not stays or (body := units.body(unit)) not in stays:
+                        continue
+                    start, stop = starts[unit], stops[unit]
+                    # What overlaps the first place of the same run is part of it.
+                    if h in gone or stays.get(body) is False or ends.setdefault(body, stop) <= start:
+                        out.update(range(start, stop))
+                numbers = np.array(list(met.values()), np.int64).reshape(-1, 2)
+                base = int(units.first[k])
+                left = "".join(line for j, line in enumerate(units.lines[k], base) if j not in out) if out else text
+                rows.append((left, len(out), numbers[:, 0], list(met), numbers[:, 1]))
         return pd.DataFrame(rows, columns=["text", "n_removed", "h", "body", "n"])
 
     return F.pandas_udf(run, "text string, n_removed bigint, h array<bigint>, body array<string>, n array<bigint>")
