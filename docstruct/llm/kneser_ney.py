@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 from docstruct.llm.common import bit_filter, cut, in_filter, row_key, small, without
 
-#: Symbols of the model: classes of characters, so that its tables have a fixed size.
+#: A symbol of the model is a code point plus one; 0 is kept for the ends of a text. Three of them make a key of 63 bits.
+CODE_BITS, SYMBOLS = 21, 0x110000 + 1
+#: Up to so many priced trigrams go to every task (some 20 MB); more are joined over the cluster.
+BROADCAST = 1 << 19
+#: Trigrams that a task counts before it hands them on.
+HELD = 1 << 20
+#: The small model, not registered: symbols are classes of characters, so that its tables have a fixed size.
 CLASSES = 64
 GRAMS = CLASSES**3
 #: A document is kept while its perplexity lies between these quantiles of its language's trusted documents,
@@ -62,17 +68,41 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(key, return_counts=True)
 
 
-def count_corpus(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``(gram, n)`` over all rows: summed per task, then by hash of the gram over the cluster."""
+def code_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of code points of a whole text, ends as in ``gram_counts``, and how often each stands there."""
+    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = np.zeros(len(codes) + 3, np.int64)
+    s[2:-1] = codes
+    s[2:-1] += 1
+    return np.unique(s[:-2] << 2 * CODE_BITS | s[1:-1] << CODE_BITS | s[2:], return_counts=True)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    n = np.zeros(len(gram), np.int64)
+    np.add.at(n, at, np.concatenate([k for _, k in parts]))
+    return gram, n
+
+
+def count_corpus(texts: DataFrame, text: str = "text", grams=gram_counts) -> DataFrame:
+    """``(gram, n)`` over all rows: summed in parts of bounded size per task, then by hash of the gram over the cluster."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(GRAMS, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             for t in batch["text"]:
-                gram, n = gram_counts(t)
-                total[gram] += n
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": some, "n": total[some]})
+                parts.append(grams(t))
+                held += len(parts[-1][0])
+                if held > HELD:
+                    parts = [_summed(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:
+                        yield pd.DataFrame({"gram": parts[0][0], "n": parts[0][1]})
+                        parts, held = [], 0
+        if parts:
+            gram, n = _summed(parts)
+            yield pd.DataFrame({"gram": gram, "n": n})
 
     rows = texts.select(F.col(text).alias("text")).mapInPandas(count, "gram bigint, n bigint")
     return rows.groupBy("gram").agg(F.sum("n").alias("n"))
@@ -99,61 +129,68 @@ def _discounted(counts: DataFrame, context: list[str], n: str) -> DataFrame:
     )
 
 
-def train(counts: DataFrame) -> DataFrame:
-    """``(gram, nll)`` of all ``GRAMS`` trigrams: minus the natural logarithm of w's probability after u, v.
+def _symbols(bits: int) -> list[Column]:
+    """``u, v, w`` of the key ``gram``."""
+    last = F.lit((1 << bits) - 1)
+    return [F.shiftright("gram", 2 * bits).alias("u"), F.shiftright("gram", bits).bitwiseAND(last).alias("v"), F.col("gram").bitwiseAND(last).alias("w")]
+
+
+def price(counts: DataFrame, wanted: DataFrame, bits: int = CODE_BITS, symbols: int = SYMBOLS) -> DataFrame:
+    """``(gram, nll)`` of the different trigrams ``wanted``: minus the natural logarithm of w's probability after u, v.
 
     Interpolated modified Kneser-Ney: trigrams by count, bigrams and single symbols by the number of different
     symbols before them; every order discounts with three constants and hands the rest down, at the end to
-    equal shares. Count tables are joined by context over the cluster. No counts at all give equal shares.
+    equal shares of all ``symbols``. Count tables and what is asked of them are joined by context over the cluster.
+    No counts at all give equal shares.
     """
-    spark = counts.sparkSession
-    three = counts.select(
-        F.shiftright("gram", 12).alias("u"), F.shiftright("gram", 6).bitwiseAND(F.lit(63)).alias("v"), F.col("gram").bitwiseAND(F.lit(63)).alias("w"), "n"
-    )
-    three = cut(three)
+    three = cut(counts.select(*_symbols(bits), "n"))
     two = cut(three.groupBy("v", "w").agg(F.count("*").alias("n")))
     one = cut(two.groupBy("w").agg(F.count("*").alias("n")).withColumn("c", F.lit(0)))
-    ids = F.col("id")
-    words = spark.range(CLASSES).select(ids.alias("w"))
+    asked = cut(wanted.select("gram", *_symbols(bits)))
+    own = F.coalesce("own", F.lit(0.0))
     p1 = _discounted(one, ["c"], "n")
     rest = p1.agg(F.coalesce(F.max("rest"), F.lit(1.0)).alias("rest")).scalar()
-    p1 = cut(words.join(p1.select("w", "own"), "w", "left").select("w", (F.coalesce("own", F.lit(0.0)) + rest / CLASSES).alias("p1")))
-    pairs = spark.range(CLASSES**2).select(F.shiftright(ids, 6).alias("v"), ids.bitwiseAND(F.lit(63)).alias("w"))
-    d2 = cut(_discounted(two, ["v"], "n"))
-    left = d2.groupBy("v").agg(F.max("rest").alias("rest"))
-    p2 = pairs.join(d2.drop("rest"), ["v", "w"], "left").join(left, "v", "left").join(p1, "w")
-    p2 = cut(p2.select("v", "w", (F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("p1")).alias("p2")))
-    d3 = cut(_discounted(three, ["u", "v"], "n"))
-    left = d3.groupBy("u", "v").agg(F.max("rest").alias("rest"))
-    all3 = spark.range(GRAMS).select(
-        ids.alias("gram"), F.shiftright(ids, 12).alias("u"), F.shiftright(ids, 6).bitwiseAND(F.lit(63)).alias("v"), ids.bitwiseAND(F.lit(63)).alias("w")
-    )
-    p3 = all3.join(d3.drop("rest"), ["u", "v", "w"], "left").join(left, ["u", "v"], "left").join(p2, ["v", "w"])
-    p = F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.col("p2")
-    return cut(p3.select("gram", (-F.log(p)).alias("nll")))
+    words = asked.select("w").distinct()
+    p1 = cut(words.join(p1.select("w", "own"), "w", "left").select("w", (own + rest / symbols).alias("p1")))
+
+    def lower(found: DataFrame, rows: DataFrame, context: list[str], below: DataFrame, p: str, name: str, *keep: str) -> DataFrame:
+        found = cut(found)
+        left = found.groupBy(*context).agg(F.max("rest").alias("rest"))
+        joined = rows.join(found.drop("rest"), [*context, "w"], "left").join(left, context, "left").join(below, [c for c in below.columns if c != p])
+        return joined.select(*keep, (own + F.coalesce("rest", F.lit(1.0)) * F.col(p)).alias(name))
+
+    p2 = cut(lower(_discounted(two, ["v"], "n"), asked.select("v", "w").distinct(), ["v"], p1, "p1", "p2", "v", "w"))
+    p3 = lower(_discounted(three, ["u", "v"], "n"), asked, ["u", "v"], p2, "p2", "p3", "gram")
+    return cut(p3.select("gram", (-F.log("p3")).alias("nll")))
+
+
+def train(counts: DataFrame) -> DataFrame:
+    """``price`` of all ``GRAMS`` trigrams of the small model."""
+    return price(counts, counts.sparkSession.range(GRAMS).select(F.col("id").alias("gram")), 6, CLASSES)
 
 
-def score(docs: DataFrame, model: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, *keep: str, text: str = "text", most: int = BROADCAST) -> DataFrame:
     """Adds ``nll`` (summed) and ``n_grams`` to the columns ``keep``: one row per different value of them.
 
-    Each document's distinct trigrams and their counts are joined with the model. The model has ``GRAMS`` rows
-    whatever the corpus is (4 MB), so it goes to every task and the documents' trigrams stay where they are;
-    their sums are partial before the one narrow shuffle.
+    Each document's distinct trigrams and their counts are joined with the model, which has a row for each of them.
+    A model of at most ``most`` rows, counted here, goes to every task and the documents' trigrams stay where they
+    are; a larger one is joined by trigram over the cluster. Sums are partial before the narrow shuffle.
     """
+    model = F.broadcast(model) if model.count() <= most else model.hint("merge")
     fields = docs.select(*keep).schema
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.iloc[a : a + 256]
-                made = [gram_counts(t) for t in part["_text"]]
+                made = [code_grams(t) for t in part["_text"]]
                 yield part.drop(columns="_text").assign(g=[g for g, _ in made], n=[n for _, n in made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     each = docs.select(*keep, F.col(text).alias("_text")).mapInPandas(grams, f"{kinds}, g array<bigint>, n array<bigint>")
     rows = each.select(*keep, F.inline(F.arrays_zip("g", "n")).alias("gram", "n"))
     return (
-        rows.join(F.broadcast(model), "gram")
+        rows.join(model, "gram")
         .groupBy(*keep)
         .agg(F.sum(F.col("nll") * F.col("n")).alias("nll"), F.sum("n").alias("n_grams"))
     )
@@ -166,7 +203,7 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, slack: float = SLACK
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", low: float = LOW, high: float = HIGH, slack: float = SLACK, most: int = BROADCAST
 ) -> DataFrame:
     """``doc_id, row_key, lang, perplexity, n_grams, low, high, kept``: a row per different id, text and language.
 
@@ -180,8 +217,9 @@ def classify(
     bits = bit_filter(trusted.select(F.xxhash64("trusted_id").alias("h")), "h")
     learned = rows.select("doc_id", "text").where("text IS NOT NULL AND text <> ''").where(in_filter(bits, F.xxhash64("doc_id")))
     learned = learned.join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    model = train(count_corpus(learned))
-    scored = cut(score(rows, model, "doc_id", "row_key", "lang"))
+    # Counts of the trusted texts, asked for the trigrams of all texts: both grow with the corpus, and meet by hash.
+    model = price(count_corpus(learned, grams=code_grams), count_corpus(rows, grams=code_grams))
+    scored = cut(score(rows, model, "doc_id", "row_key", "lang", most=most))
     known = scored.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").where("n_grams > 1")
     mean = (F.sum("nll") / F.sum("n_grams")).alias("mean")
     by_lang = small(cut(known.where("lang IS NOT NULL").groupBy(F.col("lang").alias("l")).agg(mean)))

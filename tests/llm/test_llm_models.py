@@ -229,6 +229,67 @@ def test_quality_keeps_trusted_documents(spark, docs):
     assert K.keep_good(docs, labels).count() == K.classify(docs, labels).where("kept").count()
 
 
+def code_texts():
+    """Texts of two scripts made of syllables, and for each script one of the same letters in another order."""
+    rng = random.Random(3)
+    syllables = {"a": ["ka", "lo", "mi", "ten", "sur"], "b": ["ка", "ло", "ми", "тен", "сур"]}
+
+    def text(kind):
+        return " ".join("".join(rng.choices(syllables[kind], k=3)) for _ in range(60))
+
+    good = [text(kind) for kind in "ab" for _ in range(40)]
+    return good, ["".join(rng.sample(t, len(t))) for t in (good[0], good[-1])]
+
+
+def test_code_points_against_brute_force(spark):
+    """Letters of every script are symbols of their own; unseen symbols and contexts have their shares too."""
+    texts, asked = ["abc абв", "абвабг", "中文中字", "a\U0001f600b"], ["абг", "xyz", "中文字", "ab\U0001f600"]
+    grams = lambda t: Counter(zip("\0\0" + t, "\0" + t + "\0", t + "\0"))
+    key = lambda g: sum((0 if c == "\0" else ord(c) + 1) << 21 * k for k, c in zip((2, 1, 0), g))
+    counts = sum(map(grams, texts), Counter())
+    tables = [spark.createDataFrame([(t,) for t in x], "text string") for x in (texts, asked)]
+    made = [{r.gram: r.n for r in K.count_corpus(t, grams=K.code_grams).collect()} for t in tables]
+    assert made[0] == {key(g): n for g, n in counts.items()}
+    nll = {r.gram: r.nll for r in K.price(*[K.count_corpus(t, grams=K.code_grams) for t in tables]).collect()}
+
+    def discounts(table):
+        t = [sum(n == k for n in table.values()) for k in range(5)]
+        y = t[1] / max(1, t[1] + 2 * t[2])
+        return [min(max(min(k - (k + 1) * y * t[k + 1] / max(1, t[k]), k - 0.1), 0.1), 99) for k in (1, 2, 3)]
+
+    two = Counter(g[1:] for g in counts)
+    one = Counter(g[1:] for g in two)
+
+    def p(g):
+        table = {3: counts, 2: two, 1: one}[len(g)]
+        below = p(g[1:]) if len(g) > 1 else 1 / (0x110000 + 1)
+        mine = {k: n for k, n in table.items() if k[:-1] == g[:-1]}
+        d = discounts(table)
+        off = {k: d[min(n, 3) - 1] for k, n in mine.items()}
+        return (max(0, mine.get(g, 0) - off.get(g, 0)) + sum(off.values()) * below) / sum(mine.values()) if mine else below
+
+    want = {key(g): -math.log(p(g)) for t in asked for g in grams(t)}
+    assert nll.keys() == want.keys() and all(abs(nll[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_counts_are_handed_on_in_parts(spark, monkeypatch):
+    texts = [f"{chr(0x4E00 + k)}{chr(0x5E00 + k)}abc" for k in range(50)]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    whole = sorted(K.count_corpus(table, grams=K.code_grams).collect())
+    monkeypatch.setattr(K, "HELD", 10)
+    assert sorted(K.count_corpus(table, grams=K.code_grams).collect()) == whole
+
+
+def test_letters_in_another_order_are_rejected_in_every_script(spark):
+    good, bad = code_texts()
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(good + bad)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(len(good))], "doc_id long, quality int, toxic int")
+    made = [{r.doc_id: (r.kept, round(r.perplexity, 9)) for r in K.classify(rows, labels, most=most).collect()} for most in (K.BROADCAST, 0)]
+    assert made[0] == made[1]
+    assert [made[0][len(good) + k][0] for k in (0, 1)] == [False, False]
+    assert sum(made[0][k][0] for k in range(len(good))) == len(good)
+
+
 # Quality rules
 
 
