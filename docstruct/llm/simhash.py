@@ -132,14 +132,15 @@ def _sketch(texts: pd.Series, words: int, sketches: int) -> pd.DataFrame:
         hashes = shingle_hashes(t, words)
         kinds = np.unique(hashes)
         same = xxhash.xxh3_128_hexdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()))
+        bits = fingerprint(shingle_hashes(t, WORDS))
         if not len(kinds):
-            rows.append((0, same, []))
+            rows.append((0, same, bits, []))
             continue
         mixed = kinds[None, :] * factors[:, None]
         mixed ^= mixed >> np.uint64(29)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        rows.append((len(kinds), same, kinds[mixed.argmin(1)].view(np.int64).tolist()))
-    return pd.DataFrame(rows, columns=["kinds", "same", "sketch"])
+        rows.append((len(kinds), same, bits, kinds[mixed.argmin(1)].view(np.int64).tolist()))
+    return pd.DataFrame(rows, columns=["kinds", "same", "fp", "sketch"])
 
 
 def jaccard(a: str, b: str, words: int = NEAR_WORDS) -> float:
@@ -212,11 +213,22 @@ def near_links(classes: DataFrame, texts: DataFrame, words: int = NEAR_WORDS, si
         live = left.where(~mixed).select("id", "mask", "g").union(_finer(left.where(mixed), classes, sketches)).distinct()
 
 
+def _print_links(classes: DataFrame) -> DataFrame:
+    """``(a, b)``: ids of ``classes`` (``id, fp``) that join all whose fingerprints are linked (``fingerprint_links``)."""
+    prints = cut(classes.groupBy("fp").agg(F.min("id").alias("first")))
+    equal = classes.join(prints, "fp").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    links = fingerprint_links(prints.select("fp"))
+    for side in ("a", "b"):
+        links = links.join(prints.select(F.col("fp").alias(side), F.col("first").alias(f"id_{side}")), side)
+    return cut(equal.union(links.select("id_a", "id_b")))
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, row_key, component_id`` of every different (id, text): groups of texts with a similarity of 0.8 or more.
+    """``doc_id, row_key, component_id`` of every different (id, text): groups of near copies.
 
-    A similarity of 0.8 leaves two 64-bit fingerprints some ten bits apart, at times over twenty: too far for keys on
-    the ring, and no bound that would lose no pair. So candidates are texts that share one of twelve min-wise
+    Texts are linked if their fingerprints differ in at most two bits, found by the pigeonring as in ``near_groups``.
+    A similarity of 0.8 can leave two fingerprints some ten bits apart, at times over twenty: too far for keys on
+    the ring. So texts with a similarity of 0.8 or more are linked as well: candidates share one of twelve min-wise
     samples of the shingles, less those of which one has under 0.8 times the other's shingles, which cannot be
     similar; the shingle sets of the whole texts decide (``near_links``). Texts with the same words are one
     node. Wordless texts are one group. Rows with a NULL id are no copies.
@@ -224,10 +236,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     def sketch(texts: pd.Series) -> pd.DataFrame:
         return _sketch(texts, words, SKETCHES)
 
-    sketched = F.pandas_udf(sketch, "kinds bigint, same string, sketch array<bigint>")(F.col(text))
+    sketched = F.pandas_udf(sketch, "kinds bigint, same string, fp bigint, sketch array<bigint>")(F.col(text))
     made = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), sketched.alias("s"))
     made = cut(made.select("doc_id", "row_key", "s.*"))
-    classes = cut(made.groupBy("same", "kinds", "sketch").agg(F.min("doc_id").alias("id"), F.min_by("row_key", "doc_id").alias("key")).where("id IS NOT NULL"))
+    classes = cut(made.groupBy("same", "kinds", "fp", "sketch").agg(F.min("doc_id").alias("id"), F.min_by("row_key", "doc_id").alias("key")).where("id IS NOT NULL"))
 
     # Only texts that share a sample with another one are written for the exact check.
     each = classes.select("id", "key", "kinds", F.inline(F.transform("sketch", lambda s, j: F.struct(j.alias("j"), s.alias("s")))))
@@ -237,7 +249,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     # Rows that are repeated are one text.
     texts = cut(texts.dropDuplicates(["id"]).select("id", "text"))
     links = near_links(classes.join(wanted.select("id"), "id", "left_semi"), texts, words, similarity)
-    member = components(links).withColumnRenamed("node", "id")
+    member = components(links.select("a", "b").union(_print_links(classes))).withColumnRenamed("node", "id")
     known = classes.join(member, "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
     return made.join(known, "same", "left").select("doc_id", "row_key", "component_id")
 

@@ -91,3 +91,16 @@ def test_rows_without_id_words_or_company(spark):
     kept = sorted(((r.doc_id, r.text) for r in S.keep_one(docs).collect()), key=str)
     assert len(kept) == 4 and (None, "a b c d e f g") in kept and {k for k, _ in kept} == {None, 1, 3, 5}
     assert S.keep_one(docs.where("false")).count() == 0
+
+
+def test_fingerprints_link_what_shingle_sets_do_not(spark):
+    """A passage repeated many times rules the fingerprint, and few of the different shingles."""
+    rng = random.Random(5)
+    passage = prose(rng, 13)
+    texts = [" ".join(passage * 200 + prose(rng, 20)) for _ in range(4)] + [" ".join(prose(rng, 60)) for _ in range(4)]
+    links = {(a, b) for a in range(8) for b in range(a) if (S.fingerprint(S.shingle_hashes(texts[a], 3)) ^ S.fingerprint(S.shingle_hashes(texts[b], 3))).bit_count() <= 2}
+    assert links and brute(texts)[1] == 0
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in S.near_groups(docs).collect()}
+    assert found(spark, texts) == groups
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == sorted(set(groups.values()))
