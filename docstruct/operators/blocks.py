@@ -73,6 +73,7 @@ def annotate_blocks(flagged: DataFrame) -> DataFrame:
     * ``run_id``: how many sentence-closing blocks come before; blocks of one run share sentences.
     * ``caption_order``: number of the caption run that the block belongs to, else NULL.
     * ``near_caption``: the block can lie within two blocks of the start of a caption.
+    * ``run_matters``: its run has a keyword on this page or can go on on another one.
     """
     page = Window.partitionBy(*PAGE).orderBy("order_index")
     earlier = page.rowsBetween(Window.unboundedPreceding, -1)
@@ -110,6 +111,7 @@ def annotate_blocks(flagged: DataFrame) -> DataFrame:
     )
     in_caption = ~F.col("is_noise") & F.coalesce(F.col("run_head.is_caption"), F.lit(False))
     at_page_edge = (F.col("page_pos") < 2) | (F.col("page_pos") >= F.col("page_texts") - 2)
+    matters = F.max(F.col("has_keyword") | F.col("at_page_edge")).over(Window.partitionBy(*PAGE, "run_id"))
     return (
         local.join(page_offsets(flagged), PAGE)
         .withColumns(
@@ -124,6 +126,7 @@ def annotate_blocks(flagged: DataFrame) -> DataFrame:
                 "at_page_edge": (F.col("page_pos") == 0) | (F.col("page_pos") == F.col("page_texts") - 1),
             }
         )
+        .withColumn("run_matters", matters)
         .drop(
             "seen_keys", "last_y0", "page_close", "page_caption", "caption_close_by", "page_heading",
             "run_head", "page_pos", "page_texts", "texts_before", "headings_before", "closes_before",
@@ -133,15 +136,8 @@ def annotate_blocks(flagged: DataFrame) -> DataFrame:
 
 
 def fold_text(rows: DataFrame, keys: list[str], separator: str, text: str = "text") -> DataFrame:
-    """Joins the texts of each group in reading order, first inside every page, then across pages.
-
-    The first step runs where the page rows already are; only one string per page and group moves.
-    """
-    pages = rows.groupBy(*PAGE, *[k for k in keys if k not in PAGE]).agg(
-        F.array_sort(F.collect_list(F.struct("order_index", F.col(text).alias("piece")))).alias("pieces")
-    )
-    pages = pages.withColumn("pieces", F.array_join(F.col("pieces.piece"), separator))
-    folded = pages.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("page_number", F.col("pieces").alias("piece")))).alias("pieces")
+    """Joins the texts of each group in reading order, in one move of the texts."""
+    folded = rows.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("page_number", "order_index", F.col(text).alias("piece")))).alias("pieces")
     )
     return folded.select(*keys, F.array_join(F.col("pieces.piece"), separator).alias(text))

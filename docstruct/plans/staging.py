@@ -63,5 +63,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         return df
     above = _scopes[-1] if _scopes else app_folder(df.sparkSession, folder)
     path = f"{above}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Texts take a third less than with the default codec.
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

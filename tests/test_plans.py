@@ -3,14 +3,17 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docstruct.operators import figures as G
 from docstruct.operators import jobs as J
 from docstruct.operators import search as Q
 from docstruct.operators import structure as S
+from docstruct.operators.blocks import fold_text
 from docstruct.plans.corpus import Corpus
 from docstruct.plans.queries import QUERIES
-from docstruct.sources.seed import seeded_blocks
+from docstruct.sources.files import assemble_blocks
+from docstruct.sources.seed import seeded_blocks, seeded_spans
 from docstruct.sources.tables import read_table
 
 
@@ -81,3 +84,42 @@ def test_no_pair_joins_and_no_python(spark, folder, capsys, name):
     text = plan(QUERIES[name](spark, folder), capsys)
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in text
+
+
+def moves(df) -> list[str]:
+    """What the shuffles of a plan are dealt by, without the numbers of the columns."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [",".join(re.findall(r"(\w+)#", x)) for x in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+
+
+@pytest.fixture
+def merged(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_section_texts_move_once(merged, folder):
+    spark = merged
+    c = Corpus(seeded_blocks(spark.read.parquet(f"{folder}/documents.parquet")), staged=("blocks", "places"))
+    found = moves(S.heading_sections(c.annotated, c.places))
+    assert found.count("doc_id,section_seq") == 2 and "doc_id,page_number,section_seq" not in found
+    hits = moves(S.keyword_hits(c.annotated, c.places))
+    assert "doc_id,run_id" in hits and not any("page_number" in x for x in hits)
+    assert "page_number" not in ",".join(moves(fold_text(c.annotated, ["doc_id"], " ")))
+
+
+def test_runs_that_stay_have_no_keyword(spark, folder):
+    """What does not move could not have given a sentence: no keyword on its page, and its run ends there."""
+    c = Corpus(seeded_blocks(spark.read.parquet(f"{folder}/documents.parquet")), staged=("blocks",))
+    runs = c.annotated.groupBy("doc_id", "run_id").agg(F.max("has_keyword").alias("k"), F.bool_and("run_matters").alias("all"), F.bool_or("run_matters").alias("any"))
+    assert runs.where("k AND NOT all").count() == 0 and runs.where("NOT any").count() > 0
+    across = c.annotated.groupBy("doc_id", "run_id").agg(F.countDistinct("page_number").alias("pages"), F.bool_and("run_matters").alias("all"))
+    assert across.where("pages > 1 AND NOT all").count() == 0
+
+
+def test_spans_move_once_to_their_page(merged, folder):
+    spans = seeded_spans(merged.read.parquet(f"{folder}/documents.parquet"))
+    found = moves(assemble_blocks(spans))
+    assert not any("raw_index" in x for x in found) and len(found) <= 6
