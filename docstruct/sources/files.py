@@ -62,9 +62,10 @@ def assemble_blocks(spans: DataFrame) -> DataFrame:
 
     Spans are joined per line and lines per block; a group is one block of one page, so it is small.
     The reading order of a document needs the number of kept blocks on earlier pages, which is carried
-    over from one row per page.
+    over from one row per page. Spans move once, to their page; lines, blocks and places are made there.
     """
     raw = ["doc_id", "page_number", "raw_index"]
+    spans = spans.repartition("doc_id", "page_number")
     text_rows = spans.filter(F.col("raw_type") == "text")
     lines = text_rows.groupBy(*raw, "line_index").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("span_index", "text")))["text"], "").alias("joined"),
