@@ -54,7 +54,8 @@ def settle(blocks: DataFrame, batch_id: int, patience: int) -> tuple[DataFrame,
     state = rows.groupBy("doc_id").agg(
         (F.count(F.lit(1)) >= F.max("block_total")).alias("complete"), F.min("first_batch").alias("since")
     )
-    marked = rows.join(state, "doc_id")
+    # Written once: three results read it.
+    marked = staging.stage(rows.join(state, "doc_id"), "marked")
     open_rows = marked.filter(~F.col("complete"))
     late = F.col("since") < batch_id - patience
     columns = [c for c in blocks.columns if c != "first_batch"]
