@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,8 @@ from docstruct.llm.common import bit_filter, cut, in_filter, row_key, small, wit
 CODE_BITS, SYMBOLS = 21, 0x110000 + 1
 #: Up to so many priced trigrams go to every task (some 20 MB); more are joined over the cluster.
 BROADCAST = 1 << 19
-#: Trigrams that a task counts before it hands them on.
-HELD = 1 << 20
+#: Trigrams that a task holds before it sums them: a megabyte or two, and some ten while they are sorted.
+HELD = 1 << 17
 #: The small model, not registered: symbols are classes of characters, so that its tables have a fixed size.
 CLASSES = 64
 GRAMS = CLASSES**3
@@ -84,24 +84,28 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return gram, n
 
 
+def counted(texts: Iterable[str | None], grams=gram_counts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(gram, n)`` of all texts, in parts: a gram comes again only where more than ``HELD`` different ones passed."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for t in texts:
+        parts.append(grams(t))
+        held += len(parts[-1][0])
+        if held > HELD:
+            parts = [_summed(parts)]
+            held = len(parts[0][0])
+            if held > HELD // 2:
+                yield parts[0]
+                parts, held = [], 0
+    if parts:
+        yield _summed(parts)
+
+
 def count_corpus(texts: DataFrame, text: str = "text", grams=gram_counts) -> DataFrame:
     """``(gram, n)`` over all rows: summed in parts of bounded size per task, then by hash of the gram over the cluster."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for batch in batches:
-            for t in batch["text"]:
-                parts.append(grams(t))
-                held += len(parts[-1][0])
-                if held > HELD:
-                    parts = [_summed(parts)]
-                    held = len(parts[0][0])
-                    if held > HELD // 2:
-                        yield pd.DataFrame({"gram": parts[0][0], "n": parts[0][1]})
-                        parts, held = [], 0
-        if parts:
-            gram, n = _summed(parts)
+        for gram, n in counted((t for batch in batches for t in batch["text"]), grams):
             yield pd.DataFrame({"gram": gram, "n": n})
 
     rows = texts.select(F.col(text).alias("text")).mapInPandas(count, "gram bigint, n bigint")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,6 +281,16 @@ def test_counts_are_handed_on_in_parts(spark, monkeypatch):
     assert sorted(K.count_corpus(table, grams=K.code_grams).collect()) == whole
 
 
+def test_counting_holds_little_at_a_time():
+    rng = random.Random(7)
+    texts = ["".join(chr(rng.randint(97, 122)) for _ in range(1500)) for _ in range(1000)]
+    tracemalloc.start()
+    n = sum(int(k.sum()) for _, k in K.counted(texts, K.code_grams))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n == 1000 * 1501 and peak < 24e6
+
+
 def test_letters_in_another_order_are_rejected_in_every_script(spark):
     good, bad = code_texts()
     rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(good + bad)], "doc_id long, text string, lang string")
