@@ -38,6 +38,8 @@ def flag_blocks(blocks: DataFrame) -> DataFrame:
             "figure_id": T.figure_id(text),
             "closes": T.closes_sentence(text),
             "has_keyword": T.contains_any(lowered, words),
+            "has_words": text.rlike(r"(?U)[^\s\x00-\x1f\x7f]"),
+            "is_short": F.length(text) < K.CAPTION_MIN_CHARS,
         }
     ).drop("lowered")
 
@@ -50,11 +52,17 @@ def page_offsets(flagged: DataFrame) -> DataFrame:
         F.count_if("closes").alias("page_closes"),
         F.count("figure_id").alias("page_captions"),
     )
-    before = Window.partitionBy(*DOC).orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    pages = Window.partitionBy(*DOC).orderBy("page_number")
+    before = pages.rowsBetween(Window.unboundedPreceding, -1)
 
     def carried(name: str):
         return F.coalesce(F.sum(name).over(before), F.lit(0))
 
+    def beside(step):
+        """The next page that way has a caption, or it is a single block and the one after it has."""
+        near, far = step("page_captions", 1).over(pages) > 0, step("page_captions", 2).over(pages) > 0
+        return F.coalesce(near, F.lit(False)) | F.coalesce((step("page_texts", 1).over(pages) == 1) & far, F.lit(False))
+
     return per_page.select(
         *PAGE,
         "page_texts",
@@ -62,6 +70,8 @@ def page_offsets(flagged: DataFrame) -> DataFrame:
         carried("page_headings").alias("headings_before"),
         carried("page_closes").alias("closes_before"),
         carried("page_captions").alias("captions_before"),
+        beside(F.lag).alias("caption_behind"),
+        beside(F.lead).alias("caption_ahead"),
     )
 
 
@@ -74,6 +84,8 @@ def annotate_blocks(flagged: DataFrame) -> DataFrame:
     * ``caption_order``: number of the caption run that the block belongs to, else NULL.
     * ``near_caption``: the block can lie within two blocks of the start of a caption.
     * ``run_matters``: its run has a keyword on this page or can go on on another one.
+
+    Only flags are read, not the text: where no text is asked for, none moves.
     """
     page = Window.partitionBy(*PAGE).orderBy("order_index")
     earlier = page.rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +97,7 @@ def annotate_blocks(flagged: DataFrame) -> DataFrame:
     stops_run = (
         starts
         | heading
-        | (F.length("text") < K.CAPTION_MIN_CHARS)
+        | F.col("is_short")
         | F.col("last_y0").isNull()
         | (F.col("y0") - F.col("last_y0") > K.CAPTION_MAX_GAP)
     )
@@ -110,7 +122,9 @@ def annotate_blocks(flagged: DataFrame) -> DataFrame:
         )
     )
     in_caption = ~F.col("is_noise") & F.coalesce(F.col("run_head.is_caption"), F.lit(False))
-    at_page_edge = (F.col("page_pos") < 2) | (F.col("page_pos") >= F.col("page_texts") - 2)
+    over_edge = ((F.col("page_pos") < 2) & F.col("caption_behind")) | (
+        (F.col("page_pos") >= F.col("page_texts") - 2) & F.col("caption_ahead")
+    )
     matters = F.max(F.col("has_keyword") | F.col("at_page_edge")).over(Window.partitionBy(*PAGE, "run_id"))
     return (
         local.join(page_offsets(flagged), PAGE)
@@ -122,7 +136,7 @@ def annotate_blocks(flagged: DataFrame) -> DataFrame:
                 "caption_order": F.when(
                     in_caption, F.col("captions_before") + F.col("page_caption") - 1
                 ).cast("int"),
-                "near_caption": F.col("caption_close_by") | at_page_edge,
+                "near_caption": F.col("caption_close_by") | over_edge,
                 "at_page_edge": (F.col("page_pos") == 0) | (F.col("page_pos") == F.col("page_texts") - 1),
             }
         )
@@ -130,7 +144,7 @@ def annotate_blocks(flagged: DataFrame) -> DataFrame:
         .drop(
             "seen_keys", "last_y0", "page_close", "page_caption", "caption_close_by", "page_heading",
             "run_head", "page_pos", "page_texts", "texts_before", "headings_before", "closes_before",
-            "captions_before",
+            "captions_before", "caption_behind", "caption_ahead", "is_short",
         )
     )
 

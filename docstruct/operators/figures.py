@@ -17,6 +17,14 @@ from docstruct.operators.blocks import PAGE
 FIGURE = ["doc_id", "caption_order"]
 
 
+def figure_rows(annotated: DataFrame) -> DataFrame:
+    """The rows and columns that figures are made of: captions, what may mention one and what stands beside one."""
+    mentions = ~F.col("is_noise") & F.lower("text").contains("fig")
+    return annotated.filter(F.col("caption_order").isNotNull() | F.col("near_caption") | mentions).select(
+        *PAGE, "order_index", "block_id", "text", "text_pos", "figure_id", "caption_order", "near_caption", "is_noise"
+    )
+
+
 def extract_captions(annotated: DataFrame) -> DataFrame:
     """One row per caption run; a run lies on one page, where its rows already are."""
     rows = annotated.filter(F.col("caption_order").isNotNull())

@@ -15,6 +15,8 @@ from docstruct.operators.figures import bullets
 from docstruct.operators.responses import is_valid_paper, looks_like_paper, normalise_paper, paper_or_default
 
 MISSING = labels.text("missing")
+#: Of an abstract or an introduction that stands for the background.
+OPENING_CHARS = 220
 
 
 def shown(col: Column, otherwise: str = MISSING) -> Column:
@@ -200,7 +202,7 @@ def summary_quote(paper: Column, summary: Column) -> Column:
 
 def background(key_points: Column, abstract: Column, introduction: Column) -> Column:
     """First usable of: key points, start of the abstract, start of the introduction."""
-    starts = F.array(F.substring(abstract, 1, 220), F.substring(introduction, 1, 220))
+    starts = F.array(F.substring(abstract, 1, OPENING_CHARS), F.substring(introduction, 1, OPENING_CHARS))
     return F.coalesce(F.get(T.clean_list(F.concat(key_points, starts)), F.lit(0)), F.lit(MISSING))
 
 
@@ -233,9 +235,11 @@ def research_reports(
     ``results``: (doc_id, summary, key_points, structured_data) from the text roles; a document
     without a result is reported from its structure alone.
     """
-    openings = sections.groupBy("doc_id").agg(
-        F.max(F.when(F.col("section_key") == "abstract", F.col("content"))).alias("opening_abstract"),
-        F.max(F.when(F.col("section_key") == "introduction", F.col("content"))).alias("opening_introduction"),
+    # Only the starts that ``background`` shows are moved.
+    start = F.substring("content", 1, OPENING_CHARS)
+    openings = sections.filter(F.col("section_key").isin("abstract", "introduction")).groupBy("doc_id").agg(
+        F.max(F.when(F.col("section_key") == "abstract", start)).alias("opening_abstract"),
+        F.max(F.when(F.col("section_key") == "introduction", start)).alias("opening_introduction"),
     )
     none = F.array().cast("array<string>")
     rows = (

@@ -253,9 +253,9 @@ def apply_drafts(
     figures = draft_figures(drafts, figures)
     written = sections.filter(~F.col("section_key").isin("title", "figures"))
     replaced = S.merge_sections(written, draft_sections(drafts))
-    is_figures = F.col("section_key") == "figures"
-    undrawn = replaced.filter(is_figures).join(figures.select("doc_id").distinct(), "doc_id", "left_anti")
-    replaced = replaced.filter(~is_figures).unionByName(undrawn)
+    # One pass over the merged texts: the figures section of a draft goes where the figures themselves are listed.
+    marked = replaced.join(figures.select("doc_id").distinct().withColumn("drawn", F.lit(True)), "doc_id", "left")
+    replaced = marked.filter((F.col("section_key") != "figures") | F.col("drawn").isNull()).drop("drawn")
     order = drafts.select("doc_id", F.posexplode("section_order").alias("position", "section_key"))
     drawn = figures_sections(figures).withColumnRenamed("place", "position")
     overlaid = S.overlay_sections(drawn, replaced, order)

@@ -18,9 +18,10 @@ from docstruct.plans.staging import stage
 
 # What a plan writes once because several of its branches read it.
 BLOCK_PLAN = ("blocks",)
+FIGURE_ROWS = ("figure_rows",)
 SECTION_PLAN = ("blocks", "places", "front")
 FOCUS_PLAN = (*SECTION_PLAN, "sections")
-FIGURE_PLAN = ("blocks", "figures")
+FIGURE_PLAN = (*FIGURE_ROWS, "figures")
 REPORT_PLAN = (*FOCUS_PLAN, "figures", "selected", "structure")
 
 
@@ -46,7 +47,11 @@ class Corpus:
 
     @cached_property
     def annotated(self) -> DataFrame:
-        return self._staged("blocks", B.annotate_blocks(self.flagged))
+        rows = B.annotate_blocks(self.flagged)
+        if "blocks" in self.staged and "front" in self.staged:
+            # Page 1 is together here: front matter is marked before the rows are written, and its other lines stay.
+            rows = S.front_lines(rows, B.PAGE)
+        return self._staged("blocks", rows)
 
     @property
     def lines(self) -> DataFrame:
@@ -72,7 +77,7 @@ class Corpus:
 
     @cached_property
     def figures(self) -> DataFrame:
-        figures = G.extract_figures(self.blocks, self.annotated, self.snapshots)
+        figures = G.extract_figures(self.blocks, self._staged("figure_rows", G.figure_rows(self.annotated)), self.snapshots)
         return self._staged("figures", figures)
 
     @cached_property
@@ -87,6 +92,14 @@ class Corpus:
         )
         return self._staged("sections", sections)
 
+    @cached_property
+    def written(self) -> DataFrame:
+        """The sections without the figures, which a raw text leaves out."""
+        if "sections" in self.staged:
+            return self.sections
+        keyword = S.keyword_sections(self.annotated, self.places)
+        return self._staged("written", S.all_sections(self.annotated, self.front, self.places, keyword))
+
     @cached_property
     def outline(self) -> DataFrame:
         """Keys, positions and sources of the sections, made without their texts."""
@@ -122,6 +135,9 @@ class Corpus:
     def abstracts(self) -> DataFrame:
         """(doc_id, abstract): headed ones, else those from the front matter; no other section is folded."""
         is_abstract = F.col("section_key") == "abstract"
+        if "sections" in self.staged:
+            rows = self.sections.filter(is_abstract & F.col("source").isin("heading", "fallback_abstract"))
+            return rows.select("doc_id", F.col("content").alias("abstract"))
         front = S.front_sections(self.front, self.places).filter(is_abstract)
         headed = S.heading_sections(self.annotated, self.places.filter(is_abstract))
         rows = front.select("doc_id", "content").unionByName(headed.select("doc_id", "content"))
@@ -157,13 +173,18 @@ class Corpus:
 
     @cached_property
     def raw_texts(self) -> DataFrame:
-        return S.raw_text(self.sections, self.lines)
+        return S.raw_text(self.written, self.lines)
+
+    @cached_property
+    def bare_texts(self) -> DataFrame:
+        return S.bare_texts(self.written, self.lines)
 
     @cached_property
     def parsed_documents(self) -> DataFrame:
         """One nested row per document. Its blocks stay in the block table: they have no bound per row."""
-        folded = self.sections.groupBy("doc_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("section_key", "content"))).alias("sections")
+        entries = F.transform("pieces", lambda p: F.struct(p["section_key"], p["content"]))
+        folded = S.folded_sections(self.sections).select(
+            "doc_id", F.map_from_entries(entries).alias("sections"), S.listed_text(F.col("pieces")).alias("listed_text")
         )
         fields = [c for c in self.figures.columns if c != "doc_id"]
         nested = self.figures.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("figures"))
@@ -172,18 +193,18 @@ class Corpus:
         )
         empty = F.array().cast(nested.schema["figures"].dataType)
         return (
-            self.structure.join(self.raw_texts, "doc_id", "left")
-            .join(folded, "doc_id", "left")
+            self.structure.join(folded, "doc_id", "left")
+            .join(self.bare_texts, "doc_id", "left")
             .join(nested, "doc_id", "left")
             .select(
-                "doc_id", "title", "raw_text", "sections", "section_order",
+                "doc_id", "title", F.coalesce("listed_text", "raw_text").alias("raw_text"), "sections", "section_order",
                 F.coalesce("figures", empty).alias("figures"), metadata.alias("metadata"),
             )
         )
 
     @cached_property
     def focus(self) -> DataFrame:
-        return S.focus_text(self.sections, self.raw_texts)
+        return S.focus_text(self.sections, self.bare_texts)
 
     @cached_property
     def selected_figures(self) -> DataFrame:

@@ -89,15 +89,20 @@ class MixedCorpus:
         )
         return stage(blocks.unionByName(plain), "refined-structure")
 
+    @cached_property
+    def bare_texts(self) -> DataFrame:
+        """Raw texts of what has no listed section: block documents without one, and the plain texts."""
+        bare = S.bare_texts(self.sections, self.parsed.lines)
+        return bare if self.texts is None else bare.unionByName(self.texts.select("doc_id", "raw_text"))
+
     @cached_property
     def raw_texts(self) -> DataFrame:
         """Section texts of block documents after their drafts, and the plain texts."""
-        raw = S.raw_text(self.sections, self.parsed.lines)
-        return raw if self.texts is None else raw.unionByName(self.texts.select("doc_id", "raw_text"))
+        return S.raw_text(self.sections).unionByName(self.bare_texts)
 
     @cached_property
     def focus(self) -> DataFrame:
-        return S.focus_text(self.sections, self.raw_texts)
+        return S.focus_text(self.sections, self.bare_texts)
 
     @cached_property
     def selected_figures(self) -> DataFrame:
@@ -129,7 +134,7 @@ def mixed_tables(corpus: MixedCorpus, results: DataFrame) -> dict[str, DataFrame
     results = M.complete_results(results, corpus.structure)
     reports = R.research_reports(corpus.structure, corpus.sections, results, corpus.analyses, corpus.evidence)
     merged = R.merged_results(
-        corpus.structure, corpus.focus, results, corpus.artifacts, corpus.evidence, corpus.analyses
+        corpus.structure, S.selected_sections(corpus.sections), results, corpus.artifacts, corpus.evidence, corpus.analyses
     )
     fields = results.select("doc_id", "title", "summary", "key_points", "limitations")
     titled = corpus.focus.join(corpus.structure.select("doc_id", "title"), "doc_id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docstruct.operators import reports as R
 from docstruct.operators import responses as M
+from docstruct.operators import structure as S
 from docstruct.plans import staging
 from docstruct.plans.corpus import REPORT_PLAN, Corpus, parsed_text_documents, plain_focus
 from docstruct.sources import sinks
@@ -28,7 +29,7 @@ def research_tables(corpus: Corpus, results: DataFrame) -> dict[str, DataFrame]:
     results = M.complete_results(results, corpus.structure)
     reports = R.research_reports(corpus.structure, corpus.sections, results, corpus.analyses, corpus.evidence)
     merged = R.merged_results(
-        corpus.structure, corpus.focus, results, corpus.artifacts, corpus.evidence, corpus.analyses
+        corpus.structure, S.selected_sections(corpus.sections), results, corpus.artifacts, corpus.evidence, corpus.analyses
     )
     fields = results.select("doc_id", "title", "summary", "key_points", "limitations")
     return {
