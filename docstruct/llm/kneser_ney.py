@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import bit_filter, cut, in_filter, row_key, small, without
+from docstruct.llm.common import bit_filter, cut, give_back, in_filter, row_key, small, without
 
 #: A symbol of the model is a code point plus one; 0 is kept for the ends of a text. Three of them make a key of 63 bits.
 CODE_BITS, SYMBOLS = 21, 0x110000 + 1
@@ -107,6 +107,7 @@ def count_corpus(texts: DataFrame, text: str = "text", grams=gram_counts) -> Dat
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for gram, n in counted((t for batch in batches for t in batch["text"]), grams):
             yield pd.DataFrame({"gram": gram, "n": n})
+        give_back()
 
     rows = texts.select(F.col(text).alias("text")).mapInPandas(count, "gram bigint, n bigint")
     return rows.groupBy("gram").agg(F.sum("n").alias("n"))
@@ -189,6 +190,7 @@ def score(docs: DataFrame, model: DataFrame, *keep: str, text: str = "text", mos
                 part = batch.iloc[a : a + 256]
                 made = [code_grams(t) for t in part["_text"]]
                 yield part.drop(columns="_text").assign(g=[g for g, _ in made], n=[n for _, n in made])
+            give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     each = docs.select(*keep, F.col(text).alias("_text")).mapInPandas(grams, f"{kinds}, g array<bigint>, n array<bigint>")

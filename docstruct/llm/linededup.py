@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import bit_filter, cut, in_filter, packed, row_key, same_row, small
+from docstruct.llm.common import bit_filter, cut, give_back, in_filter, packed, row_key, same_row, small
 
 #: Lines of the rolling hash; a chunk may end where it is 0 modulo RATE; lines and words that a chunk has at least.
 WINDOW, RATE, MIN_LINES, MIN_WORDS = 2, 2, 2, 8
@@ -238,6 +238,7 @@ def _unit_hashes(bits: int):
         for block in _blocks(texts):
             units = Units(block, bits)
             made += np.split(units.hashes, units.of_text[1:-1])
+        give_back()
         return pd.Series(made, dtype=object)
 
     return F.pandas_udf(run, "array<bigint>")
@@ -279,6 +280,7 @@ def _strip_units(bits: int):
                 base = int(units.first[k])
                 left = "".join(line for j, line in enumerate(units.lines[k], base) if j not in out) if out else text
                 rows.append((left, len(out), numbers[:, 0], list(met), numbers[:, 1]))
+        give_back()
         return pd.DataFrame(rows, columns=["text", "n_removed", "h", "body", "n"])
 
     return F.pandas_udf(run, "text string, n_removed bigint, h array<bigint>, body array<string>, n array<bigint>")
@@ -296,7 +298,8 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     last = F.lit((1 << 63) - 1)
     hashed = docs.select(F.col(doc_id).alias("_d"), row_key(doc_id, text).alias("_k"), _unit_hashes(bits)(F.col(text)).alias("hs"))
-    hashed = cut(hashed.where(F.size("hs") > 0))
+    # No filter here: Spark would work the hashes out for it and once more for the result, in a second worker.
+    hashed = cut(hashed)
     each = hashed.select(F.coalesce("_d", last).alias("id"), F.explode("hs").alias("h"))
     repeated = cut(each.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1").select("h", "first_id"))
     owners = hashed.select("_d", "_k", F.explode(F.array_distinct("hs")).alias("h")).where(in_filter(bit_filter(repeated, "h"), F.col("h")))

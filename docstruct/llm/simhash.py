@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import components, cut, packed, row_key
+from docstruct.llm.common import components, cut, give_back, packed, row_key
 
 SEED = 42
 #: ``op9``: words of a shingle, bits that may differ, segments of the ring.
@@ -234,7 +234,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     node. Wordless texts are one group. Rows with a NULL id are no copies.
     """
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        return _sketch(texts, words, SKETCHES)
+        made = _sketch(texts, words, SKETCHES)
+        give_back()
+        return made
 
     sketched = F.pandas_udf(sketch, "kinds bigint, same string, fp bigint, sketch array<bigint>")(F.col(text))
     made = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), sketched.alias("s"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from docstruct.llm import common, kneser_ney, linededup, simhash
 from docstruct.llm.queries import QUERIES
 
 CLASHING = ["row", "d", "k", "_d", "_k", "key", "h", "pos", "u", "n_removed", "doc_ID2", "lines", "fp", "token"]
@@ -54,6 +55,21 @@ def test_query_answers_for_every_row(spark, tables, name):
         assert len(rows) == len(docs)
 
 
+@pytest.mark.parametrize("name,stage", P.STAGES[:3])
+def test_a_task_needs_one_python_worker(spark, tables, monkeypatch, name, stage):
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return common.cut(df)
+
+    for module in (kneser_ney, linededup, simhash):
+        monkeypatch.setattr(module, "cut", cut)
+    stage(spark, spark.read.parquet(f"{tables}/documents.parquet"), tables)
+    nodes = [plan.count("ArrowEvalPython [") + plan.count("MapInPandas ") for plan in plans]
+    assert max(nodes) == 1
+
+
 def test_pipeline_is_its_stages(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for _, stage in P.STAGES:
