@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 import pyarrow as pa
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OWN: dict[str, str] = {}
+_INSIDE: ContextVar[list[DataFrame] | None] = ContextVar("cuts", default=None)
+#: Whether a query's shuffle files go when it has ended, instead of when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,9 +33,53 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and returns it read back: its lineage ends there, lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._cut = path
+    inside = _INSIDE.get()
+    if inside is not None:
+        inside.append(made)
+    return made
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes cuts that nothing reads any more."""
+    for made in tables:
+        spark = made.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made._cut)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing_cuts() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Cuts made inside are deleted at the end, but those that are handed to the function it gives.
+
+    For steps whose result is a written table: what it was made of is no longer read.
+    """
+    kept: list[DataFrame] = []
+
+    def keep(made: DataFrame) -> DataFrame:
+        kept.append(made)
+        return made
+
+    token = _INSIDE.set([])
+    try:
+        yield keep
+    finally:
+        inside = _INSIDE.get()
+        _INSIDE.reset(token)
+        stays = {made._cut for made in kept}
+        drop(*[made for made in inside if made._cut not in stays])
+        outer = _INSIDE.get()
+        if outer is not None:
+            outer.extend(made for made in inside if made._cut in stays)
 
 
 def drop_cuts(spark: SparkSession) -> None:

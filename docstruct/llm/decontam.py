@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import any_of, ascii_lower, bit_filter, cut, in_filter, row_key, without
+from docstruct.llm.common import any_of, ascii_lower, bit_filter, cut, in_filter, passing_cuts, row_key, without
 
 WINDOW = 10
 #: Words of a shingle, the token of the join; windows of fewer words are their own token.
@@ -125,8 +125,10 @@ def find_windows(docs: DataFrame, windows: DataFrame, doc_id: str, text: str, wi
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that no item's window occurs in, with all their columns; the verdict is on whole texts."""
-    found = contamination(docs, items, doc_id, text, **options).where("contaminated")
-    return without(docs, cut(found.select(F.col("doc_id").alias("d2"), F.col("row_key").alias("k2")).distinct()), doc_id, text)
+    with passing_cuts() as keep:
+        found = contamination(docs, items, doc_id, text, **options).where("contaminated")
+        bad = keep(cut(found.select(F.col("doc_id").alias("d2"), F.col("row_key").alias("k2")).distinct()))
+    return without(docs, bad, doc_id, text)
 
 
 def contamination(

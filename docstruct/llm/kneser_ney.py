@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import bit_filter, cut, give_back, in_filter, row_key, small, without
+from docstruct.llm.common import bit_filter, cut, give_back, in_filter, passing_cuts, row_key, small, without
 
 #: A symbol of the model is a code point plus one; 0 is kept for the ends of a text. Three of them make a key of 63 bits.
 CODE_BITS, SYMBOLS = 21, 0x110000 + 1
@@ -252,6 +252,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     Rows with one id and text but different languages go if any of them is rejected.
     """
-    bad = classify(docs, labels, doc_id, text, lang, **options).where("NOT kept")
-    bad = cut(bad.select(F.col("doc_id").alias("d2"), F.col("row_key").alias("k2")).distinct())
+    with passing_cuts() as keep:
+        bad = classify(docs, labels, doc_id, text, lang, **options).where("NOT kept")
+        bad = keep(cut(bad.select(F.col("doc_id").alias("d2"), F.col("row_key").alias("k2")).distinct()))
     return without(docs, bad, doc_id, text)

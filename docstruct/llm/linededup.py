@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import bit_filter, cut, give_back, in_filter, packed, row_key, same_row, small
+from docstruct.llm.common import bit_filter, cut, drop, give_back, in_filter, packed, row_key, same_row, small
 
 #: Lines of the rolling hash; a chunk may end where it is 0 modulo RATE; lines and words that a chunk has at least.
 WINDOW, RATE, MIN_LINES, MIN_WORDS = 2, 2, 2, 8
@@ -312,6 +312,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             F.collect_set(F.when(mine, F.col("h"))).alias("_first"),
         )
     )
+    drop(hashed, repeated)
     # Texts that surely have no repeated unit stay where they are.
     maybe = in_filter(bit_filter(flags.select(F.xxhash64("_d", "_k").alias("h")), "h"), F.xxhash64("d", "k"))
     rows = packed(docs, doc_id, text).withColumn("maybe", maybe)

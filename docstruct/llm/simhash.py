@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstruct.llm.common import components, cut, give_back, packed, row_key
+from docstruct.llm.common import bit_filter, components, cut, give_back, in_filter, packed, passing_cuts, row_key, same_row
 
 SEED = 42
 #: ``op9``: words of a shingle, bits that may differ, segments of the ring.
 WORDS, DISTANCE, SEGMENTS = 3, 2, 16
-#: Near copies: words of a shingle, Jaccard similarity, sampled sketches, and members up to which a group needs no pivot.
-NEAR_WORDS, SIMILARITY, SKETCHES, SMALL = 5, 0.8, 12, 8
+#: Near copies: words of a shingle, Jaccard similarity, min-wise samples, and those that similar texts share at least.
+NEAR_WORDS, SIMILARITY, SKETCHES, SHARED = 5, 0.8, 24, 6
+#: Members up to which a group needs no pivot, and those of a part of a larger group.
+SMALL, PART = 8, 1024
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -133,13 +137,14 @@ def _sketch(texts: pd.Series, words: int, sketches: int) -> pd.DataFrame:
         kinds = np.unique(hashes)
         same = xxhash.xxh3_128_hexdigest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()))
         bits = fingerprint(shingle_hashes(t, WORDS))
-        if not len(kinds):
-            rows.append((0, same, bits, []))
-            continue
-        mixed = kinds[None, :] * factors[:, None]
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        rows.append((len(kinds), same, bits, kinds[mixed.argmin(1)].view(np.int64).tolist()))
+        sample: list[int] = []
+        at_once = max(1, (1 << 16) // max(1, len(kinds)))
+        for k in range(0, sketches if len(kinds) else 0, at_once):
+            mixed = kinds[None, :] * factors[k : k + at_once, None]
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            sample += kinds[mixed.argmin(1)].view(np.int64).tolist()
+        rows.append((len(kinds), same, bits, sample))
     return pd.DataFrame(rows, columns=["kinds", "same", "fp", "sketch"])
 
 
@@ -149,68 +154,80 @@ def jaccard(a: str, b: str, words: int = NEAR_WORDS) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _groups(rows: DataFrame, sketches: int) -> DataFrame:
-    """``id, mask, g``: the group of the samples that ``mask`` names, for rows with ``id, mask, sketch``."""
-    named = F.filter(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda j: F.call_function("shiftright", F.col("mask"), j).bitwiseAND(F.lit(1)) == 1)
-    return rows.select("id", "mask", F.xxhash64("mask", F.transform(named, lambda j: F.get("sketch", j))).alias("g"))
+def _lone(each: DataFrame, value: str) -> DataFrame:
+    """``id, lone``: how many of its values (``id`` and the column ``value``, a row for each) no other id has."""
+    alone = each.groupBy(value).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    return alone.groupBy("id").agg(F.count("*").alias("lone"))
 
 
-def _finer(rest: DataFrame, classes: DataFrame, sketches: int) -> DataFrame:
-    """The groups of ``rest`` split by every sample that they do not name yet; each set of samples is one group."""
-    further = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda j: F.call_function("shiftleft", F.lit(1), j).bitwiseOR(F.col("mask"))), lambda m: m != F.col("mask")
-    )
-    masks = rest.select("id", F.explode(further).alias("mask")).distinct()
-    return _groups(masks.join(classes.select("id", "sketch"), "id"), sketches)
+def _close(sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``sets`` (``id, kinds, hs`` and more) that others share enough shingles with.
 
+    A text that is similar to another one shares with it ``similarity`` of its own shingles at least. So the others are
+    similar to none, whatever the size of the groups they are in.
+    """
+    lone = _lone(sets.select("id", F.explode("hs").alias("h")), "h")
+    enough = F.col("kinds") - F.coalesce("lone", F.lit(0)) >= similarity * F.col("kinds") - 1e-6
+    return sets.join(sets.select("id", "kinds").join(lone, "id", "left").where(enough).select("id"), "id", "left_semi")
 
-def near_links(classes: DataFrame, texts: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, sketches: int = SKETCHES) -> DataFrame:
-    """``(a, b)``, b < a: links that join the similar texts of ``classes`` (``id, kinds, sketch``); ``texts`` has ``id, text``.
 
-    Texts meet in groups that share a sample. Groups of at most ``SMALL`` members look at all their pairs. In larger
-    ones all members are compared with one pivot, the first in a random order of the ids (one order for each sample, so
-    that a pair that one group parts is together in another), and those that are similar to it are linked and leave; the others go on, the next pivot among them, until no member is left
-    without a pivot. Where a pivot is similar to less than half of its group, the rest is no family of copies but shares
-    a passage or falls into several families: it is split by every further sample, so that only texts that share two,
-    three and more samples still meet. Thus groups at least halve or name one more of the twelve samples in each
-    round. A pair is checked once, whatever the groups and rounds it meets in.
-    """
-    one = classes.where(F.size("sketch") > 0).select("id", "sketch", F.explode(F.array(*[F.lit(1 << j) for j in range(sketches)])).alias("mask"))
-    live, full = _groups(one, sketches), (1 << sketches) - 1
-    counts = classes.select("id", "kinds")
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, alike`` of pairs ``a, b``: the Jaccard similarity of their shingle sets."""
+    sides = [sets.select(F.col("id").alias(side), F.col("hs").alias(f"h{side}")) for side in ("a", "b")]
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", (both / (F.size("ha") + F.size("hb") - both)).alias("alike"))
 
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y, words) >= similarity for x, y in zip(a, b)], dtype=bool)
 
-    def side(name: str, table: DataFrame, column: str, alias: str) -> DataFrame:
-        return table.select(F.col("id").alias(name), F.col(column).alias(alias))
+def near_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(a, b)``: links that join the similar texts of ``sets`` (``id, kinds, hs, sketch``) into the right components.
 
-    checked = None
+    Texts meet in groups that share a sample. In groups of more than ``SMALL`` all members are compared with a pivot.
+    Those that are similar to it are linked, and leave if no similar text can stay behind: 1 less the similarity is a
+    metric, so a text that is a step nearer to the pivot than all that are not similar to it is similar to none of
+    these. Where half of a group and more has left, the rest goes on with another pivot. Otherwise, and in small groups,
+    members are compared with each other, but for those that links join already: a pair in the first group that it
+    shares, if it shares ``SHARED`` samples. Each group loses no link by itself. A pair's group may be left by one
+    of them only where they are not similar.
+    """
+    live, step = sets.select("id", F.posexplode("sketch").alias("j", "s")), 1 - similarity
+    links, rest = [], []
     while True:
-        order = F.struct(F.xxhash64("id", F.col("mask").bitwiseAND(-F.col("mask"))), "id")
-        sizes = live.groupBy("g").agg(F.count("*").alias("n"), F.min_by("id", order).alias("pivot")).where("n > 1")
-        shared = cut(live.join(sizes.hint("merge"), "g"))
-        little = shared.where(F.col("n") <= SMALL).select("g", "id")
-        little = little.join(little.select("g", F.col("id").alias("b")), "g").where("b < id").select(F.col("id").alias("a"), "b")
-        large = shared.where((F.col("n") > SMALL) & (F.col("id") != F.col("pivot")))
-        met = large.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b"))
-        pairs = little.union(met).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        # No two sets are more similar than their sizes.
-        pairs = pairs.join(side("a", counts, "kinds", "x"), "a").join(side("b", counts, "kinds", "y"), "b")
-        pairs = cut(pairs.where(F.least("x", "y") / F.greatest("x", "y") >= similarity).select("a", "b"))
-        both = pairs.join(side("a", texts, "text", "ta"), "a").join(side("b", texts, "text", "tb"), "b")
-        done = cut(both.select("a", "b", F.pandas_udf(similar, "boolean")("ta", "tb").alias("near")))
-        checked = done if checked is None else checked.union(done)
-        near = checked.where("near").select("a", "b")
-        a, b = F.greatest("id", "pivot"), F.least("id", "pivot")
-        left = large.withColumns({"a": a, "b": b}).join(near, ["a", "b"], "left_anti").select("id", "mask", "g", "n")
-        left = cut(left.join(left.groupBy("g").agg(F.count("*").alias("rest")).where("rest > 1"), "g"))
-        if not left.limit(1).count():
-            return near
-        mixed = (F.col("rest") * 2 > F.col("n")) & (F.col("mask") != full)
-        live = left.where(~mixed).select("id", "mask", "g").union(_finer(left.where(mixed), classes, sketches)).distinct()
+        order = F.struct(F.xxhash64("id", "j"), "id")
+        sizes = live.groupBy("j", "s").agg(F.count("*").alias("n"), F.min_by("id", order).alias("pivot")).where("n > 1")
+        shared = cut(live.join(sizes.hint("merge"), ["j", "s"]))
+        rest.append(shared.where(F.col("n") <= SMALL).select("j", "s", "n", "id"))
+        large = shared.where((F.col("n") > SMALL) & (F.col("id") != F.col("pivot"))).withColumnsRenamed({"id": "a", "pivot": "b"})
+        if not large.limit(1).count():
+            break
+        found = cut(_alike(large.select("a", "b").distinct(), sets))
+        links.append(found.where(F.col("alike") >= similarity).select("a", "b"))
+        met = cut(large.join(found, ["a", "b"]))
+        other = met.where(F.col("alike") < similarity).groupBy("j", "s").agg(F.max("alike").alias("other"))
+        stays = met.join(other, ["j", "s"]).where((F.col("alike") < similarity) | (F.col("alike") <= F.col("other") + step + 1e-9))
+        stays = stays.select("j", "s", "n", F.col("a").alias("id"))
+        stays = cut(stays.join(stays.groupBy("j", "s").agg(F.count("*").alias("left")), ["j", "s"]))
+        slow = F.col("left") * 2 > F.col("n")
+        rest.append(stays.where(slow).select("j", "s", F.col("left").alias("n"), "id"))
+        live = stays.where(~slow).select("id", "j", "s")
+    known = reduce(DataFrame.union, links) if links else None
+    texts = sets.select("id", "kinds", "sketch")
+    if known is None:
+        texts = texts.withColumn("of", F.col("id"))
+    else:
+        texts = texts.join(components(known).withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id"))
+    members = cut(reduce(DataFrame.union, rest).join(texts.select("id", "kinds", "sketch", "of"), "id"))
+    # The rows of a large group lie in several parts, which each meet all of it.
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    x = members.select("j", "s", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("id", "kinds", "sketch", "of")])
+    y = members.select("j", "s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("id", "kinds", "sketch", "of")])
+    equal = F.zip_with("sketch_a", "sketch_b", lambda p, q: p == q)
+    # No two sets are more similar than their sizes.
+    sized = F.least("kinds_a", "kinds_b") >= similarity * F.greatest("kinds_a", "kinds_b") - 1e-6
+    first = (F.array_position(equal, F.lit(True)) == F.col("j") + 1) & (F.size(F.filter(equal, lambda e: e)) >= SHARED)
+    pairs = x.join(y, ["j", "s", "part"]).where((F.col("id_b") < F.col("id_a")) & (F.col("of_a") != F.col("of_b")) & sized & first)
+    pairs = cut(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    more = cut(_alike(pairs, sets).where(F.col("alike") >= similarity).select("a", "b"))
+    return more if known is None else known.union(more)
 
 
 def _print_links(classes: DataFrame) -> DataFrame:
@@ -228,30 +245,43 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
     Texts are linked if their fingerprints differ in at most two bits, found by the pigeonring as in ``near_groups``.
     A similarity of 0.8 can leave two fingerprints some ten bits apart, at times over twenty: too far for keys on
-    the ring. So texts with a similarity of 0.8 or more are linked as well: candidates share one of twelve min-wise
-    samples of the shingles, less those of which one has under 0.8 times the other's shingles, which cannot be
-    similar; the shingle sets of the whole texts decide (``near_links``). Texts with the same words are one
-    node. Wordless texts are one group. Rows with a NULL id are no copies.
+    the ring. So texts with a similarity of 0.8 or more are linked as well. Candidates share ``SHARED`` of
+    ``SKETCHES`` min-wise samples of the shingles with other texts (at 0.8 fewer are shared once in 10⁹ pairs), and 0.8
+    of the shingles themselves (``_close``); the shingle sets of the whole texts decide (``near_links``). Texts with the
+    same words are one node. Wordless texts are one group. Rows with a NULL id are no copies.
     """
     def sketch(texts: pd.Series) -> pd.DataFrame:
         made = _sketch(texts, words, SKETCHES)
         give_back()
         return made
 
+    def kinds(texts: pd.Series) -> pd.Series:
+        made = pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts], dtype=object)
+        give_back()
+        return made
+
     sketched = F.pandas_udf(sketch, "kinds bigint, same string, fp bigint, sketch array<bigint>")(F.col(text))
     made = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), sketched.alias("s"))
     made = cut(made.select("doc_id", "row_key", "s.*"))
     classes = cut(made.groupBy("same", "kinds", "fp", "sketch").agg(F.min("doc_id").alias("id"), F.min_by("row_key", "doc_id").alias("key")).where("id IS NOT NULL"))
 
-    # Only texts that share a sample with another one are written for the exact check.
-    each = classes.select("id", "key", "kinds", F.inline(F.transform("sketch", lambda s, j: F.struct(j.alias("j"), s.alias("s")))))
-    twice = each.groupBy("j", "s").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = cut(each.join(twice.hint("merge"), ["j", "s"]).groupBy("id").agg(F.first("key").alias("key")))
-    texts = docs.select(F.col(doc_id).alias("id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text")).join(wanted, ["id", "key"], "left_semi")
-    # Rows that are repeated are one text.
-    texts = cut(texts.dropDuplicates(["id"]).select("id", "text"))
-    links = near_links(classes.join(wanted.select("id"), "id", "left_semi"), texts, words, similarity)
-    member = components(links.select("a", "b").union(_print_links(classes))).withColumnRenamed("node", "id")
+    # Texts by their row key: one id may have several texts.
+    texts = classes.where("kinds > 0").select(F.col("key").alias("id"), "kinds", "sketch")
+    each = texts.select("id", F.explode(F.transform("sketch", lambda s, j: F.xxhash64(j, s))).alias("g"))
+    few = _lone(each, "g").where(F.col("lone") > SKETCHES - SHARED)
+    wanted = cut(texts.join(few, "id", "left_anti"))
+    # Only texts whose bit is set move to the exact join.
+    bits = bit_filter(wanted.select("id"), "id")
+    rows = docs.select(row_key(doc_id, text).alias("id"), F.col(text).alias("text")).where(in_filter(bits, F.col("id")))
+    rows = rows.join(wanted.hint("merge"), "id").dropDuplicates(["id"])
+    sets = cut(rows.select("id", "kinds", "sketch", F.pandas_udf(kinds, "array<bigint>")("text").alias("hs")))
+    for _ in range(2):
+        sets = cut(_close(sets, similarity))
+    links = near_links(sets, similarity)
+    for side in ("a", "b"):
+        links = links.join(classes.select(F.col("key").alias(side), F.col("id").alias(f"id_{side}")), side)
+    links = cut(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    member = components(links.union(_print_links(classes))).withColumnRenamed("node", "id")
     known = classes.join(member, "id", "left").select("same", F.coalesce("component", "id").alias("component_id"))
     return made.join(known, "same", "left").select("doc_id", "row_key", "component_id")
 
@@ -259,13 +289,18 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group of ``near_copies``: that with the least doc_id. Rows with a NULL id are no copies and stay.
 
-    Repeated rows count as copies; of several texts with the least id one stays.
+    Repeated rows count as copies; of several texts with the least id one stays. Only texts that go or are repeated
+    move, and those that share their bit in a filter of fixed size.
     """
-    groups = near_copies(docs, doc_id, text, **options)
-    stays = groups.where("doc_id IS NULL OR component_id IS NULL OR doc_id = component_id")
-    none = F.lit(-(1 << 63))
-    # The id and text that stay; for NULL ids each text.
-    stays = stays.select(F.coalesce("doc_id", none).alias("d"), F.col("row_key").alias("k"), F.col("doc_id").isNull().alias("n"))
-    stays = stays.groupBy("d", F.when(F.col("n"), F.col("k")).alias("own")).agg(F.min("k").alias("k")).select("d", "k")
-    keyed = packed(docs, doc_id, text).withColumn("d", F.coalesce("d", none))
-    return keyed.join(stays, ["d", "k"], "left_semi").dropDuplicates(["d", "k"]).select("row.*")
+    with passing_cuts() as keep:
+        rows = near_copies(docs, doc_id, text, **options).groupBy("doc_id", "row_key").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+        rows = rows.withColumn("first", F.expr("doc_id IS NULL OR component_id IS NULL OR doc_id = component_id"))
+        # Of several texts with one id the first by key stays; for NULL ids each text.
+        own = rows.where("first AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row_key").alias("own"))
+        rows = rows.join(own, "doc_id", "left").withColumn("stays", F.expr("first AND (doc_id IS NULL OR row_key = own)"))
+        marked = rows.where("NOT stays OR n > 1").select(F.col("doc_id").alias("d2"), F.col("row_key").alias("k2"), "stays")
+        marked = keep(cut(marked))
+    bits = bit_filter(marked.select(F.xxhash64("d2", "k2").alias("h")), "h")
+    each = packed(docs, doc_id, text).withColumn("maybe", in_filter(bits, F.xxhash64("d", "k")))
+    once = each.where("maybe").join(marked, same_row(), "left").where("coalesce(stays, true)").dropDuplicates(["d", "k"])
+    return each.where("NOT maybe").select("row").union(once.select("row")).select("row.*")

@@ -1,9 +1,11 @@
 """Near copies in large groups of candidates: families, chains of edits, crowds that share a passage."""
 
+import os
 import random
 
 import pytest
 
+from docstruct.llm import common
 from docstruct.llm import simhash as S
 
 
@@ -104,3 +106,61 @@ def test_fingerprints_link_what_shingle_sets_do_not(spark):
     groups = {r.doc_id: r.component_id for r in S.near_groups(docs).collect()}
     assert found(spark, texts) == groups
     assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == sorted(set(groups.values()))
+
+
+def written(spark, monkeypatch):
+    """Rows of every cut of the near copies from now on."""
+    rows = []
+
+    def cut(df):
+        made = common.cut(df)
+        rows.append(made.count())
+        return made
+
+    monkeypatch.setattr(S, "cut", cut)
+    return rows
+
+
+def test_a_crowd_is_not_looked_at_in_every_set_of_samples(spark, monkeypatch):
+    """Texts with two thirds of their words in common, none similar to another one; was 64 rows and more for each."""
+    rng = random.Random(11)
+    passage, rows = prose(rng, 120), written(spark, monkeypatch)
+    texts = [" ".join(prose(rng, 30) + passage + prose(rng, 30)) for _ in range(150)]
+    assert found(spark, texts) == {k: k for k in range(150)}
+    assert max(rows) <= 24 * len(texts)
+
+
+def test_dense_family_loses_no_link(spark):
+    """Edited copies of one text, most of them a little less than similar to each other: pivots find few of the links."""
+    rng = random.Random(3)
+    words = prose(rng, 120)
+    texts = [" ".join(edited(rng, words, rng.choice([1, 2, 3]))) for _ in range(90)]
+    want, links = brute(texts)
+    assert 20 < links < 90 * 89 / 4 and len(set(want.values())) > 1
+    assert found(spark, texts) == want
+
+
+def test_links_of_every_text_of_an_id(spark):
+    """One id with two texts, each the near copy of another row."""
+    rng = random.Random(4)
+    x, y = prose(rng, 80), prose(rng, 80)
+    rows = [(1, " ".join(x)), (1, " ".join(y)), (2, " ".join(edited(rng, x, 1))), (3, " ".join(edited(rng, y, 1)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in S.near_copies(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_only_what_is_read_stays_written(spark):
+    rng = random.Random(9)
+    texts = [" ".join(edited(rng, prose(random.Random(k % 5), 60), 1)) for k in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[0]), (None, texts[0])], "doc_id long, text string")
+    want = {top for top in brute(texts)[0].values()}
+
+    def folders():
+        at = common.shared_folder(spark).removeprefix("file:")
+        return set(os.listdir(at)) if os.path.exists(at) else set()
+
+    before = folders()
+    kept = S.keep_one(docs)
+    assert len(folders() - before) == 1
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want)
+    assert kept.where("doc_id IS NULL").count() == 1
