@@ -188,18 +188,25 @@ class Units:
 
     A line of ``MIN_WORDS`` words is a unit by itself, a shorter one starts a run and ends one. So of any
     passage with that many words each line is in a unit within the passage, whatever stands around it.
+    With ``short`` what stands between two line feeds is a unit too if it has fewer words (one or more sentences).
     A unit's hash is rolled over the hashes of its lines; ``bits`` are left of it.
     """
 
-    def __init__(self, texts: list[str | None], bits: int = 64):
+    def __init__(self, texts: list[str | None], bits: int = 64, short: bool = False):
         self.lines: list[list[str]] = []
         self.bare: list[str] = []
         first = [0]
+        feeds: list[bool] = []
         for text in texts:
             lines, bare = _text_lines(text)
             self.lines.append(lines)
             self.bare += bare
             first.append(len(self.bare))
+            if short and bare:
+                # Line feeds before the first word end no line; the end of the text does.
+                feeds.append("\n" in lines[0].lstrip())
+                feeds += ["\n" in line for line in lines[1:]]
+                feeds[-1] = True
         self.first = np.array(first)
         n = len(self.bare)
         # Words before each line; a line counts MIN_WORDS + 1 at most.
@@ -210,7 +217,13 @@ class Units:
         stop = np.searchsorted(words, words[:-1] + MIN_WORDS)
         start = np.searchsorted(words, words[1:] - MIN_WORDS, "right") - 1
         ahead, back = stop <= self.first[text_of + 1], start >= self.first[text_of]
-        pairs = np.unique(np.concatenate([k[ahead] << 32 | stop[ahead], start[back] << 32 | k[back] + 1]))
+        pairs = [k[ahead] << 32 | stop[ahead], start[back] << 32 | k[back] + 1]
+        if feeds:
+            ends = np.flatnonzero(np.array(feeds)) + 1
+            begins = np.concatenate([[0], ends[:-1]])
+            few = words[ends] - words[begins] < MIN_WORDS
+            pairs.append(begins[few] << 32 | ends[few])
+        pairs = np.unique(np.concatenate(pairs))
         self.start, self.stop = pairs >> 32, pairs & 0xFFFFFFFF
         self.of_text = np.searchsorted(self.start, self.first)
         line_hash = np.fromiter(map(xxhash.xxh64_intdigest, self.bare), np.uint64, n)
@@ -232,11 +245,11 @@ def units_of(text: str | None) -> tuple[list[str], list[tuple[int, int, str]]]:
     return units.lines[0], [(int(a), int(b), units.body(k)) for k, (a, b) in enumerate(zip(units.start, units.stop))]
 
 
-def _unit_hashes(bits: int):
+def _unit_hashes(bits: int, short: bool):
     def run(texts: pd.Series) -> pd.Series:
         made: list[np.ndarray] = []
         for block in _blocks(texts):
-            units = Units(block, bits)
+            units = Units(block, bits, short)
             made += np.split(units.hashes, units.of_text[1:-1])
         give_back()
         return pd.Series(made, dtype=object)
@@ -244,7 +257,7 @@ def _unit_hashes(bits: int):
     return F.pandas_udf(run, "array<bigint>")
 
 
-def _strip_units(bits: int):
+def _strip_units(bits: int, short: bool):
     """Removes the lines in units of ``drops`` everywhere, those of ``firsts`` after the first time.
 
     The units met by hash are given back with their bytes and the number of their places, so that these can be compared.
@@ -254,7 +267,7 @@ def _strip_units(bits: int):
     def run(texts: pd.Series, drops: pd.Series, firsts: pd.Series, bodies: pd.Series) -> pd.DataFrame:
         rows, at = [], 0
         for block in _blocks(texts):
-            units = Units(block, bits)
+            units = Units(block, bits, short)
             hashes, starts, stops = (x.tolist() for x in (units.hashes, units.start, units.stop))
             for k, text in enumerate(block):
                 drop, first, named = drops[at], firsts[at], bodies[at]
@@ -286,18 +299,19 @@ def _strip_units(bits: int):
     return F.pandas_udf(run, "text string, n_removed bigint, h array<bigint>, body array<string>, n array<bigint>")
 
 
-def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True, bits: int = 64) -> DataFrame:
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True, bits: int = 64, short: bool = False) -> DataFrame:
     """``docs`` without the lines that stand in a repeated unit (``units_of``); ``counts`` adds ``n_removed``, the lines.
 
     Of each unit the first place stays: the least id (a NULL one comes last), there the first time. So every line
-    keeps its first place, and a repeated passage of ``MIN_WORDS`` words goes whole, be it one line or many.
+    keeps its first place, and a repeated passage of ``MIN_WORDS`` words goes whole, be it one line or many. With ``short``
+    a repeated line of fewer words goes too, if it stands between line feeds; sentences inside a paragraph never do so alone.
     Units meet by hash (of ``bits`` bits). Only texts with a hash that repeats are read again; their units are removed and
     their bytes compared in one go. Where different bytes share a hash, which is next to never, the texts concerned are
     done again by bytes. Rows and other columns stay as they are (but a column with the count's name gives
     way); repeated rows are one row here and keep the same text. NULL and empty texts stay.
     """
     last = F.lit((1 << 63) - 1)
-    hashed = docs.select(F.col(doc_id).alias("_d"), row_key(doc_id, text).alias("_k"), _unit_hashes(bits)(F.col(text)).alias("hs"))
+    hashed = docs.select(F.col(doc_id).alias("_d"), row_key(doc_id, text).alias("_k"), _unit_hashes(bits, short)(F.col(text)).alias("hs"))
     # No filter here: Spark would work the hashes out for it and once more for the result, in a second worker.
     hashed = cut(hashed)
     each = hashed.select(F.coalesce("_d", last).alias("id"), F.explode("hs").alias("h"))
@@ -319,7 +333,7 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     clean = rows.where("NOT maybe").select("row", F.struct(F.col("row")[text].alias("text"), F.lit(0).cast("long").alias("n_removed")).alias("new"))
     flagged = rows.where("maybe").join(flags, same_row("_d", "_k"), "left").withColumn("words", F.col("row")[text])
     bare = F.col("row").withField(text, F.lit(None).cast("string")).alias("row")
-    strip = _strip_units(bits)
+    strip = _strip_units(bits, short)
     none = F.lit(None).cast("array<struct<body:string,first:boolean>>")
     done = cut(flagged.select(bare, "d", "k", strip("words", "_drop", "_first", none).alias("new")))
 

@@ -35,7 +35,7 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return dedup_passages(docs).select("doc_id", "text", "n_removed")
+    return dedup_passages(docs, short=True).select("doc_id", "text", "n_removed")
 
 
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

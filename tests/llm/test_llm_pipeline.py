@@ -76,3 +76,11 @@ def test_pipeline_is_its_stages(spark, tables):
         docs = stage(spark, docs, tables)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(str, docs.select(key).collect())) == sorted(map(str, P.run(spark, tables).select(key).collect()))
+
+
+def test_no_line_stays_twice_after_line_dedup(spark, tables):
+    rows = [(1, "Page top\nThe first text has words of its own here.\nMIT License."), (2, "Page top\nAnother text, other words, and as many of them.\nMIT License."), (3, "MIT License.")]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.lines(spark, docs, tables).collect()}
+    alone = "Another text, other words, and as many of them.\n"
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: (alone, len(alone)), 3: ("", 0)}

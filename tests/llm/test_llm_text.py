@@ -124,6 +124,33 @@ def test_passages_against_brute_force(docs, texts, bits):
     assert got == expected
 
 
+@pytest.mark.parametrize("bits", [64, 7])
+def test_short_lines_against_brute_force(spark, texts, bits):
+    """Every line between line feeds keeps one place, whatever its length; sentences inside a paragraph stay."""
+    rng = random.Random(7)
+    notes = ["Top", "All rights reserved. See here.", "One. Two.", " \u00a0", ""]
+    made = ["\n".join(rng.choice(notes + [sentence(rng, rng.randint(1, 9))]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    made += ["\n \n Top. One\n\nTop", "Top. One. Two. Top.", "Top", "\n\n", "Top \n  ", "One. Two. \n", *texts]
+    got = {r.doc_id: r for r in L.dedup_passages(spark.createDataFrame(enumerate(made), "doc_id long, text string").repartition(4), bits=bits, short=True).collect()}
+    first = {}
+    for k, text in enumerate(made):
+        lines, units = L.units_of(text)
+        at, words = 0, {}
+        for j, line in enumerate(lines):
+            words.setdefault(at, []).append((j, line.strip()))
+            at += "\n" in (line if j else line.lstrip())
+        for group in words.values():
+            body = "\n".join(x for _, x in group)
+            if 0 < len(body.split()) < 8:
+                units.append((group[0][0], group[-1][0] + 1, body))
+        gone = set()
+        for a, b, body in sorted(units):
+            at = first.setdefault(body, (k, b))
+            if at[0] < k or at[1] <= a:
+                gone |= set(range(a, b))
+        assert got[k].text == (None if text is None else "".join(x for j, x in enumerate(lines) if j not in gone))
+
+
 def test_fingerprints_and_components_against_brute_force(docs, texts):
     def brute(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
