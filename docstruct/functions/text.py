@@ -74,18 +74,24 @@ def clean_title(col: Column) -> Column:
     return clean_text(text)
 
 
-def infer_title(col: Column) -> Column:
-    """First line with content, stripped, at most 200 characters; NULL when there is none."""
-    first = F.regexp_extract(col, r"(?U)(\S[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]*)", 1)
+def first_line(col: Column, ends: str = r"\n\r") -> Column:
+    """First line with content, stripped, at most 200 characters; NULL when there is none. ``ends`` are what ends a line."""
+    first = F.regexp_extract(col, rf"(?U)([^\s\x1c-\x1f][^{ends}]*)", 1)
     return F.nullif(F.substring(strip(first), 1, K.TITLE_CHARS), F.lit(""))
 
 
+def infer_title(col: Column) -> Column:
+    """The first line of a file, which other separators end too."""
+    return first_line(col, r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}")
+
+
 def normalise_newlines(col: Column) -> Column:
     return F.regexp_replace(col, r"\r\n?", "\n")
 
 
 def lines(col: Column) -> Column:
-    return F.split(normalise_newlines(col), "\n", -1)
+    """What stands between line feeds; a carriage return is a character like others."""
+    return F.split(col, "\n", -1)
 
 
 def sentences(col: Column) -> Column:

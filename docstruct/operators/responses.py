@@ -415,11 +415,15 @@ def paper_or_default(json: Column) -> Column:
 
 def complete_results(results: DataFrame, docs: DataFrame) -> DataFrame:
     """Results with the document title where theirs is empty, and paper payloads in fixed shape."""
+    return titled_results(results.join(docs.select("doc_id", F.col("title").alias("doc_title")), "doc_id", "left"))
+
+
+def titled_results(results: DataFrame) -> DataFrame:
+    """``complete_results`` where the document title is a column ``doc_title`` of the results already."""
     data = F.coalesce("structured_data", F.lit("{}"))
     fixed = F.when(looks_like_paper(data), F.to_json(normalise_paper(data))).otherwise(data)
     return (
-        results.join(docs.select("doc_id", F.col("title").alias("doc_title")), "doc_id", "left")
-        .withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "doc_title"))
+        results.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "doc_title"))
         .withColumn("structured_data", fixed)
         .drop("doc_title")
     )

@@ -141,7 +141,7 @@ def section_text(
         )
     else:
         other = F.struct(F.lit("not_found").alias("status"), F.lit(None).cast("string").alias("content"))
-    hit = T.let(T.lines(text), lambda rows: T.let(heading_lines(rows), lambda heads: found(rows, heads)))
+    hit = T.let(T.lines(T.normalise_newlines(text)), lambda rows: T.let(heading_lines(rows), lambda heads: found(rows, heads)))
     return F.coalesce(hit, other)
 
 

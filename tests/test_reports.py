@@ -1,12 +1,15 @@
 import json
 
+import duckdb
 import pytest
 
+import oracles
 from docstruct import schemas
 from docstruct.operators import reports as R
 from docstruct.operators import responses as M
 from docstruct.plans import run
 from docstruct.plans.corpus import REPORT_PLAN, Corpus
+from docstruct.plans.queries import QUERIES
 from docstruct.sources.seed import seeded_blocks
 from docstruct.streaming.ingest import ingest_blocks, ingest_texts
 from pyspark.sql import functions as F
@@ -41,6 +44,21 @@ def test_general_and_paper_reports(spark):
     assert chapter(paper, "## 数据集") == "D1, D2" and chapter(paper, "## 优点") == "- - s"
 
 
+@pytest.mark.parametrize("name", ["general_reports", "sentence_counts"])
+def test_odd_documents_against_sql(spark, tmp_path, name):
+    texts = ["a\nb", "a\r\nb", "a\rb", "", "\n \n", "\x1c\nabc", "\x0bv\x0cw\x1cx", "a\u2028b\x85c\xa0", "  lead\n\n\n tail ", "# h\n- b\n\n\n\nd", "x" * 250, None]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    rows += [(1, "id again", "de", "t", 3), (None, "no id", "en", "u", 5), (None, "none either", "en", "v", 0), (50, "x", "en", 'q"uo\\te\'s\n\t', -1)]
+    rows += [(51, "x", None, "s", 1), (52, "x", "en", None, 1), (53, "x", "en", "s", None), (54, "x", "null", "[]", 10**15)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    found = con.execute(oracles.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(map(repr, map(tuple, QUERIES[name](spark, str(tmp_path)).select(*columns).collect()))) == sorted(map(repr, found.fetchall()))
+
+
 def test_given_report_is_kept(spark):
     kept = R.result_reports(results(spark, ("t", "", [], [], "# done", "{}")), "x").first()
     assert kept.markdown_report == "# done"
