@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,47 +59,52 @@ def validate_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def assemble_blocks(spans: DataFrame) -> DataFrame:
+def assemble_blocks(spans: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Page spans (``schemas.SPANS``) -> ordered blocks.
 
     Spans are joined per line and lines per block; a group is one block of one page, so it is small.
     The reading order of a document needs the number of kept blocks on earlier pages, which is carried
-    over from one row per page. Spans move once, to their page; lines, blocks and places are made there.
+    over from one row per page. Spans move once, texts and images together, to their page; lines, blocks
+    and places on the page are made there. ``keep`` is handed these rows and gives them back written, so that
+    they are made once for the order, the blocks and all that is asked of the blocks.
     """
-    raw = ["doc_id", "page_number", "raw_index"]
-    spans = spans.repartition("doc_id", "page_number")
-    text_rows = spans.filter(F.col("raw_type") == "text")
-    lines = text_rows.groupBy(*raw, "line_index").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("span_index", "text")))["text"], "").alias("joined"),
+    raw = ["doc_id", "page_number", "raw_index", "raw_type"]
+    is_text, box = F.col("raw_type") == "text", F.col("bbox")
+    large = (box[2] - box[0] >= K.IMAGE_MIN_SIDE) & (box[3] - box[1] >= K.IMAGE_MIN_SIDE)
+    spans = spans.filter(is_text | ((F.col("raw_type") == "image") & large)).repartition("doc_id", "page_number")
+    lines = spans.groupBy(*raw, "line_index").agg(
+        F.array_join(F.array_sort(F.collect_list(F.when(is_text, F.struct("span_index", "text"))))["text"], "").alias("joined"),
         F.max("size").alias("size"),
         F.first("bbox").alias("bbox"),
+        F.collect_list(F.when(~is_text, F.struct("bbox", "image_path"))).alias("images"),
     )
-    texts = (
+    groups = (
         lines.withColumn("line", T.clean_text(F.col("joined")))
-        .filter(F.col("line") != "")
+        .filter(~is_text | (F.col("line") != ""))
         .groupBy(*raw)
         .agg(
             F.array_join(F.array_sort(F.collect_list(F.struct("line_index", "line")))["line"], " ").alias("text"),
             F.max("size").alias("max_size"),
             F.first("bbox").alias("bbox"),
+            F.flatten(F.collect_list("images")).alias("images"),
         )
-        .withColumns({"block_type": F.lit("text"), "image_path": F.lit(None).cast("string")})
-    )
-    box = F.col("bbox")
-    large = (box[2] - box[0] >= K.IMAGE_MIN_SIDE) & (box[3] - box[1] >= K.IMAGE_MIN_SIDE)
-    images = spans.filter((F.col("raw_type") == "image") & large).select(
-        *raw,
-        F.lit("").alias("text"),
-        F.lit(0.0).alias("max_size"),
-        "bbox",
-        F.lit("image").alias("block_type"),
-        "image_path",
     )
-    return number_blocks(texts.unionByName(images))
+
+    def block(kind: str, text: Column, size: Column, bbox: Column, path: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("block_type"), text.alias("text"), size.alias("max_size"), bbox.alias("bbox"), path.alias("image_path")
+        )
+
+    text_block = block("text", F.col("text"), F.col("max_size"), box, F.lit(None).cast("string"))
+    images = F.transform("images", lambda x: block("image", F.lit(""), F.lit(0.0), x["bbox"], x["image_path"]))
+    blocks = groups.select(*raw[:3], F.inline(F.when(is_text, F.array(text_block)).otherwise(images)))
+    on_page = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("raw_index")) - 1
+    blocks = blocks.withColumn("on_page", on_page)
+    return number_blocks(keep(blocks) if keep else blocks)
 
 
 def number_blocks(kept: DataFrame) -> DataFrame:
-    """Ids and reading order for the kept blocks of (doc_id, page_number, raw_index)."""
+    """Ids and reading order for the kept blocks of (doc_id, page_number, raw_index) with their places on the page."""
     page = ["doc_id", "page_number"]
     before = Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -105,10 +112,8 @@ def number_blocks(kept: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .select(*page, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     )
-    on_page = F.row_number().over(Window.partitionBy(*page).orderBy("raw_index")) - 1
     return (
-        kept.withColumn("on_page", on_page)
-        .join(offsets, page)
+        kept.join(offsets, page)
         .select(
             "doc_id",
             F.concat(F.lit("p"), F.col("page_number"), F.lit("_b"), F.col("raw_index")).alias("block_id"),

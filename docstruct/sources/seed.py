@@ -34,7 +34,8 @@ TEMPLATES = [
 BLOCKS_PER_PAGE = 12
 
 
-def seeded_blocks(documents: DataFrame) -> DataFrame:
+def seeded_rows() -> Column:
+    """The lines of ``text`` and the templates of the document, with their positions, in any order."""
     doc = F.col("doc_id")
     year = (F.lit(10) + doc % 15).cast("string")
 
@@ -50,9 +51,13 @@ def seeded_blocks(documents: DataFrame) -> DataFrame:
         ),
         lambda x: F.trim(x["txt"]) != "",
     )
-    rows = F.array_sort(F.concat(body, F.array_compact(F.array(*[template(*t) for t in TEMPLATES]))))
+    return F.concat(body, F.array_compact(F.array(*[template(*t) for t in TEMPLATES])))
+
+
+def seeded_blocks(documents: DataFrame) -> DataFrame:
+    doc = F.col("doc_id")
     exploded = documents.filter(F.col("text").isNotNull()).select(
-        "doc_id", F.posexplode(rows).alias("order_index", "b")
+        "doc_id", F.posexplode(F.array_sort(seeded_rows())).alias("order_index", "b")
     )
     page = F.floor(F.col("order_index") / BLOCKS_PER_PAGE).cast("int") + 1
     slot = F.col("order_index") % BLOCKS_PER_PAGE
@@ -91,13 +96,12 @@ def seeded_spans(documents: DataFrame) -> DataFrame:
     def span(line: int, at: int, part: Column, height: Column) -> Column:
         return _spans("text", raw_index=slot, line_index=F.lit(line), span_index=F.lit(at), text=part, size=height, bbox=box)
 
-    parts = F.array(
+    parts = [
         span(0, 0, F.substring(text, F.lit(1), quarter), size - 2),
         span(0, 1, F.substring(text, quarter + 1, half - quarter), size),
         span(2, 0, F.substring(text, half + 1, F.length(text)), size - 1),
         F.when((doc + slot) % 4 == 0, span(1, 0, F.lit(" \u00a0\t"), F.lit(30.0))),
-    )
-    texts = blocks.select("doc_id", "page_number", F.explode(F.array_compact(parts)).alias("s"))
+    ]
 
     def image(index: int, width: float, name: str) -> Column:
         path = F.concat(F.lit("img/"), doc.cast("string"), F.lit("_"), page.cast("string"), F.lit(f"_{name}.png"))
@@ -105,23 +109,23 @@ def seeded_spans(documents: DataFrame) -> DataFrame:
         return _spans("image", raw_index=F.lit(index), bbox=corner, image_path=path)
 
     blank = _spans("text", raw_index=F.lit(15), line_index=F.lit(0), span_index=F.lit(0), text=F.lit(" \u00a0"), size=F.lit(9.0), bbox=F.array(*[F.lit(0.0)] * 4))
-    extras = F.array(
-        image(12, 39.0, "small"),
-        F.when((doc + page) % 2 == 0, image(13, 80.0, "a")),
-        F.when(doc % 5 == 0, image(14, 40.0, "b")),
-        F.when(page == 2, blank),
-    )
-    # Pages are named by their first block.
-    first = blocks.filter(slot == 0)
-    rows = texts.unionByName(first.select("doc_id", "page_number", F.explode(F.array_compact(extras)).alias("s")))
-    return rows.select("doc_id", "page_number", "s.*")
+    # A page's images come with its first block.
+    extras = [
+        F.when(slot == 0, image(12, 39.0, "small")),
+        F.when((slot == 0) & ((doc + page) % 2 == 0), image(13, 80.0, "a")),
+        F.when((slot == 0) & (doc % 5 == 0), image(14, 40.0, "b")),
+        F.when((slot == 0) & (page == 2), blank),
+    ]
+    return blocks.select("doc_id", "page_number", F.inline(F.array_compact(F.array(*parts, *extras))))
 
 
 def seeded_snapshots(documents: DataFrame) -> DataFrame:
     """Rendered pages (``schemas.SNAPSHOTS``): the even ones of each document, and an empty last one of every seventh."""
     doc, page = F.col("doc_id"), F.col("page_number")
-    first = seeded_blocks(documents).filter(F.col("order_index") % BLOCKS_PER_PAGE == 0)
-    ends = first.filter(doc % 7 == 0).groupBy("doc_id").agg((F.max("page_number") + 1).alias("page_number"))
-    pages = first.filter(page % 2 == 0).select("doc_id", "page_number").unionByName(ends).distinct()
+    # Only the number of blocks matters: no block is made.
+    last = F.floor((F.size(seeded_rows()) - 1) / BLOCKS_PER_PAGE).cast("int") + 1
+    ends = documents.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.max(last).alias("last"))
+    all_pages = F.sequence(F.lit(1), F.col("last") + F.when(doc % 7 == 0, 1).otherwise(0))
+    pages = ends.select("doc_id", "last", F.explode(all_pages).alias("page_number")).filter((page % 2 == 0) | (page > F.col("last")))
     path = F.concat(F.lit("pages/"), doc.cast("string"), F.lit("_"), page.cast("string"), F.lit(".png"))
     return pages.select("doc_id", "page_number", path.alias("page_snapshot_path"))

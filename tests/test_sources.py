@@ -61,6 +61,18 @@ def test_assemble_blocks(spark):
     assert blocks[1].text == "" and blocks[1].max_size == 0.0 and blocks[1].image_path == "kept.png"
 
 
+def test_images_of_one_place_all_stay(spark):
+    large, small = [0.0, 0.0, 50.0, 50.0], [0.0, 0.0, 50.0, 9.0]
+    rows = [
+        (1, 1, 0, None, None, None, None, large, "image", "a.png"), (1, 1, 0, None, None, None, None, large, "image", "b.png"),
+        (1, 1, 0, None, None, None, None, None, "image", "no box.png"), (1, 1, 0, None, None, None, None, small, "image", "low.png"),
+        (1, 1, 0, None, 0, "text beside", None, small, "text", None), (1, 1, 1, 0, 0, "x", 1.0, large, "drawing", None), (1, 1, 2, 0, 0, None, 1.0, large, "text", None),
+    ]
+    blocks = S.assemble_blocks(spark.createDataFrame(rows, SPANS)).collect()
+    assert sorted((b.block_type, b.text, b.image_path) for b in blocks) == [("image", "", "a.png"), ("image", "", "b.png"), ("text", "text beside", None)]
+    assert sorted(b.order_index for b in blocks) == [0, 1, 2] and {b.block_id for b in blocks} == {"p1_b0"}
+
+
 def test_images_and_snapshots(spark):
     blocks = S.assemble_blocks(spans(spark))
     pages = spark.createDataFrame([(1, 2, "pages/2.png")], "doc_id bigint, page_number int, page_snapshot_path string")
