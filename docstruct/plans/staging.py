@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Whether a query's shuffle files go when it has ended; what is staged is read from its files from then on.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folders: dict[str, str] = {}
 _scopes: list[str] = []
 
@@ -63,6 +65,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         return df
     above = _scopes[-1] if _scopes else app_folder(df.sparkSession, folder)
     path = f"{above}/{name}-{uuid.uuid4().hex}"
-    # Texts take a third less than with the default codec.
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN, "false")
+    conf.set(CLEAN, "true")
+    try:
+        # Texts take a third less than with the default codec.
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
